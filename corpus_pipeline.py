@@ -1,12 +1,78 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm.common import row_key, stored, table
+from tallyforge.llm.lines import dedup_lines
+from tallyforge.llm.minhash import near_duplicates
+from tallyforge.llm.mixing import mix_sources
+from tallyforge.llm.pieces import encode_pieces, piece_digests
+from tallyforge.llm.queries import MIN_SITES
+from tallyforge.llm.toxicity import labelled_texts, score_toxicity
+
+
+def _chosen(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """Documents joined to verdicts by id and row key; the verdict of repeated rows is one."""
+    verdicts = told.dropDuplicates(["doc_id", "row_key"])
+    keyed = docs.withColumn("_row_key", row_key("doc_id", F.col("text"))).alias("d")
+    v = verdicts.alias("v")
+    return keyed.join(v.hint("shuffle_hash"), (F.col("d._row_key") == F.col("v.row_key")) & F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the labelled examples call toxic."""
+    scored = score_toxicity(docs, labelled_texts(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    return _chosen(docs, scored.select("doc_id", "row_key", "predicted")).filter("predicted = 0").select("d.*").drop("_row_key")
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take boilerplate lines out of the texts; a document that consisted of them alone goes."""
+    out = dedup_lines(docs, MIN_SITES)
+    left = out.filter("lines_removed = 0 OR lines_removed < lines_total").withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies; of equal rows, one."""
+    found = stored(near_duplicates(docs).filter("kept").select("doc_id", "row_key"), "kept")
+    return _chosen(docs, found).select("d.*").dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix takes it; those it doesn't take go."""
+    taken = mix_sources(docs).filter("taken > 0").select("doc_id", "row_key", F.expr("CAST(taken DIV size AS INT)").alias("times"))
+    return _chosen(docs, taken).select("d.*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_nth")).drop("_row_key", "_nth")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode and decode the mix's documents."""
+    return piece_digests(encode_pieces(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_common_lines),
+    ("minhash_near_dedup", keep_one_of_near_copies),
+    ("mixing", mix),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: SQL expresses neither the cosine search of the first stage nor the tokeniser of the last.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over `documents`, each stage's rows written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, name)
+    return docs
