@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import stored
 
 #: What is trimmed off a line before it is compared.
-_TRIM = F.lit(" \t\r")
+TRIMMED = " \t\r"
 
 
 def _pieces(text: Column) -> Column:
@@ -55,7 +55,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, lg_k: int = 12, near: floa
     base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(site_col).alias("site"))
     base = base.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", "id")})
     one = base.select("id", "site", "k1", "k2", F.posexplode(_pieces(F.col("text"))).alias("pos", "line"))
-    one = one.withColumn("line", F.btrim("line", _TRIM)).filter("line != ''")
+    one = one.withColumn("line", F.btrim("line", F.lit(TRIMMED))).filter("line != ''")
     one = one.select("id", "site", "k1", "k2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     often = one.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
     often = often.filter((F.col("n") >= min_sites) & (F.col("a") != F.col("b")) | F.lit(min_sites <= 1)).select("h1", "h2")
@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, lg_k: int = 12, near: floa
     pieces = _pieces(F.col("text"))
     joined = base.join(gone, ["k1", "k2"], "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    total = F.size(F.filter(pieces, lambda x: F.btrim(x, _TRIM) != "")).cast("long")
+    total = F.size(F.filter(pieces, lambda x: F.btrim(x, F.lit(TRIMMED)) != "")).cast("long")
     removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
     kept = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     return joined.select(*kept, total.alias("lines_total"), removed.alias("lines_removed"))

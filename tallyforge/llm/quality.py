@@ -40,6 +40,8 @@ class Rules:
     boilerplate_words: int = 25
     #: The commonest word of a line of ten words or more makes up less than this.
     same_word_share: float = 0.5
+    #: Nor do words that repeat the one before them.
+    stutter_share: float = 0.3
     #: Share of the text's characters that may go before the document is rejected.
     lost_share: float = 0.4
     min_words: int = 20
@@ -57,7 +59,7 @@ def fault(line: str, rules: Rules) -> str | None:
         return "navigation"
     if sum(map(line.count, SYMBOLS)) >= max(3, rules.symbol_share * n):
         return "symbols"
-    if n >= 10 and max(map(words.count, set(words[:: max(1, n // 10)]))) >= rules.same_word_share * n:
+    if n >= 10 and (max(map(words.count, set(words[:: max(1, n // 10)]))) >= rules.same_word_share * n or sum(map(str.__eq__, words, words[1:])) >= rules.stutter_share * n):
         return "repetition"
     if n <= rules.boilerplate_words:
         low = line.lower()

@@ -30,7 +30,6 @@ from tallyforge.llm.common import slices, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
-BACKGROUND = -1
 _CACHE = 300_000
 
 
@@ -51,6 +50,8 @@ class Settings:
     least_texts: int = 8
     neighbours: int = 15
     block: int = 64
+    #: Weight of the background term: the larger, the more of such words a text must hold to be near a text that is full of them.
+    background: float = 0.3
     seed: int = 3
 
 
@@ -200,7 +201,7 @@ def learn(docs: DataFrame, examples: DataFrame, settings: Settings, term_table:
     every = stored(vectors(docs.select(F.col("id"), F.xxhash64("id", "text").alias("row_key"), "text"), terms, ["id", "row_key"]), "term_vectors")
     n = every.count()
     df = {r.term: r.n for r in every.select(F.explode("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([math.log(1 + n / max(1, df.get(t, 0))) for t in range(len(terms))] + [math.log(2)])
+    idf = np.array([math.log(1 + n / max(1, df.get(t, 0))) for t in range(len(terms))] + [settings.background])
     rows = [tuple(r) for r in vectors(examples, terms, ["id", "label"]).select("id", "term", "tf", "other", "label").collect()]
     index = Index(rows, idf, settings)
     index.calibrate()
