@@ -55,7 +55,8 @@ class Header:
     side: int
 
     def agrees(self, other: Header) -> bool:
-        return (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
+        """Whether both may belong to one stream: all of its frames have a checksum or none."""
+        return (self.version, self.layer, self.rate, self.crc) == (other.version, other.layer, other.rate, other.crc)
 
 
 @lru_cache(4096)

@@ -47,11 +47,12 @@ class Settings:
     #: Labelled texts that are learnt from, at most; chosen by hash.
     examples: int = 8000
     terms: int = 400
-    least_texts: int = 8
+    #: A term stands in this share of the positive examples, and in three, at least.
+    least_share: float = 0.02
     neighbours: int = 15
     block: int = 64
     #: Weight of the background term: the larger, the more of such words a text must hold to be near a text that is full of them.
-    background: float = 0.3
+    background: float = 0.7
     seed: int = 3
 
 
@@ -70,7 +71,7 @@ def choose_terms(examples: DataFrame, settings: Settings) -> list[str]:
     clean, toxic = size.get(0, 0), size.get(1, 0)
     counts = examples.select("text", "label").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / (toxic + 1)) - F.log((F.col("n0") + 0.5) / (clean + 1))
-    strong = counts.filter(f"n1 >= {settings.least_texts}").withColumn("odds", odds).filter(F.col("odds") > math.log(3))
+    strong = counts.filter(F.col("n1") >= max(3, settings.least_share * toxic)).withColumn("odds", odds).filter(F.col("odds") > math.log(3))
     return [r.term for r in strong.orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "term").limit(settings.terms).select("term").collect()]
 
 

@@ -32,11 +32,11 @@ def test_index_is_exact():
 
 
 def test_held_out_accuracy(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id")
     scored = score_toxicity(docs, labelled_texts(docs, labels)).join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 4 = 2").collect()
     hit = sum(r.predicted == 1 and r.toxic == 1 for r in scored)
-    assert hit >= 0.8 * sum(r.toxic for r in scored) and hit >= 0.8 * sum(r.predicted for r in scored)
+    assert hit >= 0.9 * sum(r.toxic for r in scored) and hit >= 0.9 * sum(r.predicted for r in scored)
     assert all(0 <= r.score <= 1 for r in scored)
 
 
