@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,21 +111,37 @@ def _anchors(texts: DataFrame, cover: Cover) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, id long, row int, at int")
 
 
-_SETTLED = "id long, row int, n_words long, text string, settled array<int>, w1 array<long>, w2 array<long>, starts array<int>, n_removed long, kept_sha256 string"
+def _packed(texts: DataFrame) -> DataFrame:
+    """Id, row and the compressed text: it travels at half its size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for part in slices(batches, 2):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([packer.compress((t or "").encode()) for t in part.column(2).to_pylist()], pa.binary())], names=["id", "row", "packed"])
+
+    return texts.mapInArrow(run, "id long, row int, packed binary")
+
+
+def _words(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split()
+
+
+_SETTLED = "id long, row int, n_words long, packed binary, settled array<int>, open array<int>, n_removed long, kept_sha256 string"
 
 
 def _settle(joined: DataFrame, cover: Cover) -> DataFrame:
-    """Of id, row, text and its shared anchors: what the owners' runs settle, and the hashes of the windows they leave open.
+    """Of id, row, packed text and its shared anchors: what the owners' runs settle, and the windows they leave open.
 
-    `settled` has begins and ends of word runs that are removed. A document
-    without open windows is finished here; the others carry their text on.
+    `settled` has begins and ends of word runs that are removed, `open` those
+    of runs of windows. A document without open windows is finished here; the
+    others carry their text on.
     """
 
-    def one(i: int, text: str, places: list) -> tuple:
-        words = text.encode().split()
+    def one(i: int, packed: bytes, places: list) -> tuple:
+        words = _words(packed)
         n, size, window = len(words), cover.size, cover.window
         if not places:
-            return n, None, [], [], [], [], *_finish(words, np.zeros(n, bool))
+            return n, None, [], [], *_finish(words, np.zeros(n, bool))
         at = np.array([p["at"] for p in places], np.int64)
         order = np.argsort(at, kind="stable")
         at = at[order]
@@ -145,23 +162,40 @@ def _settle(joined: DataFrame, cover: Cover) -> DataFrame:
         open_ = np.cumsum(open_[:m]) > 0
         for b, e in zip(begins, ends, strict=True):
             open_[b : e - window + 1] = False
-        starts = np.flatnonzero(open_)
-        settled = np.stack([begins, ends], axis=1).ravel().astype(np.int32) if len(begins) else []
-        if not len(starts):
-            return n, None, settled, [], [], [], *_finish(words, _marked(n, settled, [], window))
-        h = word_hashes(words)
-        return n, text, settled, rolled(h, window, _P1)[starts].view(np.int64), rolled(h ^ (h >> np.uint64(7)), window, _P2)[starts].view(np.int64), starts.astype(np.int32), None, None
+        settled = np.stack([begins, ends], axis=1).ravel().astype(np.int32)
+        if not open_.any():
+            return n, None, settled, [], *_finish(words, _marked(n, settled, [], window))
+        return n, packed, settled, np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]))).astype(np.int32), None, None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        ints = pa.list_(pa.int32())
         for part in slices(batches, 2, 1 << 20):
-            rows = [one(i, t or "", p or []) for i, t, p in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            kinds = (pa.int64(), pa.string(), ints, longs, longs, ints, pa.int64(), pa.string())
+            rows = [one(i, t, p or []) for i, t, p in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            kinds = (pa.int64(), pa.binary(), ints, ints, pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[x.split()[0] for x in _SETTLED.split(", ")])
 
     return joined.mapInArrow(run, _SETTLED)
 
 
+def _windows(open_docs: DataFrame, window: int) -> DataFrame:
+    """A row for each open window: id, row, start, and 96 bits of hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2, 256 << 10):
+            ids, rows, starts, w1, w2 = [], [], [], [], []
+            for i, row, packed, runs in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                h = word_hashes(_words(packed))
+                at = np.concatenate([np.arange(b, e) for b, e in zip(runs[::2], runs[1::2], strict=True)])
+                ids.append(np.full(len(at), i, np.int64))
+                rows.append(np.full(len(at), row, np.int32))
+                starts.append(at.astype(np.int32))
+                w1.append(rolled(h, window, _P1)[at].view(np.int64))
+                w2.append((rolled(h ^ (h >> np.uint64(7)), window, _P2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, rows, starts, w1, w2)], names=["id", "row", "start", "w1", "w2"])
+
+    return open_docs.select("id", "row", "packed", "open").mapInArrow(run, "id long, row int, start int, w1 long, w2 int")
+
+
 def _marked(n: int, settled: list, starts: list, window: int) -> np.ndarray:
     """Which of n words go: those in settled runs and in windows that have a copy."""
     edge = np.zeros(n + 1, np.int64)
@@ -181,8 +215,8 @@ def _close(open_docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
             done = []
-            for text, settled, starts in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                words = text.encode().split()
+            for packed, settled, starts in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                words = _words(packed)
                 done.append((len(words), *_finish(words, _marked(len(words), settled, starts or [], window))))
             n, removed, sha = map(list, zip(*done, strict=True))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["id", "row", "n_words", "n_removed", "kept_sha256"])
@@ -210,11 +244,10 @@ def dedup_substrings(docs: DataFrame, window: int = 50, period: int = 31, id_col
     by_anchor = Window.partitionBy("anchor")
     owned = _anchors(texts, cover).select("*", F.min(F.struct("id", "row", "at")).over(by_anchor).alias("owner"), F.max("id").over(by_anchor).alias("most"))
     shared = owned.filter("most > owner.id").groupBy("id", "row").agg(F.collect_set(F.struct("at", "owner")).alias("places"))
-    settled = stored(_settle(texts.join(shared, ["id", "row"], "left").select("id", "row", "text", "places"), cover), "settled")
-    open_docs = settled.filter("text IS NOT NULL")
-    each = open_docs.select("id", "row", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("w")).select("id", "row", "w.w1", "w.w2", "w.starts")
-    seen = each.select("*", F.min("id").over(Window.partitionBy("w1", "w2")).alias("least")).filter("least < id")
-    copied = seen.groupBy("id", "row").agg(F.collect_set("starts").alias("copies"))
-    closed = _close(open_docs.join(copied, ["id", "row"], "left").select("id", "row", "text", "settled", "copies"), window)
-    done = settled.filter("text IS NULL").select("id", "row", "n_words", "n_removed", "kept_sha256")
+    settled = stored(_settle(_packed(texts).join(shared, ["id", "row"], "left").select("id", "row", "packed", "places"), cover), "settled")
+    open_docs = settled.filter("packed IS NOT NULL")
+    seen = _windows(open_docs, window).select("*", F.min("id").over(Window.partitionBy("w1", "w2")).alias("least")).filter("least < id")
+    copied = seen.groupBy("id", "row").agg(F.collect_set("start").alias("copies"))
+    closed = _close(open_docs.join(copied, ["id", "row"], "left").select("id", "row", "packed", "settled", "copies"), window)
+    done = settled.filter("packed IS NULL").select("id", "row", "n_words", "n_removed", "kept_sha256")
     return done.unionByName(closed).select(F.when(F.col("id") != _LAST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_sha256")
