@@ -155,11 +155,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats
     within = placed.filter("bucket = cut").withColumn("more", F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("before") + F.col("size") <= F.col("rest"))
     other = placed.filter("bucket != cut OR cut IS NULL").withColumn("more", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)))
     both = within.unionByName(other)
-    # What is still owed is made up by the document whose size comes nearest to it.
-    owed = both.groupBy("members").agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("owed")).filter("owed > 0")
-    off = F.abs(F.col("size") - F.col("owed"))
-    last = both.filter("NOT more AND size > 0").join(F.broadcast(owed), "members").filter(off < F.col("owed")).groupBy("members").agg(F.min(F.struct(off.alias("off"), "hash", "id", "row_key")).alias("last"))
-    done = both.join(F.broadcast(last), "members", "left")
-    chosen = F.col("id").eqNullSafe(F.col("last.id")) & (F.col("row_key") == F.col("last.row_key"))
-    uses = F.col("rounds") + (F.col("more") | F.coalesce(chosen & F.col("last").isNotNull(), F.lit(False))).cast("long")
-    return done.select(F.col("id").alias(id_col), "row_key", "size", "source_size", "target", (F.col("size") * F.least(uses, F.lit(repeats))).alias("taken"))
+    # What is still owed is made up by the document whose size comes nearest to it, and by one more.
+    for _ in range(2):
+        owed = both.groupBy("members").agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("owed")).filter("owed > 0")
+        off = F.abs(F.col("size") - F.col("owed"))
+        last = both.filter("NOT more AND size > 0").join(F.broadcast(owed), "members").filter(off < F.col("owed")).groupBy("members").agg(F.min(F.struct(off.alias("off"), "hash", "id", "row_key")).alias("last"))
+        chosen = F.col("last").isNotNull() & F.col("id").eqNullSafe(F.col("last.id")) & (F.col("row_key") == F.col("last.row_key"))
+        both = stored(both.join(F.broadcast(last), "members", "left").withColumn("more", F.col("more") | F.coalesce(chosen, F.lit(False))).drop("last"), "chosen")
+    uses = F.least(F.col("rounds") + F.col("more").cast("long"), F.lit(repeats))
+    return both.select(F.col("id").alias(id_col), "row_key", "size", "source_size", "target", (F.col("size") * uses).alias("taken"))

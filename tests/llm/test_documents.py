@@ -230,7 +230,7 @@ def test_mixing(spark, odd, small):
             for i, _, _, _, t in got:
                 taken[by[i]] += t
             for s in sources:
-                assert abs(taken[s] - targets[s]) <= max(near * targets[s], 30)
+                assert abs(taken[s] - targets[s]) <= max(near * targets[s], min(n for _, n, x in rows if x == s and n))
     assert mix_sources(odd.limit(0)).count() == 0
 
 
