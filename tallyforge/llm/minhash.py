@@ -19,6 +19,7 @@ comparisons a member, and no candidate is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -148,6 +149,16 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(members.groupBy("cell").cogroup(celled.groupBy("cell")).applyInPandas(check, "a long, b long"), "links")
 
 
+def least_shared(similarity: float, halves: int, width: int, miss: float = 1e-5) -> int:
+    """How many of its 2 m halves a pair of that similarity shares, but for a chance of `miss`; one of either collection at least."""
+    n, p, below = 2 * halves, similarity**width, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > miss:
+            return max(2, k)
+    return n
+
+
 def _pruned(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """The distinct pairs that share `least` half keys or more."""
     a = classes.select(F.col("node").alias("a"), F.col("halves").alias("ha"))
@@ -155,7 +166,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.distinct().join(a, "a").join(b, "b").filter(F.size(F.array_intersect("ha", "hb")) >= least).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width: int = 3, least_halves: int = 4, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a similarity of `percent` or more.
 
     Returns the id column, `row_key` (a hash of id and text), `n_shingles`,
@@ -164,10 +175,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     row for each row given. A null text is the empty text; a document without
     words is linked with nothing and kept. Repeated rows are copies of one
     another; equal rows are told apart nowhere, so all of them have the same
-    `kept`. Pairs that share fewer than `least_halves` of the 24 half keys are
-    not candidates: at a similarity of 0.85 that is true of one pair in 3
-    million. An empty table gives an empty table.
+    `kept`. Pairs that share too few of the half keys to be that similar (a
+    chance of one in 100,000; see `least_shared`) are not candidates. An
+    empty table gives an empty table.
     """
+    least = least_shared(percent / 100, halves, width)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     marked = stored(_signatures(texts, halves, width, seed), "signatures")
@@ -183,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     sides = hits.select("node", side(True).alias("left"), side(False).alias("right")).filter("size(left) > 0 AND size(right) > 0")
     tables = sides.select("node", F.explode("left").alias("x"), "right").select("node", "x", F.explode("right").alias("y"))
     bucket = F.xxhash64("x.slot", "x.half", "y.slot", "y.half")
-    keyed = stored(tables.select("node", bucket.alias("bucket"), (F.col("y.slot") == F.col("x.slot") + halves).alias("diagonal")), "tables")
+    keyed = stored(tables.select("node", bucket.alias("bucket"), F.col("x.slot").alias("i"), F.col("y.slot").alias("j")), "tables")
     crowded = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     keyed = stored(keyed.join(crowded, "bucket"), "buckets")
 
@@ -192,22 +204,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     sets = stored(_sets(owner), "sets")
 
     # First pass: a representative of each bucket in the diagonal tables.
-    first = keyed.filter("diagonal")
+    first = keyed.filter(F.col("j") == F.col("i") + halves)
     heads = first.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("head"))
     stars = first.join(heads, "bucket").filter("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    links = _confirm(_pruned(stars, classes, least_halves), sets, percent)
+    links = _confirm(_pruned(stars, classes, least), sets, percent)
     part = components(links)
 
-    # Second pass: what may still join the components of a bucket.
-    rows = keyed.select("bucket", "node").join(part, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    spread = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-    rows = stored(rows.join(spread, "bucket"), "mixed_buckets")
+    # Second pass: what may still join the components of a bucket. A pair counts in the first table that it shares alone.
+    rows = keyed.join(part, "node", "left").select("bucket", "i", "j", "node", F.coalesce("label", "node").alias("label"))
     counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rows = rows.join(main, "bucket")
-    outside = rows.filter("label != main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    apart = outside.join(rows, "bucket").filter("(label = main) OR (la < label)").select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
-    more = _confirm(_pruned(apart, classes, least_halves), sets, percent)
+    main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", "main")
+    rows = stored(rows.join(main, "bucket").join(classes.select("node", "halves"), "node"), "mixed_buckets")
+    outside = rows.filter("label != main").select("bucket", "i", "j", F.col("node").alias("a"), F.col("label").alias("la"), F.col("halves").alias("ha"))
+    other = rows.select("bucket", "node", "label", "main", F.col("halves").alias("hb"))
+    none_before = lambda start, n: ~F.arrays_overlap(F.slice("ha", start, n), F.slice("hb", start, n))
+    new = ((F.col("label") == F.col("main")) | (F.col("la") < F.col("label"))) & none_before(F.lit(1), F.col("i")) & none_before(F.lit(halves + 1), F.col("j") - halves)
+    alike = F.size(F.array_intersect("ha", "hb")) >= least
+    apart = outside.alias("o").join(other.alias("r"), (F.col("o.bucket") == F.col("r.bucket")) & new & alike).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
+    more = _confirm(apart, sets, percent)
     final = components(stored(links.unionByName(more), "all_links"))
 
     labelled = marked.join(classes.select("c1", "c2", "node"), ["c1", "c2"], "left").join(final, "node", "left")
