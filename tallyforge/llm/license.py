@@ -46,15 +46,15 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _any(low: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+def _may_hold(low: Column, phrases: list[str]) -> Column:
+    """Whether all words of some phrase are parts of the text."""
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [low.contains(w) for w in p.split()]) for p in phrases])
 
 
 def phrase_places(low: Column, n_words: Column, phrases: tuple[tuple[str, str], ...]) -> dict[str, tuple[Column, Column, Column]]:
     """For each label: the places where the phrase's words stand consecutively, and the first and the last of them (words from 0)."""
-    last_words = [p.split()[-1] for _, p in phrases]
     # Two spaces between words, one of which each neighbour owns: places side by side don't overlap.
-    spaced = F.when(_any(low, last_words), F.concat(F.lit("  "), F.array_join(_words(low), "  "), F.lit("  "))).otherwise(F.lit(""))
+    spaced = F.when(_may_hold(low, [p for _, p in phrases]), F.concat(F.lit("  "), F.array_join(_words(low), "  "), F.lit("  "))).otherwise(F.lit(""))
     out = {}
     for label, phrase in phrases:
         needle = " " + "  ".join(phrase.split()) + " "
