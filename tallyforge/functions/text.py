@@ -72,7 +72,7 @@ def mask_account(s: Column | str) -> Column:
 
 
 def is_date_like(s: Column | str) -> Column:
-    return F.coalesce(trimmed(col(s)).rlike(r"^(\d{1,4}[/.-]\d{1,2}([/.-]\d{1,4})?|\d{1,2}[ -][A-Za-z]{3,9}([ ,-]+\d{2,4})?)$"), F.lit(False))
+    return F.coalesce(trimmed(col(s)).rlike(r"^(\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d{1,2}[/-]\d{1,2}|\d{1,2}[ -][A-Za-z]{3,9}([ ,-]+\d{2,4})?)$"), F.lit(False))
 
 
 def is_amount_like(s: Column | str) -> Column:
@@ -93,7 +93,7 @@ def is_known_currency(s: Column | str) -> Column:
 
 def looks_like_transaction(line: Column | str) -> Column:
     """A date-shaped token, and another digit elsewhere."""
-    date = r"\d{1,4}[/.-]\d{1,2}([/.-]\d{1,4})?|\d{1,2} (?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+    date = r"\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d{1,2}[/-]\d{1,2}|\d{1,2} (?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
     at = F.regexp_extract(col(line), date, 0)
     return F.coalesce((at != "") & F.regexp_replace(col(line), f"^(.*?)(?:{date})", "$1").rlike(r"\d"), F.lit(False))
 
