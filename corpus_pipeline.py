@@ -15,7 +15,7 @@ from tallyforge.llm.minhash import near_duplicates
 from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.pieces import encode_pieces, piece_digests
 from tallyforge.llm.queries import MIN_SITES
-from tallyforge.llm.toxicity import labelled_texts, score_toxicity
+from tallyforge.llm.toxicity import learnable, score_toxicity
 
 
 def _chosen(docs: DataFrame, told: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def _chosen(docs: DataFrame, told: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the labelled examples call toxic."""
-    scored = score_toxicity(docs, labelled_texts(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    scored = score_toxicity(docs, learnable(table(spark, sf_dir, "labels", "doc_id", "toxic")))
     return _chosen(docs, scored.select("doc_id", "row_key", "predicted")).filter("predicted = 0").select("d.*").drop("_row_key")
 
 

@@ -48,10 +48,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyforge.llm.toxicity import labelled_texts, score_toxicity
+    from tallyforge.llm.toxicity import learnable, score_toxicity
 
-    docs = _docs(spark, sf_dir)
-    scored = score_toxicity(docs, labelled_texts(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    scored = score_toxicity(_docs(spark, sf_dir), learnable(table(spark, sf_dir, "labels", "doc_id", "toxic")))
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted", "evidence")
 
 

@@ -209,14 +209,14 @@ def learn(docs: DataFrame, examples: DataFrame, settings: Settings, term_table:
     return terms, every, index
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, settings: Settings | None = None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None, settings: Settings | None = None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Score every whole text of `docs`.
 
-    `labelled` has an id, a text and a 0/1 label; rows with a null id or label
-    don't count, ids labelled twice count as 1 if either is, and
-    `settings.examples` of them are learnt from: those with the least hashes,
-    as many as there are otherwise. That number bounds what the driver holds
-    and what is broadcast.
+    `labels` has an id and a 0/1 label; rows with a null id or label don't
+    count, ids labelled twice count as 1 if either is, and `settings.examples`
+    of them are learnt from: those with the least hashes, as many as there are
+    otherwise. That number bounds what the driver holds and what is broadcast.
+    Their texts are looked up in `texts`, or in `docs`, without moving others.
 
     Returns the id column, `row_key` (a hash of id and text), `score` (0 to 1),
     `predicted` (1 from the threshold on) and `evidence` (the three nearest
@@ -226,10 +226,11 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, settings: Settings | No
     """
     settings = settings or Settings()
     kind = docs.schema[id_col].dataType.simpleString()
-    known = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
-    chosen = known.select("id", "label").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id").limit(settings.examples)
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
+    chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id").limit(settings.examples)
     chosen = stored(chosen, "chosen")  # `settings.examples` rows at most: safe to broadcast
-    examples = stored(known.select("id", "text").join(F.broadcast(chosen), "id").dropDuplicates(["id"]), "examples")
+    held = (docs if texts is None else texts).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    examples = stored(held.join(F.broadcast(chosen), "id").dropDuplicates(["id"]), "examples")
     _, every, index = learn(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), examples, settings)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -243,7 +244,6 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, settings: Settings | No
     return out.withColumnRenamed("id", id_col)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out fold: doc_id, text, toxic. Held out are ids whose CRC-32 as text has the remainder 2 by 4."""
-    fold = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(fold, "doc_id")
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels outside the held-out fold: doc_id, toxic. Held out are ids whose CRC-32 as text has the remainder 2 by 4."""
+    return labels.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "toxic")

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from tallyforge.llm.toxicity import Index, Settings, labelled_texts, score_toxicity
+from tallyforge.llm.toxicity import Index, Settings, learnable, score_toxicity
 
 
 def test_index_is_exact():
@@ -34,7 +34,7 @@ def test_index_is_exact():
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id")
-    scored = score_toxicity(docs, labelled_texts(docs, labels)).join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 4 = 2").collect()
+    scored = score_toxicity(docs, learnable(labels)).join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 4 = 2").collect()
     hit = sum(r.predicted == 1 and r.toxic == 1 for r in scored)
     assert hit >= 0.9 * sum(r.toxic for r in scored) and hit >= 0.9 * sum(r.predicted for r in scored)
     assert all(0 <= r.score <= 1 for r in scored)
@@ -45,8 +45,8 @@ def test_odd_rows(spark):
     train = [(i, bad * (1 + i % 3) + f"word{i}", 1) for i in range(40)] + [(100 + i, f"the quiet river number {i} went by the town", 0) for i in range(90)] + [(None, bad, 1), (500, None, 0), (501, "x", None)]
     labelled = spark.createDataFrame(train, "doc_id long, text string, toxic int")
     docs = spark.createDataFrame([(1, bad, "p"), (2, None, "p"), (3, "", "p"), (None, "quiet river", "p"), (1, bad, "p"), (4, "river " * 20000, "p"), (5, f"the river {bad}", "p")], "doc_id long, text string, score string")
-    got = score_toxicity(docs, labelled).collect()
+    got = score_toxicity(docs, labelled, labelled).collect()
     assert len(got) == 7 and {(r.doc_id, r.predicted) for r in got} == {(1, 1), (2, 0), (3, 0), (None, 0), (4, 0), (5, 1)}
     assert all(len(r.evidence) == 3 and r.evidence[0].label == 1 for r in got if r.predicted)
-    assert score_toxicity(docs.limit(0), labelled).count() == 0
-    assert {r.score for r in score_toxicity(docs, labelled.limit(0)).collect()} == {0.0}
+    assert score_toxicity(docs.limit(0), labelled, labelled).count() == 0
+    assert {r.score for r in score_toxicity(docs, labelled.limit(0), labelled).collect()} == {0.0}
