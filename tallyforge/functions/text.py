@@ -148,3 +148,69 @@ def mask_digit_runs(s: Column | str, least: int = 6) -> Column:
 def redact(key: Column, value: Column, allowed: tuple[str, ...]) -> Column:
     """Values of allowed keys masked, others replaced by their length."""
     return F.when(key.isin(*allowed), mask_digit_runs(mask_amounts(value))).otherwise(F.format_string("<text %d chars>", F.length(value)))
+
+
+# --- amount lines and currencies -------------------------------------------
+
+# The end of a line: optional currency, sign, parenthesis, number, parenthesis, sign, currency, mark.
+AMOUNT_END = r"(?i)(?:(?<![A-Za-z0-9])([A-Za-z]{3}|S\$|US\$|HK\$|A\$|[$€£¥])\s*)?([+-])?\s*(\()?\s*([+-])?(\d[\d.,  ]*\d|\d)\s*(\))?\s*([+-])?\s*([A-Z]{3})?\s*(?:\b(CR|DR|C|D)\.?)?\s*$"
+NOT_ROWS = r"(?i)^\s*page \d+|\b(opening|closing|brought forward|carried forward) balance\b|\b(19|20)\d\d\b.*\b(19|20)\d\d\b|^\s*(19|20)\d\d\s*$|^\s*(january|february|march|april|may|june|july|august|september|october|november|december)( (19|20)\d\d)?\s*$"
+_MONTH = "^(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)$"
+
+
+def amount_line(line: Column | str) -> Column:
+    """struct(minor, currency, decimals, mark, start) of the amount that ends a line, null without one.
+
+    Rejected: page, balance and month lines; a month's name as currency; more
+    than eight digits, or a single one, without any decoration.
+    """
+
+    def read(s: Column) -> Column:
+        g = lambda k: F.regexp_extract(s, AMOUNT_END, k)
+        before, after = F.upper(g(1)), F.upper(g(8))
+        digits = F.regexp_replace(g(5), r"\D", "")
+        decorated = (g(1) != "") | (g(2) != "") | (g(3) != "") | (g(4) != "") | (g(7) != "") | (after != "") | (g(9) != "") | g(5).rlike(r"[.,]\d{2}$")
+        ok = (g(5) != "") & ~s.rlike(NOT_ROWS) & ~before.rlike(_MONTH) & ~after.rlike(_MONTH) & (decorated | F.length(digits).between(2, 8))
+        negative = (g(2) == "-") | (g(4) == "-") | (g(7) == "-") | ((g(3) != "") & (g(6) != ""))
+        value = parse_amount(g(5))["minor"]
+        code = F.coalesce(blank_as_null(F.regexp_extract(before, "^[A-Z]{3}$", 0)), blank_as_null(after))
+        mark = blank_as_null(F.substring(F.upper(g(9)), 1, 1))
+        start = F.length(s) - F.length(F.regexp_extract(s, AMOUNT_END, 0))
+        return F.when(ok & value.isNotNull(), F.struct(F.when(negative, -value).otherwise(value).alias("minor"), code.alias("currency"), g(5).rlike(r"[.,]\d{2}$").alias("decimals"), mark.alias("mark"), start.alias("start")))
+
+    return let(trimmed(col(line)), read)
+
+
+def grouped_sign(amount: Column, convention: str) -> Column:
+    """The signed amount of an amount line: the mark decides, else the sign (turned under positiveIsOut)."""
+    minor, mark = amount["minor"], amount["mark"]
+    kept = -minor if convention == "positiveIsOut" else minor
+    return F.when(mark == "C", F.abs(minor)).when(mark == "D", -F.abs(minor)).otherwise(kept)
+
+
+def detect_currency(value: Column, header: Column, row_text: Column, default: Column) -> Column:
+    """struct(code, unknown): the column's value, the header's hint, a symbol or first capital word of the row, the default.
+
+    Three letters that are no ISO code are never the currency; the column's are
+    reported as unknown.
+    """
+    code = lambda c: F.when(F.upper(F.trim(c)).rlike("^[A-Z]{3}$") & is_known_currency(c), F.upper(F.trim(c)))
+    symbol = F.lit(None).cast("string")
+    for s, c in (("¥", "JPY"), ("£", "GBP"), ("€", "EUR"), ("A$", "AUD"), ("S$", "SGD"), ("US$", "USD"), ("HK$", "HKD")):
+        symbol = F.when(row_text.contains(s), F.lit(c)).otherwise(symbol)
+    word = code(F.regexp_extract(row_text, r"\b([A-Z]{3})\b", 1))
+    unknown = F.when(F.upper(F.trim(value)).rlike("^[A-Z]{3}$") & ~is_known_currency(value), F.upper(F.trim(value)))
+    return F.struct(F.coalesce(code(value), code(header), symbol, word, code(default)).alias("code"), unknown.alias("unknown"))
+
+
+def strip_filenames(s: Column | str, names: dict[str, str]) -> Column:
+    """Known names as their labels; any other token with a file's extension as <file>."""
+    out = col(s)
+    for name in sorted(names, key=len, reverse=True):
+        out = F.replace(out, F.lit(name), F.lit(names[name]))
+    return F.regexp_replace(out, r"(?i)[^\s/\\\"']+\.(csv|tsv|txt|pdf|xlsx?|json)\b", "<file>")
+
+
+def redact_stack(s: Column | str) -> Column:
+    """Stack lines without addresses and positions in code."""
+    return F.array_join(F.transform(F.split(col(s), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\w+://[^\s)]+", "<code>"), r":\d+(:\d+)?", "")), "\n")

@@ -80,3 +80,32 @@ def largest_gap(points: DataFrame, keys: list[str], x: str = "x", least: float =
     gaps = points.withColumn("_before", F.lag(x).over(w))
     out = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct((F.col(x) - F.col("_before")).alias("gap"), (-F.col("_before")).alias("o"))).alias("g"))
     return out.filter((F.col("n") >= 4) & (F.col("g.gap") >= least)).select(*keys, "n", F.col("g.gap").alias("gap"), (-F.col("g.o") + F.col("g.gap") / 2).alias("split"))
+
+
+def row_model(lines: DataFrame, keys: list[str], date_led: Column, date_group: Column, amount_line: Column) -> DataFrame:
+    """Per key: grouped where groups and amount lines together outnumber the lines that begin with a date, else columns."""
+    n = lines.groupBy(*keys).agg(F.count_if(date_led).alias("columns_score"), F.count_if(date_group).alias("groups"), F.count_if(amount_line).alias("amounts"))
+    score = F.when((F.col("groups") > 0) & (F.col("amounts") > 0), F.col("groups") + F.col("amounts")).otherwise(0)
+    return n.select(*keys, "columns_score", score.cast("long").alias("grouped_score"), F.when(score > F.col("columns_score"), "grouped").otherwise("columns").alias("model"))
+
+
+def zip_rows(rows: DataFrame, lines: DataFrame, keys: list[str], row_order: str, line_order: str) -> DataFrame:
+    """Rows and amount lines side by side by their rank within the key; either side may have some left over."""
+    r = rows.select(*keys, F.col(row_order).alias("row"), F.row_number().over(Window.partitionBy(*keys).orderBy(row_order)).alias("rank"))
+    t = lines.select(*keys, F.col(line_order).alias("line"), F.row_number().over(Window.partitionBy(*keys).orderBy(line_order)).alias("rank"))
+    return r.join(t, [*keys, "rank"], "full_outer")
+
+
+def second_pass(items: DataFrame, retries: DataFrame, key: list[str]) -> DataFrame:
+    """Recognised words, each replaced by its second reading where that is surer and not blank."""
+    again = retries.groupBy(*key).agg(F.max(F.struct("confidence", "str")).alias("again"))
+    better = F.coalesce((F.col("again.confidence") > F.col("confidence")) & (F.trim("again.str") != ""), F.lit(False))
+    joined = items.join(again, key, "left")
+    return joined.withColumns({"str": F.when(better, F.col("again.str")).otherwise(F.col("str")), "confidence": F.when(better, F.col("again.confidence")).otherwise(F.col("confidence"))}).drop("again")
+
+
+def anchor_lines(lines: DataFrame, keys: list[str], order: str, date_led: Column) -> DataFrame:
+    """Per key, the order of the line before the first and after the last that begin with a date."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    around = lines.withColumns({"_before": F.lag(order).over(w), "_after": F.lead(order).over(w)}).filter(date_led)
+    return around.groupBy(*keys).agg(F.min_by("_before", order).alias("before"), F.max_by("_after", order).alias("after"), F.count(F.lit(1)).alias("n"))

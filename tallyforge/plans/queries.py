@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import amounts, dates, text
-from tallyforge.operators import export, grid, ledger, match, pages, review
+from tallyforge.operators import catalogue, export, grid, ledger, match, pages, review, status
 from tallyforge.plans.views import DUCK_RUNNING, SEEN, TXN, duck, running, seen, txn
 from tallyforge.sources import files
 
@@ -566,3 +566,156 @@ SELECT account, currency, count(*) AS n, min(date) AS first_date, max(date) AS l
 """)
 def flagship_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
+
+
+# --- status, catalogue and sessions ----------------------------------------
+
+
+@query(f"""
+WITH f AS (SELECT row_id, CASE WHEN row_id % 11 = 0 THEN 'bad' END AS error, row_id % 7 = 0 AS processing, CASE row_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'queued' END AS ocr, (row_id % 4)::BIGINT AS n_rows, (row_id % 3)::BIGINT AS n_active, (row_id % 10) / 10.0 AS confidence FROM {T})
+SELECT row_id, CASE WHEN error IS NOT NULL THEN 'error' WHEN processing THEN 'processing' WHEN ocr = 'failed' THEN 'ocrFailed' WHEN ocr = 'queued' THEN 'ocrQueued' WHEN n_rows > 0 AND n_active = 0 THEN 'noTransactions' WHEN n_rows > 0 THEN 'healthy' WHEN confidence < 0.9 THEN 'lowConfidence' ELSE 'matched' END AS status FROM f
+""")
+def sta_01_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("row_id")
+    f = txn(spark, sf_dir).select(
+        "row_id", F.when(i % 11 == 0, "bad").alias("error"), (i % 7 == 0).alias("processing"), F.when(i % 5 == 0, "failed").when(i % 5 == 1, "queued").alias("ocr"),
+        (i % 4).alias("n_rows"), (i % 3).alias("n_active"), ((i % 10) / 10).alias("confidence"),
+    )
+    return status.file_status(f).select("row_id", "status")
+
+
+@query("SELECT flag, count(*) AS n FROM (SELECT unnest([x FOR x IN ['ocr', CASE WHEN o_orderstatus = 'F' THEN 'missing_amount' END, CASE WHEN o_orderkey % 3 = 0 THEN 'pending' END] IF x IS NOT NULL]) AS flag FROM orders) GROUP BY flag")
+def uix_10_flag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.array_compact(F.array(F.lit("ocr"), F.when(F.col("o_orderstatus") == "F", "missing_amount"), F.when(F.col("o_orderkey") % 3 == 0, "pending")))
+    return status.flag_histogram(_read(spark, sf_dir, "orders").select(flags.alias("flags")))
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS warnings FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY o_custkey")
+def agg_11_grid_07_warning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.array_compact(F.array(F.lit("ocr"), F.when(F.col("o_orderstatus") == "F", "missing_amount"), F.when(F.col("o_orderkey") % 3 == 0, "pending")))
+    return status.warning_rows(_read(spark, sf_dir, "orders").select("o_custkey", flags.alias("flags"), (F.col("o_orderkey") % 9 == 0).alias("excluded")), "o_custkey")
+
+
+@query("SELECT l_orderkey, CASE WHEN n = l THEN 'ok' WHEN abs(n - l) <= 0.5 * l THEN 'neutral' ELSE 'fail' END AS verdict FROM (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS l FROM lineitem WHERE l_linenumber <> 2 GROUP BY l_orderkey)")
+def agg_13_sta_06_07_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _read(spark, sf_dir, "lineitem").filter("l_linenumber <> 2").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("l"))
+    return n.select("l_orderkey", status.count_check("n", "l", 0.5).alias("verdict"))
+
+
+@query(f"SELECT account, count(*) AS total, count(*) FILTER (date BETWEEN '1996-01-01' AND '1997-06-30') AS included FROM {T} GROUP BY account")
+def uix_19_account_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.account_table(txn(spark, sf_dir), ledger.in_range("date", "1996-01-01", "1997-06-30"))
+
+
+@query(f"SELECT currency, array_to_string(list_sort(list_distinct(list(substr(date, 1, 7)))), ' ') AS months FROM {T} WHERE currency <> 'SGD' GROUP BY currency")
+def uix_16_20_rate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.rate_table(txn(spark, sf_dir), "SGD").select("currency", F.array_join("months", " ").alias("months"))
+
+
+@query(f"""
+WITH t AS (SELECT row_id, file, CASE WHEN row_id % 17 = 0 THEN amount // 100 * 100 ELSE amount END AS amount, (row_id * 7 % 101)::DOUBLE AS confidence FROM {T}),
+k AS (SELECT *, count(*) OVER p AS n, avg(CASE WHEN amount % 100 <> 0 THEN 1 ELSE 0 END) OVER p AS c, row_number() OVER (PARTITION BY file ORDER BY abs(amount)) AS r FROM t WINDOW p AS (PARTITION BY file)),
+m AS (SELECT *, max(CASE WHEN r = n // 2 + 1 THEN abs(amount) END) OVER (PARTITION BY file) AS med FROM k)
+SELECT row_id, confidence < 60 AND (confidence < 40 OR (amount % 100 = 0 AND c > 0.5) OR abs(amount) > 100 * med) AS low_confidence,
+  CASE WHEN confidence = 0 AND amount % 100 = 0 THEN CAST(floor(amount / 100 + 0.5) AS BIGINT) END AS amount_alt FROM m
+""")
+def win_04_norm_01_low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, a = F.col("row_id"), F.col("amount")
+    rows = txn(spark, sf_dir).withColumns({"amount": F.when(i % 17 == 0, F.expr("amount DIV 100 * 100")).otherwise(a), "confidence": (i * 7 % 101).cast("double")})
+    return status.low_confidence(rows, "file").select("row_id", "low_confidence", "amount_alt")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN 'new ' || c_name ELSE c_name END AS name FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT c_custkey + 1000000, c_name || ' (copy)' FROM customer WHERE c_custkey % 10 = 5")
+def cat_01_02_03_04_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch, a deletion and copies of profiles."""
+    base = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    of = lambda k: base.filter(F.col("id") % 10 == k)
+    patched = catalogue.patch(base, of(1).select("id", F.concat(F.lit("new "), "name").alias("name")))
+    return catalogue.duplicate(catalogue.delete(patched, of(3)), of(5), F.col("id") + 1000000)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'incoming' ELSE c_name END AS name FROM customer UNION ALL SELECT -n_nationkey - 1, 'incoming' FROM nation")
+def snk_07_cat_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    incoming = base.filter("id % 2 = 0").select("id").union(_read(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).cast("long"))).withColumn("name", F.lit("incoming"))
+    return catalogue.upsert(base, incoming)
+
+
+@query("""
+WITH s AS (SELECT event_id, date_diff('microsecond', ts, (SELECT max(ts) FROM events)) / 86400e6 AS age FROM events)
+SELECT event_id, CASE WHEN age > 30 THEN 'delete' WHEN age >= 25 THEN 'warn' ELSE 'keep' END AS fate, CAST(greatest(ceil(30 - age), 0) AS INT) AS days_left FROM s
+""")
+def ses_02_03_sessions_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("last_opened"))
+    now = e.agg(F.max("last_opened").alias("now"))
+    return catalogue.sessions_due(e.crossJoin(F.broadcast(now)), F.col("now")).select("event_id", "fate", "days_left")
+
+
+# --- amount lines and currencies -------------------------------------------
+
+
+@query("""
+WITH m AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS v, l_linenumber % 6 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN k IN (2, 3) THEN -v WHEN k = 5 THEN NULL ELSE v END AS minor, CASE k WHEN 1 THEN 'SGD' WHEN 2 THEN 'EUR' END AS currency, CASE k WHEN 4 THEN -v WHEN 5 THEN NULL WHEN 2 THEN -v WHEN 3 THEN -v ELSE v END AS signed FROM m
+""")
+def pdf_02_03_06_amount_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that end with an amount, in six shapes; the sixth is a page footer."""
+    v = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    n = F.format_number(v.cast("decimal(38,0)") / F.lit(100).cast("decimal(3,0)"), 2)
+    k = F.col("l_linenumber") % 6
+    line = (
+        F.when(k == 0, F.concat(F.lit("coffee "), n)).when(k == 1, F.concat(F.lit("shop SGD "), n)).when(k == 2, F.concat(F.lit("tram -"), n, F.lit(" EUR"))).when(k == 3, F.concat(F.lit("fees ("), n, F.lit(")")))
+        .when(k == 4, F.concat(F.lit("rent "), n, F.lit(" DR"))).otherwise(F.concat(F.lit("Page 3 of "), n))
+    )
+    got = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.amount_line(line).alias("a"))
+    return got.select("l_orderkey", "l_linenumber", "a.minor", "a.currency", text.grouped_sign(F.col("a"), "signed").alias("signed"))
+
+
+@query(f"""SELECT row_id, CASE row_id % 5 WHEN 0 THEN currency WHEN 1 THEN 'GBP' WHEN 2 THEN 'HKD' WHEN 3 THEN 'CHF' ELSE 'SGD' END AS code, CASE WHEN row_id % 5 = 4 THEN 'XQX' END AS unknown FROM {T}""")
+def cur_01_detect_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("row_id") % 5
+    value = F.when(k == 0, F.lower("currency")).when(k == 4, "XQX")
+    got = text.detect_currency(value, F.when(k == 1, "GBP"), F.when(k == 2, "paid HK$20").when(k == 3, "fee CHF 5").otherwise("plain"), F.lit("SGD"))
+    return txn(spark, sf_dir).select("row_id", got.alias("c")).select("row_id", "c.code", "c.unknown")
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, role FROM conversations)
+SELECT conv_id, count(*) FILTER (role = 'system') AS columns_score, CASE WHEN count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0 THEN count(*) FILTER (role IN ('user', 'assistant')) ELSE 0 END AS grouped_score,
+  CASE WHEN count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0 AND count(*) FILTER (role IN ('user', 'assistant')) > count(*) FILTER (role = 'system') THEN 'grouped' ELSE 'columns' END AS model FROM l GROUP BY conv_id
+""")
+def pdf_08_row_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.col("role")
+    return pages.row_model(_read(spark, sf_dir, "conversations"), ["conv_id"], role == "system", role == "user", role == "assistant")
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders), l AS (SELECT o_custkey, o_orderkey AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT coalesce(r.o_custkey, l.o_custkey) AS o_custkey, coalesce(r.rank, l.rank)::INT AS rank, r.o_orderkey AS row, line FROM r FULL JOIN l ON r.o_custkey = l.o_custkey AND r.rank = l.rank
+""")
+def join_11_12_zip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    return pages.zip_rows(o, o.filter("o_orderkey % 4 <> 0"), ["o_custkey"], "o_orderkey", "o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 'again' ELSE l_returnflag END AS str, CASE WHEN l_suppkey % 3 = 0 THEN 90.0 ELSE 50.0 END::DOUBLE AS confidence FROM lineitem")
+def ocr_04_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("str"), F.lit(50.0).alias("confidence"), "l_suppkey")
+    word = F.when(F.col("l_suppkey") % 3 == 0, "again").when(F.col("l_suppkey") % 3 == 1, " ").otherwise("worse")
+    sure = F.when(F.col("l_suppkey") % 3 == 2, 20.0).otherwise(90.0)
+    key = ["l_orderkey", "l_linenumber", "l_suppkey"]
+    return pages.second_pass(i, i.select(*key, word.alias("str"), sure.alias("confidence")), key).drop("l_suppkey")
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, role, lag(turn) OVER w AS b, lead(turn) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, (min((turn, b)) FILTER (role = 'assistant'))[2] AS before, (max((turn, a)) FILTER (role = 'assistant'))[2] AS after, count(*) AS n FROM l WHERE role = 'assistant' GROUP BY conv_id
+""")
+def uix_33_anchor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.anchor_lines(_read(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role") == "assistant")
+
+
+@query("SELECT page_id, 'seen <file> and mine for ' || page_id AS shown FROM pages")
+def priv_04_05_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.concat(F.lit("seen "), F.regexp_replace("url", r"[^a-z0-9]", "_"), F.lit(".CSV and secret.pdf for "), F.col("page_id").cast("string"))
+    return _read(spark, sf_dir, "pages").select("page_id", text.redact_stack(text.strip_filenames(s, {"secret.pdf": "mine"})).alias("shown"))

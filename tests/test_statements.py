@@ -63,7 +63,7 @@ def test_text(spark):
     assert values(spark, text.ocr_currency("v"), ["5GD", "U50", "12"]) == ["SGD", "USO", None]
 
 
-SAVINGS = """Meridian test bank
+SAVINGS = """Example test bank
 Account 000-111-222
 
 Transaction Date,Reference,Debit Amount,Credit Amount,Balance
