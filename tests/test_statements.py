@@ -177,3 +177,22 @@ def test_query_against_duckdb(spark, duck, name):
     assert cols == sorted(want.columns)
     rows = lambda found, names: sorted(tuple(str(_plain(r[names.index(c)])) for c in cols) for r in found)
     assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), want.columns)
+
+
+def test_mapping_is_suggested(spark):
+    from tallyforge.operators import infer
+
+    terms = spark.createDataFrame([("date", "date"), ("date", "datum"), ("description", "description"), ("description", "reference"), ("debit", "debit"), ("debit", "withdrawal"), ("credit", "credit"), ("balance", "balance"), ("amount", "amount"), ("currency", "currency")], "field string, term string")
+    days, money, words = ["01/02/2026", "03/02/2026"], ["1,200.50", "7.00"], ["coffee", "rent of a room"]
+    files_ = {
+        "a": [("Transaction Date", days), ("Reference", words), ("Debit Amount", ["", "7.00"]), ("Credit Amount", ["5.00", ""]), ("Balance", money)],
+        "b": [("When", days), ("What", words), ("Value", money)],
+    }
+    rows = [(f, i, h, v) for f, cs in files_.items() for i, (h, v) in enumerate(cs)]
+    got = {(r.file_id, r.field): r.column for r in infer.suggest_mapping(spark.createDataFrame(rows, "file_id string, column int, header string, values array<string>"), terms).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {"date": 0, "description": 1, "debit": 2, "credit": 3, "balance": 4}
+    assert {k[1]: v for k, v in got.items() if k[0] == "b"} == {"date": 0, "amount": 2}
+    c = spark.createDataFrame([("f", "p1", 0.95, 0.50, 1), ("f", "p2", 0.90, 0.80, 2), ("f", "p3", 0.89, 0.79, 3), ("f", "p4", 0.5, 1.0, 9)], "file_id string, profile_id string, confidence double, quality double, created int")
+    assert infer.pick_candidate(c).collect()[0][:] == ("f", "p3")
+    v = spark.createDataFrame([(["USD 5", "usd 7", "EUR 1", ""],)], "v array<string>")
+    assert v.select(infer.column_fill("v").alias("c")).first().c[:] == (0.75, 1.0, "USD")
