@@ -109,3 +109,21 @@ def anchor_lines(lines: DataFrame, keys: list[str], order: str, date_led: Column
     w = Window.partitionBy(*keys).orderBy(order)
     around = lines.withColumns({"_before": F.lag(order).over(w), "_after": F.lead(order).over(w)}).filter(date_led)
     return around.groupBy(*keys).agg(F.min_by("_before", order).alias("before"), F.max_by("_after", order).alias("after"), F.count(F.lit(1)).alias("n"))
+
+
+def confidence(items: Column | str, x0: float | None = None, x1: float | None = None) -> Column:
+    """struct(least, mean) of the items' confidences, of those with x in [x0, x1) if given. The least ignores missing ones; the mean counts them as 0."""
+    i = F.col(items) if isinstance(items, str) else items
+    if x0 is not None:
+        i = F.filter(i, lambda t: (t["x"] >= x0) & (t["x"] < x1))
+    total = F.aggregate(i, F.lit(0.0), lambda a, t: a + F.coalesce(t["confidence"], F.lit(0.0)))
+    return F.struct(F.array_min(F.transform(i, lambda t: t["confidence"])).alias("least"), F.when(F.size(i) > 0, total / F.size(i)).alias("mean"))
+
+
+def items_in_range(items: Column | str, start: Column, length: Column) -> Column:
+    """The items of a line that a range of its space-joined text touches; offsets count from 0."""
+    i = F.col(items) if isinstance(items, str) else items
+    kind = "struct<at: int, out: array<struct<b: int, e: int, str: string>>>"
+    step = lambda a, t: F.struct((a["at"] + F.length(t["str"]) + 1).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("b"), (a["at"] + F.length(t["str"])).alias("e"), t["str"].alias("str"))).alias("out")).cast(kind)
+    placed = F.aggregate(i, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b: int, e: int, str: string>>").alias("out")).cast(kind), step)["out"]
+    return F.transform(F.filter(placed, lambda t: (t["e"] > start) & (t["b"] < start + length)), lambda t: t["str"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import amounts, dates, text
-from tallyforge.operators import catalogue, export, grid, ledger, match, pages, review, status
+from tallyforge.operators import catalogue, export, grid, infer, ledger, match, pages, review, status
 from tallyforge.plans.views import DUCK_RUNNING, SEEN, TXN, duck, running, seen, txn
 from tallyforge.sources import files
 
@@ -719,3 +719,33 @@ def uix_33_anchor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def priv_04_05_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.concat(F.lit("seen "), F.regexp_replace("url", r"[^a-z0-9]", "_"), F.lit(".CSV and secret.pdf for "), F.col("page_id").cast("string"))
     return _read(spark, sf_dir, "pages").select("page_id", text.redact_stack(text.strip_filenames(s, {"secret.pdf": "mine"})).alias("shown"))
+
+
+@query("""
+WITH i AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id AS page, min(x) FILTER (k % 5 <> 0) AS least, min(x) FILTER (k % 5 <> 0 AND x >= 0 AND x < 0.2) AS least_in_band FROM i GROUP BY vec_id
+""")
+def agg_19_20_21_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.transform("embedding", lambda x, i: F.struct(x.cast("double").alias("x"), F.when((i + 1) % 5 != 0, x.cast("double")).alias("confidence")))
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), items.alias("items"))
+    return e.select("page", pages.confidence("items")["least"].alias("least"), pages.confidence("items", 0.0, 0.2)["least"].alias("least_in_band"))
+
+
+@query("SELECT p_partkey, p_brand AS touched FROM part")
+def join_10_items_for_text_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's type, brand and name as items of a line; the range of the brand's text finds the brand."""
+    items = F.array(*[F.struct(F.lit(float(k)).alias("x"), F.col(c).alias("str")) for k, c in enumerate(("p_type", "p_brand", "p_name"))])
+    got = pages.items_in_range(items, F.length("p_type") + 1, F.length("p_brand"))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(got, "|").alias("touched"))
+
+
+_FIELDS = [("date", "date"), ("amount", "amount"), ("description", "comment"), ("balance", "balance")]
+
+
+@query("SELECT l_orderkey AS file_id, field, col AS column, conf AS confidence FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES ('date', 0, 0.82::DOUBLE), ('amount', 1, 1.0), ('description', 2, 0.92)) v(field, col, conf)")
+def join_15_16_suggest_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as a table of three columns under their headers."""
+    word = F.concat_ws(" ", F.lit("part"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    g = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.date_format("l_shipdate", "dd/MM/yyyy")).alias("d"), F.collect_list(F.format_number("l_extendedprice", 2)).alias("a"), F.collect_list(word).alias("w"))
+    columns = g.select(F.col("l_orderkey").alias("file_id"), F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header"), F.col(c).alias("values")) for i, (h, c) in enumerate((("Ship Date", "d"), ("Amount", "a"), ("Comment", "w")))])))
+    return infer.suggest_mapping(columns, spark.createDataFrame(_FIELDS, "field string, term string"))
