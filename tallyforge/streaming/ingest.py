@@ -10,7 +10,8 @@ from tallyforge.operators.ledger import fingerprint
 
 def new_files(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
     """A stream of files with their digest."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_batch).load(path).select("path", "modificationTime", "length", "content", F.sha2("content", 256).alias("sha256"))
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_batch).load(path).select("path", "modificationTime", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
 def first_arrivals(files: DataFrame, delay: str = "7 days") -> DataFrame:
