@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -214,3 +216,34 @@ def strip_filenames(s: Column | str, names: dict[str, str]) -> Column:
 def redact_stack(s: Column | str) -> Column:
     """Stack lines without addresses and positions in code."""
     return F.array_join(F.transform(F.split(col(s), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\w+://[^\s)]+", "<code>"), r":\d+(:\d+)?", "")), "\n")
+
+
+# --- hints from a statement's text -----------------------------------------
+
+
+def first_name(s: Column | str, filename: Column | str, names: list[str]) -> Column:
+    """The first of the known names that stands as words in the text, or in the file name without its punctuation; else a phrase that ends in Bank."""
+    body = F.concat_ws(" ", F.lower(col(s)), F.regexp_replace(F.lower(col(filename)), "[^a-z0-9]+", " "))
+    pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    flat = pad(F.regexp_replace(body, "[^a-z0-9]+", " "))
+    out = found(col(s), r"\b((?:[A-Z][A-Za-z]+ ){1,3}Bank)\b", 1)
+    for name in reversed(names):
+        plain = re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+        out = F.when(F.contains(flat, F.lit(f" {plain} ")), F.lit(name)).otherwise(out)
+    return out
+
+
+def statement_type(s: Column | str) -> Column:
+    """credit_card by its marks, then current_account, else empty."""
+    low = F.lower(col(s))
+    return F.when(low.rlike(r"credit card|card number|minimum payment|credit limit"), "credit_card").when(low.rlike(r"current account|chequing|checking account"), "current_account").otherwise("")
+
+
+def currency_in_text(s: Column | str, codes: tuple[str, ...]) -> Column:
+    """A symbol's currency, else the first of the codes that stands in the text."""
+    out = F.lit(None).cast("string")
+    for c in reversed(codes):
+        out = F.when(col(s).rlike(rf"\b{c}\b"), F.lit(c)).otherwise(out)
+    for sign, c in (("¥", "JPY"), ("£", "GBP"), ("€", "EUR"), (r"A\$", "AUD"), (r"S\$", "SGD"), (r"US\$", "USD"), (r"HK\$", "HKD")):
+        out = F.when(col(s).rlike(sign if "$" not in sign else rf"(?<![A-Z]){sign}"), F.lit(c)).otherwise(out)
+    return out

@@ -99,3 +99,15 @@ def pick_candidate(candidates: DataFrame) -> DataFrame:
         return F.when((x["quality"] > acc["quality"] + TIE) | ((x["quality"] >= acc["quality"] - TIE) & (x["created"] > acc["created"])), x).otherwise(acc)
 
     return folded.select("file_id", F.aggregate(F.slice("c", 2, MOST), F.col("c")[0], better).alias("p")).select("file_id", "p.profile_id")
+
+
+def seed_mapping(saved: DataFrame, columns: DataFrame, suggested: DataFrame) -> DataFrame:
+    """A saved mapping on a new table: file_id, field, column.
+
+    `saved` has field and header; `columns` file_id, column and header. A field
+    whose header is gone takes the suggested column, unless a saved one has it.
+    """
+    norm = lambda c: F.lower(F.trim(c))
+    kept = columns.join(F.broadcast(saved.select("field", norm(F.col("header")).alias("h"))), norm(F.col("header")) == F.col("h")).groupBy("file_id", "field").agg(F.min("column").alias("column"))
+    gaps = suggested.select("file_id", "field", "column").join(kept.select("file_id", "field"), ["file_id", "field"], "left_anti").join(kept.select("file_id", "column"), ["file_id", "column"], "left_anti")
+    return kept.unionByName(gaps.select("file_id", "field", "column"))

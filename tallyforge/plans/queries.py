@@ -749,3 +749,30 @@ def join_15_16_suggest_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.date_format("l_shipdate", "dd/MM/yyyy")).alias("d"), F.collect_list(F.format_number("l_extendedprice", 2)).alias("a"), F.collect_list(word).alias("w"))
     columns = g.select(F.col("l_orderkey").alias("file_id"), F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header"), F.col(c).alias("values")) for i, (h, c) in enumerate((("Ship Date", "d"), ("Amount", "a"), ("Comment", "w")))])))
     return infer.suggest_mapping(columns, spark.createDataFrame(_FIELDS, "field string, term string"))
+
+
+@query("""
+SELECT c_custkey, n_name AS bank, CASE WHEN c_custkey % 3 = 0 THEN 'credit_card' WHEN c_custkey % 3 = 1 THEN 'current_account' ELSE '' END AS type, CASE WHEN c_custkey % 2 = 0 THEN 'SGD' ELSE 'CHF' END AS currency
+FROM customer JOIN nation ON n_nationkey = c_nationkey
+""")
+def str_17_18_19_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's nation as the bank's name, in the text or in the file's name."""
+    nation = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    names = [r.n_name for r in nation.orderBy("c_nationkey").collect()]  # the vocabulary: a fixed list of 25
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "Credit Card statement").when(k % 3 == 1, "your current account").otherwise("statement")
+    money = F.when(k % 2 == 0, "total S$12.00").otherwise("total CHF 12.00")
+    c = _read(spark, sf_dir, "customer").join(F.broadcast(nation), "c_nationkey").withColumn("t", F.concat_ws(" ", kind, money, F.when(k % 5 == 0, F.col("n_name"))))
+    file = F.concat(F.lit("x_"), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("_2026.csv"))
+    return c.select("c_custkey", text.first_name("t", file, names).alias("bank"), text.statement_type("t").alias("type"), text.currency_in_text("t", ("CHF", "NOK")).alias("currency"))
+
+
+@query("SELECT l_orderkey AS file_id, field, col AS column FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES ('date', 0), ('description', 2), ('amount', 1)) v(field, col)")
+def join_18_seed_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping saved for two of three headers; the third comes from a suggestion."""
+    of = lambda *cs: F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header")) for i, h in cs]))
+    orders_ = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id")).distinct()
+    columns = orders_.select("file_id", of((0, "Ship Date"), (1, "Value"), (2, " comment ")))
+    saved = spark.createDataFrame([("date", "ship date"), ("description", "Comment"), ("amount", "Amount")], "field string, header string")
+    suggested = orders_.select("file_id", F.inline(F.array(F.struct(F.lit("amount").alias("field"), F.lit(1).alias("column")), F.struct(F.lit("balance").alias("field"), F.lit(2).alias("column")))))
+    return infer.seed_mapping(saved, columns, suggested)
