@@ -67,25 +67,29 @@ class Hashes:
         self.b = rng.integers(0, 1 << 63, n, np.uint64)
         self.slot = np.arange(1, 2 * halves + 1, dtype=np.uint64)
 
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+    def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The half keys; and a byte of each minhash, eight in a long."""
         low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(shingles), 4096):
             low = np.minimum(low, (self.a[:, None] * shingles[None, at : at + 4096] + self.b[:, None]).min(axis=1))
-        low = _mixed(low).reshape(self.shape)
+        low = _mixed(low)
+        sketch = np.zeros(-(-len(low) // 8) * 8, np.uint8)
+        sketch[: len(low)] = low & np.uint64(0xFF)
+        low = low.reshape(self.shape)
         key = self.slot.copy()
         for k in range(self.shape[1]):
             key = key * _P + low[:, k]
-        return _mixed(key).view(np.int64)
+        return _mixed(key).view(np.int64), sketch.view(np.int64)
 
 
 def _signatures(texts: DataFrame, halves: int, width: int, seed: int) -> DataFrame:
-    """Of id, row key and text: the same without the text, with c1 and c2 (a digest of the word sequence, null without words), n_shingles and the half keys."""
+    """Of id, row key and text: the same without the text, with c1 and c2 (a digest of the word sequence, null without words), n_shingles, the half keys and the sketch."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(halves, width, seed)
         for part in slices(batches, 2):
-            c1, c2, n, keys = [], [], [], []
+            c1, c2, n, keys, sketches = [], [], [], [], []
             for text in part.column(2).to_pylist():
                 shingles = shingle_set(text or "")
                 n.append(len(shingles))
@@ -93,14 +97,17 @@ def _signatures(texts: DataFrame, halves: int, width: int, seed: int) -> DataFra
                     digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())), np.int64)
                     c1.append(int(digest[0]))
                     c2.append(int(digest[1]))
-                    keys.append(hashes(shingles))
+                    both = hashes(shingles)
+                    keys.append(both[0])
+                    sketches.append(both[1])
                 else:
                     c1.append(None)
                     c2.append(None)
                     keys.append([])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "row_key", "c1", "c2", "n_shingles", "halves"])
+                    sketches.append([])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "row_key", "c1", "c2", "n_shingles", "halves", "sketch"])
 
-    return texts.mapInArrow(run, f"id {kind}, row_key long, c1 long, c2 long, n_shingles long, halves array<long>")
+    return texts.mapInArrow(run, f"id {kind}, row_key long, c1 long, c2 long, n_shingles long, halves array<long>, sketch array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -116,22 +123,23 @@ def _sets(texts: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold.
 
-    Pairs are gathered by the components that they form, so that a set is sent
-    once for all of its pairs: small components together up to CELL_BYTES, a
-    larger one in cells of two blocks each.
+    Pairs are gathered by the least neighbour of either node, so that a set is
+    sent once for most of its pairs: small gatherings together up to
+    CELL_BYTES, a larger one in cells of two blocks each.
     """
     pairs = stored(pairs, "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    near = pairs.join(least, "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("n")), "b").select("a", "b", F.least("m", "n").alias("label"))
+    near = stored(near, "labelled_pairs")
     weight = F.greatest(F.length("shingles"), F.lit(4096)).cast("long")
-    group = components(pairs)
-    sized = group.join(sets.select("node", weight.alias("weight")), "node")
-    total = sized.agg(F.sum("weight")).first()[0] or 0
-    cells = max(1, -(-total // CELL_BYTES))
-    blocks = sized.groupBy("label").agg(F.ceil(F.sum("weight") / CELL_BYTES).alias("blocks"))
-    placed = group.join(blocks, "label").select("node", "label", "blocks", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(0)).alias("block"))
-    placed = stored(placed, "placed")
-    ends = pairs.join(placed.select(F.col("node").alias("a"), "label", "blocks", F.col("block").alias("x")), "a").join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    sized = near.select("label", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", weight.alias("weight")), "node")
+    blocks = stored(sized.groupBy("label").agg(F.sum("weight").alias("weight")), "weights")
+    cells = max(1, -(-(blocks.agg(F.sum("weight")).first()[0] or 0) // CELL_BYTES))
+    ends = near.join(blocks.select("label", F.ceil(F.col("weight") / CELL_BYTES).alias("blocks")), "label")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
     small = F.pmod(F.xxhash64(F.lit(5), "label"), F.lit(cells))
-    large = F.xxhash64("label", F.least("x", "y"), F.greatest("x", "y"))
+    large = F.xxhash64("label", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
     celled = stored(ends.select(F.when(F.col("blocks") > 1, large).otherwise(small).alias("cell"), "a", "b"), "cells")
     members = celled.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select((F.col("cell") + F.lit(0)).alias("cell"), "node", "shingles")
 
@@ -149,21 +157,32 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(members.groupBy("cell").cogroup(celled.groupBy("cell")).applyInPandas(check, "a long, b long"), "links")
 
 
-def least_shared(similarity: float, halves: int, width: int, miss: float = 1e-5) -> int:
-    """How many of its 2 m halves a pair of that similarity shares, but for a chance of `miss`; one of either collection at least."""
-    n, p, below = 2 * halves, similarity**width, 0.0
+def least_matches(similarity: float, halves: int, width: int) -> int:
+    """How many of its minhashes a pair of that similarity shares, but for the chance with which it shares no table either."""
+    n, below, miss = 2 * halves * width, 0.0, 2 * (1 - similarity**width) ** halves
     for k in range(n + 1):
-        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        below += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
         if below > miss:
-            return max(2, k)
+            return k
     return n
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """The distinct pairs that share `least` half keys or more."""
-    a = classes.select(F.col("node").alias("a"), F.col("halves").alias("ha"))
-    b = classes.select(F.col("node").alias("b"), F.col("halves").alias("hb"))
-    return pairs.distinct().join(a, "a").join(b, "b").filter(F.size(F.array_intersect("ha", "hb")) >= least).select("a", "b")
+def matches(a: Column, b: Column, n: int) -> Column:
+    """Equal bytes among the n of two sketches."""
+    out = F.lit(n)
+    for k in range(-(-n // 8)):
+        v = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for shift in (4, 2, 1):  # the lowest bit of each byte becomes the OR of its bits
+            v = v.bitwiseOR(F.shiftrightunsigned(v, shift))
+        out = out - F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+    return out
+
+
+def _pruned(pairs: DataFrame, classes: DataFrame, n: int, least: int) -> DataFrame:
+    """The distinct pairs that share `least` of n minhashes or more."""
+    a = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.distinct().join(a, "a").join(b, "b").filter(matches(F.col("sa"), F.col("sb"), n) >= least).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,17 +194,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     row for each row given. A null text is the empty text; a document without
     words is linked with nothing and kept. Repeated rows are copies of one
     another; equal rows are told apart nowhere, so all of them have the same
-    `kept`. Pairs that share too few of the half keys to be that similar (a
-    chance of one in 100,000; see `least_shared`) are not candidates. An
-    empty table gives an empty table.
+    `kept`. Pairs that share too few minhashes to be that similar (see
+    `least_matches`) are not candidates. An empty table gives an empty table.
     """
-    least = least_shared(percent / 100, halves, width)
+    n, least = 2 * halves * width, least_matches(percent / 100, halves, width)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     marked = stored(_signatures(texts, halves, width, seed), "signatures")
     lead = marked.filter("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("row_key").alias("row_key"))
     one = marked.join(lead, ["c1", "c2", "row_key"]).dropDuplicates(["c1", "c2"])
-    classes = stored(one.select("c1", "c2", "row_key", "halves", F.monotonically_increasing_id().alias("node")), "classes")
+    classes = stored(one.select("c1", "c2", "row_key", "halves", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
 
     # Halves that two nodes or more have, and the tables that they form.
     each = classes.select("node", F.posexplode("halves").alias("slot", "half"))
@@ -207,20 +225,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     first = keyed.filter(F.col("j") == F.col("i") + halves)
     heads = first.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("head"))
     stars = first.join(heads, "bucket").filter("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    links = _confirm(_pruned(stars, classes, least), sets, percent)
+    links = _confirm(_pruned(stars, classes, n, least), sets, percent)
     part = components(links)
 
     # Second pass: what may still join the components of a bucket. A pair counts in the first table that it shares alone.
     rows = keyed.join(part, "node", "left").select("bucket", "i", "j", "node", F.coalesce("label", "node").alias("label"))
     counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", "main")
-    rows = stored(rows.join(main, "bucket").join(classes.select("node", "halves"), "node"), "mixed_buckets")
-    outside = rows.filter("label != main").select("bucket", "i", "j", F.col("node").alias("a"), F.col("label").alias("la"), F.col("halves").alias("ha"))
-    other = rows.select("bucket", "node", "label", "main", F.col("halves").alias("hb"))
+    rows = stored(rows.join(main, "bucket").join(classes.select("node", "halves", "sketch"), "node"), "mixed_buckets")
+    outside = rows.filter("label != main").select("bucket", "i", "j", F.col("node").alias("a"), F.col("label").alias("la"), F.col("halves").alias("ha"), F.col("sketch").alias("sa"))
+    other = rows.select("bucket", "node", "label", "main", F.col("halves").alias("hb"), F.col("sketch").alias("sb"))
     none_before = lambda start, n: ~F.arrays_overlap(F.slice("ha", start, n), F.slice("hb", start, n))
     new = ((F.col("label") == F.col("main")) | (F.col("la") < F.col("label"))) & none_before(F.lit(1), F.col("i")) & none_before(F.lit(halves + 1), F.col("j") - halves)
-    alike = F.size(F.array_intersect("ha", "hb")) >= least
-    apart = outside.alias("o").join(other.alias("r"), (F.col("o.bucket") == F.col("r.bucket")) & new & alike).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
+    alike = matches(F.col("sa"), F.col("sb"), n) >= least
+    apart = outside.alias("o").join(other.alias("r"), (F.col("o.bucket") == F.col("r.bucket")) & alike & new).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
     more = _confirm(apart, sets, percent)
     final = components(stored(links.unionByName(more), "all_links"))
 
