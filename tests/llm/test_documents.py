@@ -214,7 +214,7 @@ def test_flow_prefers_first_uses():
 
 
 def test_mixing(spark, odd, small):
-    for docs, near in ((small, 0.03), (odd, None)):
+    for docs, near in ((small, True), (odd, False)):
         rows = [(r.doc_id, len(WORD.findall(r.text or "")), r.source) for r in docs.collect()]
         sources = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
         sizes = [sum(n for _, n, x in rows if x == s) for s in sources]
@@ -230,7 +230,8 @@ def test_mixing(spark, odd, small):
             for i, _, _, _, t in got:
                 taken[by[i]] += t
             for s in sources:
-                assert abs(taken[s] - targets[s]) <= max(near * targets[s], min(n for _, n, x in rows if x == s and n))
+                # The prefix of the seeded order is short of the next document; the nearest one leaves half of that at most.
+                assert abs(taken[s] - targets[s]) <= max(n for _, n, x in rows if x == s) / 2 + 1
     assert mix_sources(odd.limit(0)).count() == 0
 
 
