@@ -68,18 +68,17 @@ class Hashes:
         self.slot = np.arange(1, 2 * halves + 1, dtype=np.uint64)
 
     def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The half keys; and a byte of each minhash, eight in a long."""
+        """The half keys; and for each minhash a number of its place and its lowest byte."""
         low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(shingles), 4096):
             low = np.minimum(low, (self.a[:, None] * shingles[None, at : at + 4096] + self.b[:, None]).min(axis=1))
         low = _mixed(low)
-        sketch = np.zeros(-(-len(low) // 8) * 8, np.uint8)
-        sketch[: len(low)] = low & np.uint64(0xFF)
+        sketch = np.arange(len(low), dtype=np.int32) << 8 | (low & np.uint64(0xFF)).astype(np.int32)
         low = low.reshape(self.shape)
         key = self.slot.copy()
         for k in range(self.shape[1]):
             key = key * _P + low[:, k]
-        return _mixed(key).view(np.int64), sketch.view(np.int64)
+        return _mixed(key).view(np.int64), sketch
 
 
 def _signatures(texts: DataFrame, halves: int, width: int, seed: int) -> DataFrame:
@@ -105,9 +104,9 @@ def _signatures(texts: DataFrame, halves: int, width: int, seed: int) -> DataFra
                     c2.append(None)
                     keys.append([])
                     sketches.append([])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "row_key", "c1", "c2", "n_shingles", "halves", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], names=["id", "row_key", "c1", "c2", "n_shingles", "halves", "sketch"])
 
-    return texts.mapInArrow(run, f"id {kind}, row_key long, c1 long, c2 long, n_shingles long, halves array<long>, sketch array<long>")
+    return texts.mapInArrow(run, f"id {kind}, row_key long, c1 long, c2 long, n_shingles long, halves array<long>, sketch array<int>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -167,22 +166,11 @@ def least_matches(similarity: float, halves: int, width: int) -> int:
     return n
 
 
-def matches(a: Column, b: Column, n: int) -> Column:
-    """Equal bytes among the n of two sketches."""
-    out = F.lit(n)
-    for k in range(-(-n // 8)):
-        v = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        for shift in (4, 2, 1):  # the lowest bit of each byte becomes the OR of its bits
-            v = v.bitwiseOR(F.shiftrightunsigned(v, shift))
-        out = out - F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
-    return out
-
-
-def _pruned(pairs: DataFrame, classes: DataFrame, n: int, least: int) -> DataFrame:
-    """The distinct pairs that share `least` of n minhashes or more."""
+def _pruned(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The distinct pairs that share `least` minhashes or more."""
     a = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.distinct().join(a, "a").join(b, "b").filter(matches(F.col("sa"), F.col("sb"), n) >= least).select("a", "b")
+    return pairs.distinct().join(a, "a").join(b, "b").filter(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     `kept`. Pairs that share too few minhashes to be that similar (see
     `least_matches`) are not candidates. An empty table gives an empty table.
     """
-    n, least = 2 * halves * width, least_matches(percent / 100, halves, width)
+    least = least_matches(percent / 100, halves, width)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     marked = stored(_signatures(texts, halves, width, seed), "signatures")
@@ -225,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     first = keyed.filter(F.col("j") == F.col("i") + halves)
     heads = first.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("head"))
     stars = first.join(heads, "bucket").filter("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    links = _confirm(_pruned(stars, classes, n, least), sets, percent)
+    links = _confirm(_pruned(stars, classes, least), sets, percent)
     part = components(links)
 
     # Second pass: what may still join the components of a bucket. A pair counts in the first table that it shares alone.
@@ -236,9 +224,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     outside = rows.filter("label != main").select("bucket", "i", "j", F.col("node").alias("a"), F.col("label").alias("la"), F.col("halves").alias("ha"), F.col("sketch").alias("sa"))
     other = rows.select("bucket", "node", "label", "main", F.col("halves").alias("hb"), F.col("sketch").alias("sb"))
     none_before = lambda start, n: ~F.arrays_overlap(F.slice("ha", start, n), F.slice("hb", start, n))
-    new = ((F.col("label") == F.col("main")) | (F.col("la") < F.col("label"))) & none_before(F.lit(1), F.col("i")) & none_before(F.lit(halves + 1), F.col("j") - halves)
-    alike = matches(F.col("sa"), F.col("sb"), n) >= least
-    apart = outside.alias("o").join(other.alias("r"), (F.col("o.bucket") == F.col("r.bucket")) & alike & new).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
+    other_part = (F.col("label") == F.col("main")) | (F.col("la") < F.col("label"))
+    new = none_before(F.lit(1), F.col("i")) & none_before(F.lit(halves + 1), F.col("j") - halves)
+    alike = F.size(F.array_intersect("sa", "sb")) >= least
+    apart = outside.alias("o").join(other.alias("r"), (F.col("o.bucket") == F.col("r.bucket")) & other_part & alike & new).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
     more = _confirm(apart, sets, percent)
     final = components(stored(links.unionByName(more), "all_links"))
 
