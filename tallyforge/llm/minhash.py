@@ -9,12 +9,14 @@ at most 2 (1 - s^width)^m: 2e-5 at 0.85 and 4e-4 at 0.8 for m 12 and width 3.
 Texts that agree word for word are one node. Halves that no other node has are
 dropped before tables are formed. Candidates are confirmed on the full shingle
 sets in two passes. The first compares each node with one representative of
-its bucket in the m tables (i, i), and joins what it confirms. The second
-looks at the buckets of all m * m tables that still hold several components,
-and compares each node outside a bucket's largest component with every node of
-another component there: all candidate pairs that can still join anything, and
-none within a component. So a large group of near copies costs a few
-comparisons a member, and no candidate is left out.
+its bucket in the m tables (i, i), the one whose halves are the most common,
+and joins what it confirms. The second looks at the buckets of all m * m
+tables that still hold several components, and compares each node outside a
+bucket's largest component with every node of another component there: all
+candidate pairs that can still join anything, and none within a component. So
+a large group of near copies costs a few comparisons a member, and no
+candidate is left out. Texts that are candidates of many and linked with none
+cost a comparison each: there the pairs grow with the square of the group.
 """
 
 from __future__ import annotations
@@ -195,13 +197,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
 
     # Halves that two nodes or more have, and the tables that they form.
     each = classes.select("node", F.posexplode("halves").alias("slot", "half"))
-    shared = each.groupBy("slot", "half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("slot", "half")
-    hits = each.join(shared, ["slot", "half"]).groupBy("node").agg(F.collect_list(F.struct("slot", "half")).alias("hits"))
+    shared = each.groupBy("slot", "half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hits = each.join(shared, ["slot", "half"]).groupBy("node").agg(F.collect_list(F.struct("slot", "half")).alias("hits"), F.sum("n").alias("centre"))
     side = lambda first: F.filter("hits", lambda x: (x["slot"] < halves) if first else (x["slot"] >= halves))
-    sides = hits.select("node", side(True).alias("left"), side(False).alias("right")).filter("size(left) > 0 AND size(right) > 0")
-    tables = sides.select("node", F.explode("left").alias("x"), "right").select("node", "x", F.explode("right").alias("y"))
+    sides = hits.select("node", "centre", side(True).alias("left"), side(False).alias("right")).filter("size(left) > 0 AND size(right) > 0")
+    tables = sides.select("node", "centre", F.explode("left").alias("x"), "right").select("node", "centre", "x", F.explode("right").alias("y"))
     bucket = F.xxhash64("x.slot", "x.half", "y.slot", "y.half")
-    keyed = stored(tables.select("node", bucket.alias("bucket"), F.col("x.slot").alias("i"), F.col("y.slot").alias("j")), "tables")
+    keyed = stored(tables.select("node", "centre", bucket.alias("bucket"), F.col("x.slot").alias("i"), F.col("y.slot").alias("j")), "tables")
     crowded = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     keyed = stored(keyed.join(crowded, "bucket"), "buckets")
 
@@ -209,9 +211,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     owner = texts.join(nodes.hint("shuffle_hash"), "row_key").select("node", "text")
     sets = stored(_sets(owner), "sets")
 
-    # First pass: a representative of each bucket in the diagonal tables.
+    # First pass: a representative of each bucket in the diagonal tables, the node whose halves most nodes have.
     first = keyed.filter(F.col("j") == F.col("i") + halves)
-    heads = first.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("head"))
+    heads = first.groupBy("bucket").agg(F.max_by("node", F.struct("centre", "node")).alias("head"))
     stars = first.join(heads, "bucket").filter("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
     links = _confirm(_pruned(stars, classes, least), sets, percent)
     part = components(links)
@@ -227,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     other_part = (F.col("label") == F.col("main")) | (F.col("la") < F.col("label"))
     new = none_before(F.lit(1), F.col("i")) & none_before(F.lit(halves + 1), F.col("j") - halves)
     alike = F.size(F.array_intersect("sa", "sb")) >= least
-    apart = outside.alias("o").join(other.alias("r"), (F.col("o.bucket") == F.col("r.bucket")) & other_part & alike & new).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
+    apart = outside.alias("o").join(other.alias("r"), (F.col("o.bucket") == F.col("r.bucket")) & other_part & new & alike).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
     more = _confirm(apart, sets, percent)
     final = components(stored(links.unionByName(more), "all_links"))
 
