@@ -9,6 +9,7 @@ statistics of the whole text are computed beside it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -59,7 +60,7 @@ def fault(line: str, rules: Rules) -> str | None:
         return "navigation"
     if sum(map(line.count, SYMBOLS)) >= max(3, rules.symbol_share * n):
         return "symbols"
-    if n >= 10 and (max(map(words.count, set(words[:: max(1, n // 10)]))) >= rules.same_word_share * n or sum(map(str.__eq__, words, words[1:])) >= rules.stutter_share * n):
+    if n >= 10 and (max(Counter(words).values()) >= rules.same_word_share * n or sum(map(str.__eq__, words, words[1:])) >= rules.stutter_share * n):
         return "repetition"
     if n <= rules.boilerplate_words:
         low = line.lower()

@@ -141,6 +141,24 @@ def test_quality_lines(spark):
     assert fault(good, Rules()) is None
 
 
+def test_quality_commonest_word_at_any_place(spark):
+    rules, lines = Rules(), []
+    for n in range(20, 201):
+        for often in (n // 2 - 1, (n + 1) // 2):
+            words = [f"x{i}" for i in range(n)]
+            words[1 : 2 * often : 2] = ["buy"] * len(words[1 : 2 * often : 2])
+            words[-1] = "buy" if words.count("buy") < often else words[-1]
+            lines.append(" ".join(words) + " .")
+    for line in lines:
+        words = line.split()
+        want = "repetition" if max(words.count(w) for w in words) >= rules.same_word_share * len(words) else None
+        assert fault(line, rules) == want, line
+    assert {fault(x, rules) for x in lines} == {"repetition", None}
+    spam = " ".join(f"x{i} buy" for i in range(1, 13))
+    (got,) = clean_lines(spark.createDataFrame([(1, spam + "\n" + spam + " buy")], "doc_id long, text string")).collect()
+    assert got.n_lines_removed == 2 and not got.kept and got.rules_broken == ["repetition"] and got.clean_text == ""
+
+
 # --- substrings ------------------------------------------------------------
 
 
