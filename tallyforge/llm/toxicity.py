@@ -1,12 +1,11 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
-Terms are words and word beginnings that a bounded sample of labelled texts
-ties to the label; all other words of a text count together as one background
-term, so that the cosine tells a text full of such terms from one with a
-single one. Document frequencies come from all documents. The examples are
-laid out in blocks of alike ones; the index keeps the largest weight of each
-term in each block, and a search opens blocks from the highest bound down
-until no bound can beat the k-th best: exactly the nearest examples.
+Terms are all words and word beginnings of a bounded sample of labelled texts,
+weighted by their document frequencies over all documents and by how surely the
+sample ties them to the label; none is left out. Words that no example holds
+can't meet anything; they count together as one background term in a text's
+length. A search adds up every posting of a text's terms: exactly the nearest
+examples.
 
 Similarity-weighted votes of the neighbours, mapped through a monotone fit to
 leave-one-out votes of the examples themselves, are the score.
@@ -14,15 +13,14 @@ leave-one-out votes of the examples themselves, are the score.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +29,8 @@ from tallyforge.llm.common import slices, stored
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
 _CACHE = 300_000
+#: A term held by more than one in so many examples is a row of the full matrix.
+_FULL = 8
 
 
 def terms_of(word: str) -> list[str]:
@@ -46,18 +46,19 @@ def words_of(text: str) -> list[str]:
 class Settings:
     #: Labelled texts that are learnt from, at most; chosen by hash.
     examples: int = 8000
-    terms: int = 400
-    #: A term stands in this share of the positive examples, and in three, at least.
-    least_share: float = 0.02
     neighbours: int = 15
+    #: No longer used: a search reads all postings, since bounds of blocks rule out next to nothing once all words are terms.
     block: int = 64
     #: Weight of the background term: the larger, the more of such words a text must hold to be near a text that is full of them.
     background: float = 0.7
+    #: A term's share of its idf if nothing ties it to label 1, and the standard errors of its log odds at which it gets half of the rest.
+    least_weight: float = 0.2
+    half: float = 3.0
     seed: int = 3
 
 
-def choose_terms(examples: DataFrame, settings: Settings) -> list[str]:
-    """The terms most tied to label 1 among the examples (text, label): by log odds times the root of the positive texts."""
+def count_terms(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All terms of the examples (text, label), sorted, and the examples of label 0 and of label 1 that hold each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Counter(), Counter()
@@ -67,64 +68,89 @@ def choose_terms(examples: DataFrame, settings: Settings) -> list[str]:
         terms = list(both[0] | both[1])
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([both[0][t] for t in terms], pa.int64()), pa.array([both[1][t] for t in terms], pa.int64())], names=["term", "n0", "n1"])
 
-    size = {r.label: r.n for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = size.get(0, 0), size.get(1, 0)
     counts = examples.select("text", "label").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    odds = F.log((F.col("n1") + 0.5) / (toxic + 1)) - F.log((F.col("n0") + 0.5) / (clean + 1))
-    strong = counts.filter(F.col("n1") >= max(3, settings.least_share * toxic)).withColumn("odds", odds).filter(F.col("odds") > math.log(3))
-    return [r.term for r in strong.orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "term").limit(settings.terms).select("term").collect()]
+    found = counts.toArrow().sort_by("term")  # bounded, as the examples are
+    return found["term"].to_pylist(), found["n0"].to_numpy(), found["n1"].to_numpy()
 
 
-def vectors(texts: DataFrame, terms: list[str], columns: list[str]) -> DataFrame:
-    """The given columns of `texts` and, of its column text, `term array<int>`, `tf array<int>` and `other long` (words that hold no term)."""
-    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in columns) + ", term array<int>, tf array<int>, other long"
+def ties(n0: np.ndarray, n1: np.ndarray, clean: int, toxic: int, settings: Settings) -> np.ndarray:
+    """Each term's share of its idf: from `least_weight` to 1 with the standard errors by which its log odds of label 1 exceed 0."""
+    odds = np.log((n1 + 0.5) / (toxic + 1)) - np.log((n0 + 0.5) / (clean + 1))
+    sure = np.maximum(0.0, odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))) ** 4
+    return settings.least_weight + (1 - settings.least_weight) * sure / (sure + settings.half**4)
+
+
+class Reader:
+    """Texts as the numbers of their terms."""
+
+    def __init__(self, terms: list[str]):
+        self.known = {t: i for i, t in enumerate(terms)}
+        self.cache: dict[str, list[int]] = {}
+
+    def found(self, word: str) -> list[int]:
+        found = self.cache.get(word)
+        if found is None:
+            if len(self.cache) >= _CACHE:
+                self.cache.clear()
+            found = self.cache[word] = [self.known[t] for t in terms_of(word) if t in self.known]
+        return found
+
+    def read(self, text: str | None) -> tuple[list[int], list[int], int]:
+        """A text's terms, their counts, and its words that hold no term."""
+        counts: dict[int, int] = {}
+        other = 0
+        for word, n in Counter(words_of(text or "")).items():
+            found = self.found(word)
+            for t in found:
+                counts[t] = counts.get(t, 0) + n
+            other += n * (not found)
+        return list(counts), list(counts.values()), other
+
+
+def document_frequencies(docs: DataFrame, shared: Broadcast, n_terms: int) -> np.ndarray:
+    """How many documents (text) hold each of the broadcast terms."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {t: i for i, t in enumerate(terms)}
-        cache: dict[str, list[int]] = {}
-        for part in slices(batches, len(columns)):
-            ids, tfs, others = [], [], []
-            for text in part.column(len(columns)).to_pylist():
-                counts, other = Counter(), 0
-                for word, n in Counter(words_of(text or "")).items():
-                    found = cache.get(word)
-                    if found is None:
-                        if len(cache) >= _CACHE:
-                            cache.clear()
-                        found = cache[word] = [known[t] for t in terms_of(word) if t in known]
-                    for t in found:
-                        counts[t] += n
-                    other += n * (not found)
-                ids.append(list(counts))
-                tfs.append(list(counts.values()))
-                others.append(other)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(columns))), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(others, pa.int64())], names=[*columns, "term", "tf", "other"])
-
-    return texts.select(*columns, "text").mapInArrow(run, schema)
+        reader, total = Reader(shared.value), np.zeros(n_terms, np.int64)
+        for part in slices(batches, 0):
+            held = [i for text in part.column(0).to_pylist() for i in {i for w in set(words_of(text or "")) for i in reader.found(w)}]
+            total += np.bincount(np.array(held, np.int64), minlength=n_terms)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
+
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(n_terms, np.int64)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return df
 
 
 class Index:
-    """The examples' unit vectors: for each term, postings by block, and each block's largest weight."""
+    """The examples' unit vectors: for each term, the examples that hold it and its weights there."""
 
     def __init__(self, rows: list[tuple[int, list[int], list[int], int, int]], idf: np.ndarray, settings: Settings):
-        """rows: id, terms, counts, other words, label. idf: of each term, the background's last."""
-        self.idf, self.k, self.width = idf, settings.neighbours, settings.block
-        weighed = [(self.weigh(t, tf, other), i, label) for i, t, tf, other, label in rows]
-        # Alike examples stand side by side: by their heaviest term, then its weight.
-        weighed.sort(key=lambda x: (int(x[0][0][np.argmax(x[0][1])]), -float(x[0][1].max()), x[1]) if len(x[0][0]) else (-1, 0.0, x[1]))
-        self.ids = np.array([i for _, i, _ in weighed], np.int64)
-        self.labels = np.array([y for _, _, y in weighed], np.float64)
-        n_terms, n_blocks = len(idf), -(-len(weighed) // self.width)
-        self.most = np.zeros((n_terms, n_blocks))
-        pairs = sorted((int(t), e, float(w)) for e, ((ts, ws), _, _) in enumerate(weighed) for t, w in zip(ts, ws, strict=True))
-        self.doc = np.array([e for _, e, _ in pairs], np.int64)
-        self.weight = np.array([w for _, _, w in pairs], np.float64)
-        at = np.array([t for t, _, _ in pairs], np.int64)
-        self.first = np.searchsorted(at * n_blocks + self.doc // self.width, np.arange(n_terms * n_blocks + 1))
-        np.maximum.at(self.most, (at, self.doc // self.width), self.weight)
-        plain = np.array([len(ts) == 0 or ts[0] == n_terms - 1 for (ts, _), _, _ in weighed], bool)
-        self.prior = float((self.labels.sum() + 0.5) / (len(weighed) + 1)) if len(weighed) else 0.0
-        self.plain = float((self.labels[plain].sum() + 0.5) / (plain.sum() + 1)) if plain.any() else self.prior
+        """rows: id, terms, counts, other words, label. idf: weight of each term, the background's last."""
+        self.idf, self.k = idf, settings.neighbours
+        rows = sorted(rows, key=lambda r: r[0])
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.labels = np.array([r[4] for r in rows], np.float64)
+        self.own = [self.weigh(*r[1:4]) for r in rows]
+        at = np.concatenate([np.empty(0, np.int32), *(ts.astype(np.int32) for ts, _ in self.own)])
+        order = np.argsort(at, kind="stable")
+        self.doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(ts) for ts, _ in self.own])[order]
+        self.weight = np.concatenate([np.empty(0, np.float32), *(ws.astype(np.float32) for _, ws in self.own)])[order]
+        sizes = np.bincount(at, minlength=len(idf))
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        # Terms in many examples are laid out in full: a row of weights adds up faster than as many postings.
+        common = np.flatnonzero(sizes * _FULL > len(rows))
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), len(rows)), np.float32)
+        for r, t in enumerate(common):
+            span = slice(self.first[t], self.first[t + 1])
+            self.full[r, self.doc[span]] = self.weight[span]
+        plain = np.array([len(ts) == 0 or ts[0] == len(idf) - 1 for ts, _ in self.own], bool)
+        self.prior = float((self.labels.sum() + 0.5) / (len(rows) + 1)) if len(rows) else 0.0
+        self.plain = float((self.labels[plain].sum() + self.prior) / (plain.sum() + 1))
         self.fit: tuple[np.ndarray, np.ndarray] | None = None
 
     def weigh(self, terms: list[int], tf: list[int], other: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,28 +162,21 @@ class Index:
 
     def nearest(self, ts: np.ndarray, ws: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the highest cosine (ties: earlier ones) and their cosines; `leave` is an example that doesn't count."""
-        bounds = ws @ self.most[ts]
-        order = np.argsort(-bounds, kind="stable")
-        n_blocks, found, best = len(order), [], np.empty(0)
-        step = 4
-        for at in range(0, n_blocks, step):
-            blocks = order[at : at + step]
-            if len(best) >= self.k and bounds[blocks[0]] < best[self.k - 1] - 1e-12:
-                break
-            for b in blocks:
-                score = np.zeros(self.width)
-                for t, w in zip(ts, ws, strict=True):
-                    lo, hi = self.first[t * n_blocks + b], self.first[t * n_blocks + b + 1]
-                    score[self.doc[lo:hi] - b * self.width] += w * self.weight[lo:hi]
-                own = np.flatnonzero(score > 0)
-                found.append((own + b * self.width, score[own]))
-            docs, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-            if leave >= 0:
-                scores, docs = scores[docs != leave], docs[docs != leave]
-            top = np.lexsort((docs, -scores))[: self.k]
-            docs, best = docs[top], scores[top]
-            found = [(docs, best)]
-        return (docs, best) if n_blocks else (np.empty(0, np.int64), best)
+        row = self.row[ts]
+        score = (ws[row >= 0].astype(np.float32) @ self.full[row[row >= 0]]).astype(np.float64)
+        ts, ws = ts[row < 0], ws[row < 0]
+        lo, hi = self.first[ts], self.first[ts + 1]
+        spans = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        if spans:
+            held = np.concatenate([self.weight[x] for x in spans]) * np.repeat(ws, hi - lo)
+            score += np.bincount(np.concatenate([self.doc[x] for x in spans]), held, len(self.ids))
+        if leave >= 0:
+            score[leave] = 0
+        docs = np.flatnonzero(score > 0)
+        if len(docs) > self.k:
+            docs = docs[score[docs] >= np.partition(score[docs], -self.k)[-self.k]]
+        top = docs[np.lexsort((docs, -score[docs]))[: self.k]]
+        return top, score[top]
 
     def vote(self, docs: np.ndarray, cosines: np.ndarray) -> float:
         """Labels weighted by closeness, and one vote at the prior."""
@@ -166,13 +185,8 @@ class Index:
 
     def calibrate(self) -> None:
         """Fit votes to labels: leave each example out, then pool adjacent violators."""
-        votes, order = [], np.argsort(self.doc, kind="stable")
-        term_of = np.repeat(np.arange(len(self.idf)), np.diff(self.first[:: self.most.shape[1]]) if self.most.size else 0)
-        ends = np.searchsorted(self.doc[order], np.arange(len(self.ids) + 1))
-        for e in range(len(self.ids)):
-            own = order[ends[e] : ends[e + 1]]
-            if len(own) and term_of[own[0]] != len(self.idf) - 1:
-                votes.append((self.vote(*self.nearest(term_of[own], self.weight[own], e)), self.labels[e]))
+        votes = [(self.vote(*self.nearest(ts, ws, e)), self.labels[e]) for e, (ts, ws) in enumerate(self.own) if len(ts) and ts[0] != len(self.idf) - 1]
+        self.own = []  # not needed any more, and not to be broadcast
         if not votes:
             return
         votes.sort()
@@ -196,17 +210,18 @@ class Index:
         return score, [(int(self.ids[d]), float(c), int(self.labels[d])) for d, c in zip(docs[:3], cosines[:3], strict=True)]
 
 
-def learn(docs: DataFrame, examples: DataFrame, settings: Settings, term_table: DataFrame | None = None) -> tuple[list[str], DataFrame, Index]:
-    """The terms, the vectors of all documents (id, row_key, term, tf, other), and the index of the examples (id, text, label)."""
-    terms = choose_terms(examples, settings)
-    every = stored(vectors(docs.select(F.col("id"), F.xxhash64("id", "text").alias("row_key"), "text"), terms, ["id", "row_key"]), "term_vectors")
-    n = every.count()
-    df = {r.term: r.n for r in every.select(F.explode("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([math.log(1 + n / max(1, df.get(t, 0))) for t in range(len(terms))] + [settings.background])
-    rows = [tuple(r) for r in vectors(examples, terms, ["id", "label"]).select("id", "term", "tf", "other", "label").collect()]
-    index = Index(rows, idf, settings)
+def learn(docs: DataFrame, examples: DataFrame, settings: Settings) -> tuple[Broadcast, Index]:
+    """The terms, broadcast, and the index of the examples (id, text, label); document frequencies are those of `docs`."""
+    terms, n0, n1 = count_terms(examples)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    n, df = docs.count(), document_frequencies(docs, shared, len(terms))
+    rows = examples.select("id", "text", "label").collect()
+    toxic = sum(r.label for r in rows)
+    idf = np.log(1 + n / np.maximum(1, df)) * ties(n0, n1, len(rows) - toxic, toxic, settings)
+    reader = Reader(terms)
+    index = Index([(r.id, *reader.read(r.text), r.label) for r in rows], np.append(idf, settings.background), settings)
     index.calibrate()
-    return terms, every, index
+    return shared, index
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None, settings: Settings | None = None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -221,7 +236,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, texts: DataFrame | None =
     Returns the id column, `row_key` (a hash of id and text), `score` (0 to 1),
     `predicted` (1 from the threshold on) and `evidence` (the three nearest
     examples: id, cosine, label), a row for each row given. Null and empty
-    texts, and texts without any term, score as the examples without terms do.
+    texts, and texts without any word of an example, score as the examples without terms do.
     Repeated rows get equal scores. Without examples every score is 0.
     """
     settings = settings or Settings()
@@ -231,16 +246,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, texts: DataFrame | None =
     chosen = stored(chosen, "chosen")  # `settings.examples` rows at most: safe to broadcast
     held = (docs if texts is None else texts).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     examples = stored(held.join(F.broadcast(chosen), "id").dropDuplicates(["id"]), "examples")
-    _, every, index = learn(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), examples, settings)
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("row_key"), F.col(text_col).alias("text"))
+    terms, index = learn(docs, examples, settings)
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    told = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            told = [shared.value.score(t.tolist(), tf.tolist(), other) for t, tf, other in zip(pdf.term, pdf.tf, pdf.other, strict=True)]
-            score = [s for s, _ in told]
-            yield pd.DataFrame({"id": pdf.id, "row_key": pdf.row_key, "score": score, "predicted": [int(s >= threshold) for s in score], "evidence": [[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in told]})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(terms.value)
+        for part in slices(batches, 2):
+            got = [shared.value.score(*reader.read(t)) for t in part.column(2).to_pylist()]
+            evidence = pa.array([[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in got], told)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), evidence], names=["id", "row_key", "score", "predicted", "evidence"])
 
-    out = every.mapInPandas(run, f"id {kind}, row_key long, score double, predicted int, evidence array<struct<id long, cosine double, label int>>")
+    out = docs.mapInArrow(run, f"id {kind}, row_key long, score double, predicted int, evidence array<struct<id: bigint, cosine: double, label: int>>")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -50,3 +50,15 @@ def test_odd_rows(spark):
     assert all(len(r.evidence) == 3 and r.evidence[0].label == 1 for r in got if r.predicted)
     assert score_toxicity(docs.limit(0), labelled, labelled).count() == 0
     assert {r.score for r in score_toxicity(docs, labelled.limit(0), labelled).collect()} == {0.0}
+
+
+def test_every_word_of_the_examples_is_searched(spark):
+    bad = "you worthless clown of a person are here"
+    train = [(i, f"{bad} word{chr(97 + i % 26)}{chr(97 + i // 26)}", 1) for i in range(200)] + [(1000 + i, f"the quiet river number {chr(97 + i % 26)}{chr(97 + i // 26)}x went by the town", 0) for i in range(400)]
+    train += [(500, "zorgblat fits nobody", 1), (501, "what zorgblat ever", 1), (1500, "lanterns along the quay", 0)]
+    labelled = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    docs = spark.createDataFrame([(1, "zorgblat"), (2, "lanterns by the quay"), (3, "zzz"), (1, "zorgblat")], "doc_id long, text string")
+    got = {r.doc_id: r for r in score_toxicity(docs, labelled, labelled).collect()}
+    assert {e.id for e in got[1].evidence} == {500, 501} and all(e.label == 1 for e in got[1].evidence)
+    assert got[2].evidence[0].id == 1500 and got[2].evidence[0].label == 0
+    assert got[3].evidence == [] and got[1].score > got[2].score
