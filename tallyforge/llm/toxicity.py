@@ -1,11 +1,15 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are all words and word beginnings of a bounded sample of labelled texts,
 weighted by their document frequencies over all documents and by how surely the
 sample ties them to the label; none is left out. Words that no example holds
 can't meet anything; they count together as one background term in a text's
-length. A search adds up every posting of a text's terms: exactly the nearest
-examples.
+length.
+
+The index cuts the examples into blocks. A search adds up the postings of its
+rare terms; for the common ones it knows the largest weight in each block. A
+block is added up in full only if these bounds let it reach the nearest
+examples: exactly those are found.
 
 Similarity-weighted votes of the neighbours, mapped through a monotone fit to
 leave-one-out votes of the examples themselves, are the score.
@@ -14,9 +18,9 @@ leave-one-out votes of the examples themselves, are the score.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +31,18 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import slices, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6, 7)
+#: Letters of a word's beginning that is a term of its own.
+PREFIX = 5
 _CACHE = 300_000
-#: A term held by more than one in so many examples is a row of the full matrix.
-_FULL = 8
+#: A term held by more than one in so many examples is common: it has bounds by block instead of postings.
+_COMMON = 16
+#: Postings that are added up at a time.
+_POSTINGS = 2 << 20
 
 
 def terms_of(word: str) -> list[str]:
-    """A word and its beginnings, marked by a final hyphen."""
-    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
+    """A word and its beginning, marked by a final hyphen."""
+    return [word, f"{word[:PREFIX]}-"] if len(word) > PREFIX else [word]
 
 
 def words_of(text: str) -> list[str]:
@@ -45,10 +52,11 @@ def words_of(text: str) -> list[str]:
 @dataclass(frozen=True)
 class Settings:
     #: Labelled texts that are learnt from, at most; chosen by hash.
-    examples: int = 8000
+    examples: int = 4000
     neighbours: int = 15
-    #: No longer used: a search reads all postings, since bounds of blocks rule out next to nothing once all words are terms.
+    #: Examples in a block of the index, and blocks that a search adds up before it looks at bounds.
     block: int = 64
+    first_blocks: int = 4
     #: Weight of the background term: the larger, the more of such words a text must hold to be near a text that is full of them.
     background: float = 0.7
     #: A term's share of its idf if nothing ties it to label 1, and the standard errors of its log odds at which it gets half of the rest.
@@ -57,19 +65,35 @@ class Settings:
     seed: int = 3
 
 
+class Reader(dict):
+    """Texts as the numbers of their terms; a word without a term is the background's number. As a dict: words seen, and their terms."""
+
+    def __init__(self, terms: list[str]):
+        self.known = {t: i for i, t in enumerate(terms)}
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= _CACHE:
+            self.clear()
+        found = self[word] = [self.known[t] for t in terms_of(word) if t in self.known] or [len(self.known)]
+        return found
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms in order, and how often each stands there."""
+        found = chain.from_iterable(map(self.__getitem__, words_of(text or "")))
+        terms, counts = np.unique(np.fromiter(found, np.int32), return_counts=True)
+        return terms, counts.astype(np.int32)
+
+
 def count_terms(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """All terms of the examples (text, label), sorted, and the examples of label 0 and of label 1 that hold each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Counter(), Counter()
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both[label].update({t for w in set(words_of(text or "")) for t in terms_of(w)})
-        terms = list(both[0] | both[1])
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([both[0][t] for t in terms], pa.int64()), pa.array([both[1][t] for t in terms], pa.int64())], names=["term", "n0", "n1"])
+        for part in slices(batches, 0):
+            held = [sorted({t for w in words_of(text or "") for t in terms_of(w)}) for text in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), part.column(1)], names=["terms", "label"])
 
-    counts = examples.select("text", "label").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = counts.toArrow().sort_by("term")  # bounded, as the examples are
+    each = examples.select("text", "label").mapInArrow(run, "terms array<string>, label int").select(F.explode("terms").alias("term"), "label")
+    found = each.groupBy("term").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).toArrow().sort_by("term")  # bounded, as the examples are
     return found["term"].to_pylist(), found["n0"].to_numpy(), found["n1"].to_numpy()
 
 
@@ -80,118 +104,155 @@ def ties(n0: np.ndarray, n1: np.ndarray, clean: int, toxic: int, settings: Setti
     return settings.least_weight + (1 - settings.least_weight) * sure / (sure + settings.half**4)
 
 
-class Reader:
-    """Texts as the numbers of their terms."""
+def read_terms(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """Of id, row key and text: the same without the text, with the terms (numbers in the broadcast list) and their counts."""
+    kind = docs.schema["id"].dataType.simpleString()
 
-    def __init__(self, terms: list[str]):
-        self.known = {t: i for i, t in enumerate(terms)}
-        self.cache: dict[str, list[int]] = {}
-
-    def found(self, word: str) -> list[int]:
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            found = self.cache[word] = [self.known[t] for t in terms_of(word) if t in self.known]
-        return found
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        for part in slices(batches, 2):
+            read = [reader.read(t) for t in part.column(2).to_pylist()]
+            lists = [pa.ListArray.from_arrays(pa.array(_starts(map(len, x)), pa.int32()), pa.array(np.concatenate(x))) for x in zip(*read, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "row_key", "terms", "counts"])
 
-    def read(self, text: str | None) -> tuple[list[int], list[int], int]:
-        """A text's terms, their counts, and its words that hold no term."""
-        counts: dict[int, int] = {}
-        other = 0
-        for word, n in Counter(words_of(text or "")).items():
-            found = self.found(word)
-            for t in found:
-                counts[t] = counts.get(t, 0) + n
-            other += n * (not found)
-        return list(counts), list(counts.values()), other
+    return docs.mapInArrow(run, f"id {kind}, row_key long, terms array<int>, counts array<int>")
 
 
-def document_frequencies(docs: DataFrame, shared: Broadcast, n_terms: int) -> np.ndarray:
-    """How many documents (text) hold each of the broadcast terms."""
+def _starts(lengths: Iterable[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))])
+
+
+def document_frequencies(read: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """How many documents hold each term, and how many there are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(shared.value), np.zeros(n_terms, np.int64)
-        for part in slices(batches, 0):
-            held = [i for text in part.column(0).to_pylist() for i in {i for w in set(words_of(text or "")) for i in reader.found(w)}]
-            total += np.bincount(np.array(held, np.int64), minlength=n_terms)
+        total = np.zeros(n_terms + 2, np.int64)  # the last counts documents, the one before is the background
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_terms + 2)
+            total[-1] += batch.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
 
-    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(n_terms, np.int64)
+    found = read.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(n_terms + 2, np.int64)
     df[found["term"].to_numpy()] = found["n"].to_numpy()
-    return df
+    return df[:n_terms], int(df[-1])
 
 
 class Index:
-    """The examples' unit vectors: for each term, the examples that hold it and its weights there."""
-
-    def __init__(self, rows: list[tuple[int, list[int], list[int], int, int]], idf: np.ndarray, settings: Settings):
-        """rows: id, terms, counts, other words, label. idf: weight of each term, the background's last."""
-        self.idf, self.k = idf, settings.neighbours
-        rows = sorted(rows, key=lambda r: r[0])
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.labels = np.array([r[4] for r in rows], np.float64)
-        self.own = [self.weigh(*r[1:4]) for r in rows]
-        at = np.concatenate([np.empty(0, np.int32), *(ts.astype(np.int32) for ts, _ in self.own)])
-        order = np.argsort(at, kind="stable")
-        self.doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(ts) for ts, _ in self.own])[order]
-        self.weight = np.concatenate([np.empty(0, np.float32), *(ws.astype(np.float32) for _, ws in self.own)])[order]
-        sizes = np.bincount(at, minlength=len(idf))
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        # Terms in many examples are laid out in full: a row of weights adds up faster than as many postings.
-        common = np.flatnonzero(sizes * _FULL > len(rows))
+    """The examples' unit vectors: postings of the rare terms, rows and bounds by block of the common ones."""
+
+    def __init__(self, ids: list, labels: list[int], texts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, settings: Settings):
+        """texts: terms and counts of each example. idf: weight of each term, the background's last."""
+        self.idf, self.k, self.size, self.ahead = idf, settings.neighbours, settings.block, settings.first_blocks
+        order = self._neighbourhoods(texts, len(idf))
+        self.ids = [ids[i] for i in order]
+        self.labels = np.array([labels[i] for i in order], np.float64)
+        self.blocks = -(-len(ids) // self.size)
+        self.width = self.blocks * self.size
+        self.starts = _starts(len(texts[i][0]) for i in order)
+        self.terms = np.concatenate([np.empty(0, np.int32), *(texts[i][0] for i in order)])
+        self.weights = self.unit(self.terms, np.concatenate([np.empty(0, np.int32), *(texts[i][1] for i in order)]), self.starts)
+        held = np.bincount(self.terms, minlength=len(idf))
+        common = np.flatnonzero(held * _COMMON > len(ids))
         self.row = np.full(len(idf), -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.full = np.zeros((len(common), len(rows)), np.float32)
-        for r, t in enumerate(common):
-            span = slice(self.first[t], self.first[t + 1])
-            self.full[r, self.doc[span]] = self.weight[span]
-        plain = np.array([len(ts) == 0 or ts[0] == len(idf) - 1 for ts, _ in self.own], bool)
-        self.prior = float((self.labels.sum() + 0.5) / (len(rows) + 1)) if len(rows) else 0.0
+        by_term = np.argsort(self.terms, kind="stable")
+        by_term = by_term[self.row[self.terms[by_term]] < 0]
+        example = np.repeat(np.arange(len(order)), np.diff(self.starts))
+        self.doc, self.weight = example[by_term].astype(np.int32), self.weights[by_term]
+        self.first = _starts(np.where(self.row < 0, held, 0))
+        self.full = np.zeros((len(common), self.width))
+        inside = self.row[self.terms] >= 0
+        self.full[self.row[self.terms[inside]], example[inside]] = self.weights[inside]
+        self.most = self.full.reshape(len(common), self.blocks, self.size).max(axis=2, initial=0)
+        plain = np.array([all(t == len(idf) - 1 for t in texts[i][0]) for i in order], bool)
+        self.prior = float((self.labels.sum() + 0.5) / (len(ids) + 1)) if len(ids) else 0.0
         self.plain = float((self.labels[plain].sum() + self.prior) / (plain.sum() + 1))
         self.fit: tuple[np.ndarray, np.ndarray] | None = None
 
-    def weigh(self, terms: list[int], tf: list[int], other: int) -> tuple[np.ndarray, np.ndarray]:
-        """A text's terms and weights, of length 1; the background is the last term."""
-        ts = np.array([*terms, *[len(self.idf) - 1] * (other > 0)], np.int64)
-        ws = (1 + np.log(np.array([*tf, *[other] * (other > 0)], np.float64))) * self.idf[ts]
-        order = np.argsort(ts)
-        return ts[order], ws[order] / (np.sqrt((ws * ws).sum()) or 1.0)
-
-    def nearest(self, ts: np.ndarray, ws: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest cosine (ties: earlier ones) and their cosines; `leave` is an example that doesn't count."""
+    @staticmethod
+    def _neighbourhoods(texts: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+        """An order that puts examples with the same common words side by side, so that the bounds of blocks are close."""
+        held = np.bincount(np.concatenate([np.empty(0, np.int32), *(t for t, _ in texts)]), minlength=n_terms)
+        common = np.argsort(-held, kind="stable")[:24]
+        return np.lexsort(np.array([np.isin(common, t) for t, _ in texts], bool).reshape(len(texts), len(common)).T[::-1])
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Weights of the texts' terms; each text's vector has the length 1. Text i has the terms from starts[i] to starts[i + 1]."""
+        weights = (1 + np.log(np.maximum(counts, 1))) * self.idf[terms]
+        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        length = np.sqrt(np.bincount(owner, weights * weights, len(starts) - 1))
+        return weights / np.where(length > 0, length, 1.0)[owner]
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the k examples of the highest cosine (ties: earlier ones) and their cosines; 0 where there are no more. leave: for each text an example that doesn't count."""
+        if not len(self.ids):
+            return np.zeros((len(starts) - 1, self.k), np.int64), np.zeros((len(starts) - 1, self.k))
+        per_text = np.add.reduceat(np.append((self.first[terms + 1] - self.first[terms]), 0), starts[:-1]) * (np.diff(starts) > 0)
+        found, at, total = [], 0, 0
+        for i, n in enumerate(per_text.tolist()):
+            if i > at and (total + n > _POSTINGS or i - at >= 128):
+                found.append(self._search(terms, weights, starts[at : i + 1], None if leave is None else leave[at:i]))
+                at, total = i, 0
+            total += n
+        found.append(self._search(terms, weights, starts[at:], None if leave is None else leave[at:]))
+        docs, cosines = zip(*found, strict=True)
+        return np.concatenate(docs), np.concatenate(cosines)
+
+    def _search(self, terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        q, span = len(starts) - 1, slice(starts[0], starts[-1])
+        ts, ws, owner = terms[span], weights[span], np.repeat(np.arange(q), np.diff(starts))
         row = self.row[ts]
-        score = (ws[row >= 0].astype(np.float32) @ self.full[row[row >= 0]]).astype(np.float64)
-        ts, ws = ts[row < 0], ws[row < 0]
-        lo, hi = self.first[ts], self.first[ts + 1]
-        spans = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-        if spans:
-            held = np.concatenate([self.weight[x] for x in spans]) * np.repeat(ws, hi - lo)
-            score += np.bincount(np.concatenate([self.doc[x] for x in spans]), held, len(self.ids))
-        if leave >= 0:
-            score[leave] = 0
-        docs = np.flatnonzero(score > 0)
-        if len(docs) > self.k:
-            docs = docs[score[docs] >= np.partition(score[docs], -self.k)[-self.k]]
-        top = docs[np.lexsort((docs, -score[docs]))[: self.k]]
-        return top, score[top]
-
-    def vote(self, docs: np.ndarray, cosines: np.ndarray) -> float:
+        common = row >= 0
+        asked = np.zeros((q, len(self.full)))
+        asked[owner[common], row[common]] = ws[common]
+        ts, ws, owner = ts[~common], ws[~common], owner[~common]
+        n = self.first[ts + 1] - self.first[ts]
+        posting = np.repeat(self.first[ts] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(np.repeat(owner, n) * self.width + self.doc[posting], np.repeat(ws, n) * self.weight[posting], q * self.width)
+        score = score.astype(np.float64).reshape(q, self.blocks, self.size)
+        if leave is not None:
+            score.reshape(q, -1)[np.arange(q), leave] = -np.inf
+        bound = asked @ self.most + score.max(axis=2)
+        ahead = min(self.ahead, self.blocks)
+        want = np.zeros(bound.shape, bool)
+        np.put_along_axis(want, np.argpartition(-bound, ahead - 1, axis=1)[:, :ahead], True, axis=1)
+        self._complete(score, asked, want)
+        k = min(self.k, self.width)
+        seen = np.where(want[:, :, None], score, -np.inf).reshape(q, -1)
+        least = np.maximum(np.partition(seen, -k, axis=1)[:, -k], 0)
+        more = ~want & (bound > 0) & (bound >= least[:, None] - 1e-9)
+        self._complete(score, asked, more)
+        seen = np.round(np.where((want | more)[:, :, None], score, -np.inf).reshape(q, -1), 9)
+        docs, cosines = np.zeros((q, self.k), np.int64), np.zeros((q, self.k))
+        least = np.maximum(np.partition(seen, -k, axis=1)[:, -k], 1e-9)
+        for i in range(q):
+            top = np.flatnonzero(seen[i] >= least[i])
+            top = top[np.argsort(-seen[i, top], kind="stable")[:k]]
+            docs[i, : len(top)], cosines[i, : len(top)] = top, seen[i, top]
+        return docs, cosines
+
+    def _complete(self, score: np.ndarray, asked: np.ndarray, want: np.ndarray) -> None:
+        """Add the common terms' share to the blocks that are wanted, block by block for all texts that want it."""
+        for b in np.flatnonzero(want.any(axis=0)).tolist():
+            who = np.flatnonzero(want[:, b])
+            score[who, b] += asked[who] @ self.full[:, b * self.size : (b + 1) * self.size]
+
+    def votes(self, docs: np.ndarray, cosines: np.ndarray) -> np.ndarray:
         """Labels weighted by closeness, and one vote at the prior."""
-        w = 1.0 / (1.05 - np.minimum(cosines, 1.0))
-        return float((w @ self.labels[docs] + self.prior) / (w.sum() + 1.0))
+        w = np.where(cosines > 0, 1.0 / (1.05 - np.minimum(cosines, 1.0)), 0.0)
+        return ((w * self.labels[docs]).sum(axis=1) + self.prior) / (w.sum(axis=1) + 1.0)
 
     def calibrate(self) -> None:
         """Fit votes to labels: leave each example out, then pool adjacent violators."""
-        votes = [(self.vote(*self.nearest(ts, ws, e)), self.labels[e]) for e, (ts, ws) in enumerate(self.own) if len(ts) and ts[0] != len(self.idf) - 1]
-        self.own = []  # not needed any more, and not to be broadcast
-        if not votes:
+        n = len(self.ids)
+        told = n and [(v, y) for v, y, a, b in zip(self.votes(*self.nearest(self.terms, self.weights, self.starts, np.arange(n))).tolist(), self.labels.tolist(), self.starts, self.starts[1:], strict=False) if b > a and self.terms[a] != len(self.idf) - 1]
+        self.terms = self.weights = self.starts = None  # not needed any more, and not to be broadcast
+        if not told:
             return
-        votes.sort()
-        pools: list[list[float]] = []  # vote, sum of labels, size
-        for v, y in votes:
+        pools: list[list[float]] = []  # vote, sum of labels, size, last vote
+        for v, y in sorted(told):
             pools.append([v, y, 1.0, v])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 last = pools.pop()
@@ -200,38 +261,39 @@ class Index:
         ys = [(p[1] + self.prior) / (p[2] + 1) for p in pools for _ in range(2)]
         self.fit = np.array(xs), np.maximum.accumulate(np.array(ys))
 
-    def score(self, terms: list[int], tf: list[int], other: int) -> tuple[float, list[tuple[int, float, int]]]:
-        """The score of a text and its nearest examples: id, cosine, label. A text without terms is as likely as the examples without."""
-        if not terms or not len(self.ids):
-            return self.plain, []
-        docs, cosines = self.nearest(*self.weigh(terms, tf, other))
-        raw = self.vote(docs, cosines)
-        score = raw if self.fit is None else float(np.interp(raw, *self.fit))
-        return score, [(int(self.ids[d]), float(c), int(self.labels[d])) for d, c in zip(docs[:3], cosines[:3], strict=True)]
-
-
-def learn(docs: DataFrame, examples: DataFrame, settings: Settings) -> tuple[Broadcast, Index]:
-    """The terms, broadcast, and the index of the examples (id, text, label); document frequencies are those of `docs`."""
-    terms, n0, n1 = count_terms(examples)
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-    n, df = docs.count(), document_frequencies(docs, shared, len(terms))
-    rows = examples.select("id", "text", "label").collect()
+    def score(self, terms: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[list[tuple]]]:
+        """The scores of texts and their nearest examples: id, cosine, label. Texts without terms are as likely as the examples without."""
+        if not len(self.ids):
+            return np.full(len(starts) - 1, self.plain), [[] for _ in starts[1:]]
+        docs, cosines = self.nearest(terms, self.unit(terms, counts, starts), starts)
+        raw = self.votes(docs, cosines)
+        held = np.add.reduceat(np.append(terms != len(self.idf) - 1, False), starts[:-1], dtype=np.int64) * (np.diff(starts) > 0) > 0
+        score = np.where(held, raw if self.fit is None else np.interp(raw, *self.fit), self.plain)
+        near = [[(self.ids[d], c, int(self.labels[d])) for d, c in zip(ds, cs, strict=True) if h and c > 0] for ds, cs, h in zip(docs[:, :3].tolist(), cosines[:, :3].tolist(), held, strict=True)]
+        return score, near
+
+
+def learn(read: DataFrame, examples: DataFrame, terms: list[str], n0: np.ndarray, n1: np.ndarray, settings: Settings) -> Index:
+    """The index of the examples (id, text, label), in the order of their ids' hashes; document frequencies are those of the documents read."""
+    df, n = document_frequencies(read, len(terms))
+    rows = examples.select("id", "text", "label").orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id").collect()
     toxic = sum(r.label for r in rows)
     idf = np.log(1 + n / np.maximum(1, df)) * ties(n0, n1, len(rows) - toxic, toxic, settings)
     reader = Reader(terms)
-    index = Index([(r.id, *reader.read(r.text), r.label) for r in rows], np.append(idf, settings.background), settings)
+    index = Index([r.id for r in rows], [r.label for r in rows], [reader.read(r.text) for r in rows], np.append(idf, settings.background), settings)
     index.calibrate()
-    return shared, index
+    return index
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None, settings: Settings | None = None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Score every whole text of `docs`.
 
-    `labels` has an id and a 0/1 label; rows with a null id or label don't
-    count, ids labelled twice count as 1 if either is, and `settings.examples`
-    of them are learnt from: those with the least hashes, as many as there are
-    otherwise. That number bounds what the driver holds and what is broadcast.
-    Their texts are looked up in `texts`, or in `docs`, without moving others.
+    `labels` has an id of the documents' type and a 0/1 label; rows with a null
+    id or label don't count, ids labelled twice count as 1 if either is, and
+    `settings.examples` of them are learnt from: those with the least hashes,
+    as many as there are otherwise. That number bounds what the driver holds
+    and what is broadcast. Their texts are looked up in `texts`, or in `docs`,
+    without moving others; of several texts of an id the least counts.
 
     Returns the id column, `row_key` (a hash of id and text), `score` (0 to 1),
     `predicted` (1 from the threshold on) and `evidence` (the three nearest
@@ -241,24 +303,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, texts: DataFrame | None =
     """
     settings = settings or Settings()
     kind = docs.schema[id_col].dataType.simpleString()
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
+    known = labels.select(F.col(id_col).cast(kind).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id").limit(settings.examples)
     chosen = stored(chosen, "chosen")  # `settings.examples` rows at most: safe to broadcast
-    held = (docs if texts is None else texts).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    examples = stored(held.join(F.broadcast(chosen), "id").dropDuplicates(["id"]), "examples")
+    held = (docs if texts is None else texts).select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text"))
+    examples = stored(held.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")), "examples")
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("row_key"), F.col(text_col).alias("text"))
-    terms, index = learn(docs, examples, settings)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    told = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    terms, n0, n1 = count_terms(examples)
+    context = docs.sparkSession.sparkContext
+    read = stored(read_terms(docs, context.broadcast(terms)), "terms")
+    shared = context.broadcast(learn(read, examples, terms, n0, n1, settings))
+    told = pa.list_(pa.struct([("id", examples.limit(0).toArrow().schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms.value)
         for part in slices(batches, 2):
-            got = [shared.value.score(*reader.read(t)) for t in part.column(2).to_pylist()]
-            evidence = pa.array([[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in got], told)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), evidence], names=["id", "row_key", "score", "predicted", "evidence"])
+            lists = part.column(2)
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            scores, near = shared.value.score(lists.flatten().to_numpy(), part.column(3).flatten().to_numpy(), starts)
+            evidence = pa.array([[{"id": i, "cosine": c, "label": y} for i, c, y in e] for e in near], told)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), evidence], names=["id", "row_key", "score", "predicted", "evidence"])
 
-    out = docs.mapInArrow(run, f"id {kind}, row_key long, score double, predicted int, evidence array<struct<id: bigint, cosine: double, label: int>>")
+    out = read.mapInArrow(run, f"id {kind}, row_key long, score double, predicted int, evidence array<struct<id: {kind}, cosine: double, label: int>>")
     return out.withColumnRenamed("id", id_col)
 
 

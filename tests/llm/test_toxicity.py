@@ -10,25 +10,35 @@ from tallyforge.llm.toxicity import Index, Settings, learnable, score_toxicity
 
 def test_index_is_exact():
     rng = random.Random(1)
-    rows = [(i, t := rng.sample(range(30), rng.randrange(6)), [rng.randrange(1, 9) for _ in t], rng.randrange(50), rng.randrange(2)) for i in range(700)]
+    texts = []
+    for _ in range(700):
+        t = sorted(rng.sample(range(31), rng.randrange(6)))
+        texts.append((np.array(t, np.int32), np.array([rng.randrange(1, 50 if x == 30 else 9) for x in t], np.int32)))
     idf = np.array([rng.uniform(0.5, 5) for _ in range(30)] + [0.3])
-    index = Index(rows, idf, Settings(neighbours=12, block=16))
-    by_id = {r[0]: r for r in rows}
 
-    def unit(t, tf, other):
+    def unit(t, tf):
         v = np.zeros(31)
         for a, n in zip(t, tf, strict=True):
             v[a] = (1 + math.log(n)) * idf[a]
-        v[30] = (1 + math.log(other)) * idf[30] if other else 0
         return v / (np.linalg.norm(v) or 1)
 
-    dense = np.stack([unit(*by_id[int(i)][1:4]) for i in index.ids])
-    for _ in range(60):
-        t = rng.sample(range(30), rng.randrange(1, 5))
-        tf, other = [rng.randrange(1, 9) for _ in t], rng.randrange(60)
-        want = np.sort(dense @ unit(t, tf, other))[::-1][:12]
-        _, got = index.nearest(*index.weigh(t, tf, other))
-        assert np.allclose(got, want[want > 0][: len(got)]) and len(got) == min(12, (want > 0).sum())
+    for ahead, block in ((1, 16), (4, 64), (2, 1000)):
+        index = Index(list(range(700)), [rng.randrange(2) for _ in texts], texts, idf, Settings(neighbours=12, block=block, first_blocks=ahead))
+        dense = np.stack([unit(*texts[i]) for i in index.ids])
+        asked = [texts[rng.randrange(700)] for _ in range(200)] + [(np.empty(0, np.int32), np.empty(0, np.int32))] * 2
+        starts = np.cumsum([0, *(len(t) for t, _ in asked)])
+        terms, counts = (np.concatenate(x) for x in zip(*asked, strict=True))
+        weights = index.unit(terms, counts, starts)
+        leave = np.array([rng.randrange(700) for _ in asked])
+        for out in (None, leave):
+            docs, cosines = index.nearest(terms, weights, starts, out)
+            for i, x in enumerate(asked):
+                want = np.round(dense @ unit(*x), 9)
+                if out is not None:
+                    want[out[i]] = 0
+                best = np.lexsort((np.arange(700), -want))[:12]
+                best = best[want[best] > 0]
+                assert docs[i, : len(best)].tolist() == best.tolist() and np.allclose(cosines[i, : len(best)], want[best]) and (cosines[i, len(best) :] == 0).all()
 
 
 def test_held_out_accuracy(spark):
@@ -50,6 +60,10 @@ def test_odd_rows(spark):
     assert all(len(r.evidence) == 3 and r.evidence[0].label == 1 for r in got if r.predicted)
     assert score_toxicity(docs.limit(0), labelled, labelled).count() == 0
     assert {r.score for r in score_toxicity(docs, labelled.limit(0), labelled).collect()} == {0.0}
+    # Ids of any type; of several texts of a labelled id the least counts.
+    words = spark.createDataFrame([(f"k{i}", t, y) for i, t, y in train if y is not None] + [("k1", "the aaa river", 1), ("k1", None, 1)], "doc_id string, text string, toxic int")
+    got = score_toxicity(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), words, words).collect()
+    assert {(r.doc_id, r.predicted) for r in got} == {("d1", 1), ("d2", 0), ("d3", 0), (None, 0), ("d4", 0), ("d5", 1)} and all(e.id.startswith("k") for r in got for e in r.evidence)
 
 
 def test_every_word_of_the_examples_is_searched(spark):
