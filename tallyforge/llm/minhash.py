@@ -8,15 +8,12 @@ at most 2 (1 - s^width)^m: 2e-5 at 0.85 and 4e-4 at 0.8 for m 12 and width 3.
 
 Texts that agree word for word are one node. Halves that no other node has are
 dropped before tables are formed. Candidates are confirmed on the full shingle
-sets in two passes. The first compares each node with one representative of
-its bucket in the m tables (i, i), the one whose halves are the most common,
-and joins what it confirms. The second looks at the buckets of all m * m
-tables that still hold several components, and compares each node outside a
-bucket's largest component with every node of another component there: all
-candidate pairs that can still join anything, and none within a component. So
-a large group of near copies costs a few comparisons a member, and no
-candidate is left out. Texts that are candidates of many and linked with none
-cost a comparison each: there the pairs grow with the square of the group.
+sets in two passes. The first compares each node with the heads of its buckets
+in all m * m tables: of each bucket the node whose halves are the most common.
+The second looks at the other pairs of a bucket that are still in different
+components; see `gatherings` for how it finds those that can be linked. So a
+large group of near copies costs a few comparisons a member, linked or not,
+and no candidate is left out.
 """
 
 from __future__ import annotations
@@ -32,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, stored
+from tallyforge.llm.gatherings import open_pairs
 from tallyforge.llm.graph import components
 
 SHINGLE = 5
-#: Bytes of shingle sets that are compared in one group; each set counts as 4 kB at least.
+#: Bytes of shingle sets and pairs that are compared in one group, about; each set counts as 4 kB at least.
 CELL_BYTES = 8 << 20
+CELL_PAIRS = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,7 +125,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Pairs are gathered by the least neighbour of either node, so that a set is
     sent once for most of its pairs: small gatherings together up to
-    CELL_BYTES, a larger one in cells of two blocks each.
+    CELL_BYTES and CELL_PAIRS, a larger one in cells of two blocks each.
     """
     pairs = stored(pairs, "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -135,9 +134,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = stored(near, "labelled_pairs")
     weight = F.greatest(F.length("shingles"), F.lit(4096)).cast("long")
     sized = near.select("label", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", weight.alias("weight")), "node")
-    blocks = stored(sized.groupBy("label").agg(F.sum("weight").alias("weight")), "weights")
-    cells = max(1, -(-(blocks.agg(F.sum("weight")).first()[0] or 0) // CELL_BYTES))
-    ends = near.join(blocks.select("label", F.ceil(F.col("weight") / CELL_BYTES).alias("blocks")), "label")
+    asked = near.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"))
+    share = F.greatest(F.col("weight") / CELL_BYTES, F.col("pairs") / CELL_PAIRS)
+    blocks = stored(sized.groupBy("label").agg(F.sum("weight").alias("weight")).join(asked, "label").select("label", share.alias("share")), "weights")
+    cells = math.ceil(blocks.agg(F.sum("share")).first()[0] or 1)
+    ends = near.join(blocks.select("label", F.ceil("share").alias("blocks")), "label")
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
     small = F.pmod(F.xxhash64(F.lit(5), "label"), F.lit(cells))
     large = F.xxhash64("label", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
@@ -169,10 +170,10 @@ def least_matches(similarity: float, halves: int, width: int) -> int:
 
 
 def _pruned(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """The distinct pairs that share `least` minhashes or more."""
+    """The pairs that share `least` minhashes or more."""
     a = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.distinct().join(a, "a").join(b, "b").filter(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,34 +204,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     sides = hits.select("node", "centre", side(True).alias("left"), side(False).alias("right")).filter("size(left) > 0 AND size(right) > 0")
     tables = sides.select("node", "centre", F.explode("left").alias("x"), "right").select("node", "centre", "x", F.explode("right").alias("y"))
     bucket = F.xxhash64("x.slot", "x.half", "y.slot", "y.half")
-    keyed = stored(tables.select("node", "centre", bucket.alias("bucket"), F.col("x.slot").alias("i"), F.col("y.slot").alias("j")), "tables")
+    keyed = stored(tables.select("node", "centre", bucket.alias("bucket")), "tables")
     crowded = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     keyed = stored(keyed.join(crowded, "bucket"), "buckets")
 
     nodes = keyed.select("node").distinct().join(classes.select("node", "row_key"), "node")
-    owner = texts.join(nodes.hint("shuffle_hash"), "row_key").select("node", "text")
+    owner = texts.join(nodes.hint("shuffle_hash"), "row_key").groupBy("node").agg(F.min("text").alias("text"))  # equal rows have one set
     sets = stored(_sets(owner), "sets")
 
-    # First pass: a representative of each bucket in the diagonal tables, the node whose halves most nodes have.
-    first = keyed.filter(F.col("j") == F.col("i") + halves)
-    heads = first.groupBy("bucket").agg(F.max_by("node", F.struct("centre", "node")).alias("head"))
-    stars = first.join(heads, "bucket").filter("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+    # First pass: each node with the heads of its buckets, the nodes whose halves most nodes have.
+    heads = keyed.groupBy("bucket").agg(F.max_by("node", F.struct("centre", "node")).alias("head"))
+    gatherings = stored(keyed.join(heads, "bucket").select("head", "node").distinct(), "gatherings")
+    stars = gatherings.filter("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
     links = _confirm(_pruned(stars, classes, least), sets, percent)
     part = components(links)
 
-    # Second pass: what may still join the components of a bucket. A pair counts in the first table that it shares alone.
-    rows = keyed.join(part, "node", "left").select("bucket", "i", "j", "node", F.coalesce("label", "node").alias("label"))
-    counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", "main")
-    rows = stored(rows.join(main, "bucket").join(classes.select("node", "halves", "sketch"), "node"), "mixed_buckets")
-    outside = rows.filter("label != main").select("bucket", "i", "j", F.col("node").alias("a"), F.col("label").alias("la"), F.col("halves").alias("ha"), F.col("sketch").alias("sa"))
-    other = rows.select("bucket", "node", "label", "main", F.col("halves").alias("hb"), F.col("sketch").alias("sb"))
-    none_before = lambda start, n: ~F.arrays_overlap(F.slice("ha", start, n), F.slice("hb", start, n))
-    other_part = (F.col("label") == F.col("main")) | (F.col("la") < F.col("label"))
-    new = none_before(F.lit(1), F.col("i")) & none_before(F.lit(halves + 1), F.col("j") - halves)
-    alike = F.size(F.array_intersect("sa", "sb")) >= least
-    apart = outside.alias("o").join(other.alias("r"), (F.col("o.bucket") == F.col("r.bucket")) & other_part & new & alike).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
-    more = _confirm(apart, sets, percent)
+    # Second pass: what may still join the components of a gathering.
+    more = _confirm(open_pairs(gatherings, part, classes, sets, percent, least), sets, percent)
     final = components(stored(links.unionByName(more), "all_links"))
 
     labelled = marked.join(classes.select("c1", "c2", "node"), ["c1", "c2"], "left").join(final, "node", "left")
