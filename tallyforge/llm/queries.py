@@ -105,11 +105,11 @@ FROM marked GROUP BY doc_id
 
 
 def _license_sql() -> str:
-    from tallyforge.llm.license import PHRASES, TEMPLATES
+    from tallyforge.llm.license import BLOCK, PHRASES, STEP, TEMPLATES, wider
 
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    templates = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in TEMPLATES)
+    templates = ", ".join(f"({i}, '{label}', string_split('{keys}', ' '), list_distinct(string_split('{text}', ' ')), {wider(TEMPLATES)[i]}::INTEGER[])" for i, (label, keys, text) in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in PHRASES)
     return rf"""
 WITH d AS (
@@ -123,13 +123,18 @@ starts AS (
   SELECT doc_id, label, i FROM starts JOIN phrases ON ws[i + 1 : i + len(p)] = p
 ), based AS (
   SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list_distinct(list(label)) AS base FROM places GROUP BY doc_id
-), templates(label, t) AS (VALUES {templates}),
+), templates(t_id, label, keys, t, wider) AS (VALUES {templates}),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS b FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)
+  SELECT doc_id, i, list_distinct(ws[i + 1 : i + {BLOCK}]) AS b
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {BLOCK}, 0) + {STEP}, {STEP})) AS i FROM w WHERE len(ws) > 0)
 ), matched AS (
-  SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS c FROM blocks JOIN templates ON len(list_intersect(t, b)) >= ceil(0.8 * len(t) - 1e-9)
+  SELECT doc_id, i, t_id, label, wider, len(list_intersect(t, b)) / len(t) AS c FROM blocks JOIN templates
+  ON len(list_intersect(t, b)) >= ceil(0.8 * len(t) - 1e-9) AND len(list_intersect(keys, b)) = len(keys)
+), together AS (
+  SELECT doc_id, i, list(t_id) AS ts FROM matched GROUP BY doc_id, i
 ), found AS (
-  SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS score FROM matched GROUP BY doc_id
+  SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS score
+  FROM matched JOIN together USING (doc_id, i) WHERE NOT list_has_any(wider, ts) GROUP BY doc_id
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
