@@ -42,7 +42,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, lg_k: int = 12, near: floa
 
     Returns all columns of `docs`, the text without the lines removed, and
     `lines_total` (lines with a character other than space, tab or return) and
-    `lines_removed`. Of a line on `min_sites` sites or more only the first
+    `lines_removed`, which take the place of columns of these names. Fewer sites than
+    `min_sites` in the whole table mean that nothing goes. Of a line on `min_sites` sites or more only the first
     occurrence stays, in the document with the least id (null before all
     others), then the least row hash, then the first in the text. A null text
     has no lines and stays null; a null site counts as one site; repeated rows
@@ -65,10 +66,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, lg_k: int = 12, near: floa
     first = hits.groupBy("h1", "h2").agg(F.min(F.struct("id", "k1", "k2", "pos")).alias("first"))
     gone = hits.join(first, ["h1", "h2"]).filter("NOT (k1 = first.k1 AND k2 = first.k2 AND pos = first.pos)")
     gone = gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
-    pieces = _pieces(F.col("text"))
-    joined = base.join(gone, ["k1", "k2"], "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    pieces = F.col("pieces")
+    left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("gone"))
+    joined = base.join(gone, ["k1", "k2"], "left").withColumn("pieces", _pieces(F.col("text")))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "\n"))
     total = F.size(F.filter(pieces, lambda x: F.btrim(x, F.lit(TRIMMED)) != "")).cast("long")
     removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
-    kept = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    kept = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("lines_total", "lines_removed")]
     return joined.select(*kept, total.alias("lines_total"), removed.alias("lines_removed"))

@@ -125,7 +125,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats
     over several) and `taken` (words, repetitions counted; a multiple of the
     size), a row for each row given. Null texts and texts without words have
     size 0 and are never taken. Repeated rows are taken each; order among equal
-    hashes is by id, and equal rows are alike. Reruns agree.
+    hashes is by id, and of equal rows as many are taken as fit. Reruns agree.
 
     The driver sees one row a pattern; a corpus with more than `most_patterns`
     of them is refused, which also bounds what is broadcast. A pattern with a
@@ -137,7 +137,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats
     members = F.when(F.col(source_col).isNull() | (F.size(members) == 0), F.array(F.lit(None).cast("string"))).otherwise(members)
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), members.alias("members"), word_count(F.col(text_col)).alias("size"), hashed.alias("hash"))
-    rows = stored(rows.withColumn("bucket", F.pmod("hash", F.lit(buckets))), "sizes")
+    # `nth` tells equal rows apart, so that one of them can be taken without the others.
+    rows = stored(rows.withColumns({"bucket": F.pmod("hash", F.lit(buckets)), "nth": F.monotonically_increasing_id()}), "sizes")
     totals = rows.groupBy("members").agg(F.sum("size").alias("size"))
     found = totals.limit(most_patterns + 1).collect()
     if len(found) > most_patterns:
@@ -159,8 +160,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats
     for _ in range(2):
         owed = both.groupBy("members").agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("owed")).filter("owed > 0")
         off = F.abs(F.col("size") - F.col("owed"))
-        last = both.filter("NOT more AND size > 0").join(F.broadcast(owed), "members").filter(off < F.col("owed")).groupBy("members").agg(F.min(F.struct(off.alias("off"), "hash", "id", "row_key")).alias("last"))
-        chosen = F.col("last").isNotNull() & F.col("id").eqNullSafe(F.col("last.id")) & (F.col("row_key") == F.col("last.row_key"))
+        last = both.filter("NOT more AND size > 0").join(F.broadcast(owed), "members").filter(off < F.col("owed")).groupBy("members").agg(F.min(F.struct(off.alias("off"), "hash", "id", "row_key", "nth")).alias("last"))
+        chosen = F.col("nth") == F.col("last.nth")
         both = stored(both.join(F.broadcast(last), "members", "left").withColumn("more", F.col("more") | F.coalesce(chosen, F.lit(False))).drop("last"), "chosen")
     uses = F.least(F.col("rounds") + F.col("more").cast("long"), F.lit(repeats))
     return both.select(F.col("id").alias(id_col), "row_key", "size", "source_size", "target", (F.col("size") * uses).alias("taken"))

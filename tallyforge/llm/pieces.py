@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import slices, tokenizer_path
 
 SPACE = "▁"
-#: Words that a worker remembers; the cache is emptied when it is full.
+#: Words of each of a worker's two generations: a full one becomes the older, and what is met again moves to the younger.
 CACHE_WORDS = 200_000
 
 
@@ -129,6 +129,7 @@ class Codec:
         self.names = [p.piece.encode() for p in model.pieces]
         self.mark = self.lib.piece_to_id(SPACE)
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def pieces(self, text: str) -> list[tuple[int, bytes]]:
         """Id and normalised bytes of each piece, as the library cuts them."""
@@ -149,8 +150,6 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that follow a space and keep their ids and the original bytes under each piece, the space's included."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         for word, ids in zip(words, self.lib.encode(words, num_threads=1), strict=True):
             if not word:
                 ids = [self.mark]
@@ -166,11 +165,13 @@ class Codec:
         """For each text its ids, and the original bytes under each piece; spans follow one another without gaps."""
         plain = [self.by_word and SPACE not in t for t in texts]
         words = [_words(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        unseen = set().union(*words).difference(self.cache)
-        if unseen:
-            self.learn(list(unseen))
-            if any(w not in self.cache for ws in words for w in ws):  # the cache was emptied
-                self.learn(list(set().union(*words).difference(self.cache)))
+        wanted = set().union(*words).difference(self.cache)
+        if len(self.cache) + len(wanted) > CACHE_WORDS:  # what these texts need is learnt or fetched, however much it is
+            self.older, self.cache = self.cache, {}
+            wanted = set().union(*words)
+        known = wanted.intersection(self.older)
+        self.cache.update((w, self.older[w]) for w in known)
+        self.learn(list(wanted - known))
         out = []
         for text, own, p in zip(texts, words, plain, strict=True):
             if p and text:

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tallyforge.llm.graph import components
-from tallyforge.llm.license import PHRASES, TEMPLATES, scan_licenses
+from tallyforge.llm.license import BLOCK, PHRASES, STEP, TEMPLATES, scan_licenses
 from tallyforge.llm.lines import dedup_lines
 from tallyforge.llm.minhash import near_duplicates
 from tallyforge.llm.mixing import Flow, capped_targets, mix_sources, plan
@@ -263,6 +263,15 @@ def test_mixing_overlapping_sources(spark):
         mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), most_patterns=1)
 
 
+def test_mixing_takes_equal_rows_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "w " * 10, "a")] * 60 + [(2, "w " * 1000, "b")], "doc_id long, text string, source string")
+    for weights in ((1, 2, 3), (1, 1.6)):
+        taken = Counter()
+        for r in mix_sources(docs, weights=weights).collect():
+            taken[r.doc_id, r.target] += r.taken
+        assert all(i == 2 or 0 <= target - n < 10 for (i, target), n in taken.items())
+
+
 # --- licenses --------------------------------------------------------------
 
 
@@ -273,24 +282,41 @@ def _licenses(text):
     places = [(i, label) for label, p in PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     base = {x for _, x in places}
     more, score = set(), 0.0
-    for line in low.split("\n"):
-        have = set(cut.findall(line))
-        for label, t in TEMPLATES:
-            share = len(have & set(t.split())) / len(set(t.split()))
-            if share >= 0.8 - 1e-9:
+    for at in range(0, max(len(words) - BLOCK, 0) + STEP, STEP):
+        have = set(words[at : at + BLOCK])
+        hits = {}
+        for label, keys, t in TEMPLATES:
+            own = frozenset(t.split())
+            if len(have & own) / len(own) >= 0.8 - 1e-9 and have.issuperset(keys.split()):
+                hits[own] = label
+        for own, label in hits.items():
+            if not any(own < other and label != hits[other] for other in hits):
                 more.add(label)
-                score = max(score, share)
+                score = max(score, len(have & own) / len(own))
     return len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score
 
 
 def test_licenses(spark, odd, small):
-    extra = spark.createDataFrame([(50 + i, t.upper() + " and some more", "x") for i, (_, t) in enumerate(TEMPLATES)], "doc_id long, text string, source string")
+    extra = spark.createDataFrame([(50 + i, t.upper() + " and some more", "x") for i, (_, _, t) in enumerate(TEMPLATES)] + [(90, "cc b\u212a \u212a cc by all r\u0130ghts reserved", None)], "doc_id long, text string, source string")
     for docs in (odd.select("doc_id", "text", "source").union(extra), small):
         want = sorted([(r.doc_id, *_licenses(r.text)) for r in docs.collect()], key=repr)
         assert plain(scan_licenses(docs)) == want
     assert scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_each_license_gets_its_own_label(spark):
+    before, after = "word " * 30, " word" * 30
+    rows = [(i, before + t + after) for i, (_, _, t) in enumerate(TEMPLATES)]
+    rows += [(100 + i, (before + t + after).replace(" ", "\n")) for i, (_, _, t) in enumerate(TEMPLATES)]  # wrapped hard
+    got = {r.doc_id: (r.labels, r.base_labels, r.score) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _, _) in enumerate(TEMPLATES):
+        labels, base, score = got[i]
+        assert set(labels.split(",")) == {label} | set(filter(None, base.split(","))) and score == 1.0
+        assert got[100 + i] == got[i]
+    near = [(1, "released under the x license"), (2, "licensed under the gnu general public license version 3"), (3, "Licensed under CC BY-NC 4.0.")]
+    assert {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(near, "doc_id long, text string")).collect()} == {1: "", 2: "gpl", 3: "cc-by,cc-by-nc"}
+
+
 # --- lines -----------------------------------------------------------------
 
 

@@ -88,6 +88,14 @@ def test_cache_can_overflow(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE_WORDS", 3)
     c = Codec(public_tokenizers.path("piece_bpe_32k.model"))
     texts = ["a b c d e f", "f g h a", "x"]
+    for some in (texts, texts[::-1], ["a b"], ["b c d e f g h i j k l"], texts):
+        assert [x.tolist() for x, _ in c.encode(some)] == c.lib.encode(some)
+
+
+def test_a_text_with_more_words_than_the_cache():
+    c = Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["0 1 2", " ".join(map(str, range(210_000)))]
+    c.encode(texts[:1])
     assert [x.tolist() for x, _ in c.encode(texts)] == c.lib.encode(texts)
 
 
