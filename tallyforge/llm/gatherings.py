@@ -12,7 +12,9 @@ isn't linked with H that number is positive, and mostly about half of either
 difference: pairs are joined by the rarest elements of their differences
 alone (a prefix filter), which are the edits that a text has to itself.
 Texts that all lie near the head, but not near one another, share none of
-these and cost nothing; no candidate is left out.
+these and cost nothing; no candidate is left out. The head may be any set: a
+gathering is handed over to the largest one that a node of it belongs to, so
+that most nodes are compared under one head.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, stored
 
 #: Gatherings of so many nodes at most are compared pair by pair; that bounds the pairs by as many a node.
-FEW = 32
+FEW = 64
 
 
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -45,33 +47,37 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _many(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates in large gatherings (head, node, label), by the rarest elements of their differences from the head."""
+    """Candidates in large gatherings (head, head_label, node, label): nodes linked with the head, and pairs by the rarest elements of their differences from it."""
     c = F.lit(100 - percent) / F.lit(100 + percent)
-    far = stored(_differences(rows, sets), "differences")
-    each = far.select("head", "node", F.explode("difference").alias("element"))
-    often = each.groupBy("head", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ranked = each.join(often, ["head", "element"], "left").groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "element"))).alias("ranked"))
+    far = stored(_differences(rows.select("head", "node", "label"), sets), "differences")
     d, total = F.size("difference"), F.col("n_node") + F.col("n_head")
     linked = d * (100 + percent) <= total * (100 - percent)
     shared = (d - c * (F.col("n_node") - F.col("n_head"))) / 2  # of a pair with a node that isn't linked with the head
     shared_near = (d - c * total) / 2  # of such a node with one that is linked
     least = lambda x: F.greatest(F.lit(1), F.ceil(x - F.lit(1e-6))).cast("int")
     sized = far.select("head", "node", "label", linked.alias("linked"), "n_node", d.alias("d"), (d - least(shared) + 1).alias("short"), F.when(linked, d - least(shared) + 1).otherwise(d - least(shared_near) + 1).alias("long"))
-    prefix = sized.join(ranked, ["head", "node"]).select("head", "node", "label", "linked", "n_node", "d", "short", F.posexplode(F.slice("ranked", F.lit(1), F.greatest("long", F.lit(0)))).alias("at", "e"))
-    prefix = stored(prefix.filter("e.n > 1").select("head", "node", "label", "linked", "n_node", "d", "at", (F.col("at") < F.col("short")).alias("short"), F.col("e.element").alias("element")), "prefixes")
+    # Elements that no other difference has come first in the order; they take up places, but need no row.
+    each = far.select("head", "node", F.explode("difference").alias("element"))
+    often = each.groupBy("head", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ranked = each.join(often, ["head", "element"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ranked"))
+    alone = F.col("d") - F.size("ranked")
+    prefix = sized.join(ranked, ["head", "node"]).select("head", "node", "label", "linked", "n_node", "d", "short", alone.alias("alone"), F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.col("long") - alone, F.lit(0)))).alias("at", "e"))
+    at = F.col("alone") + F.col("at")
+    prefix = stored(prefix.select("head", "node", "label", "linked", "n_node", "d", at.alias("at"), (at < F.col("short")).alias("short"), F.col("e.element").alias("element")), "prefixes")
     a, b = (prefix.select("head", "element", *(F.col(x).alias(f"{x}_{s}") for x in ("node", "label", "linked", "n_node", "d", "at", "short"))) for s in "ab")
     needed = (F.col("d_a") + F.col("d_b") - c * (F.col("n_node_a") + F.col("n_node_b"))) / 2 - 1e-6
     room = F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
     roles = F.when(F.col("linked_b"), ~F.col("linked_a")).otherwise(~F.col("linked_a") & F.col("short_a") & F.col("short_b") & (F.col("node_a") < F.col("node_b")))
+    mine = far.filter(linked).join(rows.select("head", "head_label").distinct(), "head").filter("label != head_label").select(F.greatest("head", "node").alias("a"), F.least("head", "node").alias("b"))
     found = a.join(b, ["head", "element"]).filter((F.col("label_a") != F.col("label_b")) & roles & (room >= needed))
-    return found.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+    return found.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).unionByName(mine)
 
 
 def _few(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Candidates in small gatherings (head, node, label): all pairs of different components that share `least` minhashes or more."""
     known = rows.join(classes.select("node", "sketch"), "node")
     a, b = (known.select("head", *(F.col(x).alias(f"{x}_{s}") for x in ("node", "label", "sketch"))) for s in "ab")
-    found = a.join(b, "head").filter("node_a > node_b AND label_a != label_b").filter(F.size(F.array_intersect("sketch_a", "sketch_b")) >= least)
+    found = a.join(b, "head").filter((F.col("node_a") > F.col("node_b")) & (F.col("label_a") != F.col("label_b"))).filter(F.size(F.array_intersect("sketch_a", "sketch_b")) >= least)
     return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -84,4 +90,10 @@ def open_pairs(gatherings: DataFrame, part: DataFrame, classes: DataFrame, sets:
     labelled = stored(gatherings.join(part, "node", "left").select("head", "node", F.coalesce("label", "node").alias("label")), "labelled")
     sizes = labelled.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 2 AND lo != hi").select("head", "n")
     mixed = stored(labelled.join(sizes, "head").filter("node != head"), "mixed")
+    # Each gathering goes to the largest one that any of its nodes is in.
+    tops = mixed.groupBy("node").agg(F.max(F.struct("n", "head")).alias("top"))
+    taken = mixed.join(tops, "node").groupBy("head").agg(F.max("top").alias("top")).select("head", F.col("top.head").alias("into"))
+    merged = stored(mixed.join(taken, "head").select(F.col("into").alias("head"), "node", "label").filter("node != head").distinct(), "merged")
+    sizes = merged.groupBy("head").agg(F.count(F.lit(1)).alias("n")).join(part.select(F.col("node").alias("head"), F.col("label").alias("head_label")), "head", "left").withColumn("head_label", F.coalesce("head_label", "head"))
+    mixed = stored(merged.join(sizes, "head"), "mixed")
     return _few(mixed.filter(F.col("n") <= FEW), classes, least).unionByName(_many(mixed.filter(F.col("n") > FEW), sets, percent)).distinct()
