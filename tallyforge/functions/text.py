@@ -74,7 +74,8 @@ def mask_account(s: Column | str) -> Column:
 
 
 def is_date_like(s: Column | str) -> Column:
-    return F.coalesce(trimmed(col(s)).rlike(r"^(\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d{1,2}[/-]\d{1,2}|\d{1,2}[ -][A-Za-z]{3,9}([ ,-]+\d{2,4})?)$"), F.lit(False))
+    """Three numbers, or a day, a month's name and a year."""
+    return F.coalesce(trimmed(col(s)).rlike(r"^(\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d{1,2}[ -][A-Za-z]{3,9}[ ,-]+\d{2,4})$"), F.lit(False))
 
 
 def is_amount_like(s: Column | str) -> Column:
@@ -156,14 +157,30 @@ def redact(key: Column, value: Column, allowed: tuple[str, ...]) -> Column:
 
 # The end of a line: optional currency, sign, parenthesis, number, parenthesis, sign, currency, mark.
 AMOUNT_END = r"(?i)(?:(?<![A-Za-z0-9])([A-Za-z]{3}|S\$|US\$|HK\$|A\$|[$€£¥])\s*)?([+-])?\s*(\()?\s*([+-])?(\d[\d.,  ]*\d|\d)\s*(\))?\s*([+-])?\s*([A-Z]{3})?\s*(?:\b(CR|DR|C|D)\.?)?\s*$"
-NOT_ROWS = r"(?i)^\s*page \d+|\b(opening|closing|brought forward|carried forward) balance\b|\b(19|20)\d\d\b.*\b(19|20)\d\d\b|^\s*(19|20)\d\d\s*$|^\s*(january|february|march|april|may|june|july|august|september|october|november|december)( (19|20)\d\d)?\s*$"
+# What makes a line no transaction. Page footers; summary phrases; two years; a month's or a year's banner; a date alone.
+PAGE_FOOTER = r"(?i)\bpage\s*[\dIlO]+\s*(?:of|/|0f)\s*[\dIlO.,]+"
+SUMMARY_PHRASES = ("transactions as of", "available balance", "ledger balance", "current balance", "opening balance", "closing balance", "available credit limit", "reward points")
+SUMMARY_STARTS = r"^(?:(?:sub)?total\b|ref(?:erence)?[:\s])"
+TWO_YEARS = r"\b(?:19|20)\d\d\b.*\b(?:19|20)\d\d\b"
+BANNER = r"^(?:[A-Za-z]{3,}\s+)?(?:19|20)\d\d$"
+DATE_GROUP = r"(?i)^(?:(?:[a-z]+day|yesterday|today),?\s*)?(\d{1,2}\s*[a-z]{3,}\s+\d{4})$"
 _MONTH = "^(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)$"
 
 
+def no_transaction(line: Column | str) -> Column:
+    """Whether a line's wording or shape rules out an amount line, whatever number ends it."""
+    t = trimmed(col(line))
+    low = F.lower(t)
+    out = t.rlike(PAGE_FOOTER) | t.rlike(TWO_YEARS) | t.rlike(BANNER) | t.rlike(DATE_GROUP) | low.rlike(SUMMARY_STARTS)
+    for phrase in SUMMARY_PHRASES:
+        out = out | F.contains(low, F.lit(phrase))
+    return out
+
+
 def amount_line(line: Column | str) -> Column:
     """struct(minor, currency, decimals, mark, start) of the amount that ends a line, null without one.
 
-    Rejected: page, balance and month lines; a month's name as currency; more
+    Rejected: what `no_transaction` holds; a month's name as currency; more
     than eight digits, or a single one, without any decoration.
     """
 
@@ -172,7 +189,7 @@ def amount_line(line: Column | str) -> Column:
         before, after = F.upper(g(1)), F.upper(g(8))
         digits = F.regexp_replace(g(5), r"\D", "")
         decorated = (g(1) != "") | (g(2) != "") | (g(3) != "") | (g(4) != "") | (g(7) != "") | (after != "") | (g(9) != "") | g(5).rlike(r"[.,]\d{2}$")
-        ok = (g(5) != "") & ~s.rlike(NOT_ROWS) & ~before.rlike(_MONTH) & ~after.rlike(_MONTH) & (decorated | F.length(digits).between(2, 8))
+        ok = (g(5) != "") & ~no_transaction(s) & ~before.rlike(_MONTH) & ~after.rlike(_MONTH) & (decorated | F.length(digits).between(2, 8))
         negative = (g(2) == "-") | (g(4) == "-") | (g(7) == "-") | ((g(3) != "") & (g(6) != ""))
         value = parse_amount(g(5))["minor"]
         code = F.coalesce(blank_as_null(F.regexp_extract(before, "^[A-Z]{3}$", 0)), blank_as_null(after))
@@ -247,3 +264,54 @@ def currency_in_text(s: Column | str, codes: tuple[str, ...]) -> Column:
     for sign, c in (("¥", "JPY"), ("£", "GBP"), ("€", "EUR"), (r"A\$", "AUD"), (r"S\$", "SGD"), (r"US\$", "USD"), (r"HK\$", "HKD")):
         out = F.when(col(s).rlike(sign if "$" not in sign else rf"(?<![A-Z]){sign}"), F.lit(c)).otherwise(out)
     return out
+
+
+def both_directions(source: Column, target: Column, rate: Column) -> Column:
+    """A rate and its inverse, to four places, as text; the inverse of 0 is 0."""
+    from tallyforge.functions.amounts import round4
+
+    plain = lambda x: F.regexp_replace(F.format_number(x, 4), r",|\.?0+$", "")
+    inverse = round4(F.when(rate != 0, 1 / rate).otherwise(0.0))
+    return F.concat(F.lit("1 "), source, F.lit(" = "), plain(rate), F.lit(" "), target, F.lit(" (1 "), target, F.lit(" = "), plain(inverse), F.lit(" "), source, F.lit(")"))
+
+
+def grouped_number(raw: Column | str) -> Column:
+    """A run of digits and separators as plain text, or null: a comma before one or two final digits is decimal, else a point before one to three is."""
+    c = F.regexp_replace(col(raw), "\u00a0", " ")
+    euro, us = r"^([\d.\s]*\d),(\d{1,2})$", r"^([\d,]+)(?:\.(\d{1,3}))?$"
+    whole = F.concat(F.regexp_replace(F.regexp_extract(c, euro, 1), r"[.\s]", ""), F.lit("."), F.regexp_extract(c, euro, 2))
+    cents = F.regexp_extract(c, us, 2)
+    return F.when(c.rlike(euro), whole).when(c.rlike(us), F.concat(F.replace(F.regexp_extract(c, us, 1), F.lit(","), F.lit("")), F.when(cents != "", F.concat(F.lit("."), cents)).otherwise("")))
+
+
+def with_cents(digits: Column | str) -> Column:
+    return F.when(F.contains(col(digits), F.lit(".")), col(digits)).otherwise(F.concat(col(digits), F.lit(".00")))
+
+
+def bank_hint(s: Column | str, banks: tuple[tuple[str, str], ...]) -> Column:
+    """The name of the first of the marks (mark, name) that a text holds, or null."""
+    out = F.lit(None).cast("string")
+    for mark, name in reversed(banks):
+        out = F.when(F.contains(F.lower(col(s)), F.lit(mark)), F.lit(name)).otherwise(out)
+    return out
+
+
+def bank_of_filename(name: Column | str) -> Column:
+    """The first run of letters of a file's name without its extension, with a capital; else My bank."""
+    word = F.regexp_extract(F.regexp_replace(col(name), r"\.[^.]+$", ""), "[A-Za-z]+", 0)
+    return F.when(word == "", "My bank").otherwise(F.initcap(word))
+
+
+def year_hint(s: Column | str) -> Column:
+    """The first year from 1900 to 2099 in a text, or null."""
+    return F.regexp_extract(col(s), r"\b(20\d{2}|19\d{2})\b", 1).try_cast("int")
+
+
+def humanize_pattern(pattern: Column | str) -> Column:
+    """A saved name pattern as people write it: * for anything."""
+    return F.replace(F.replace(F.regexp_replace(col(pattern), r"^\^|\$$", ""), F.lit("\\."), F.lit(".")), F.lit(".*"), F.lit("*"))
+
+
+def redact_entries(values: Column, allowed: tuple[str, ...]) -> Column:
+    """A map of key to text, each value redacted by its key."""
+    return F.transform_values(values, lambda k, v: redact(k, v, allowed))

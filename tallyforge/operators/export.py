@@ -72,6 +72,29 @@ class Layout:
             out += [Out("money_out", "Money out"), Out("money_in", "Money in")] if c.field == "amount" else [c]
         return replace(self, columns=tuple(out))
 
+    def reorder(self, picked: list[int]) -> Layout:
+        """The picked columns in their order, then the others in theirs."""
+        first = [self.columns[i] for i in picked if 0 <= i < len(self.columns)]
+        return replace(self, columns=(*first, *(c for i, c in enumerate(self.columns) if i not in set(picked))))
+
+    def toggle(self, i: int) -> Layout:
+        return self.change(i, enabled=not self.columns[i].enabled)
+
+    def option(self, key: str, value: object) -> Layout:
+        return replace(self, **{key: value})
+
+    def apply(self, key: str) -> Layout:
+        """The columns of one of the fixed layouts; name and options stay."""
+        return replace(self, columns=Layout.of(key).columns)
+
+    def same_settings(self, other: Layout | None) -> bool:
+        """Whether all but the name and fixed texts agree."""
+        plain = lambda x: (x.date_format, x.sign_convention, x.header_row, [(c.field, c.name, c.enabled) for c in x.columns])
+        return other is not None and plain(self) == plain(other)
+
+    def fields(self) -> tuple[str, ...]:
+        return tuple(c.field for c in self.columns)
+
     def problems(self) -> list[str]:
         return ["no name"] * (not self.name.strip()) + ["no column"] * (not self.active())
 
@@ -80,6 +103,63 @@ class Layout:
         return next((k for k, v in LAYOUTS.items() if tuple(f for f, _ in v) == fields), None)
 
 
+def deduped(columns: tuple[Out, ...]) -> tuple[Out, ...]:
+    """The first column of each field; blank and fixed ones may repeat."""
+    seen: set[str] = set()
+    return tuple(c for c in columns if c.field in VALUELESS or not (c.field in seen or seen.add(c.field)))
+
+
+def picker_label(working: Layout, saved: list[Layout]) -> str:
+    return next((x.name for x in saved if working.same_settings(x)), "Last used")
+
+
+def working_layout(stored: Layout | None, saved: list[Layout], start: int | None = None) -> Layout:
+    """The stored layout, else the saved one at a place, else the first."""
+    return stored or saved[start if start is not None and 0 <= start < len(saved) else 0]
+
+
+# The columns of an export over several files, and those that it gets where some row has a value in them.
+UNION = (("date", "Date"), ("account_label", "Account"), ("description_raw", "Description"), ("amount", "Amount"), ("currency", "Currency"))
+UNION_OPTIONAL = (("post_date", "Posting date"), ("reference", "Reference"), ("type", "Type"), ("orig_amount", "Original amount"), ("orig_currency", "Original currency"))
+
+
+def union_layout(rows: DataFrame) -> Layout:
+    """The layout for all files' rows together: one pass over the rows tells which optional columns hold anything."""
+    from tallyforge.operators.ledger import active
+
+    have = rows.columns
+    filled = [F.max(F.coalesce(F.col(f).cast("string"), F.lit("")) != "").alias(f) if f in have else F.lit(False).alias(f) for f, _ in UNION_OPTIONAL if not f.startswith("orig_")]
+    other = F.max(F.coalesce(F.col("orig_currency") != F.col("currency"), F.lit(False))).alias("orig") if "orig_currency" in have else F.lit(False).alias("orig")
+    got = active(rows).agg(*filled, other).first()
+    return Layout("union", tuple(Out(f, n) for f, n in (*UNION, *((f, n) for f, n in UNION_OPTIONAL if got["orig" if f.startswith("orig_") else f]))))
+
+
+def extra_fields(columns: list[str], versions: DataFrame) -> DataFrame:
+    """Extra fields of sample rows (column names) and of saved versions (extras: array of names): field and name, distinct."""
+    from tallyforge.functions.text import humanize_extra
+
+    own = versions.sparkSession.createDataFrame([(c,) for c in columns if c.startswith("extra_")], "field string")
+    both = own.unionByName(versions.select(F.explode("extras").alias("field"))).distinct()
+    return both.select("field", humanize_extra("field").alias("name"))
+
+
+def rows_for_export(rows: DataFrame, start: str | None, end: str | None, target: str | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """Active rows in the range; with a target currency the converted amounts take the amounts' place and those stay as original ones."""
+    from tallyforge.operators.ledger import active, convert, in_range
+
+    kept = active(rows).filter(in_range("date", start, end))
+    if target is None:
+        return kept
+    done = convert(kept, target, rates).withColumns({"orig_amount": F.col("amount"), "orig_currency": F.col("currency"), "amount": F.col("converted_amount"), "currency": F.col("converted_currency")})
+    return done.drop("converted_amount", "converted_currency", "fx_rate")
+
+
+def mark_exported(markers: DataFrame, rows: DataFrame) -> DataFrame:
+    """Markers (account, marker) after an export: the later of each account's marker and its last date."""
+    new = rows.filter("date IS NOT NULL AND account IS NOT NULL").groupBy("account").agg(F.max("date").alias("new"))
+    return markers.join(new, "account", "full_outer").select("account", F.greatest("marker", "new").alias("marker"))
+
+
 def field_value(field: str, layout: Layout, have: list[str], value: str = "") -> Column:
     """The text of one column for each row."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
@@ -139,5 +219,6 @@ def write_text(rows: DataFrame, layout: Layout, path: str, order: list[str], del
         lines.write.mode("overwrite").option("lineSep", "\r\n").text(path + "/rows")
 
 
-def suggest_filename(first: str | None, last: str | None, ext: str = "csv") -> str:
-    return "_".join(["statement-export", *[x for x in dict.fromkeys((first, last)) if x]]) + f".{ext}"
+def filename_of(first: Column | str, last: Column | str, ext: str = "csv") -> Column:
+    """The name of an export's file: its first and last date, one of them if they are equal, neither without rows."""
+    return F.concat(F.concat_ws("_", F.lit("statement-export"), col(first), F.when(col(last) != col(first), col(last))), F.lit(f".{ext}"))

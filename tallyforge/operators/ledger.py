@@ -161,7 +161,9 @@ def merge_across_files(rows: DataFrame, file_col: str = "file", recognised: Colu
 def near_pairs(rows: DataFrame, file_col: str = "file", id_col: str = "row_id") -> DataFrame:
     """One pair per near key and pair of files: equal but for the description, each row's fingerprint missing from the other file."""
     seen = rows.select(F.col(file_col).alias("file"), F.col(id_col).alias("row_id"), near_key().alias("nk"), fingerprint().alias("fp")).filter("nk IS NOT NULL")
-    have = seen.select("nk", "file", "fp").distinct()
+    # Of equal rows of a file the least stands for all.
+    seen = seen.groupBy("nk", "file", "fp").agg(F.min("row_id").alias("row_id"))
+    have = seen.select("nk", "file", "fp")
     a, b = seen.alias("a"), seen.alias("b")
     pairs = a.join(b, (F.col("a.nk") == F.col("b.nk")) & (F.col("a.file") < F.col("b.file")) & (F.col("a.fp") != F.col("b.fp")))
     pairs = pairs.select(F.col("a.nk").alias("nk"), F.col("a.file").alias("file_a"), F.col("b.file").alias("file_b"), F.col("a.row_id").alias("row_a"), F.col("b.row_id").alias("row_b"), F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b"))
@@ -176,6 +178,27 @@ def duplicate_files(files: DataFrame, order: str) -> DataFrame:
     return files.withColumn("duplicate_of", F.when(first != F.col("file_id"), first))
 
 
+def exact_duplicate_file(count: Column, total: Column, same_bytes: Column, other_total: Column) -> Column:
+    """Whether all rows of a file are in another one, and that has the same bytes or as many rows."""
+    return (count == total) & (F.coalesce(same_bytes, F.lit(False)) | (other_total == total))
+
+
+def resolve_pairs(rows: DataFrame, pairs: DataFrame, choices: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """Rows with `dropped`: the second row of each near pair that people chose to merge (choices: nk, choice; `both` keeps both)."""
+    gone = pairs.join(choices.filter("choice = 'merge'"), "nk").select(F.col("row_b").alias(id_col)).distinct().withColumn("dropped", F.lit(True))
+    return rows.join(gone, id_col, "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+
+
+def undo_dedupe(rows: DataFrame) -> DataFrame:
+    """Rows as they were before any merge: nothing is kept out and no file counts as merged."""
+    return rows.withColumns({c: F.lit(v) for c, v in (("kept", True), ("dropped", False)) if c in rows.columns})
+
+
+def dedupe_notice(rows: DataFrame, file_col: str = "file") -> DataFrame:
+    """What merging and choices took out of each file: file, removed."""
+    return rows.groupBy(file_col).agg(F.count_if(~F.col("kept") | F.col("dropped")).alias("removed")).filter("removed > 0")
+
+
 # --- currencies ------------------------------------------------------------
 
 

@@ -29,9 +29,12 @@ def keyword_score(keywords: Column, text: Column) -> Column:
 
 
 def filename_score(pattern: Column, name: Column) -> Column:
-    """1 where the saved tokens stand in the name in their order. Patterns are tokens joined by .*, so no user pattern runs here."""
-    like = F.concat(F.lit("%"), F.replace(F.lower(pattern), F.lit(".*"), F.lit("%")), F.lit("%"))
-    return F.when((pattern != "") & F.like(F.lower(name), like), 1.0).otherwise(0.0)
+    """1 where the saved tokens stand in the name in their order, else 0. Patterns are tokens joined by `.*`, optionally between ^ and $; any other sign in them is an error, so no user pattern runs here."""
+    bare = F.regexp_replace(F.lower(pattern), r"^\^(\.\*)?|(\.\*)?(\\\.[a-z0-9]+)?\$$", "")
+    parts = F.split(bare, r"\.\*")
+    odd = F.exists(parts, lambda p: ~p.rlike(r"^[a-z0-9 _-]*$"))
+    left = F.aggregate(parts, F.lower(name), lambda rest, p: F.when(F.contains(rest, p), F.substr(rest, F.position(p, rest) + F.length(p))))  # null once a token is missing
+    return F.when(odd, F.raise_error(F.concat(F.lit("not a file name pattern: "), pattern))).when((bare != "") & left.isNotNull(), 1.0).otherwise(0.0)
 
 
 def signature_score(p: str, f: str) -> Column:

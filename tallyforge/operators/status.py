@@ -79,3 +79,106 @@ def warning_rows(rows: DataFrame, *keys: str) -> DataFrame:
     """Active rows with a flag that isn't informational, by key."""
     real = F.size(F.array_except("flags", F.array(*map(F.lit, INFORMATIONAL)))) > 0
     return active(rows).groupBy(*keys).agg(F.count_if(real).alias("warnings"))
+
+
+# What a flag says.
+FLAG_LABELS = {
+    "pending": "Pending, not yet posted", "unmatched_line": "Could not match to a line on the page", "unknown_currency": "Currency not recognised, using the statement currency",
+    "balance_mismatch": "Amount may be misread, the balance does not add up",
+}
+#: States that get a card as they stand; a healthy file gets one for warnings or for a missing currency.
+CARDS = ("ocrFailed", "noTransactions", "unreadableDates", "matchFailed", "new", "layoutChanged", "lowConfidence")
+
+
+def flag_label(flag: Column, hint: Column | None = None) -> Column:
+    """A flag's text; an unknown flag is its own; a row's hint goes before that of low_confidence_ocr."""
+    out = flag
+    for k, v in FLAG_LABELS.items():
+        out = F.when(flag == k, F.lit(v)).otherwise(out)
+    return out if hint is None else F.when((flag == "low_confidence_ocr") & (F.coalesce(hint, F.lit("")) != ""), hint).otherwise(out)
+
+
+def attention_cards(files: DataFrame) -> DataFrame:
+    """Cards of files (file_id, status, warnings, dismissed, no_currency, currency_resolved): file_id, kind."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    healthy = F.col("status") == "healthy"
+    kinds = F.array_compact(F.array(F.when(F.col("status").isin(*CARDS), F.col("status")), F.when(healthy & (F.col("warnings") > 0) & ~yes("dismissed"), "warnings"), F.when(healthy & yes("no_currency") & ~yes("currency_resolved"), "currencyUnknown")))
+    return files.select("file_id", F.explode(kinds).alias("kind"))
+
+
+def source_included(files: DataFrame) -> DataFrame:
+    """Files whose rows go into an export: not left out by hand, and with readable dates."""
+    return files.filter(F.coalesce("include", F.lit(True)) & (F.col("status") != "unreadableDates"))
+
+
+def not_included(files: DataFrame) -> DataFrame:
+    """Reasons why files are left out, and how many: reason, n, label."""
+    reason = F.when(F.col("status") == "unreadableDates", "dates could not be read").when(F.col("status") == "matchFailed", "could not be read").otherwise("not mapped yet")
+    n = files.filter("status NOT IN ('healthy', 'processing')").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("reason", "n", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " file").otherwise(" files"), F.lit(" not included ("), F.col("reason"), F.lit(")")).alias("label"))
+
+
+def health_badge(warnings: Column, mismatch: Column, mismatch_fails: Column) -> Column:
+    """struct(label, tone): a count mismatch's text first, then the warnings, else all passed."""
+    told = F.concat(warnings.cast("string"), F.when(warnings == 1, " warning").otherwise(" warnings"))
+    return F.struct(
+        F.when(mismatch.isNotNull(), mismatch).when(warnings > 0, told).otherwise("All checks pass").alias("label"),
+        F.when(mismatch.isNotNull(), F.when(mismatch_fails, "danger").otherwise("warn")).when(warnings > 0, "warn").otherwise("ok").alias("tone"),
+    )
+
+
+def last_used_label(rows: Column, valid: Column, missing: Column, unparseable: Column) -> Column:
+    """How a saved type's last use went; null without rows."""
+    of = lambda n, what: F.concat(F.lit(f"Last used: {what} on "), n.cast("string"), F.lit(" of "), rows.cast("string"), F.lit(" rows"))
+    whole = F.concat(F.lit("Last used: "), rows.cast("string"), F.lit(" of "), rows.cast("string"), F.lit(" rows read"))
+    return F.when(rows > 0, F.when(valid >= rows, whole).when(missing >= unparseable, of(missing, "amounts missing")).otherwise(of(unparseable, "dates unreadable")))
+
+
+def extraction_failed(rows: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
+    """Per file: whether all its rows are skipped, and whether its extraction failed (no rows, or dates unreadable for more than half)."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("skipped").alias("s"), F.count_if(F.col("date").isNull()).alias("u"))
+    out = files.select(key).join(n, key, "left")
+    return out.select(key, F.coalesce((F.col("n") > 0) & (F.col("s") == F.col("n")), F.lit(False)).alias("all_skipped"), F.coalesce((F.col("n") == 0) | (F.col("u") / F.col("n") > 0.5), F.lit(True)).alias("failed"))
+
+
+def neighbours_of(n: Column, index: Column) -> Column:
+    """struct(next, previous) in a list of n around its ends; -1 where it is empty."""
+    return F.struct(F.when(n > 0, F.pmod(index + 1, n)).otherwise(-1).alias("next"), F.when(n > 0, F.pmod(index - 1, n)).otherwise(-1).alias("previous"))
+
+
+# --- choosing and applying a match -----------------------------------------
+
+
+def compatible(files: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Saved profiles of each file's type: file_id and `profile_ids`, in order."""
+    by_type = profiles.groupBy("type").agg(F.array_sort(F.collect_list("profile_id")).alias("profile_ids"))
+    return files.join(by_type, "type", "left").select("file_id", F.coalesce("profile_ids", F.array().cast("array<string>")).alias("profile_ids"))
+
+
+def next_untried(matches: DataFrame, tried: DataFrame) -> DataFrame:
+    """The first match of each file (file_id, profile_id, rank) that hasn't been tried."""
+    return matches.join(tried, ["file_id", "profile_id"], "left_anti").groupBy("file_id").agg(F.min_by("profile_id", "rank").alias("profile_id"))
+
+
+def quality_losers(scored: DataFrame, picked: DataFrame) -> DataFrame:
+    """The best of the saved profiles whose quality is below the picked one's: file_id, profile_id."""
+    p = picked.select("file_id", F.col("profile_id").alias("picked"))
+    with_p = scored.join(p, "file_id")
+    quality = F.max(F.when(F.col("profile_id") == F.col("picked"), F.col("quality"))).over(_by_file())
+    lost = with_p.withColumn("_q", F.coalesce(quality, F.lit(0.0))).filter("profile_id != picked AND NOT built_in AND quality < _q")
+    return lost.groupBy("file_id").agg(F.max_by("profile_id", F.struct("quality", (-F.col("rank")).alias("o"))).alias("profile_id"))
+
+
+def _by_file():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("file_id")
+
+
+def apply_best(candidates: DataFrame, failed: DataFrame) -> DataFrame:
+    """The match to apply for each file after fallbacks: the best candidate (by quality, confidence and rank) whose extraction didn't fail, else the first one: file_id, profile_id, fell_back."""
+    c = candidates.join(failed.withColumn("_bad", F.lit(True)), ["file_id", "profile_id"], "left")
+    good = F.coalesce("_bad", F.lit(False))
+    best = F.max_by("profile_id", F.struct((~good).alias("ok"), "quality", "confidence", (-F.col("rank")).alias("o")))
+    first = F.max_by("profile_id", F.struct("quality", "confidence", (-F.col("rank")).alias("o")))
+    return c.groupBy("file_id").agg(best.alias("profile_id"), first.alias("_first")).select("file_id", "profile_id", (F.col("profile_id") != F.col("_first")).alias("fell_back"))

@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import amounts, dates, text
 from tallyforge.operators import catalogue, export, grid, infer, ledger, match, pages, review, status
-from tallyforge.plans.views import DUCK_RUNNING, SEEN, TXN, duck, running, seen, txn
+from tallyforge.plans.registry import T, query
+from tallyforge.plans.registry import read as _read
+from tallyforge.plans.views import DUCK_RUNNING, SEEN, duck, running, seen, txn
 from tallyforge.sources import files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-T = f"({duck(TXN)}) txn"
-
-
-def query(sql: str | None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- amounts ---------------------------------------------------------------
 
 
@@ -73,10 +54,9 @@ def num_03_04_05_format_minor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn(spark, sf_dir).select("row_id", amounts.format_minor("amount", "currency").alias("plain"), amounts.format_minor("amount", "currency", True).alias("grouped"), amounts.decimals_for("currency").alias("decimals"))
 
 
-@query(f"SELECT row_id, CASE WHEN amount < 0 THEN '-' ELSE '' END || format('{{:,}}', abs(amount) // 100) || '.' || lpad(CAST(abs(amount) % 100 AS STRING), 2, '0') AS grouped FROM {T} WHERE currency <> 'JPY'")
+@query(f"SELECT row_id, CASE WHEN amount < 0 THEN '-' ELSE '' END || CASE WHEN currency = 'JPY' THEN format('{{:,}}', abs(amount)) ELSE format('{{:,}}', abs(amount) // 100) || '.' || lpad(CAST(abs(amount) % 100 AS STRING), 2, '0') END AS grouped FROM {T}")
 def num_06_group_plain_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = txn(spark, sf_dir).filter("currency <> 'JPY'")
-    return rows.select("row_id", amounts.group_plain_number(amounts.format_minor("amount", "currency")).alias("grouped"))
+    return txn(spark, sf_dir).select("row_id", amounts.group_plain_number(amounts.format_minor("amount", "currency")).alias("grouped"))
 
 
 @query(f"""SELECT row_id, {_PLAIN.replace("amount < 0", "amount > 0")} AS flipped, CASE WHEN amount < 0 THEN substr({_PLAIN}, 2) ELSE '' END AS money_out, CASE WHEN amount >= 0 THEN {_PLAIN} ELSE '' END AS money_in FROM {T}""")
@@ -270,7 +250,7 @@ def src_05_06_07_detect_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame
 def src_10_grid_01_02_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delimiter, quoted cells, header, footer and an ignored row, from text to records."""
     s = _statements(spark, sf_dir)
-    g = s.join(files.detect_delimiter(s), "file_id").select("file_id", files.parse_grid("text", "delimiter").alias("grid"))
+    g = files.parse_grids(s)
     window = grid.Window(header_row=1, footers=(grid.Rule("startsWith", "total"),), ignored=(grid.Rule("regex", "^3 part"),))
     out = grid.apply_window(g, window)
     return out.select("file_id", F.col("record")["Line"].alias("line"), F.col("record")["Part"].alias("part"), F.col("record")["Supplier"].alias("supplier"))
@@ -279,7 +259,7 @@ def src_10_grid_01_02_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT l_orderkey AS file_id, 1 AS header_row, 1 AS footer_rows FROM lineitem")
 def win_12_13_header_and_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _statements(spark, sf_dir)
-    g = s.join(files.detect_delimiter(s), "file_id").select("file_id", files.parse_grid("text", "delimiter").alias("grid")).withColumn("header_row", grid.suggest_header_row("grid"))
+    g = files.parse_grids(s).withColumn("header_row", grid.suggest_header_row("grid"))
     return g.select("file_id", "header_row", grid.footer_rows("grid", F.col("header_row")).alias("footer_rows"))
 
 
@@ -450,10 +430,9 @@ def snk_01_03_04_lay_09_13_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.delimited(rows, export.Layout(columns=layout.columns, date_format="DD/MM/YYYY"), ("row_id",))
 
 
-@query("SELECT doc_id, '\"' || replace(text, '\"', '\"\"') || '\"' AS cell FROM documents WHERE contains(text, chr(10)) OR contains(text, chr(13)) OR contains(text, chr(9)) OR contains(text, '\"')")
+@query("SELECT doc_id, CASE WHEN contains(text, chr(10)) OR contains(text, chr(13)) OR contains(text, chr(9)) OR contains(text, '\"') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM documents")
 def snk_02_escape_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = export.escape_cell("text", "\t")
-    return _read(spark, sf_dir, "documents").select("doc_id", cell.alias("cell"), "text").filter("cell <> text").drop("text")
+    return _read(spark, sf_dir, "documents").select("doc_id", export.escape_cell("text", "\t").alias("cell"))
 
 
 # --- review ----------------------------------------------------------------

@@ -9,11 +9,12 @@ from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions.expr import col
+from tallyforge.functions.expr import col, let
 
 MAX_FILE_BYTES = 25 * 1024 * 1024
 WARN_FILES, WARN_ROWS = 50, 100_000
@@ -51,8 +52,9 @@ def admit(files: DataFrame) -> DataFrame:
     return files.withColumn("rejected", F.when(F.col("length") > MAX_FILE_BYTES, "too large"))
 
 
-def batch_warnings(files: int, rows: int) -> list[str]:
-    return [f"more than {WARN_FILES} files"] * (files > WARN_FILES) + [f"more than {WARN_ROWS} rows"] * (rows > WARN_ROWS)
+def too_many(n_files: Column | str, n_rows: Column | str) -> Column:
+    """struct(files, rows): a warning for each number that is too large for one batch, else null."""
+    return F.struct(F.when(col(n_files) > WARN_FILES, f"more than {WARN_FILES} files").alias("files"), F.when(col(n_rows) > WARN_ROWS, f"more than {WARN_ROWS} rows").alias("rows"))
 
 
 def lines_of(text: Column | str) -> Column:
@@ -66,22 +68,28 @@ def delimiter_hits(line: Column, candidate: str) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(candidate), F.lit("")))
 
 
-def detect_delimiter(files: DataFrame, id_col: str = "file_id", text_col: str = "text", sample: int = 20) -> DataFrame:
-    """The id column and `delimiter`.
+def delimiter_of(text: Column | str, sample: int = 20) -> Column:
+    """The delimiter of a text, told on its own row.
 
     Over the first 20 lines that aren't blank, each candidate scores by how
     many lines agree on its commonest count above zero, then by lines that have
     it, then by that count; the earlier candidate wins ties; a comma without any.
     """
-    lines = F.filter(F.transform(lines_of(text_col), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", "")), lambda x: x != "")
-    each = files.select(id_col, F.explode(F.slice(lines, 1, sample)).alias("line"))
-    counted = each.select(id_col, F.inline(F.array(*[F.struct(F.lit(-i).alias("o"), F.lit(c).alias("delimiter"), delimiter_hits(F.col("line"), c).alias("hits")) for i, c in enumerate(CANDIDATES)])))
-    some = counted.filter("hits > 0").groupBy(id_col, "o", "delimiter", "hits").agg(F.count(F.lit(1)).alias("n"))
-    mode = some.groupBy(id_col, "o", "delimiter").agg(F.max(F.struct("n", "hits")).alias("mode"), F.sum("n").alias("lines"))
-    size = each.groupBy(id_col).agg(F.count(F.lit(1)).alias("total"))
-    score = F.col("mode.n") / F.col("total") * 1000 + F.col("lines") * 10 + F.col("mode.hits")
-    best = mode.join(size, id_col).groupBy(id_col).agg(F.max_by("delimiter", F.struct(score, "o")).alias("delimiter"))
-    return files.select(id_col).join(best, id_col, "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(",")))
+    lines = F.slice(F.filter(F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != ""), 1, sample)
+
+    def score(some: Column) -> Column:
+        counted = lambda c: F.filter(F.transform(some, lambda x: delimiter_hits(x, c)), lambda n: n > 0)
+        each = [F.struct(counted(c).alias("hits"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(CANDIDATES)]
+        mode = lambda h: F.array_max(F.transform(F.array_distinct(h), lambda v: F.struct(F.size(F.filter(h, lambda x: x == v)).alias("n"), v.alias("v"))))
+        told = lambda e: let(mode(e["hits"]), lambda m: F.struct((m["n"] / F.size(some) * 1000 + F.size(e["hits"]) * 10 + m["v"]).alias("s"), e["o"].alias("o"), e["c"].alias("c")))
+        return F.array_max(F.transform(F.filter(F.array(*each), lambda e: F.size(e["hits"]) > 0), told))["c"]
+
+    return F.coalesce(let(lines, score), F.lit(","))
+
+
+def detect_delimiter(files: DataFrame, id_col: str = "file_id", text_col: str = "text", sample: int = 20) -> DataFrame:
+    """The id column and `delimiter` of each file."""
+    return files.select(id_col, delimiter_of(text_col, sample).alias("delimiter"))
 
 
 def trim_lines(text: str, delimiter: str) -> str:
@@ -97,6 +105,20 @@ def parse_grid(text: pd.Series, delimiter: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else list(csv.reader(io.StringIO(trim_lines(t, d)), delimiter=d)) for t, d in zip(text, delimiter, strict=True)])
 
 
+
+def parse_grids(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
+    """The id column and `grid` of each file, its delimiter told on the way: one pass, nothing exchanged."""
+    kind = files.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grids = [None if t is None else list(csv.reader(io.StringIO(trim_lines(t, d)), delimiter=d)) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grids, pa.list_(pa.list_(pa.string())))], names=[id_col, "grid"])
+
+    return files.select(id_col, text_col, delimiter_of(text_col).alias("delimiter")).mapInArrow(run, f"`{id_col}` {kind}, grid array<array<string>>")
+
+
+
 def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[str]]:
     """The cells of a workbook's first sheet, or of the one named, as text."""
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -129,6 +151,28 @@ def parse_workbook(content: pd.Series, sheet: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else sheet_rows(c, s) for c, s in zip(content, sheet, strict=True)])
 
 
+@F.pandas_udf(T.BinaryType())
+def write_workbook(rows: pd.Series) -> pd.Series:
+    """Rows of texts as the first sheet of a workbook, with an empty second one."""
+    from xml.sax.saxutils import escape
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheets = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in ((1, "First"), (2, "Second")))
+    links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2))
+    out = []
+    for grid in rows:
+        body = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(x or "")}</t></is></c>' for x in row) + "</row>" for row in grid)
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="{office}"><sheets>{sheets}</sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{body}</sheetData></worksheet>")
+            z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {space}><sheetData/></worksheet>")
+        out.append(buffer.getvalue())
+    return pd.Series(out)
+
+
 def sheet_names(files: DataFrame) -> DataFrame:
     """path and `sheets`, in workbook order."""
 
@@ -157,4 +201,9 @@ def image_only(items: DataFrame, least: int = 40) -> DataFrame:
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Saved statement profiles, one JSON document each; built-in ones are left out."""
     df = spark.read.option("multiLine", True).schema("id string, name string, bank string, statementType string, fileType string, builtIn boolean, versions string").json(path)
-    return df.filter(~F.coalesce("builtIn", F.lit(False)) & ~F.col("id").startswith("builtin-"))
+    return own_profiles(df)
+
+
+def own_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles that people saved themselves."""
+    return profiles.filter(~F.coalesce("builtIn", F.lit(False)) & ~F.col("id").startswith("builtin-"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import amounts, dates, text
 from tallyforge.operators import export, grid, ledger, pages, review
-from tallyforge.plans.queries import ORACLES, QUERIES
+from tallyforge.plans.catalog import ORACLES, QUERIES
 from tallyforge.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -109,7 +109,44 @@ def test_layouts():
     assert [c.field for c in x.split_money().columns][2:4] == ["money_out", "money_in"]
     assert [c.name for c in x.move(0, 2).columns][:3] == ["Description", "Amount", "Date"]
     assert x.change(0, enabled=False).active()[0].field == "description_raw" and export.Layout.of("withBalance").matching() == "withBalance"
-    assert export.Layout(" ").problems() == ["no name", "no column"] and export.suggest_filename("2026-01-01", "2026-01-31") == "statement-export_2026-01-01_2026-01-31.csv"
+    assert export.Layout(" ").problems() == ["no name", "no column"]
+    assert x.reorder([2, 0]).fields()[:3] == ("amount", "date", "description_raw") and not x.toggle(0).columns[0].enabled and x.toggle(0).toggle(0) == x
+    assert x.same_settings(export.replace(x, name="other")) and not x.same_settings(x.option("header_row", False)) and not x.same_settings(None)
+    assert [c.field for c in export.deduped((*x.columns, *x.columns))].count("blank") == 4 and export.picker_label(x, [export.replace(x, name="saved")]) == "saved"
+
+
+def test_export_file_name(spark):
+    assert values(spark, export.filename_of("v", F.lit("2026-01-31")), ["2026-01-01", "2026-01-31"]) == ["statement-export_2026-01-01_2026-01-31.csv", "statement-export_2026-01-31.csv"]
+
+
+def test_saved_patterns(spark):
+    from tallyforge.functions.patterns import checked, fault
+    from tallyforge.operators.match import filename_score
+
+    assert fault("x" * 301) and fault("(") and fault("(a+)+b") and fault("a", groups=1) and fault(r"(\d+) to (\d+)", groups=2) is None
+    with pytest.raises(ValueError, match="refused"):
+        checked("(a*)*")
+    score = lambda p, names: values(spark, filename_score(F.lit(p), F.col("v")), names)
+    assert score("acme.*q_1", ["2026 ACME x q_1.csv", "acmeq21.csv", "q_1 acme"]) == [1.0, 0.0, 0.0]
+    assert score(r"^.*acme.*\.pdf$", ["my acme.pdf", "other.pdf"]) == [1.0, 0.0] and score("", ["x"]) == [0.0]
+    with pytest.raises(Exception, match="not a file name pattern"):
+        score("a(b", ["x"])
+
+
+def test_backups_are_checked(spark):
+    from tallyforge.operators import learning
+
+    docs = lambda *js: spark.createDataFrame([(j,) for j in js], "json string")
+    assert [r.id for r in learning.read_backup(docs('{"profiles": [{"id": "a", "name": "b", "versions": []}]}')).collect()] == ["a"]
+    for bad in ("no json", "{}", '{"profiles": [{"id": "a", "versions": []}]}'):
+        with pytest.raises(Exception, match="backup"):
+            learning.read_backup(docs(bad)).collect()
+
+
+def test_no_transactions(spark):
+    lines = ["Available balance 1,234.00", "Reward points 12.00", "Total 5.00", "Ref: 123.00", "Page 1 of 3", "16 Sep 2026 - 15 Oct 2026 5.00", "September 2026", "2026", "Monday, 15 Sep 2026", "Coffee 4.50", "Totally 4.50"]
+    assert values(spark, text.amount_line("v")["minor"], lines) == [None] * 9 + [450, 450]
+    assert values(spark, text.is_date_like("v"), ["1/2", "5 Sep", "1/2/2026", "5 Sep 2026"]) == [False, False, True, True]
 
 
 def test_review_log(spark):
