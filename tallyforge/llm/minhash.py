@@ -4,7 +4,8 @@ Two collections of m half keys, each of `width` minhashes, are computed for a
 text: 2 m `width` minhashes in all. The key of table (i, j) combines the i-th
 half of the first collection with the j-th of the second, so m * m tables come
 from 2 m halves. A pair of similarity s misses all tables with probability of
-at most 2 (1 - s^width)^m: 2e-5 at 0.85 and 4e-4 at 0.8 for m 12 and width 3.
+at most 2 (1 - s^width)^m; m is chosen so that this is 4e-5 at most for a pair
+at the threshold: 12 halves of width 3 at 0.85, 16 at 0.8.
 
 Texts that agree word for word are one node. Halves that no other node has are
 dropped before tables are formed. Candidates are confirmed on the full shingle
@@ -159,6 +160,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(members.groupBy("cell").cogroup(celled.groupBy("cell")).applyInPandas(check, "a long, b long"), "links")
 
 
+def halves_for(similarity: float, width: int, miss: float = 4e-5) -> int:
+    """How many half keys leave a pair of that similarity without a shared table at most that often."""
+    return math.ceil(math.log(miss / 2) / math.log(1 - similarity**width))
+
+
 def least_matches(similarity: float, halves: int, width: int) -> int:
     """How many of its minhashes a pair of that similarity shares, but for the chance with which it shares no table either."""
     n, below, miss = 2 * halves * width, 0.0, 2 * (1 - similarity**width) ** halves
@@ -176,7 +182,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, halves: int | None = None, width: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a similarity of `percent` or more.
 
     Returns the id column, `row_key` (a hash of id and text), `n_shingles`,
@@ -185,9 +191,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, halves: int = 12, width:
     row for each row given. A null text is the empty text; a document without
     words is linked with nothing and kept. Repeated rows are copies of one
     another; equal rows are told apart nowhere, so all of them have the same
-    `kept`. Pairs that share too few minhashes to be that similar (see
+    `kept`. `halves` follows from the threshold (see `halves_for`) unless given.
+    Pairs that share too few minhashes to be that similar (see
     `least_matches`) are not candidates. An empty table gives an empty table.
     """
+    halves = halves or halves_for(percent / 100, width)
     least = least_matches(percent / 100, halves, width)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
