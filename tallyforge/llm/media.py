@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +172,11 @@ class Stream:
     vbr: str = ""
     vbr_frames: int = 0
     vbr_bytes: int = 0
-    toc: bytes = b""
+    #: Where in the stream each step of the table's clock begins: hundredths of the duration (Xing) or the table's own steps (VBRI).
+    points: list[int] = field(default_factory=list)
+    #: Samples that the encoder has put before and behind the sound.
+    delay: int = 0
+    padding: int = 0
     offsets: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     samples: int = 0
@@ -193,7 +198,8 @@ class Stream:
         """The offset of the frame that holds a sample."""
         if not self.headers or not 0 <= sample < self.samples:
             return None
-        return self.offsets[sample // self.headers[0].samples]
+        ends = np.cumsum([h.samples for h in self.headers])  # frames of another layer or version may follow a resync
+        return self.offsets[int(np.searchsorted(ends, sample, side="right"))]
 
 
 def _read_id3v2(media: bytes, at: int, out: Stream) -> int:
@@ -234,28 +240,58 @@ def _read_table(media: bytes, at: int, h: Header, out: Stream) -> bool:
             out.vbr_bytes = int.from_bytes(media[pos : pos + 4], "big")
             pos += 4
         if flags & 4:
-            out.toc = media[pos : pos + 100]
+            out.points = [at + x * out.vbr_bytes // 256 for x in media[pos : pos + 100]]
+            pos += 100
+        pos += 4 * (flags >> 3 & 1)
+        if pos + 24 <= at + h.length and media[pos : pos + 4] in (b"LAME", b"Lavf", b"Lavc"):
+            both = int.from_bytes(media[pos + 21 : pos + 24], "big")
+            out.delay, out.padding = both >> 12, both & 0xFFF
         out.vbr = kind.decode().lower()
         return True
     pos = at + 36
     if h.layer == 3 and media[pos : pos + 4] == b"VBRI" and pos + 26 <= at + h.length:
         out.vbr_bytes, out.vbr_frames = struct.unpack_from(">II", media, pos + 10)
-        entries, _, width = struct.unpack_from(">HHH", media, pos + 18)
-        out.toc = media[pos + 26 : pos + 26 + entries * width]
+        entries, scale, width = struct.unpack_from(">HHH", media, pos + 18)
+        table, place = media[pos + 26 : min(pos + 26 + entries * width, at + h.length)], at + h.length
+        for k in range(0, len(table) - width + 1, max(1, width)):
+            out.points.append(place)
+            place += scale * int.from_bytes(table[k : k + width], "big")
         out.vbr = "vbri"
         return True
     return False
 
 
+#: The fields of an ID3v1 tag, and the bytes of each.
+_ID3V1 = (("title", 30), ("artist", 30), ("album", 30), ("year", 4), ("comment", 30))
+
+
 def _tail(media: bytes, out: Stream) -> int:
-    """Where the sound ends: before an ID3v1 tag and an APEv2 tag."""
+    """Where the sound ends: before an ID3v1 tag and an APEv2 tag, whose fields are read."""
     end = len(media)
     if media[max(0, end - 128) :][:3] == b"TAG" and end >= 128:
         out.tags.append("id3v1")
+        at = end - 125
+        for name, size in _ID3V1:
+            value = media[at : at + size].split(b"\0")[0].decode("latin-1").rstrip()
+            if value:
+                out.texts[f"id3v1:{name}"] = value
+            at += size
+        if media[end - 3] == 0 and media[end - 2]:
+            out.texts["id3v1:track"] = str(media[end - 2])
         end -= 128
     if media[max(0, end - 32) : end][:8] == b"APETAGEX":
-        size, _, flags = struct.unpack_from("<III", media, end - 20)
+        size, items, flags = struct.unpack_from("<III", media, end - 20)
         out.tags.append("ape")
+        at, last = max(0, end - size), end - 32
+        for _ in range(items):
+            name_end = media.find(b"\0", at + 8, last)
+            if at + 8 > last or name_end < 0:
+                break
+            length, kind = struct.unpack_from("<II", media, at)
+            value = media[name_end + 1 : min(name_end + 1 + length, last)]
+            if kind >> 1 & 3 == 0:  # text, not a picture
+                out.texts[f"ape:{media[at + 8 : name_end].decode('latin-1')}"] = value.decode("utf-8", "replace")
+            at = name_end + 1 + length
         end = max(0, end - size - 32 * bool(flags >> 31))
     return end
 
@@ -343,21 +379,25 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 PROBE = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "sample_rate int, duration_samples long, vbr string, vbr_frames long, crc_ok long, crc_bad long, resyncs long, tags array<string>, frame_offsets array<long>"
+    "sample_rate int, duration_samples long, sound_samples long, vbr string, vbr_frames long, crc_ok long, crc_bad long, resyncs long, tags array<string>, frame_offsets array<long>, seek_points array<long>, texts map<string,string>"
 )
 
 
 def probe_audio(audio: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Parse each stream: the id column and the columns of PROBE.
 
-    The duration is exactly `duration_samples` / `sample_rate` seconds;
-    `frame_offsets` holds where each frame of sound begins. `n_bytes` is the
+    The duration is exactly `duration_samples` / `sample_rate` seconds, of
+    which `sound_samples` are left without the encoder's delay and padding;
+    `frame_offsets` holds where each frame of sound begins, `seek_points` the
+    places of the variable-bitrate table, `texts` the text fields of ID3v2.3
+    and 2.4, ID3v1 and APE tags (older ID3v2 tags and unsynchronised frames are
+    passed over). `n_bytes` is the
     content length that the tag states (null without one), the payload columns
     describe what the frames carry. A null or empty stream, or one without a
     frame, has no frames, a rate of 0 and an empty payload.
     """
     names = [p.split()[0] for p in PROBE.split(", ")]
-    schema = pa.schema([pa.field(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}[p.split()[1]]) for n, p in zip(names, PROBE.split(", "), strict=True)])
+    schema = pa.schema([pa.field(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "map<string,string>": pa.map_(pa.string(), pa.string())}[p.split()[1]]) for n, p in zip(names, PROBE.split(", "), strict=True)])
 
     def one(media: bytes) -> tuple:
         found = scan(media)
@@ -365,7 +405,7 @@ def probe_audio(audio: DataFrame, id_col: str = "doc_id", media_col: str = "medi
         stated = found.texts.get("payload_bytes", "")
         return (
             int(stated) if stated.isdigit() else None, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(found),
-            found.rate, found.samples, found.vbr, found.vbr_frames, found.crc_ok, found.crc_bad, found.resyncs, found.tags, found.offsets,
+            found.rate, found.samples, max(0, found.samples - found.delay - found.padding), found.vbr, found.vbr_frames, found.crc_ok, found.crc_bad, found.resyncs, found.tags, found.offsets, found.points, list(found.texts.items()),
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

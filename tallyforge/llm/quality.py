@@ -37,7 +37,12 @@ class Rules:
     separator_share: float = 0.2
     symbol_share: float = 0.2
     #: Short lines that hold one of these phrases are boilerplate.
-    boilerplate: tuple[str, ...] = ("cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "javascript", "subscribe to", "sign up", "log in", "share this", "read more", "click here", "powered by")
+    boilerplate: tuple[str, ...] = (
+        "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "javascript", "subscribe to", "sign up", "log in", "share this", "read more", "click here", "powered by",
+        "datenschutzerklärung", "nutzungsbedingungen", "impressum", "alle rechte vorbehalten", "newsletter abonnieren", "jetzt anmelden", "weiterlesen", "hier klicken",
+        "politique de confidentialité", "conditions d'utilisation", "mentions légales", "tous droits réservés", "lire la suite", "cliquez ici", "abonnez-vous",
+        "política de privacidad", "condiciones de uso", "aviso legal", "todos los derechos reservados", "leer más", "haga clic", "suscríbete",
+    )
     boilerplate_words: int = 25
     #: The commonest word of a line of ten words or more makes up less than this.
     same_word_share: float = 0.5

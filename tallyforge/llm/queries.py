@@ -18,7 +18,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.media import probe_audio, store_audio
 
-    return probe_audio(store_audio(_docs(spark, sf_dir)))
+    return probe_audio(store_audio(_docs(spark, sf_dir))).drop("texts")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

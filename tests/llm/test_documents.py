@@ -159,6 +159,50 @@ def test_quality_commonest_word_at_any_place(spark):
     assert got.n_lines_removed == 2 and not got.kept and got.rules_broken == ["repetition"] and got.clean_text == ""
 
 
+def _verdict(text, rules):
+    """The line rules written out plainly."""
+    text = text or ""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    kept, seen, broken, lost = [], [], set(), 0
+    for line in text.split("\n"):
+        if not WORD.search(line):
+            kept.append(line)
+            continue
+        words = line.split()
+        count = lambda chars, line=line: sum(ch in chars for ch in line)
+        tests = [
+            ("duplicate", line in seen),
+            ("navigation", count(rules.separators) >= 2 and count(rules.separators) >= rules.separator_share * len(words)),
+            ("symbols", count("#*$%&|<>") >= 3 and count("#*$%&|<>") >= rules.symbol_share * len(words)),
+            ("repetition", len(words) >= 10 and (max(map(words.count, words)) >= rules.same_word_share * len(words) or sum(a == b for a, b in zip(words, words[1:], strict=False)) >= rules.stutter_share * len(words))),
+            ("boilerplate", len(words) <= rules.boilerplate_words and any(x in line.lower() for x in rules.boilerplate)),
+            ("punctuation", len(words) < rules.unpunctuated_words and line.rstrip()[-1:] not in set(rules.ends)),
+        ]
+        seen.append(line)
+        why = next((name for name, hit in tests if hit), None)
+        if why:
+            broken.add(why)
+            lost += sum(ch not in " \t\n\r\x0b\x0c" for ch in line)
+        else:
+            kept.append(line)
+    chars = sum(map(len, WORD.findall(text)))
+    return not _base(text)[-1] and lost <= rules.lost_share * chars, len(lines), lost, sorted(broken), "\n".join(kept)
+
+
+def test_quality_verdicts_by_brute_force(spark, odd, small):
+    rules = Rules()
+    for docs in (odd, small):
+        want = sorted([(r.doc_id, *_verdict(r.text, rules)) for r in docs.collect()], key=repr)
+        got = clean_lines(docs).collect()
+        assert sorted([(r.doc_id, r.kept, r.n_lines, r.chars_removed, sorted(r.rules_broken), r.clean_text) for r in got], key=repr) == want
+    assert {x for *_, broken, _ in want for x in broken} >= {"duplicate", "punctuation"}
+
+
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten.", "Lire la suite de cet article.", "Política de privacidad de este sitio.", "All Rights Reserved."])
+def test_quality_boilerplate_in_four_languages(line):
+    assert fault(line, Rules()) == "boilerplate"
+
+
 # --- substrings ------------------------------------------------------------
 
 

@@ -66,11 +66,12 @@ def test_resynchronises_and_finds_damage():
 
 def test_seek_offsets_and_table():
     payload = bytes(UNIT * 50)
-    s = scan(write_audio(payload, len(payload)))
+    media = write_audio(payload, len(payload))
+    s, base = scan(media), media.index(b"\xff\xfa")
     assert s.seek(0) == s.offsets[0] and s.seek(1151) == s.offsets[0] and s.seek(1152) == s.offsets[1] and s.seek(s.samples) is None
     for i in (0, 25, 50, 99):
         want = s.offsets[i * 50 // 100] - s.offsets[0]
-        assert abs(s.toc[i] * s.vbr_bytes / 256 - want) <= s.vbr_bytes / 256 + s.offsets[0]
+        assert abs(s.points[i] - base - want) <= s.vbr_bytes / 256 + s.offsets[0]
 
 
 def _silent(word: bytes, n: int, table: bytes = b"") -> bytes:
@@ -94,8 +95,26 @@ def test_other_layers_versions_and_tags():
         assert s.crc_ok + s.crc_unread == 5
     vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 4000, 4, 2, 1, 2, 2) + b"\0\1\0\2"
     s = scan(_silent(b"\xff\xfb\x90\xc0", 5, vbri))
-    assert (s.vbr, s.vbr_bytes, s.vbr_frames, s.toc, len(s.offsets)) == ("vbri", 4000, 4, b"\0\1\0\2", 4)
+    length = header(b"\xff\xfb\x90\xc0").length
+    assert (s.vbr, s.vbr_bytes, s.vbr_frames, s.points, len(s.offsets)) == ("vbri", 4000, 4, [length, length + 1], 4)
     old = b"ID3\x03\0\0\0\0\0\x15" + b"TIT2" + (11).to_bytes(4, "big") + b"\0\0" + b"\0some title"
     ape = b"APETAGEX" + struct.pack("<IIII", 2000, 32, 0, 0) + bytes(8)
     s = scan(old + _silent(b"\xff\xfb\x90\xc0", 3) + ape + b"TAG" + bytes(125))
     assert s.tags == ["id3v1", "ape", "id3v2"] and s.texts == {"TIT2": "some title"} and len(s.offsets) == 3
+
+
+def test_fields_of_trailing_tags_and_the_encoders_delay():
+    word = b"\xff\xfb\x90\xc0"
+    lame = b"Xing" + struct.pack(">III", 3, 3, 1000) + b"LAME3.100" + bytes(12) + (576 << 12 | 1100).to_bytes(3, "big")
+    frames = bytearray(_silent(word, 4))
+    at = 4 + header(word).side
+    frames[at : at + len(lame)] = lame
+    item = lambda k, v, kind=0: struct.pack("<II", len(v), kind) + k + b"\0" + v
+    items = item(b"Title", "Größe".encode()) + item(b"Cover", b"\xff\xd8", 2) + item(b"Artist", b"A\0B")
+    ape = items + b"APETAGEX" + struct.pack("<IIII", 2000, len(items) + 32, 3, 0) + bytes(8)
+    old = b"TAG" + b"My song".ljust(30, b"\0") + b"Me".ljust(30) + bytes(30) + b"1999" + b"hello".ljust(28, b"\0") + b"\0\x07" + b"\xff"
+    s = scan(bytes(frames) + ape + old)
+    assert (s.delay, s.padding, s.samples, len(s.offsets), s.tags) == (576, 1100, 3 * 1152, 3, ["id3v1", "ape"])
+    assert s.texts == {"id3v1:title": "My song", "id3v1:artist": "Me", "id3v1:year": "1999", "id3v1:comment": "hello", "id3v1:track": "7", "ape:Title": "Größe", "ape:Artist": "A\0B"}
+    cut = struct.pack("<II", 1 << 30, 0) + b"Broken"
+    assert scan(bytes(frames) + cut + b"APETAGEX" + struct.pack("<IIII", 2000, len(cut) + 32, 9, 0) + bytes(8)).tags == ["ape"]
