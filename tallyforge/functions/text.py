@@ -132,8 +132,12 @@ def ocr_currency(s: Column | str) -> Column:
     return let(F.translate(F.upper(trimmed(col(s))), "01568", "OISGB"), lambda x: F.when(x.rlike("^[A-Z]{3}$"), x))
 
 
+# Fixed value: a field's label at a line's end, a letter and up to 23 letters, digits, points and hyphens before a colon.
+FIELD_LABEL = r"(?:^|\s)\p{L}[\p{L}\p{N}.\-]{0,23}:$"
+
+
 def strip_field_label(s: Column | str) -> Column:
-    return trimmed(F.regexp_replace(col(s), r"(?:^|\s)\p{L}[\p{L}\p{N}.\-]{0,23}:$", ""))
+    return trimmed(F.regexp_replace(col(s), FIELD_LABEL, ""))
 
 
 def mask_amounts(s: Column | str) -> Column:

@@ -161,6 +161,14 @@ def convention_of(fields: Column, samples: Column, statement_type: Column) -> Co
     return F.when(both, "debitCredit").when(has_crdr(samples), "crdr").when(statement_type == "credit_card", "positiveIsOut").otherwise("signed")
 
 
+def date_format_of_mapping(fields: Column, rows: Column) -> Column:
+    """The format of the dates in the column mapped to date, else in the first column: fields by column, rows as arrays of cells."""
+    from tallyforge.functions.dates import suggest_date_format
+
+    at = F.greatest(F.array_position(fields, "date"), F.lit(1)).cast("int") - 1
+    return suggest_date_format(F.transform(rows, lambda r: F.get(r, at)))
+
+
 def fields_of_mapping(mapping: DataFrame) -> DataFrame:
     """A mapping (file_id, position, field, source) as `fields`: a map of field to its sources.
 

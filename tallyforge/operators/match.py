@@ -47,6 +47,17 @@ def signature_score(p: str, f: str) -> Column:
     return F.round(raw, 6)
 
 
+def sources_present(required: Column, header: Column) -> Column:
+    """Whether a header has all required names, apart from case and spaces about them; a file without a header has."""
+    lower = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
+    return (F.size(header) == 0) | (F.size(F.array_except(lower(required), lower(header))) == 0)
+
+
+def bank_present(bank: Column, text: Column, name: Column) -> Column:
+    """Whether a bank's name stands in a file's text or name."""
+    return F.contains(F.lower(F.concat_ws(" ", text, name)), F.lower(bank)) & (bank != "")
+
+
 def match_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
     """Profiles that fit each file, best first: file_id, profile_id, confidence, layout_changed, rank.
 
@@ -59,10 +70,9 @@ def match_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
     f = files.select("file_id", "type", F.struct("name", "header", "text").alias("f"))
     p = profiles.select("profile_id", "type", F.struct("bank", "required", "header", "keywords", "anchors", "filename").alias("p"))
     both = f.join(p, "type")
-    lower = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
-    present = F.size(F.array_except(lower(F.col("p.required")), lower(F.col("f.header")))) == 0
-    bank = F.contains(F.lower(F.concat_ws(" ", "f.text", "f.name")), F.lower("p.bank")) & (F.col("p.bank") != "")
-    scored = both.select("file_id", "profile_id", signature_score("p", "f").alias("score"), (present | (F.size("f.header") == 0)).alias("present"), bank.alias("bank"), (F.size("p.header") > 0).alias("has_header"))
+    present = sources_present(F.col("p.required"), F.col("f.header"))
+    bank = bank_present(F.col("p.bank"), F.col("f.text"), F.col("f.name"))
+    scored = both.select("file_id", "profile_id", signature_score("p", "f").alias("score"), present.alias("present"), bank.alias("bank"), (F.size("p.header") > 0).alias("has_header"))
     confidence = F.when(F.col("present"), F.col("score")).otherwise(F.least("score", F.lit(CAPPED)))
     changed = F.when(F.col("present"), F.col("has_header") & F.col("bank") & (F.col("score") < THRESHOLD)).otherwise((F.col("score") >= THRESHOLD) | F.col("bank"))
     kept = scored.select("file_id", "profile_id", confidence.alias("confidence"), changed.alias("layout_changed")).filter(f"confidence >= {THRESHOLD} OR layout_changed")

@@ -146,6 +146,33 @@ def neighbours_of(n: Column, index: Column) -> Column:
     return F.struct(F.when(n > 0, F.pmod(index + 1, n)).otherwise(-1).alias("next"), F.when(n > 0, F.pmod(index - 1, n)).otherwise(-1).alias("previous"))
 
 
+def removed_at(files: Column | str, index: Column) -> Column:
+    """struct(files, removed): an array without one of its elements (from 0), and that one; a place outside leaves all."""
+    f = col(files)
+    inside = (index >= 0) & (index < F.size(f))
+    return F.struct(F.when(inside, F.concat(F.slice(f, F.lit(1), index), F.slice(f, index + 2, F.size(f)))).otherwise(f).alias("files"), F.when(inside, F.get(f, index)).alias("removed"))
+
+
+def restored_at(files: Column | str, index: Column, entry: Column) -> Column:
+    """The array with an element put in at a place, at the nearest end if it is outside."""
+    f = col(files)
+    at = F.least(F.greatest(index, F.lit(0)), F.size(f))
+    return F.concat(F.slice(f, F.lit(1), at), F.array(entry), F.slice(f, at + 1, F.size(f)))
+
+
+def review_summary(rows: DataFrame, lines: DataFrame, key: str = "file_id") -> DataFrame:
+    """Per file: active rows, totals, rows against lines, and whether all amounts have one sign: what a review shows on top."""
+    a = F.col("amount")
+    n = active(rows).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(a >= 0, a).otherwise(0)).alias("total_in"), F.sum(F.when(a < 0, -a).otherwise(0)).alias("total_out"), F.coalesce(F.bool_and(a >= 0), F.lit(False)).alias("all_in"))
+    m = lines.groupBy(key).agg(F.count(F.lit(1)).alias("lines"))
+    return n.join(m, key, "left").select("*", count_check("n", F.coalesce("lines", F.lit(0)), 0.05).alias("check"))
+
+
+def shown_columns(rows: DataFrame, optional: list[str], *keys: str) -> DataFrame:
+    """Per file, which optional columns hold anything."""
+    return rows.groupBy(*keys).agg(*[F.max(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").alias(c) for c in optional])
+
+
 # --- choosing and applying a match -----------------------------------------
 
 

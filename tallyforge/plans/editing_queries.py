@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import export, ledger, review
+from tallyforge.operators import export, ledger, review, status
 from tallyforge.plans.queries import _FP, _NK, S
 from tallyforge.plans.registry import T, query, read
 from tallyforge.plans.views import seen, txn
+from tallyforge.streaming import ingest
+from tallyforge.streaming.folders import shared_folder
 
 # --- edits -----------------------------------------------------------------
 
@@ -152,6 +154,57 @@ def set_02_uix_17_18_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.active(seen(spark, sf_dir)).groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
 
 
+_ARRIVED = f"""
+WITH s AS (SELECT *, {_FP} AS fp FROM {S} WHERE file <> 9), c AS (SELECT fp, file, count(*) AS n FROM s GROUP BY fp, file), w AS (SELECT fp, arg_max(file, n * 10 - file) AS winner FROM c GROUP BY fp)
+SELECT row_id, file = winner AS kept FROM s JOIN w USING (fp)
+"""
+
+
+@query(_ARRIVED)
+def strm_05_merge_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files that arrive one after another, merged each time; the table is as if all had come at once."""
+    at = shared_folder(spark)
+    rows = seen(spark, sf_dir)
+    schema = "row_id long, account string, date string, amount long, currency string, description string, file int"
+    typed = rows.selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in schema.split(", ")])
+    for file in (2, 0, 1):
+        typed.filter(F.col("file") == file).write.mode("append").parquet(f"{at}/in")
+        ingest.merge_arrivals(spark.readStream.schema(schema).parquet(f"{at}/in"), f"{at}/table", f"{at}/state")
+    return spark.read.parquet(f"{at}/table").select("row_id", "kept")
+
+
+@query(f"""
+WITH s AS (SELECT *, {_FP} AS fp FROM {S} WHERE file <> 0), c AS (SELECT fp, file, count(*) AS n FROM s GROUP BY fp, file), w AS (SELECT fp, arg_max(file, n * 10 - file) AS winner FROM c GROUP BY fp)
+SELECT file, count(*) FILTER (file = winner) AS kept, count(*) FILTER (file <> winner) AS gone FROM s JOIN w USING (fp) GROUP BY file
+""")
+def uix_14_remove_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file taken out, and the others merged again without it."""
+    left = ledger.merge_across_files(seen(spark, sf_dir).filter("file <> 0"))
+    return left.groupBy("file").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("gone"))
+
+
+@query("SELECT user_id AS file_id, max(event_id)::BIGINT AS pages_done, arg_max(event_id % 17, event_id)::BIGINT AS n_rows FROM events GROUP BY user_id")
+def strm_03_partial_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results after each page of files still being read: the latest replaces the others."""
+    return ingest.latest_pages(read(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("pages_done"), (F.col("event_id") % 17).alias("n_rows")))
+
+
+@query("""
+SELECT o_custkey AS file_id, count(*) FILTER (o_orderkey % 4 <> 0) AS n, CAST(sum(CASE WHEN o_orderkey % 4 <> 0 AND o_orderstatus <> 'F' THEN o_orderkey ELSE 0 END) AS BIGINT) AS total_in, CAST(sum(CASE WHEN o_orderkey % 4 <> 0 AND o_orderstatus = 'F' THEN o_orderkey ELSE 0 END) AS BIGINT) AS total_out,
+  bool_and(o_orderkey % 4 = 0 OR o_orderstatus <> 'F' OR o_orderkey = 0) AS all_in, count(*) AS lines, CASE WHEN count(*) FILTER (o_orderkey % 4 <> 0) = count(*) THEN 'ok' WHEN count(*) FILTER (o_orderkey % 4 = 0) <= 0.05 * count(*) THEN 'neutral' ELSE 'fail' END AS check
+FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 4 <> 0) > 0
+""")
+def uix_25_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.when(F.col("o_orderstatus") == "F", -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("amount"), (F.col("o_orderkey") % 4 == 0).alias("skipped"))
+    return status.review_summary(o, o)
+
+
+@query("SELECT o_custkey, bool_or(o_orderkey % 20 = 0) AS reference, bool_or(o_orderstatus = 'P') AS balance FROM orders GROUP BY o_custkey")
+def uix_24_shown_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 20 == 0, "r").otherwise("").alias("reference"), F.when(F.col("o_orderstatus") == "P", 5).alias("balance"))
+    return status.shown_columns(o, ["reference", "balance"], "o_custkey")
+
+
 # --- privacy ---------------------------------------------------------------
 
 

@@ -271,6 +271,37 @@ def ses_09_storage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.storage_split(read(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), "doc_id"), "kind")
 
 
+@query("""
+SELECT p_partkey, list_contains(string_split(lower(p_type), ' '), 'steel') AND contains(lower(p_name), 'a') OR p_partkey % 10 = 0 AS present, p_partkey % 4 <> 0 AND contains(lower(p_name || ' ' || p_brand), lower(split_part(p_type, ' ', 1))) OR p_partkey % 4 = 1 AS bank FROM (SELECT p_partkey, lower(p_name) AS p_name, p_brand, p_type FROM part)
+""")
+def arr_09_10_join_08_sources_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part types as headers: whether required names are there; and whether a name stands in texts."""
+    k = F.col("p_partkey")
+    header = F.when(k % 10 == 0, F.array().cast("array<string>")).otherwise(F.array_append(F.transform(F.split("p_type", " "), lambda x: F.concat(F.lit(" "), x)), F.when(F.contains(F.lower("p_name"), F.lit("a")), "HAS A").otherwise("no")))
+    bank = F.when(k % 4 == 0, "").otherwise(F.split("p_type", " ")[0])
+    return read(spark, sf_dir, "part").select("p_partkey", match.sources_present(F.array(F.lit("Steel"), F.lit("has a")), header).alias("present"), match.bank_present(bank, F.concat_ws(" ", "p_name", "p_brand"), F.when(k % 4 == 1, F.concat(F.lit("x-"), bank, F.lit(".csv"))).otherwise("none")).alias("bank"))
+
+
+@query("SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'YYYY-MM-DD' ELSE 'DD MMM YYYY' END AS format FROM orders GROUP BY o_custkey")
+def date_11_format_for_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date format of the column that is mapped to date, or of the first column without one."""
+    iso, named = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "dd MMM yyyy")
+    g = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.array(named, iso)).alias("rows"))
+    fields = F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("amount"), F.lit("date"))).otherwise(F.array(F.lit("amount"), F.lit("balance")))
+    return g.select("o_custkey", learning.date_format_of_mapping(fields, F.col("rows")).alias("format"))
+
+
+@query("""
+WITH f AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS fs FROM orders GROUP BY o_custkey)
+SELECT o_custkey, array_to_string(fs[:1] || fs[3:], ',') AS without, fs[2] AS removed, array_to_string(fs[:1] || fs[3:] || fs[2:2], ',') AS restored FROM f
+""")
+def arr_14_15_files_removed_and_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's second file taken out, and put back far behind the end; customers with one file lose none."""
+    f = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("fs")).withColumn("r", status.removed_at("fs", F.lit(1)))
+    back = F.when(F.col("r.removed").isNull(), F.col("r.files")).otherwise(status.restored_at(F.col("r.files"), F.lit(99), F.col("r.removed")))
+    return f.select("o_custkey", F.array_join("r.files", ",").alias("without"), "r.removed", F.array_join(back, ",").alias("restored"))
+
+
 # --- states ----------------------------------------------------------------
 
 _STATUS = "CASE o_orderkey % 8 WHEN 0 THEN 'ocrFailed' WHEN 1 THEN 'matchFailed' WHEN 2 THEN 'unreadableDates' WHEN 3 THEN 'processing' WHEN 4 THEN 'new' ELSE 'healthy' END"

@@ -11,6 +11,7 @@ from tallyforge.plans.registry import T, query
 from tallyforge.plans.registry import read as _read
 from tallyforge.plans.views import DUCK_RUNNING, SEEN, duck, running, seen, txn
 from tallyforge.sources import files
+from tallyforge.streaming.folders import shared_folder
 
 # --- amounts ---------------------------------------------------------------
 
@@ -295,10 +296,14 @@ def agg_15_coverage_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.coverage_warnings(txn(spark, sf_dir), "2001-07-15")
 
 
-@query("SELECT * FROM (VALUES ('amount', 3::BIGINT, 3::BIGINT, 'all'), ('reference', 1, 3, 'some'), ('nothing', 0, 3, 'none')) v(field, covered, total, coverage)")
+@query(f"""
+WITH r AS (SELECT file, bool_or(CAST(amount AS STRING) <> '') AS amount, bool_or(file = 1 AND description <> '') AS reference, bool_or(CASE WHEN row_id % 1000 = 7 THEN 'x' ELSE '' END <> '') AS rare FROM {T} GROUP BY file),
+l AS (UNPIVOT r ON amount, reference, rare INTO NAME field VALUE has)
+SELECT field, count(*) FILTER (has) AS covered, count(*) AS total, CASE WHEN bool_and(has) THEN 'all' WHEN NOT bool_or(has) THEN 'none' ELSE 'some' END AS coverage FROM l GROUP BY field
+""")
 def agg_16_17_18_field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = txn(spark, sf_dir).withColumns({"reference": F.when(F.col("file") == 1, F.col("description")), "nothing": F.lit("")})
-    return ledger.field_coverage(rows, "file", ["amount", "reference", "nothing"])
+    rows = txn(spark, sf_dir).withColumns({"reference": F.when(F.col("file") == 1, F.col("description")), "rare": F.when(F.col("row_id") % 1000 == 7, "x").otherwise("")})
+    return ledger.field_coverage(rows, "file", ["amount", "reference", "rare"])
 
 
 @query(f"SELECT account, NOT bool_or(amount < 0) AS no_outflow, bool_and(amount >= 0) OR bool_and(amount <= 0) AS one_signed FROM {T} GROUP BY account")
@@ -520,11 +525,7 @@ def win_08_grouped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS total FROM events GROUP BY ALL")
 def strm_01_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: daily windows, kept in a table that each batch replaces."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tallyforge-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark)
     schema = _read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     grouped = stream.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value") * 100)).cast("long").alias("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ledger import fingerprint
+from tallyforge.operators.ledger import fingerprint, merge_across_files
 
 
 def new_files(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
@@ -26,6 +26,37 @@ def rolling_totals(rows: DataFrame, time: str, window: str = "1 day", delay: str
     return grouped.agg(F.sum(F.when(a >= 0, a).otherwise(0)).alias("total_in"), F.sum(F.when(a < 0, -a).otherwise(0)).alias("total_out"), F.count(F.lit(1)).alias("n"))
 
 
+def merge_arrivals(rows: DataFrame, table: str, checkpoint: str, buckets: int = 64) -> None:
+    """Keep a table of all rows (row_id, file and what a fingerprint needs) with `kept` as if all had come at once.
+
+    Each arrival is merged with the rows of its own fingerprints: only the
+    buckets that it touches are read, merged again and replaced, so a late file
+    can displace earlier rows. An arrival that is run again changes nothing.
+    """
+    spark = rows.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(fingerprint(), F.col("row_id").cast("string"))), F.lit(buckets)).cast("int"))
+        if exists(spark, table):
+            old = spark.read.parquet(table).drop("kept").join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # `buckets` rows at most
+            new = new.unionByName(old.join(new.select("row_id"), "row_id", "left_anti"))
+        staged = f"{table}-arrival-{epoch}"
+        merge_across_files(new).write.mode("overwrite").parquet(staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def latest_pages(pages: DataFrame, file: str = "file_id") -> DataFrame:
+    """Early results of recognised files: of each file the rows read from the most pages so far, which later ones replace."""
+    return pages.groupBy(file).agg(F.max_by(F.struct("pages_done", "n_rows"), "pages_done").alias("r")).select(file, "r.pages_done", "r.n_rows")
+
+
 def ingest(rows: DataFrame, table: str, checkpoint: str) -> None:
     """Append the stream's rows to a Parquet table by batch; a batch that is run again replaces itself."""
 

@@ -233,3 +233,38 @@ def test_mapping_is_suggested(spark):
     assert infer.pick_candidate(c).collect()[0][:] == ("f", "p3")
     v = spark.createDataFrame([(["USD 5", "usd 7", "EUR 1", ""],)], "v array<string>")
     assert v.select(infer.column_fill("v").alias("c")).first().c[:] == (0.75, 1.0, "USD")
+
+
+def test_grouped_statement_claims_types_and_drops_noise(spark):
+    from tallyforge.operators import statement_pages as sp
+
+    lines = [
+        "Statement 1 Jan 2026 - 31 Jan 2026", "123 Main Road 55", "Monday, 15 Sep 2026", "Coffee shop SGD 4.50", "Point of sale", "more noise", "Rent of a room", "EUR -120.00", "Available balance SGD 10.00", "September 2026",
+        "16 Sep 2026", "left over", "Amount: SGD 7.00", "Page 1 of 3", "Bus 2.00 CR", "17 Sep 2026", "nothing follows",
+    ]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file_id string, line int, text string")
+    got = [(r.day, r.description_raw, r.minor, r.currency, r.mark, r.type, r.first_line, r.last_line) for r in sp.grouped_statement(df).orderBy("row").collect()]
+    assert got == [
+        ("15 Sep 2026", "Coffee shop", 450, "SGD", None, "Point of sale", 3, 3), ("15 Sep 2026", "", -12000, "EUR", None, "", 7, 7),
+        ("16 Sep 2026", "left over", 700, "SGD", None, "", 11, 12), ("16 Sep 2026", "Bus", 200, None, "C", "", 14, 14),
+    ]
+    assert sp.grouped_statement(df.limit(0)).count() == 0
+
+
+def test_columns_from_headers_places_and_shares(spark):
+    from tallyforge.operators import statement_pages as sp
+
+    item = lambda x, s: {"x": float(x), "str": s}
+    files_ = {
+        "header": [[item(40, "Date"), item(130, "Details"), item(400, "Withdrawal"), item(500, "Balance")], [item(40, "2026-01-01"), item(130, "x"), item(405, "5.00"), item(498, "10.00")]],
+        "places": [[item(40, "2026-01-01"), item(400 + i, "5.00"), item(500 - i, "1,000.00 CR")] for i in range(4)],
+        "none": [[item(40, "2026-01-01"), item(130, "text")]],
+    }
+    lines = spark.createDataFrame([(f, i, its) for f, ls in files_.items() for i, its in enumerate(ls)], "file_id string, line int, items array<struct<x: double, str: string>>")
+    led = F.exists("items", lambda i: i["str"].startswith("2026"))
+    bands = {r.file_id: [(b.field, b.x0, b.x1) for b in r.bands] for r in sp.column_bands(lines, 600.0, led).collect()}
+    assert bands["header"] == [("date", 0.0, 108.0), ("description_raw", 108.0, 376.0), ("debit", 376.0, 450.0), ("balance", 450.0, 600.0)]
+    assert bands["places"] == [("date", 0.0, 108.0), ("description_raw", 108.0, 377.5), ("debit", 377.5, 450.0), ("credit", 450.0, 600.0)]
+    assert bands["none"] == [("date", 0.0, 108.0), ("description_raw", 108.0, 390.0), ("amount", 390.0, 600.0)]
+    got = {r.line: r.cells for r in sp.cells(lines, sp.column_bands(lines, 600.0, led)).filter("file_id = 'header'").collect()}
+    assert got[1] == {"date": "2026-01-01", "description_raw": "x", "debit": "5.00", "balance": "10.00"}
