@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import currency_code_of, is_amount_like, is_currency_code_like, is_date_like
+from tallyforge.operators.bounds import bounded
 
 AMOUNTS = ("amount", "debit", "credit", "balance")
 # What shape alone is worth where the header says nothing.
@@ -61,7 +62,7 @@ def suggest_mapping(columns: DataFrame, terms: DataFrame) -> DataFrame:
     h = F.lower(F.trim("header"))
     known = columns.select("file_id", "column", "values", h.alias("h"))
     fields = terms.groupBy("field").agg(F.collect_set("term").alias("terms"))
-    each = known.crossJoin(F.broadcast(fields))
+    each = known.crossJoin(bounded(fields, 1000, "fields"))
     header = F.when(F.array_contains("terms", F.col("h")), 1.0).when(F.exists("terms", lambda t: F.contains(F.col("h"), t)), 0.7).otherwise(0.0)
     v = F.col("values")
     shape = (
@@ -108,6 +109,6 @@ def seed_mapping(saved: DataFrame, columns: DataFrame, suggested: DataFrame) ->
     whose header is gone takes the suggested column, unless a saved one has it.
     """
     norm = lambda c: F.lower(F.trim(c))
-    kept = columns.join(F.broadcast(saved.select("field", norm(F.col("header")).alias("h"))), norm(F.col("header")) == F.col("h")).groupBy("file_id", "field").agg(F.min("column").alias("column"))
+    kept = columns.join(bounded(saved.select("field", norm(F.col("header")).alias("h")), 10_000, "saved fields"), norm(F.col("header")) == F.col("h")).groupBy("file_id", "field").agg(F.min("column").alias("column"))
     gaps = suggested.select("file_id", "field", "column").join(kept.select("file_id", "field"), ["file_id", "field"], "left_anti").join(kept.select("file_id", "column"), ["file_id", "column"], "left_anti")
     return kept.unionByName(gaps.select("file_id", "field", "column"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallyforge.functions.expr import trimmed
 from tallyforge.functions.text import fuzzy_in_text, norm_header, tokens
 from tallyforge.operators.infer import column_fill, filled, share
-from tallyforge.operators.match import filename_score
+from tallyforge.operators.bounds import bounded
+from tallyforge.operators.match import BROADCAST, filename_score
 
 # Words of a statement's own vocabulary, phrases that always serve as anchors, and signs of personal data.
 VOCABULARY = ("bank", "ltd", "pte", "account", "statement", "transaction", "history", "savings", "current", "credit", "card", "multiplier", "deposit", "ibanking", "digibank", "branch", "swift", "iban")
@@ -79,7 +80,7 @@ def guess_by_name(files: DataFrame, profiles: DataFrame) -> DataFrame:
     profile only, that one; else null.
     """
     hinted = profiles.filter("file_type = 'pdf' AND coalesce(password_hint, '') != ''").select("profile_id", "patterns")
-    packed = hinted.agg(F.array_sort(F.collect_list(F.struct("profile_id", "patterns"))).alias("ps"))  # a catalogue that people keep: some hundred rows
+    packed = bounded(hinted, BROADCAST, "profiles with a hint").agg(F.array_sort(F.collect_list(F.struct("profile_id", "patterns"))).alias("ps"))
     joined = files.crossJoin(F.broadcast(packed))
     fits = F.filter("ps", lambda p: F.exists(p["patterns"], lambda x: filename_score(x, F.col("name")) > 0))
     return joined.select("file_id", F.coalesce(F.get(fits, F.lit(0))["profile_id"], F.when(F.size("ps") == 1, F.get("ps", F.lit(0))["profile_id"])).alias("profile_id"))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import tokens
+from tallyforge.operators.bounds import bounded, fits
 
 THRESHOLD, AUTO = 0.7, 0.9
 HEADER, BODY, NAME = 0.6, 0.3, 0.1
 CAPPED = 0.69
+#: Profiles that are broadcast at most, and terms of a dictionary.
+BROADCAST, TERMS = 20_000, 10_000
 
 
 def header_tokens(headers: Column | str) -> Column:
@@ -65,11 +68,17 @@ def match_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
     type, bank, required (header names), header, keywords, anchors, filename.
     Files are held against profiles of their own type alone. A profile whose
     required columns are missing reaches 0.69 at most. Ties go to the lesser
-    profile id.
+    profile id. Up to BROADCAST profiles are sent to all files; more are dealt
+    out in shares of that size.
     """
     f = files.select("file_id", "type", F.struct("name", "header", "text").alias("f"))
     p = profiles.select("profile_id", "type", F.struct("bank", "required", "header", "keywords", "anchors", "filename").alias("p"))
-    both = f.join(p, "type")
+    if fits(p, BROADCAST):
+        both = f.join(F.broadcast(p), "type")
+    else:  # a type's files and profiles meet in many tasks: each file goes to every share of the profiles
+        parts = -(-p.count() // BROADCAST)
+        shares = f.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        both = shares.join(p.withColumn("_part", F.pmod(F.xxhash64("profile_id"), F.lit(parts)).cast("int")), ["type", "_part"])
     present = sources_present(F.col("p.required"), F.col("f.header"))
     bank = bank_present(F.col("p.bank"), F.col("f.text"), F.col("f.name"))
     scored = both.select("file_id", "profile_id", signature_score("p", "f").alias("score"), present.alias("present"), bank.alias("bank"), (F.size("p.header") > 0).alias("has_header"))
@@ -82,5 +91,5 @@ def match_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
 def score_headers(headers: DataFrame, terms: DataFrame) -> DataFrame:
     """header, field, score: 1 for an exact term, 0.7 where the header holds one. `terms` is a fixed dictionary of field and term."""
     h = F.lower(F.trim("header"))
-    joined = headers.select("header", h.alias("h")).distinct().join(F.broadcast(terms), F.expr("h = term OR contains(h, term)"))
+    joined = headers.select("header", h.alias("h")).distinct().join(bounded(terms, TERMS, "terms"), F.expr("h = term OR contains(h, term)"))
     return joined.groupBy("header", "field").agg(F.max(F.when(F.col("h") == F.col("term"), 1.0).otherwise(0.7)).alias("score"))

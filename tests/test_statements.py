@@ -133,6 +133,20 @@ def test_saved_patterns(spark):
         score("a(b", ["x"])
 
 
+def test_many_profiles_are_dealt_out(spark, monkeypatch):
+    from tallyforge.operators import bounds, match
+
+    empty = "CAST(array() AS ARRAY<STRING>)"
+    f = spark.range(20).selectExpr("id AS file_id", "'csv' AS type", "concat('tag', id, '.csv') AS name", "array('date', concat('h', id)) AS header", "'text' AS text")
+    p = spark.range(50).selectExpr("concat('p', id) AS profile_id", "'csv' AS type", "'none' AS bank", "array('date') AS required", "array('date', concat('h', id)) AS header", f"{empty} AS keywords", f"{empty} AS anchors", "concat('tag', id) AS filename")
+    plain = lambda: sorted(tuple(r) for r in match.match_profiles(f, p).collect())
+    want = plain()
+    monkeypatch.setattr(match, "BROADCAST", 7)
+    assert plain() == want and len(want) >= 20
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        bounds.bounded(f, 3, "rows")
+
+
 def test_backups_are_checked(spark):
     from tallyforge.operators import learning
 
@@ -240,13 +254,13 @@ def test_grouped_statement_claims_types_and_drops_noise(spark):
 
     lines = [
         "Statement 1 Jan 2026 - 31 Jan 2026", "123 Main Road 55", "Monday, 15 Sep 2026", "Coffee shop SGD 4.50", "Point of sale", "more noise", "Rent of a room", "EUR -120.00", "Available balance SGD 10.00", "September 2026",
-        "16 Sep 2026", "left over", "Amount: SGD 7.00", "Page 1 of 3", "Bus 2.00 CR", "17 Sep 2026", "nothing follows",
+        "16 Sep 2026", "left over", "Amount: SGD 7.00", "Page 1 of 3", "Bus ticket 2.00 CR", "17 Sep 2026", "nothing follows",
     ]
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file_id string, line int, text string")
     got = [(r.day, r.description_raw, r.minor, r.currency, r.mark, r.type, r.first_line, r.last_line) for r in sp.grouped_statement(df).orderBy("row").collect()]
     assert got == [
         ("15 Sep 2026", "Coffee shop", 450, "SGD", None, "Point of sale", 3, 3), ("15 Sep 2026", "", -12000, "EUR", None, "", 7, 7),
-        ("16 Sep 2026", "left over", 700, "SGD", None, "", 11, 12), ("16 Sep 2026", "Bus", 200, None, "C", "", 14, 14),
+        ("16 Sep 2026", "left over", 700, "SGD", None, "", 11, 12), ("16 Sep 2026", "Bus ticket", 200, None, "C", "", 14, 14),
     ]
     assert sp.grouped_statement(df.limit(0)).count() == 0
 
