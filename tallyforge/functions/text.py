@@ -279,10 +279,14 @@ def both_directions(source: Column, target: Column, rate: Column) -> Column:
     return F.concat(F.lit("1 "), source, F.lit(" = "), plain(rate), F.lit(" "), target, F.lit(" (1 "), target, F.lit(" = "), plain(inverse), F.lit(" "), source, F.lit(")"))
 
 
+# A number whose comma is decimal, and one whose point may be.
+COMMA_DECIMAL, POINT_DECIMAL = r"^([\d.\s]*\d),(\d{1,2})$", r"^([\d,]+)(?:\.(\d{1,3}))?$"
+
+
 def grouped_number(raw: Column | str) -> Column:
     """A run of digits and separators as plain text, or null: a comma before one or two final digits is decimal, else a point before one to three is."""
     c = F.regexp_replace(col(raw), "\u00a0", " ")
-    euro, us = r"^([\d.\s]*\d),(\d{1,2})$", r"^([\d,]+)(?:\.(\d{1,3}))?$"
+    euro, us = COMMA_DECIMAL, POINT_DECIMAL
     whole = F.concat(F.regexp_replace(F.regexp_extract(c, euro, 1), r"[.\s]", ""), F.lit("."), F.regexp_extract(c, euro, 2))
     cents = F.regexp_extract(c, us, 2)
     return F.when(c.rlike(euro), whole).when(c.rlike(us), F.concat(F.replace(F.regexp_extract(c, us, 1), F.lit(","), F.lit("")), F.when(cents != "", F.concat(F.lit("."), cents)).otherwise("")))

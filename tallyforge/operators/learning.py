@@ -17,6 +17,10 @@ from tallyforge.operators.match import BROADCAST, filename_score
 VOCABULARY = ("bank", "ltd", "pte", "account", "statement", "transaction", "history", "savings", "current", "credit", "card", "multiplier", "deposit", "ibanking", "digibank", "branch", "swift", "iban")
 ALWAYS = ("transaction history", "statement", "account", "savings", "credit card")
 PERSONAL = ("address", "blk", "street", "avenue", "road", "jalan", "unit", "postal", "mr", "mrs", "ms", "dear", "attn")
+# A person's name in capitals; a cell that is a plain number; a mark of rows not yet posted.
+CAPITALS = r"^[A-Z][A-Z.'-]*(?:\s+[A-Z][A-Z.'-]*){1,3}$"
+PLAIN_NUMBER = r"^-?\d+([.,]\d+)?$"
+UNPOSTED = r"(?i)^\s*\[UNPOSTED\]"
 LONGEST_ANCHOR, ANCHORS = 60, 3
 
 
@@ -45,9 +49,9 @@ def anchor_candidates(lines: DataFrame, first_data: Column, corpus: DataFrame, b
     earlier ones.
     """
     t = trimmed(F.col(text))
-    name = t.rlike(r"^[A-Z][A-Z.'-]*(\s+[A-Z][A-Z.'-]*){1,3}$") & ~_holds(t, VOCABULARY)
-    some = lines.filter(F.coalesce(F.col(order) < first_data, F.lit(True))).select(file, order, t.alias("anchor")).filter((F.col("anchor") != "") & (F.length("anchor") <= LONGEST_ANCHOR))
-    some = some.filter(~F.col("anchor").rlike(r"\d{2,}|(?i)\bsingapore \d") & ~_holds(F.col("anchor"), PERSONAL) & ~F.col("anchor").isin("")).join(lines.select(file, order, name.alias("_name")), [file, order]).filter("NOT _name")
+    name = t.rlike(CAPITALS) & ~_holds(t, VOCABULARY)
+    some = lines.filter(F.coalesce(F.col(order) < first_data, F.lit(True))).select(file, order, t.alias("anchor"), name.alias("_name")).filter((F.col("anchor") != "") & (F.length("anchor") <= LONGEST_ANCHOR))
+    some = some.filter(~F.col("anchor").rlike(r"\d{2,}|(?i)\bsingapore \d") & ~_holds(F.col("anchor"), PERSONAL) & ~F.col("_name"))
     one = some.groupBy(file, "anchor").agg(F.min(order).alias(order)).join(corpus.select(file, F.col("text").alias("_corpus")), file).filter(plausible_anchor(F.col("anchor"), F.col("_corpus"), banks))
     rank = F.row_number().over(Window.partitionBy(file).orderBy(F.desc(distinctiveness(F.col("anchor"), banks)), order))
     return one.select(file, rank.alias("rank"), "anchor").filter(f"rank <= {ANCHORS}")
@@ -120,7 +124,7 @@ def country(bank: Column, currency: Column, of_bank: dict[str, str], of_currency
 
 
 def has_pending_prefix(values: Column) -> Column:
-    return F.exists(values, lambda v: F.coalesce(v.rlike(r"(?i)^\s*\[UNPOSTED\]"), F.lit(False)))
+    return F.exists(values, lambda v: F.coalesce(v.rlike(UNPOSTED), F.lit(False)))
 
 
 def has_crdr(values: Column) -> Column:
@@ -136,7 +140,7 @@ def is_foreign_header(header: Column) -> Column:
 def header_confidence(row: Column, following: Column) -> Column:
     """How surely a row (array of cells) is the header: its share of cells that are no plain numbers, and whether the next row is as wide."""
     some = filled(row)
-    textual = F.size(F.filter(some, lambda c: ~F.trim(c).rlike(r"^-?\d+([.,]\d+)?$"))) / F.size(some)
+    textual = F.size(F.filter(some, lambda c: ~F.trim(c).rlike(PLAIN_NUMBER))) / F.size(some)
     return F.when(F.coalesce(F.size(some), F.lit(0)) <= 0, 0.0).when(F.coalesce(F.size(following) == F.size(row), F.lit(False)), F.least(F.lit(1.0), 0.55 + 0.45 * textual)).otherwise(0.5 * textual)
 
 

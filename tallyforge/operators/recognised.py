@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tallyforge.functions.expr import trimmed
 from tallyforge.functions.text import amount_line
 
+# Fixed value: words that are an amount with cents, a numeric date, a currency code, or one or two digits.
+SHAPES = r"^([+-]?[\d,]+\.\d{2}|\d{1,2}[/.-]\d{1,2}([/.-]\d{2,4})?|[A-Z]{3}|\d{1,2})$"
 WORD = "struct<str: string, x: double, y: double, width: double, height: double, confidence: double>"
 
 
 def looks_like_amount_or_date(s: Column | str) -> Column:
     """Whether a word is an amount with cents, a numeric date, a currency code or one or two digits."""
-    return F.coalesce(trimmed(F.col(s) if isinstance(s, str) else s).rlike(r"^([+-]?[\d,]+\.\d{2}|\d{1,2}[/.-]\d{1,2}([/.-]\d{2,4})?|[A-Z]{3}|\d{1,2})$"), F.lit(False))
+    return F.coalesce(trimmed(F.col(s) if isinstance(s, str) else s).rlike(SHAPES), F.lit(False))
 
 
 def to_points(box: Column, scale: Column, page_height: Column) -> Column:

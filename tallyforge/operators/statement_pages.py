@@ -18,6 +18,8 @@ HEADER_WORDS = (("withdrawal", "debit"), ("debit", "debit"), ("deposit", "credit
 NEAR, SUPPORT, DATE_END, TEXT_END = 30.0, 0.15, 0.18, 0.65
 #: Points between a description and the first number's column.
 MARGIN = 24.0
+# Fixed value: a number as it stands in a column.
+NUMBER = r"(?i)^[+-]?[$€£¥]?\(?[\d,]+(?:\.\d{1,3})?\)?\s*(?:CR|DR)?\.?$"
 BANDS = "array<struct<field: string, x0: double, x1: double>>"
 
 
@@ -32,7 +34,7 @@ def header_field(word: Column | str) -> Column:
 
 def is_number(s: Column | str) -> Column:
     """A number as it stands in a column: sign, symbol, parentheses and CR or DR may be about it."""
-    return F.coalesce(trimmed(F.col(s) if isinstance(s, str) else s).rlike(r"(?i)^[+-]?[$€£¥]?\(?[\d,]+(\.\d{1,3})?\)?\s*(CR|DR)?\.?$"), F.lit(False))
+    return F.coalesce(trimmed(F.col(s) if isinstance(s, str) else s).rlike(NUMBER), F.lit(False))
 
 
 def header_lines(lines: DataFrame, date_led: Column, file: str = "file_id", order: str = "line") -> DataFrame:
