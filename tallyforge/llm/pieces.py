@@ -27,7 +27,7 @@ from tallyforge.llm.common import slices, tokenizer_path
 
 SPACE = "▁"
 #: Words of each of a worker's two generations: a full one becomes the older, and what is met again moves to the younger.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 
 
 class CharMap:

@@ -33,11 +33,11 @@ from tallyforge.llm.common import slices, stored
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word's beginning that is a term of its own.
 PREFIX = 5
-_CACHE = 300_000
+_CACHE = 150_000
 #: A term held by more than one in so many examples is common: it has bounds by block instead of postings.
 _COMMON = 16
 #: Postings that are added up at a time.
-_POSTINGS = 2 << 20
+_POSTINGS = 1 << 20
 
 
 def terms_of(word: str) -> list[str]:
@@ -52,7 +52,7 @@ def words_of(text: str) -> list[str]:
 @dataclass(frozen=True)
 class Settings:
     #: Labelled texts that are learnt from, at most; chosen by hash.
-    examples: int = 4000
+    examples: int = 3000
     neighbours: int = 15
     #: Examples in a block of the index, and blocks that a search adds up before it looks at bounds.
     block: int = 64
