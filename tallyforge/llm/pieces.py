@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from tallyforge.llm.common import slices, tokenizer_path
 
 SPACE = "▁"
 #: Words of each of a worker's two generations: a full one becomes the older, and what is met again moves to the younger.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
 
 
 class CharMap:
@@ -126,10 +127,13 @@ class Codec:
         self.normalize = Normalizer(CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         self.by_word = model.trainer_spec.byte_fallback and not spec.precompiled_charsmap and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not model.trainer_spec.treat_whitespace_as_suffix and not any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces) and all(p.type != pb.ModelProto.SentencePiece.USER_DEFINED for p in model.pieces)
         self.byte_ids = {i for i, p in enumerate(model.pieces) if p.type == pb.ModelProto.SentencePiece.BYTE}
-        self.names = [p.piece.encode() for p in model.pieces]
+        # Identity map: a piece is as long as its name, but the mark is one byte.
+        self.sizes = np.array([len(n := p.piece.encode()) - 2 * n.count(SPACE.encode()) for p in model.pieces], np.int32)
         self.mark = self.lib.piece_to_id(SPACE)
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Bytes under each piece of the words that have byte pieces.
+        self.odd: dict[str, np.ndarray] = {}
 
     def pieces(self, text: str) -> list[tuple[int, bytes]]:
         """Id and normalised bytes of each piece, as the library cuts them."""
@@ -149,17 +153,13 @@ class Codec:
         return begins, ends
 
     def learn(self, words: list[str]) -> None:
-        """Encode words that follow a space and keep their ids and the original bytes under each piece, the space's included."""
+        """Encode words that follow a space and keep their ids; of those with byte pieces also the original bytes under each piece, the space's included."""
         for word, ids in zip(words, self.lib.encode(words, num_threads=1), strict=True):
-            if not word:
-                ids = [self.mark]
+            self.cache[word] = array("i", ids if word else [self.mark]).tobytes()
             if not self.byte_ids.isdisjoint(ids):
                 begins, ends = self.project(word.encode(), self.pieces(word))
-                sizes = [b - a for a, b in zip(begins, ends, strict=True)]
-                sizes[0] += 1
-            else:  # identity map: a piece is as long as its name, but the mark is one byte
-                sizes = [len(n := self.names[x]) - 2 * n.count(b"\xe2\x96\x81") for x in ids]
-            self.cache[word] = np.array(ids, np.int32).tobytes(), np.array(sizes, np.int32).tobytes()
+                self.odd[word] = np.array(ends, np.int32) - np.array(begins, np.int32)
+                self.odd[word][0] += 1
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, and the original bytes under each piece; spans follow one another without gaps."""
@@ -168,6 +168,7 @@ class Codec:
         wanted = set().union(*words).difference(self.cache)
         if len(self.cache) + len(wanted) > CACHE_WORDS:  # what these texts need is learnt or fetched, however much it is
             self.older, self.cache = self.cache, {}
+            self.odd = {w: s for w, s in self.odd.items() if w in self.older}
             wanted = set().union(*words)
         known = wanted.intersection(self.older)
         self.cache.update((w, self.older[w]) for w in known)
@@ -175,9 +176,11 @@ class Codec:
         out = []
         for text, own, p in zip(texts, words, plain, strict=True):
             if p and text:
-                found = [self.cache[w] for w in own]
-                ids = np.frombuffer(b"".join([x for x, _ in found]), np.int32)
-                sizes = np.frombuffer(b"".join([x for _, x in found]), np.int32).copy()
+                ids = np.frombuffer(b"".join(map(self.cache.__getitem__, own)), np.int32)
+                if self.odd and not self.odd.keys().isdisjoint(own):
+                    sizes = np.concatenate([self.odd[w] if w in self.odd else self.sizes[np.frombuffer(self.cache[w], np.int32)] for w in own])
+                else:
+                    sizes = self.sizes[ids]
                 sizes[0] -= 1  # the mark before a text stands for no byte of it
                 out.append((ids, sizes))
             else:
