@@ -52,7 +52,7 @@ def words_of(text: str) -> list[str]:
 @dataclass(frozen=True)
 class Settings:
     #: Labelled texts that are learnt from, at most; chosen by hash.
-    examples: int = 3000
+    examples: int = 4000
     neighbours: int = 15
     #: Examples in a block of the index, and blocks that a search adds up before it looks at bounds.
     block: int = 64
@@ -62,6 +62,9 @@ class Settings:
     #: A term's share of its idf if nothing ties it to label 1, and the standard errors of its log odds at which it gets half of the rest.
     least_weight: float = 0.2
     half: float = 3.0
+    #: The fit of votes to labels: the share of the examples that a pool has at least, and its further examples at the prior.
+    least_share: float = 0.02
+    pseudo: float = 4.0
     seed: int = 3
 
 
@@ -244,22 +247,13 @@ class Index:
         w = np.where(cosines > 0, 1.0 / (1.05 - np.minimum(cosines, 1.0)), 0.0)
         return ((w * self.labels[docs]).sum(axis=1) + self.prior) / (w.sum(axis=1) + 1.0)
 
-    def calibrate(self) -> None:
-        """Fit votes to labels: leave each example out, then pool adjacent violators."""
+    def calibrate(self, least_share: float, pseudo: float) -> None:
+        """Fit votes to labels: leave each example out, then `fit_votes`."""
         n = len(self.ids)
         told = n and [(v, y) for v, y, a, b in zip(self.votes(*self.nearest(self.terms, self.weights, self.starts, np.arange(n))).tolist(), self.labels.tolist(), self.starts, self.starts[1:], strict=False) if b > a and self.terms[a] != len(self.idf) - 1]
         self.terms = self.weights = self.starts = None  # not needed any more, and not to be broadcast
-        if not told:
-            return
-        pools: list[list[float]] = []  # vote, sum of labels, size, last vote
-        for v, y in sorted(told):
-            pools.append([v, y, 1.0, v])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                last = pools.pop()
-                pools[-1] = [pools[-1][0], pools[-1][1] + last[1], pools[-1][2] + last[2], last[3]]
-        xs = [x for p in pools for x in (p[0], p[3])]
-        ys = [(p[1] + self.prior) / (p[2] + 1) for p in pools for _ in range(2)]
-        self.fit = np.array(xs), np.maximum.accumulate(np.array(ys))
+        if told:
+            self.fit = fit_votes(told, self.prior, max(2.0, least_share * len(told)), pseudo)
 
     def score(self, terms: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[list[tuple]]]:
         """The scores of texts and their nearest examples: id, cosine, label. Texts without terms are as likely as the examples without."""
@@ -273,15 +267,48 @@ class Index:
         return score, near
 
 
-def learn(read: DataFrame, examples: DataFrame, terms: list[str], n0: np.ndarray, n1: np.ndarray, settings: Settings) -> Index:
-    """The index of the examples (id, text, label), in the order of their ids' hashes; document frequencies are those of the documents read."""
-    df, n = document_frequencies(read, len(terms))
-    rows = examples.select("id", "text", "label").orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id").collect()
-    toxic = sum(r.label for r in rows)
-    idf = np.log(1 + n / np.maximum(1, df)) * ties(n0, n1, len(rows) - toxic, toxic, settings)
-    reader = Reader(terms)
-    index = Index([r.id for r in rows], [r.label for r in rows], [reader.read(r.text) for r in rows], np.append(idf, settings.background), settings)
-    index.calibrate()
+def fit_votes(told: list[tuple[float, float]], prior: float, least: float, pseudo: float) -> tuple[np.ndarray, np.ndarray]:
+    """A rising line through pairs of vote and label: pools of votes and their scores.
+
+    Pools begin as runs of equal or neighbouring votes with `least` examples at
+    least, so that one odd label moves little; then neighbours that don't rise
+    are joined. A pool's score is its mean label with `pseudo` further examples
+    at the prior; votes between two pools' means are interpolated.
+    """
+    runs: list[list[float]] = []  # examples, sum of votes, sum of labels, last vote
+    for v, y in sorted(told):
+        if runs and (runs[-1][0] < least or runs[-1][3] == v):
+            runs[-1] = [runs[-1][0] + 1, runs[-1][1] + v, runs[-1][2] + y, v]
+        else:
+            runs.append([1.0, v, y, v])
+    if len(runs) > 1 and runs[-1][0] < least:
+        last = runs.pop()
+        runs[-1] = [*(a + b for a, b in zip(runs[-1][:3], last[:3], strict=True)), last[3]]
+    pools: list[list[float]] = []
+    for run in runs:
+        pools.append(run)
+        while len(pools) > 1 and pools[-2][2] / pools[-2][0] >= pools[-1][2] / pools[-1][0]:
+            last = pools.pop()
+            pools[-1] = [*(a + b for a, b in zip(pools[-1][:3], last[:3], strict=True)), last[3]]
+    xs = np.array([p[1] / p[0] for p in pools])
+    ys = np.array([(p[2] + prior * pseudo) / (p[0] + pseudo) for p in pools])
+    return xs, np.maximum.accumulate(ys)
+
+
+def learn(read: DataFrame, examples: DataFrame, shared: Broadcast, n0: np.ndarray, n1: np.ndarray, settings: Settings) -> Index:
+    """The index of the examples (id, text, label), in the order of their ids' hashes; document frequencies are those of the documents read.
+
+    The driver gets term numbers and counts of the examples, not their texts.
+    """
+    df, n = document_frequencies(read, len(n0))
+    numbered = read_terms(examples.select("id", F.col("label").cast("long").alias("row_key"), "text"), shared)
+    rows = numbered.orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id").toArrow()
+    labels = rows["row_key"].to_pylist()
+    toxic = sum(labels)
+    idf = np.log(1 + n / np.maximum(1, df)) * ties(n0, n1, len(labels) - toxic, toxic, settings)
+    texts = [(np.asarray(t.values, np.int32), np.asarray(c.values, np.int32)) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
+    index = Index(rows["id"].to_pylist(), labels, texts, np.append(idf, settings.background), settings)
+    index.calibrate(settings.least_share, settings.pseudo)
     return index
 
 
@@ -311,8 +338,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, texts: DataFrame | None =
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("row_key"), F.col(text_col).alias("text"))
     terms, n0, n1 = count_terms(examples)
     context = docs.sparkSession.sparkContext
-    read = stored(read_terms(docs, context.broadcast(terms)), "terms")
-    shared = context.broadcast(learn(read, examples, terms, n0, n1, settings))
+    numbers = context.broadcast(terms)
+    read = stored(read_terms(docs, numbers), "terms")
+    shared = context.broadcast(learn(read, examples, numbers, n0, n1, settings))
     told = pa.list_(pa.struct([("id", examples.limit(0).toArrow().schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from tallyforge.llm.toxicity import Index, Settings, learnable, score_toxicity
+from tallyforge.llm.toxicity import Index, Settings, fit_votes, learnable, score_toxicity
 
 
 def test_index_is_exact():
@@ -76,3 +76,77 @@ def test_every_word_of_the_examples_is_searched(spark):
     assert {e.id for e in got[1].evidence} == {500, 501} and all(e.label == 1 for e in got[1].evidence)
     assert got[2].evidence[0].id == 1500 and got[2].evidence[0].label == 0
     assert got[3].evidence == [] and got[1].score > got[2].score
+
+
+def test_fit_against_brute_force():
+    """The best rising fit by squares over the first pools, found by trying every way to join neighbours."""
+    rng = random.Random(2)
+    for _ in range(60):
+        told = [(round(rng.random(), 2), float(rng.random() < 0.4)) for _ in range(rng.randrange(1, 40))]
+        xs, ys = fit_votes(told, 0.2, 4, 0.0)
+        runs = []
+        for v, y in sorted(told):
+            if runs and (len(runs[-1]) < 4 or runs[-1][-1][0] == v):
+                runs[-1].append((v, y))
+            else:
+                runs.append([(v, y)])
+        if len(runs) > 1 and len(runs[-1]) < 4:
+            runs[-2:] = [runs[-2] + runs[-1]]
+        best = None
+        for cut in range(2 ** (len(runs) - 1)):
+            pools = [list(runs[0])]
+            for i, run in enumerate(runs[1:]):
+                if cut >> i & 1:
+                    pools.append(list(run))
+                else:
+                    pools[-1] = pools[-1] + run
+            means = [sum(y for _, y in p) / len(p) for p in pools]
+            if all(a < b for a, b in zip(means, means[1:], strict=False)):
+                loss = sum((y - m) ** 2 for p, m in zip(pools, means, strict=True) for _, y in p)
+                if best is None or loss < best[0] - 1e-12:
+                    best = loss, [sum(v for v, _ in p) / len(p) for p in pools], means
+        assert np.allclose(xs, best[1]) and np.allclose(ys, best[2])
+
+
+def test_one_odd_label_moves_no_clean_text_over_the_threshold():
+    clean, toxic = [(0.01 + i / 10000, 0.0) for i in range(900)], [(0.8 + i / 10000, 1.0) for i in range(100)]
+    for at in (0, 450, 899):
+        odd = [(v, 1.0 if i == at else y) for i, (v, y) in enumerate(clean)]
+        xs, ys = fit_votes(odd + toxic, 0.1, 20, 4.0)
+        assert max(np.interp([v for v, _ in clean[:880]], xs, ys)) < 0.3 and min(np.interp([v for v, _ in toxic], xs, ys)) > 0.5
+
+
+def test_scores_are_the_fit_of_votes(spark):
+    """Every score by hand: dense cosines in the weights of the index, closeness-weighted votes, the fit between its pools."""
+    rng = random.Random(5)
+    names = ["alder", "birch", "cedar", "dogwood", "elm", "fir", "gorse"]
+    train = [(i, " ".join(rng.choice(names) for _ in range(6)) + (" vile rotten" if i % 3 == 0 else " calm"), int(i % 3 == 0)) for i in range(150)]
+    labelled = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    docs = spark.createDataFrame([(1000 + i, " ".join(rng.choice([*names, "vile", "calm", "rotten"]) for _ in range(5))) for i in range(60)], "doc_id long, text string")
+    settings = Settings(neighbours=7)
+    import tallyforge.llm.toxicity as toxicity
+
+    seen, real = [], toxicity.learn
+    toxicity.learn = lambda *a: seen.append(real(*a)) or seen[0]
+    try:
+        got = {r.doc_id: r for r in score_toxicity(docs, labelled, labelled, settings).collect()}
+    finally:
+        toxicity.learn = real
+    index, terms = seen[0], sorted({t for _, x, _ in train for w in x.split() for t in toxicity.terms_of(w)})
+    texts = {i: x for i, x, _ in train}
+
+    def unit(text):
+        v = np.zeros(len(terms))
+        for w in text.split():
+            for t in toxicity.terms_of(w):
+                v[terms.index(t)] += 1
+        v = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * index.idf[:-1]
+        return v / np.linalg.norm(v)
+
+    dense = np.stack([unit(texts[i]) for i in index.ids])
+    for r in docs.collect():
+        cosines = np.round(dense @ unit(r.text), 9)
+        near = [i for i in np.lexsort((np.arange(len(cosines)), -cosines))[:7] if cosines[i] > 0]
+        w = np.array([1 / (1.05 - min(cosines[i], 1.0)) for i in near])
+        vote = (sum(w * np.array([texts and train[index.ids[i]][2] for i in near])) + index.prior) / (w.sum() + 1)
+        assert abs(got[r.doc_id].score - np.interp(vote, *index.fit)) < 1e-9 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
