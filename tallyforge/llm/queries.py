@@ -1,4 +1,4 @@
-"""The queries opN_<name> over the whole `documents` table, and the DuckDB SQL of those that SQL can express."""
+"""The queries opN_<name> over their whole tables, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -79,9 +79,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(_docs(spark, sf_dir)))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.whitening import whiten_embeddings
+
+    return whiten_embeddings(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_media_audio, op2_minhash, op3_quality_lines, op4_token_counts, op5_substring_dedup, op6_toxicity, op7_mixing, op8_license_scan, op9_line_dedup, op10_sentencepiece)
+    for f in (op1_media_audio, op2_minhash, op3_quality_lines, op4_token_counts, op5_substring_dedup, op6_toxicity, op7_mixing, op8_license_scan, op9_line_dedup, op10_sentencepiece, op12_whitening)
 }
 
 
@@ -183,5 +189,5 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
 #: The others have none: SQL can't write audio frames (1), express the line rules and their order of precedence briefly (3),
-#: tokenise (4, 10), search by cosine in learnt terms (6) or route a flow (7). Their tests hold them against brute force.
+#: tokenise (4, 10), search by cosine in learnt terms (6), route a flow (7) or find eigenvectors (12). Their tests hold them against brute force.
 ORACLES = {"op2_minhash": _MINHASH_SQL, "op5_substring_dedup": _SUBSTRING_SQL, "op8_license_scan": _license_sql(), "op9_line_dedup": _line_sql()}
