@@ -1,7 +1,8 @@
 """Embedding whitening: moments of all vectors by generated SQL aggregates, LAPACK for the small rest.
 
-The upper triangle of the covariance is one aggregation: a SQL expression for
-every pair of dimensions, each a sum of products of centred entries. Entries
+The upper triangle of the covariance is one aggregation of generated SQL
+expressions: sums of the products of centred entries for every pair of
+dimensions. Entries
 are whole numbers, centred on the nearest whole number to their mean, so the
 sums are exact, whatever the order of rows or tasks (doubles take over only
 where 64 bits might not hold them); what the whole centre leaves of the mean
@@ -20,10 +21,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored
 
-#: Sums of products in one aggregation; more dimensions than give so many pairs (127) take several passes.
-PAIRS = 8192
-
-
 @dataclass(frozen=True)
 class Whitening:
     """What was fitted: count, sums by dimension, and the components kept, by falling eigenvalue."""
@@ -52,20 +49,24 @@ def fixed_point(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return stored(whole, "fixed_point"), d
 
 
-def upper_triangle(d: int, columns: list[str]) -> list[str]:
-    """SQL sums of the products of every pair of the columns, by row of the triangle."""
-    return [f"sum({columns[i]} * {columns[j]}) AS p{i}_{j}" for i in range(d) for j in range(i, d)]
+def upper_triangle(columns: list[str]) -> list[str]:
+    """SQL sums, for rows (i, a) of a dimension's number and entry beside all entries: of the products with each dimension from i on."""
+    return [f"sum(CASE WHEN i <= {j} THEN a * {c} END) AS p{j}" for j, c in enumerate(columns)]
 
 
 def pair_sums(centred: DataFrame, columns: list[str]) -> np.ndarray:
-    """The symmetric matrix of sums of products: one aggregation without keys, so each task sends a single row."""
+    """The symmetric matrix of sums of products, by one aggregation.
+
+    Each vector gives a row for each dimension; sums of d columns in d groups
+    stay inside compiled code, where d (d + 1) / 2 sums in a single group leave
+    it. A task sends d rows.
+    """
     d = len(columns)
-    asked, out = upper_triangle(d, columns), np.zeros((d, d), object)
-    sums: list = []
-    for at in range(0, len(asked), PAIRS):
-        sums += centred.selectExpr(*asked[at : at + PAIRS]).head()
-    out[np.triu_indices(d)] = sums
-    return np.where(np.tri(d, k=-1, dtype=bool), out.T, out)
+    each = centred.selectExpr(*columns, f"posexplode(array({', '.join(columns)})) AS (i, a)")
+    out = np.zeros((d, d), object)
+    for i, *sums in each.groupBy("i").agg(*map(F.expr, upper_triangle(columns))).collect():  # d rows
+        out[i, i:] = out[i:, i] = sums[i:]
+    return out
 
 
 def fit_whitening(points: DataFrame, d: int, components: int = 8, least: float = 1e-12) -> Whitening | None:

@@ -69,8 +69,7 @@ def test_large_sums_are_exact_or_refused(spark):
         whiten_embeddings(farther).collect()
 
 
-def test_pairs_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr("tallyforge.llm.whitening.PAIRS", 4)
+def test_pair_sums(spark):
     points, d = fixed_point(spark.createDataFrame([(i, [i + 0.5, i * i / 2, -i / 4]) for i in range(9)], "vec_id long, embedding array<double>"))
     x = np.array([[r[f"x{i}"] for i in range(d)] for r in points.collect()])
     assert (pair_sums(points, ["x0", "x1", "x2"]).astype(np.int64) == x.T @ x).all()
