@@ -79,15 +79,31 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(_docs(spark, sf_dir)))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.chat import Template, chat_digests, format_log, read_chats, turns_as_log
+
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema))
+    template = Template()
+    return chat_digests(read_chats(format_log(turns_as_log(turns), template), template))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.whitening import whiten_embeddings
 
     return whiten_embeddings(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.repair import damage, repair_conversations
+
+    return repair_conversations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), damage)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_media_audio, op2_minhash, op3_quality_lines, op4_token_counts, op5_substring_dedup, op6_toxicity, op7_mixing, op8_license_scan, op9_line_dedup, op10_sentencepiece, op12_whitening)
+    for f in (op1_media_audio, op2_minhash, op3_quality_lines, op4_token_counts, op5_substring_dedup, op6_toxicity, op7_mixing, op8_license_scan, op9_line_dedup, op10_sentencepiece, op11_chat_format, op12_whitening, op13_conversation_repair)
 }
 
 
@@ -150,6 +166,29 @@ FROM w LEFT JOIN based USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _chat_sql() -> str:
+    """Turns and texts straight from the table; the formatted length from the template's marks."""
+    from tallyforge.llm.chat import Template
+
+    t = Template()
+    hidden, slash = t.hidden(r"(\\*)"), r"\1\\\2\3"
+    sizes = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in t.marks.items())
+    other = f"{sum(map(len, t.other))} + length(regexp_replace(role, '{hidden}', '{slash}', 'g'))"
+    return rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, CASE role {sizes} ELSE {other} END + length(regexp_replace(text, '{hidden}', '{slash}', 'g')) AS chars,
+    CASE WHEN role = '{t.learnt}' THEN text ELSE '' END AS learnt
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(length(learnt))::BIGINT AS loss_chars, sha256(string_agg(learnt, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 _SUBSTRING_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -189,5 +228,6 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
 #: The others have none: SQL can't write audio frames (1), express the line rules and their order of precedence briefly (3),
-#: tokenise (4, 10), search by cosine in learnt terms (6), route a flow (7) or find eigenvectors (12). Their tests hold them against brute force.
-ORACLES = {"op2_minhash": _MINHASH_SQL, "op5_substring_dedup": _SUBSTRING_SQL, "op8_license_scan": _license_sql(), "op9_line_dedup": _line_sql()}
+#: tokenise (4, 10), search by cosine in learnt terms (6), route a flow (7), find eigenvectors (12) or the least
+#: of the cheapest edits (13). Their tests hold them against brute force.
+ORACLES = {"op2_minhash": _MINHASH_SQL, "op5_substring_dedup": _SUBSTRING_SQL, "op8_license_scan": _license_sql(), "op9_line_dedup": _line_sql(), "op11_chat_format": _chat_sql()}
