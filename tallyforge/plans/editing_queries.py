@@ -15,32 +15,55 @@ from tallyforge.streaming.folders import shared_folder
 
 # --- edits -----------------------------------------------------------------
 
-#: Events of transactions: an edit of the amount or the date, an exclusion, a restoration, a confirmation, the other reading, and an undo.
+#: Events of transactions: up to seven a row, of every kind, in an order that differs from row to row.
 _LOG = """
-SELECT row_id, row_id * 10 + k AS seq, CASE (row_id + k) % 7 WHEN 0 THEN 'edit' WHEN 1 THEN 'exclude' WHEN 2 THEN 'restore' WHEN 3 THEN 'confirm' WHEN 4 THEN 'use_alt' WHEN 5 THEN 'edit' ELSE 'undo' END AS action,
-  CASE WHEN (row_id + k) % 7 = 0 THEN 'amount' ELSE 'date' END AS field, CASE WHEN (row_id + k) % 7 = 0 THEN CAST(row_id * 3 + k AS STRING) ELSE '2020-01-0' || CAST(k + 1 AS STRING) END AS value
-FROM (SELECT o_orderkey AS row_id FROM {orders}) o JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ks ON k < row_id % 5
+SELECT row_id, row_id * 10 + k AS seq, CASE (row_id * 7 + k * 5 + row_id DIV 3) % 11 WHEN 0 THEN 'edit' WHEN 1 THEN 'exclude' WHEN 2 THEN 'restore' WHEN 3 THEN 'confirm' WHEN 4 THEN 'use_alt' WHEN 5 THEN 'edit' WHEN 6 THEN 'edit_cell' WHEN 7 THEN 'treat' WHEN 8 THEN 'confirm_low' WHEN 9 THEN 'edit_cell' ELSE 'undo' END AS action,
+  CASE WHEN (row_id + k) % 3 = 0 THEN 'amount' ELSE 'date' END AS field,
+  CASE WHEN (row_id + k) % 13 = 0 THEN NULL WHEN (row_id + k) % 3 = 0 THEN CAST(row_id * 3 + k AS STRING) ELSE '2020-01-0' || CAST(k + 1 AS STRING) END AS value
+FROM (SELECT o_orderkey AS row_id FROM {orders}) o JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) ks ON k < row_id % 8
 """
 
+#: The walk keeps a row's whole state and a stack of earlier ones, and takes one event at a time.
+_S = "struct_pack(amount := {a}, date := {d}, flags := {f}, excluded := {x}, edited := {e}, confirmed := {c}, skipped := {k}, oa := {oa}, od := {od})"
+_AFTER_EDIT = _S.format(
+    a="CASE WHEN put AND field = 'amount' THEN CAST(value AS BIGINT) WHEN alt THEN other ELSE s.amount END", d="CASE WHEN put AND field = 'date' THEN value ELSE s.date END",
+    f="CASE WHEN alt THEN [f FOR f IN s.flags IF f <> 'low_confidence_ocr'] ELSE s.flags END", x="CASE action WHEN 'exclude' THEN true WHEN 'restore' THEN false ELSE s.excluded END", e="s.edited OR put OR alt", c="s.confirmed",
+    k="s.skipped AND action <> 'treat'", oa="CASE WHEN s.oa IS NULL AND (alt OR put AND field = 'amount') THEN coalesce(CAST(s.amount AS VARCHAR), 'none') ELSE s.oa END",
+    od="CASE WHEN s.od IS NULL AND put AND field = 'date' THEN coalesce(s.date, 'none') ELSE s.od END",
+)
+_LACKS = "(f = 'missing_amount' AND n.amount IS NULL OR f = 'unparseable_date' AND n.date IS NULL)"
+_AFTER_FLAGS = _S.format(
+    a="n.amount", d="n.date", x="n.excluded", e="n.edited", k="n.skipped", oa="n.oa", od="n.od",
+    f=f"CASE WHEN sure THEN [f FOR f IN n.flags IF f IN ('ocr', 'manually_added') OR {_LACKS}] WHEN action = 'treat' THEN list_concat(list_concat(n.flags, CASE WHEN n.date IS NULL AND NOT list_contains(n.flags, 'unparseable_date') THEN ['unparseable_date'] ELSE [] END), CASE WHEN n.amount IS NULL AND NOT list_contains(n.flags, 'missing_amount') THEN ['missing_amount'] ELSE [] END) ELSE n.flags END",
+    c=f"CASE WHEN sure THEN len([f FOR f IN n.flags IF {_LACKS}]) = 0 ELSE n.confirmed END",
+)
+
 
 @query(f"""
-WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY seq) AS k FROM ({_LOG.replace("{orders}", "orders")})),
-walk(row_id, k, stack) AS (SELECT row_id, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT row_id FROM e) UNION ALL SELECT w.row_id, e.k, CASE WHEN e.action <> 'undo' THEN list_append(stack, e.seq) WHEN len(stack) > 0 THEN stack[1:len(stack) - 1] ELSE stack END FROM walk w JOIN e ON e.row_id = w.row_id AND e.k = w.k + 1),
-live AS (SELECT e.* FROM (SELECT row_id, unnest(arg_max(stack, k)) AS seq FROM walk GROUP BY row_id) l JOIN e ON e.seq = l.seq AND e.row_id = l.row_id),
-s AS (SELECT row_id, arg_max(value, seq) FILTER (action = 'edit' AND field = 'amount') AS na, arg_max(value, seq) FILTER (action = 'edit' AND field = 'date') AS nd, arg_max(action, seq) FILTER (action IN ('exclude', 'restore')) AS shown,
-  bool_or(action = 'edit') AS edited, bool_or(action = 'confirm') AS confirmed, bool_or(action = 'use_alt') AS alt FROM live GROUP BY row_id),
-t AS (SELECT row_id, CASE WHEN row_id % 6 = 0 THEN NULL ELSE amount END AS amount, CASE WHEN row_id % 8 = 0 THEN NULL ELSE date END AS date, CASE WHEN row_id % 3 = 0 THEN amount * 2 END AS other FROM {T}),
-j AS (SELECT t.row_id, CASE WHEN coalesce(alt, false) AND other IS NOT NULL THEN other ELSE coalesce(CAST(na AS BIGINT), amount) END AS amount, coalesce(nd, date) AS date, coalesce(shown = 'exclude', false) AS excluded, coalesce(edited, false) AS edited, coalesce(confirmed, false) AS confirmed, coalesce(alt, false) AS alt,
-  ['ocr', 'low_confidence', 'missing_amount', 'unparseable_date'] AS flags FROM t LEFT JOIN s USING (row_id))
-SELECT row_id, amount, date, excluded, edited, confirmed, array_to_string(CASE WHEN confirmed THEN [x FOR x IN flags IF x = 'ocr' OR x = 'missing_amount' AND amount IS NULL OR x = 'unparseable_date' AND date IS NULL] WHEN alt THEN [x FOR x IN flags IF x <> 'low_confidence'] ELSE flags END, ';') AS flags FROM j
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY seq) AS nth FROM ({_LOG.replace("{orders}", "orders").replace(" DIV ", " // ")})),
+t AS (SELECT row_id, CASE WHEN row_id % 6 <> 0 THEN amount END AS amount, CASE WHEN row_id % 8 <> 0 THEN date END AS date, CASE WHEN row_id % 3 = 0 THEN amount * 2 END AS other, row_id % 5 = 0 AS skipped,
+  [f FOR f IN ['ocr', CASE WHEN row_id % 2 = 0 THEN 'low_confidence_ocr' END, CASE WHEN row_id % 6 = 0 THEN 'missing_amount' END, CASE WHEN row_id % 16 = 0 THEN 'unparseable_date' END] IF f IS NOT NULL] AS flags FROM {T}),
+walk AS (
+  SELECT row_id, 0::BIGINT AS nth, other, s, [s][2:] AS stack FROM (SELECT row_id, other, {_S.format(a="amount", d="date", f="flags", x="false", e="false", c="false", k="skipped", oa="NULL::VARCHAR", od="NULL::VARCHAR")} AS s FROM t)
+  UNION ALL
+  SELECT row_id, nth, other, CASE WHEN action = 'undo' THEN CASE WHEN len(stack) > 0 THEN stack[len(stack)] ELSE s END ELSE {_AFTER_FLAGS} END,
+    CASE WHEN action IN ('edit', 'exclude', 'confirm', 'use_alt') THEN list_append(stack, s) WHEN action = 'undo' AND len(stack) > 0 THEN stack[1 : len(stack) - 1] ELSE stack END
+  FROM (
+    SELECT row_id, nth, other, s, stack, action, action IN ('edit', 'confirm') OR action = 'confirm_low' AND list_contains(s.flags, 'low_confidence_ocr') AS sure, {_AFTER_EDIT} AS n
+    FROM (SELECT e.row_id, e.nth, other, s, stack, action, field, value, action IN ('edit', 'edit_cell') AS put, action = 'use_alt' AND other IS NOT NULL AS alt FROM walk w JOIN e ON e.row_id = w.row_id AND e.nth = w.nth + 1) x
+  ) y
+)
+SELECT row_id, s.amount AS amount, s.date AS date, s.excluded AS excluded, s.edited AS edited, s.confirmed AS confirmed, s.skipped AS skipped, array_to_string(s.flags, ';') AS flags, s.oa AS amount_was, s.od AS date_was
+FROM (SELECT row_id, arg_max(s, nth) AS s FROM walk GROUP BY row_id)
 """)
 def edit_01_to_09_13_to_16_join_17_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows after a log of edits, exclusions, restorations, confirmations, other readings and undos; flags that a confirmation can't clear stay."""
+    """Rows after a log of every kind of event, applied in order, with what was there before the first edit of a field."""
     i = F.col("row_id")
-    rows = txn(spark, sf_dir).select("row_id", F.when(i % 6 != 0, F.col("amount")).alias("amount"), F.when(i % 8 != 0, F.col("date")).alias("date"), F.when(i % 3 == 0, F.col("amount") * 2).alias("amount_alt"), F.array(*map(F.lit, ("ocr", "low_confidence", "missing_amount", "unparseable_date"))).alias("flags"))
-    log = spark.sql(_LOG, orders=read(spark, sf_dir, "orders"))
-    out = review.apply_events(rows, log, {"amount": "bigint", "date": "string"})
-    return out.select("row_id", "amount", "date", "excluded", "edited", "confirmed", F.array_join("flags", ";").alias("flags"))
+    flags = F.array_compact(F.array(F.lit("ocr"), *[F.when(i % n == 0, f) for n, f in ((2, "low_confidence_ocr"), (6, "missing_amount"), (16, "unparseable_date"))]))
+    rows = txn(spark, sf_dir).select("row_id", F.when(i % 6 != 0, F.col("amount")).alias("amount"), F.when(i % 8 != 0, F.col("date")).alias("date"), F.when(i % 3 == 0, F.col("amount") * 2).alias("amount_alt"), (i % 5 == 0).alias("skipped"), flags.alias("flags"))
+    out = review.apply_events(rows, spark.sql(_LOG, orders=read(spark, sf_dir, "orders")), {"amount": "bigint", "date": "string"})
+    was = lambda f: F.when(F.map_contains_key("edited_fields", f), F.coalesce(F.col("edited_fields")[f], F.lit("none"))).alias(f"{f}_was")
+    return out.select("row_id", "amount", "date", "excluded", "edited", "confirmed", "skipped", F.array_join("flags", ";").alias("flags"), was("amount"), was("date"))
 
 
 @query("SELECT place, description FROM (SELECT o_orderkey::DOUBLE AS place, o_orderpriority AS description FROM orders UNION ALL SELECT o_orderkey + 1 / 3, 'first' FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey + 2 / 3, 'second' FROM orders WHERE o_orderkey % 4 = 0)")

@@ -172,6 +172,40 @@ def test_review_log(spark):
     assert (got[3].excluded, got[3].edited) == (False, False)
 
 
+def test_review_is_a_fold_of_row_states(spark):
+    schema = "row_id int, amount long, amount_alt long, date string, flags array<string>, skipped boolean, low_confidence_hint string"
+    rows = spark.createDataFrame(
+        [
+            (1, -500, 200, "2026-01-01", ["low_confidence_ocr"], False, "two?"),
+            (2, -500, 200, "2026-01-01", ["low_confidence_ocr", "low_confidence_x"], False, "two?"),
+            (3, None, None, "2026-01-01", ["missing_amount", "sign_unclear"], False, None),
+            (4, None, None, None, ["possible_duplicate"], True, None),
+            (5, 1, None, "2026-01-01", None, None, None),
+            (6, 7, None, "2026-01-01", ["low_confidence_ocr"], False, None),
+            (7, 7, None, "2026-01-01", ["sign_unclear"], False, None),
+            (8, 1, None, "2026-01-01", [], False, None),
+        ],
+        schema,
+    )
+    log = [
+        (1, 1, "use_alt", None, None, None), (1, 2, "edit", "amount", "300", None),
+        (2, 1, "use_alt", None, None, None),
+        (3, 1, "confirm", None, None, None),
+        (4, 1, "treat", None, None, None), (4, 2, "edit", "amount", "5", None), (4, 3, "edit", None, None, {"date": "2026-02-02", "amount": "6"}),
+        (5, 1, "edit_cell", "amount", "2", None), (5, 2, "exclude", None, None, None), (5, 3, "edit_cell", "amount", "3", None), (5, 4, "restore", None, None, None), (5, 5, "undo", None, None, None), (5, 6, "undo", None, None, None),
+        (6, 1, "confirm_low", None, None, None), (7, 1, "confirm_low", None, None, None),
+        (8, 1, "edit_cell", "nothing", "x", None), (8, 2, "edit_cell", "amount", None, None), (8, 3, None, None, None, None), (99, 1, "confirm", None, None, None),
+    ]
+    got = {r.row_id: r for r in review.apply_events(rows, spark.createDataFrame(log, "row_id int, seq long, action string, field string, value string, fields map<string,string>"), {"amount": "bigint", "date": "string"}).collect()}
+    assert (got[1].amount, got[1].flags, got[1].confirmed, got[1].edited_fields, got[1].low_confidence_hint) == (300, [], True, {"amount": "-500"}, None)
+    assert (got[2].amount, got[2].flags, got[2].edited, got[2].confirmed) == (200, ["low_confidence_x"], True, False)
+    assert (got[3].flags, got[3].confirmed) == (["missing_amount"], False)
+    assert (got[4].skipped, got[4].flags, got[4].amount, got[4].date, got[4].confirmed, got[4].edited_fields) == (False, [], 6, "2026-02-02", True, {"amount": None, "date": None})
+    assert (got[5].amount, got[5].excluded, got[5].edited_fields, got[5].flags) == (2, False, {"amount": "1"}, [])
+    assert (got[6].flags, got[6].confirmed) == ([], True) and (got[7].flags, got[7].confirmed) == (["sign_unclear"], False)
+    assert (got[8].amount, got[8].edited, got[8].edited_fields) == (None, True, {"amount": "1"}) and len(got) == 8
+
+
 def test_sniffing_and_decoding(spark):
     raw = [b"%PDF-1.7", b"PK\x03\x04", "é".encode(), "é".encode("cp1252"), b"\xff\xfe" + "é".encode("utf-16-le"), b"\xef\xbb\xbfx", b""]
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "i int, c binary").select("i", files.file_type("c").alias("t"), files.encoding("c").alias("e"), files.decode_text("c", files.encoding("c")).alias("s"))
