@@ -86,18 +86,25 @@ def suggest_mapping(columns: DataFrame, terms: DataFrame) -> DataFrame:
 def pick_candidate(candidates: DataFrame) -> DataFrame:
     """The candidate to use for each file: file_id, profile_id.
 
-    `candidates` has file_id, profile_id, confidence, quality and created. Of
-    the four surest within 0.1 of the top, the best by quality; one that is
-    newer replaces it where its quality is within 0.02.
+    `candidates` has file_id, profile_id, confidence, quality and created, and
+    may have `rank` (else the surest come first, then the lesser ids) and
+    `built_in` (else all are people's own). Of the four first within 0.1 of the
+    surest, one after the other: a better quality wins, however small the
+    difference; at a quality within 0.02 of the best so far, a saved one of
+    people's own wins over a built-in one and over an older one.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("file_id")
-    near = candidates.withColumns({"_top": F.max("confidence").over(w), "_rank": F.row_number().over(w.orderBy(F.desc("confidence"), "profile_id"))}).filter(f"_top - confidence <= {MARGIN} + 1e-9 AND _rank <= {MOST}")
-    folded = near.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "profile_id", "quality", "created"))).alias("c"))
+    first = w.orderBy("rank") if "rank" in candidates.columns else w.orderBy(F.desc("confidence"), "profile_id")
+    own = ~F.coalesce("built_in", F.lit(False)) if "built_in" in candidates.columns else F.lit(True)
+    near = candidates.withColumns({"_top": F.max("confidence").over(w), "_rank": F.row_number().over(first), "_own": own}).filter(f"_top - confidence <= {MARGIN} + 1e-9 AND _rank <= {MOST}")
+    folded = near.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "profile_id", "quality", "created", "_own"))).alias("c"))
 
     def better(acc: Column, x: Column) -> Column:
-        return F.when((x["quality"] > acc["quality"] + TIE) | ((x["quality"] >= acc["quality"] - TIE) & (x["created"] > acc["created"])), x).otherwise(acc)
+        newer = F.coalesce(x["created"] > acc["created"], x["created"].isNotNull() & acc["created"].isNull())
+        tied = (F.round(acc["quality"] - x["quality"], 9) <= TIE) & x["_own"] & (~acc["_own"] | newer)
+        return F.when((x["quality"] > acc["quality"]) | tied, x).otherwise(acc)
 
     return folded.select("file_id", F.aggregate(F.slice("c", 2, MOST), F.col("c")[0], better).alias("p")).select("file_id", "p.profile_id")
 
