@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.amounts import decimals_for
 from tallyforge.functions.expr import col
 from tallyforge.functions.text import description_key
+from tallyforge.operators.ordered import PIECE, POS, SIZE, beside, earlier, in_pieces, inside, neighbours, spans
 
 INFORMATIONAL = ("ocr", "pending")
 HARD = ("unparseable_date", "missing_amount")
@@ -84,30 +85,57 @@ def sign_warnings(rows: DataFrame, *keys: str) -> DataFrame:
 # --- balances --------------------------------------------------------------
 
 
-def balance_check(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def balance_check(rows: DataFrame, keys: list[str], order: list[str], size: int = SIZE) -> DataFrame:
     """Per key: opening and closing balance, total, whether they reconcile, and the first row whose stated balance differs.
 
-    The opening balance is the first stated one less its amount. The running
-    sum is a window over the key's own rows.
+    The opening balance is the first stated one less its amount. Sums run
+    inside pieces of rows and are carried from piece to piece, so a key may hold
+    any share of all rows.
     """
-    o = F.struct(*order)
+    pieces = in_pieces(rows.select(*keys, *[c for c in order if c not in keys], "balance", "amount"), keys, order, size)
     both = F.col("balance").isNotNull() & F.col("amount").isNotNull()
-    w = Window.partitionBy(*keys)
-    opening = F.min_by(F.when(both, F.col("balance") - F.col("amount")), F.when(both, o)).over(w)
-    seen = rows.withColumn("_opening", opening).withColumn("_running", F.col("_opening") + F.sum("amount").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    stated = F.when(both, F.col("balance") - F.col("amount"))
+    at = F.when(both, F.col(POS))
+    told = spans(pieces, keys, _part=F.sum("amount"), _stated=F.min_by(stated, at))
+    told = told.withColumns({"_before": F.sum("_part").over(earlier(keys)), "_opening": F.first("_stated", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_carried": F.lit(True)})
+    seen = beside(pieces, told, keys, "_before", "_opening", "_carried")
+    w = Window.partitionBy(*keys, PIECE)
+    opening = F.when(F.col("_carried").isNull(), F.min_by(stated, at).over(w)).otherwise(F.col("_opening"))
+    running = F.coalesce("_before", F.lit(0)) + F.sum("amount").over(inside(keys).rowsBetween(Window.unboundedPreceding, 0))
+    seen = seen.withColumns({"_open": opening, "_sum": running}).withColumn("_running", F.col("_open") + F.col("_sum"))
     bad = both & (F.col("_running") != F.col("balance"))
     out = seen.groupBy(*keys).agg(
-        F.first("_opening").alias("opening"), F.max_by(F.when(both, F.col("balance")), F.when(both, o)).alias("closing"), F.coalesce(F.sum("amount"), F.lit(0)).alias("total"),
-        F.min_by(F.when(bad, F.struct(*order, "balance", "_running")), F.when(bad, o)).alias("_bad"),
+        F.first("_open").alias("opening"), F.max_by(F.when(both, F.col("balance")), at).alias("closing"), F.coalesce(F.sum("amount"), F.lit(0)).alias("total"),
+        F.min_by(F.when(bad, F.struct(*order, "balance", "_running")), F.when(bad, F.col(POS))).alias("_bad"),
     )
     return out.select(*keys, "opening", "closing", "total", (F.col("opening") + F.col("total") == F.col("closing")).alias("reconciles"), *[F.col(f"_bad.{c}").alias(f"failing_{c}") for c in order], F.col("_bad.balance").alias("stated"), F.col("_bad._running").alias("computed"))
 
 
+def tag_running_mismatches(rows: DataFrame, key: str, order: list[str], size: int = SIZE) -> DataFrame:
+    """The same as `tag_balance_mismatches` for keys (accounts, merged files) that may hold any share of all rows.
+
+    Neighbours are told inside pieces of rows and from the ends of the pieces
+    beside; fits are counted before rows are exchanged.
+    """
+    pieces = in_pieces(rows, [key], order, size)
+    live = F.col("balance").isNotNull() & F.col("amount").isNotNull()
+    # Neighbours are those among rows with both values; the others are passed over.
+    near = neighbours(pieces.filter(live), [key], ["balance", "amount"])
+    b, a, pb, pa, nb = F.col("balance"), F.col("amount"), F.col("_prev.balance"), F.col("_prev.amount"), F.col("_next.balance")
+    fits = near.withColumns({"_down": pb + a == b, "_up": b + pa == pb, "_own": nb + a == b})
+    sums = fits.groupBy(F.col(key).alias("_f")).agg(F.count("_down").alias("_pairs"), F.sum(F.col("_down").cast("int")).alias("_nd"), F.sum(F.col("_up").cast("int")).alias("_nu")).filter("greatest(_nd, _nu) * 2 >= _pairs")
+    wrong = F.when(F.col("_nd") >= F.col("_nu"), ~F.col("_down")).otherwise(~F.col("_own"))
+    tagged = fits.filter("NOT _down OR NOT _own").join(sums, F.col(key).eqNullSafe(F.col("_f"))).filter(wrong).select(F.col(POS).alias("_at"), F.lit(True).alias("balance_mismatch"))
+    out = pieces.join(tagged, F.col(POS) == F.col("_at"), "left").drop("_at", POS, PIECE)
+    return out.withColumn("balance_mismatch", F.coalesce("balance_mismatch", F.lit(False)))
+
+
 def tag_balance_mismatches(rows: DataFrame, file_col: str, order: list[str]) -> DataFrame:
     """Rows with `balance_mismatch`: the stated balance isn't the one before plus the amount.
 
     Each file is read in the direction that fits more neighbours (downwards on
-    a tie); where fewer than half fit, none is tagged.
+    a tie); where fewer than half fit, none is tagged. A file is a window, which
+    its limit of size bounds; `tag_running_mismatches` has no such bound.
     """
     live = F.col("balance").isNotNull() & F.col("amount").isNotNull()
     w = Window.partitionBy(file_col, live).orderBy(*order)

@@ -333,7 +333,7 @@ s AS (SELECT *, count(down) OVER p AS n, sum(down::INT) OVER p AS nd, sum(up::IN
 SELECT r.row_id, coalesce(greatest(nd, nu) * 2 >= n AND CASE WHEN nd >= nu THEN NOT down ELSE NOT own END, false) AS balance_mismatch FROM r LEFT JOIN s USING (row_id)
 """)
 def win_02_tag_balance_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.tag_balance_mismatches(running(spark, sf_dir), "account", ["date", "row_id"]).select("row_id", "balance_mismatch")
+    return ledger.tag_running_mismatches(running(spark, sf_dir), "account", ["date", "row_id"]).select("row_id", "balance_mismatch")
 
 
 S = f"({duck(SEEN)}) seen"
