@@ -51,14 +51,32 @@ def token_overlap(a: Column | str, b: Column | str) -> Column:
 
 
 def fuzzy_in_text(phrase: Column | str, text: Column | str, distance: int = 2, ratio: float = 0.85, slack: int = 4) -> Column:
-    """Whether a phrase stands in a text: as it is, by tokens, or as a window of as many words within an edit distance."""
+    """Whether a phrase stands in a text: as it is, by tokens, or as a window of as many words within an edit distance.
+
+    `distance` edits leave one of `distance` + 1 pieces of the phrase whole, so
+    only windows that hold one of them, no further from its place than that,
+    are compared; a text without any of the pieces has no such window.
+    """
 
     def look(x: Column) -> Column:
+        p, h = x["p"], x["h"]
+        size = F.greatest(F.floor(F.length(p) / (distance + 1)).cast("int"), F.lit(1))
+        pieces = [F.substr(p, size * k + 1, size if k < distance else F.length(p)) for k in range(distance + 1)]
+        filled = F.filter(F.transform(F.array(*pieces), lambda s, k: F.struct(s.alias("s"), (k * size + 1).alias("at"))), lambda q: q["s"] != "")
+        # A phrase that short may lose all its letters: nothing can be left out.
+        filled = F.when(F.length(p) <= distance, F.array(F.struct(F.lit("").alias("s"), F.lit(1).alias("at")))).otherwise(filled)
+        return (p != "") & (F.contains(h, p) | (token_overlap(p, h) >= ratio) | let(F.struct(p.alias("p"), h.alias("h"), F.filter(filled, lambda q: F.contains(h, q["s"])).alias("q")), near))
+
+    def near(x: Column) -> Column:
+        p, n = x["p"], F.size(F.split(x["p"], " "))
         words = F.split(x["h"], " ")
-        n = F.size(F.split(x["p"], " "))
-        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-        near = F.exists(windows, lambda w: (F.abs(F.length(w) - F.length(x["p"])) <= slack) & (F.levenshtein(w, x["p"]) <= distance))
-        return (x["p"] != "") & (F.contains(x["h"], x["p"]) | (token_overlap(x["p"], x["h"]) >= ratio) | near)
+
+        def close(w: Column) -> Column:
+            around = lambda q: F.contains(F.substr(w, F.greatest(q["at"] - distance, F.lit(1)), F.length(q["s"]) + 2 * distance), q["s"])
+            return (F.abs(F.length(w) - F.length(p)) <= F.least(F.lit(slack), F.lit(distance))) & F.exists(x["q"], around) & (F.levenshtein(w, p, distance) >= 0)
+
+        windows = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        return (F.size(x["q"]) > 0) & F.exists(windows, lambda i: let(F.array_join(F.slice(words, i, n), " "), close))
 
     return let(F.struct(normalize_phrase(phrase).alias("p"), normalize_phrase(text).alias("h")), look)
 
@@ -159,11 +177,13 @@ def redact(key: Column, value: Column, allowed: tuple[str, ...]) -> Column:
 
 # --- amount lines and currencies -------------------------------------------
 
-# The end of a line: optional currency, sign, parenthesis, number, parenthesis, sign, currency, mark.
-AMOUNT_END = r"(?i)(?:(?<![A-Za-z0-9])([A-Za-z]{3}|S\$|US\$|HK\$|A\$|[$€£¥])\s*)?([+-])?\s*(\()?\s*([+-])?(\d[\d.,  ]*\d|\d)\s*(\))?\s*([+-])?\s*([A-Z]{3})?\s*(?:\b(CR|DR|C|D)\.?)?\s*$"
+# What ends an amount line: a currency, sign and parenthesis before the number; a parenthesis, sign, code and mark behind it.
+_BEFORE = r"(?:(?<![A-Za-z0-9])(?:[A-Za-z]{3}|(?:S|US|HK|A)?\$|[€£¥])\s*)?[+-]?\s*\(?\s*[+-]?"
+_BEHIND = r"\s*\)?\s*[+-]?\s*(?:[A-Za-z]{3})?\s*(?:\b(?i:CR|DR|C|D)\.?)?\s*"
+_ENDING = rf"(?s)^.*?({_BEFORE})(\d[\d.,\u00a0 ]*\d|\d)({_BEHIND})$"
 # What makes a line no transaction. Page footers; summary phrases; two years; a month's or a year's banner; a date alone.
 PAGE_FOOTER = r"(?i)\bpage\s*[\dIlO]+\s*(?:of|/|0f)\s*[\dIlO.,]+"
-SUMMARY_PHRASES = ("transactions as of", "available balance", "ledger balance", "current balance", "opening balance", "closing balance", "available credit limit", "reward points")
+SUMMARY_PHRASES = ("transactions as of", "available balance", "ledger balance", "current balance", "available credit limit", "reward points")
 SUMMARY_STARTS = r"^(?:(?:sub)?total\b|ref(?:erence)?[:\s])"
 TWO_YEARS = r"\b(?:19|20)\d\d\b.*\b(?:19|20)\d\d\b"
 BANNER = r"^(?:[A-Za-z]{3,}\s+)?(?:19|20)\d\d$"
@@ -185,21 +205,30 @@ def amount_line(line: Column | str) -> Column:
     """struct(minor, currency, decimals, mark, start) of the amount that ends a line, null without one.
 
     Rejected: what `no_transaction` holds; a month's name as currency; more
-    than eight digits, or a single one, without any decoration.
+    than eight digits, or a single one, without any decoration. A line is split
+    once into what stands before, in and behind its last number, and only if it
+    can end in one.
     """
+    cut = "\u0001"
 
     def read(s: Column) -> Column:
-        g = lambda k: F.regexp_extract(s, AMOUNT_END, k)
-        before, after = F.upper(g(1)), F.upper(g(8))
-        digits = F.regexp_replace(g(5), r"\D", "")
-        decorated = (g(1) != "") | (g(2) != "") | (g(3) != "") | (g(4) != "") | (g(7) != "") | (after != "") | (g(9) != "") | g(5).rlike(r"[.,]\d{2}$")
-        ok = (g(5) != "") & ~no_transaction(s) & ~before.rlike(_MONTH) & ~after.rlike(_MONTH) & (decorated | F.length(digits).between(2, 8))
-        negative = (g(2) == "-") | (g(4) == "-") | (g(7) == "-") | ((g(3) != "") & (g(6) != ""))
-        value = parse_amount(g(5))["minor"]
-        code = F.coalesce(blank_as_null(F.regexp_extract(before, "^[A-Z]{3}$", 0)), blank_as_null(after))
-        mark = blank_as_null(F.substring(F.upper(g(9)), 1, 1))
-        start = F.length(s) - F.length(F.regexp_extract(s, AMOUNT_END, 0))
-        return F.when(ok & value.isNotNull(), F.struct(F.when(negative, -value).otherwise(value).alias("minor"), code.alias("currency"), g(5).rlike(r"[.,]\d{2}$").alias("decimals"), mark.alias("mark"), start.alias("start")))
+        ends = s.rlike(r"\d[\s)+\-A-Za-z.]*$") & ~s.contains(cut)
+        return let(F.when(ends, F.struct(s.alias("s"), F.split(F.regexp_replace(s, _ENDING, f"$1{cut}$2{cut}$3"), cut).alias("p"))), lambda x: F.when(F.size(x["p"]) == 3, parts(x["s"], x["p"])))
+
+    def parts(s: Column, p: Column) -> Column:
+        before, number, behind = p[0], p[1], p[2]
+        own = F.upper(F.regexp_extract(before, r"^[A-Za-z]{3}", 0))
+        after = F.upper(F.regexp_extract(behind, r"^\s*\)?\s*[+-]?\s*([A-Za-z]{3})", 1))
+        mark = F.upper(F.regexp_extract(behind, r"(?i)\b(C|D)R?\.?\s*$", 1))
+        cents = number.rlike(r"[.,]\d{2}$")
+        decorated = (trimmed(before) != "") | behind.rlike(r"[^\s)]") | cents
+        digits = F.length(F.regexp_replace(number, r"\D", ""))
+        ok = (decorated | digits.between(2, 8)) & ~own.rlike(_MONTH) & ~after.rlike(_MONTH) & ~no_transaction(s)
+        negative = before.contains("-") | behind.contains("-") | (before.contains("(") & behind.contains(")"))
+        start = F.length(s) - F.length(before) - F.length(number) - F.length(behind)
+        told = F.struct(parse_amount(number)["minor"].alias("v"), negative.alias("n"))
+        made = lambda x: F.when(x["v"].isNotNull(), F.struct(F.when(x["n"], -x["v"]).otherwise(x["v"]).alias("minor"), F.coalesce(blank_as_null(own), blank_as_null(after)).alias("currency"), cents.alias("decimals"), blank_as_null(mark).alias("mark"), start.alias("start")))
+        return F.when(ok, let(told, made))
 
     return let(trimmed(col(line)), read)
 

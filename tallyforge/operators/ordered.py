@@ -84,3 +84,23 @@ def neighbours(pieces: DataFrame, keys: list[str], columns: list[str], before: s
     out = beside(pieces, told, keys, "_before", "_after").withColumn("_row", row)
     w = inside(keys)
     return out.withColumns({before: F.coalesce(F.lag("_row").over(w), "_before"), after: F.coalesce(F.lead("_row").over(w), "_after")}).drop("_row", "_before", "_after")
+
+
+def running(pieces: DataFrame, keys: list[str], **told: tuple[str, Column, bool]) -> DataFrame:
+    """The rows with further columns, folded along each key: name = (kind, value, whether the row itself counts).
+
+    Kinds are what merges from piece to piece: `sum` (0 before the first value)
+    and `last` (the last value that isn't null). A state machine over lines is
+    a set of these: how many lines of a kind came so far, and what the last one
+    of a kind was.
+    """
+    part = {n: F.sum(v) if kind == "sum" else F.max_by(v, F.when(v.isNotNull(), F.col(POS))) for n, (kind, v, _) in told.items()}
+    over = earlier(keys)
+    carried = spans(pieces, keys, **{f"_part_{n}": p for n, p in part.items()}).withColumns({f"_so_far_{n}": F.sum(f"_part_{n}").over(over) if kind == "sum" else F.last(f"_part_{n}", ignorenulls=True).over(over) for n, (kind, _, _) in told.items()})
+    out = beside(pieces, carried, keys, *[f"_so_far_{n}" for n in told])
+    new = {}
+    for n, (kind, v, itself) in told.items():
+        w = inside(keys).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+        before = F.col(f"_so_far_{n}")
+        new[n] = F.coalesce(before, F.lit(0)) + F.coalesce(F.sum(v).over(w), F.lit(0)) if kind == "sum" else F.coalesce(F.last(v, ignorenulls=True).over(w), before)
+    return out.withColumns(new).drop(*[f"_so_far_{n}" for n in told])

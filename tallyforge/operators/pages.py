@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordered import SIZE, in_pieces, running
+
 LINE = "array<struct<y: double, items: array<struct<x: double, str: string>>>>"
 
 
@@ -44,11 +46,15 @@ def assign_columns(lines: DataFrame, bands: list[tuple[str, float, float]]) -> D
     return lines.select("*", *[text(n).alias(n) for n, _, _ in bands])
 
 
-def wrapped_rows(lines: DataFrame, keys: list[str], order: list[str], is_start: Column, text: str = "text") -> DataFrame:
-    """Rows of the columns model: a start line opens a row, the lines behind it continue it. Lines before the first start are dropped."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = lines.withColumn("_row", F.sum(F.coalesce(is_start, F.lit(False)).cast("int")).over(w)).filter("_row > 0")
-    out = numbered.groupBy(*keys, F.col("_row").alias("row")).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("t")))).alias("parts"))
+def wrapped_rows(lines: DataFrame, keys: list[str], order: list[str], is_start: Column, text: str = "text", size: int = SIZE) -> DataFrame:
+    """Rows of the columns model: a start line opens a row, the lines behind it continue it. Lines before the first start are dropped.
+
+    Starts are counted inside pieces of ordered lines and carried from piece to
+    piece, so a file may be of any length.
+    """
+    marked = lines.select(*keys, *order, F.col(text).alias("_t"), F.coalesce(is_start, F.lit(False)).cast("int").alias("_start"))
+    numbered = running(in_pieces(marked, keys, order, size), keys, row=("sum", F.col("_start"), True)).filter("row > 0")
+    out = numbered.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct(*order, F.col("_t").alias("t")))).alias("parts"))
     return out.select(*keys, "row", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias(text), F.size("parts").alias("n_lines"))
 
 

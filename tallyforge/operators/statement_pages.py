@@ -1,7 +1,7 @@
 """Statements as positioned lines, from headers and columns to transaction rows.
 
-Every operator works per file: line positions are folded inside the file's own
-array, or are windows over its lines in order.
+Line positions are folded inside the file's own array, or are windows over its
+lines in order; the grouped model folds over pieces of a file.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.expr import blank_as_null, trimmed
 from tallyforge.functions.text import BANNER, DATE_GROUP, amount_line, no_transaction, strip_field_label
+from tallyforge.operators.ordered import SIZE, in_pieces, running
 
 # How a header's word begins, and the field that it names.
 HEADER_WORDS = (("withdrawal", "debit"), ("debit", "debit"), ("deposit", "credit"), ("credit", "credit"), ("balance", "balance"), ("amount", "amount"), ("date", "date"), ("description", "description_raw"), ("particulars", "description_raw"), ("details", "description_raw"))
@@ -131,7 +132,7 @@ def classify_lines(lines: DataFrame, file: str = "file_id", order: str = "line",
     return marked.withColumn("kind", kind)
 
 
-def grouped_statement(lines: DataFrame, file: str = "file_id", order: str = "line", text: str = "text") -> DataFrame:
+def grouped_statement(lines: DataFrame, file: str = "file_id", order: str = "line", text: str = "text", size: int = SIZE) -> DataFrame:
     """Rows of the grouped model: file, `row`, day, description_raw, minor, currency, mark, type, first_line, last_line.
 
     A block runs from one amount or date to the next amount, which closes it:
@@ -139,28 +140,37 @@ def grouped_statement(lines: DataFrame, file: str = "file_id", order: str = "lin
     amount line has such text, the first line behind it is the row's type and
     others up to the next amount are dropped; where it has none, they are the
     next description. Banners, page and balance lines are never part of a row.
+
+    Lines are read once, then numbered and cut into pieces (`ordered`). What a
+    line is depends on the lines before it only through the last date, how many
+    dates and amounts there were and what the last one was; these fold from
+    piece to piece, so a file of any length is many tasks' work.
     """
-    w = Window.partitionBy(file).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    plain = lines.withColumn(text, F.coalesce(trimmed(F.col(text)), F.lit(""))).filter(f"{text} != ''")
-    seen = classify_lines(plain, file, order, text).filter("kind != 'banner'")
-    inline = strip_field_label(trimmed(F.expr(f"substring({text}, 1, _amount.start)")))
-    seen = seen.withColumns({"_inline": F.when(F.col("kind") == "amount", inline), "_closes": F.col("kind").isin("amount", "date")})
-    seen = seen.withColumns({"day": F.last("_day", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_block": F.coalesce(F.sum(F.col("_closes").cast("int")).over(before), F.lit(0))})
-    # What the line that opened the block was: an amount with text before it claims the lines behind it.
-    seen = seen.withColumn("_claims", F.coalesce(F.last(F.when(F.col("_closes"), (F.col("kind") == "amount") & (F.col("_inline") != "")), ignorenulls=True).over(before), F.lit(False)))
-    part = F.struct(order, F.when(F.col("kind") == "amount", F.col("_inline")).otherwise(trimmed(F.col(text))).alias("t"))
-    mine = (F.col("kind") == "amount") | ((F.col("kind") == "text") & ~F.col("_claims"))
-    blocks = seen.filter("opened AND kind != 'date'").groupBy(file, "_block").agg(
-        F.max("day").alias("day"), F.array_sort(F.collect_list(F.when(mine, part))).alias("parts"), F.max(F.when(F.col("kind") == "amount", F.struct("_amount", F.col(order).alias("o")))).alias("a"),
-        F.min_by(F.when(F.col("kind") != "amount", trimmed(F.col(text))), F.when((F.col("kind") != "amount") & F.col("_claims"), F.col(order))).alias("type"),
+    t = F.coalesce(trimmed(F.col(text)), F.lit(""))
+    plain = lines.select(file, order, t.alias("_text")).filter("_text != ''")
+    read = plain.select(file, order, "_text", group_day("_text").alias("_day"), amount_line("_text").alias("_amount"), F.col("_text").rlike(BANNER).alias("_banner")).filter("NOT _banner OR _day IS NOT NULL")
+    pieces = running(in_pieces(read, [file], [order], size), [file], day=("last", F.col("_day"), True))
+    is_day = F.col("_day").isNotNull()
+    is_amount = ~is_day & F.col("day").isNotNull() & F.col("_amount").isNotNull()
+    inline = F.when(is_amount, strip_field_label(trimmed(F.expr("substring(_text, 1, _amount.start)"))))
+    kinds = pieces.withColumns({"_is_amount": is_amount, "_inline": inline, "_closes": is_day | is_amount})
+    seen = running(
+        kinds, [file], _block=("sum", F.col("_closes").cast("int"), False), row=("sum", F.col("_is_amount").cast("int"), True),
+        # What the line that opened the block was: an amount with text before it claims the lines behind it.
+        _claims=("last", F.when(F.col("_closes"), F.coalesce(F.col("_inline") != "", F.lit(False))), False),
     )
+    body = seen.filter("day IS NOT NULL AND _day IS NULL").withColumn("_noise", ~F.col("_is_amount") & no_transaction("_text"))
+    claimed = ~F.col("_is_amount") & F.coalesce("_claims", F.lit(False))
+    part = F.struct(order, F.when(F.col("_is_amount"), F.col("_inline")).otherwise(F.col("_text")).alias("t"))
+    # Lines that an amount claims belong to its block, which ended with it.
+    blocks = body.groupBy(file, (F.col("_block") - claimed.cast("int")).alias("_block")).agg(
+        F.max(F.when(F.col("_is_amount"), F.struct("day", "row", "_amount", F.col(order).alias("o")))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("_is_amount") | ~(claimed | F.col("_noise")), part))).alias("parts"),
+        F.min_by(F.when(claimed, F.col("_text")), F.when(claimed, F.col(order))).alias("type"),
+    ).filter("a IS NOT NULL")
     texts = F.filter(F.transform("parts", lambda p: p["t"]), lambda t: t != "")
-    rows = blocks.withColumn("_type", F.lead("type").over(Window.partitionBy(file).orderBy("_block"))).withColumn("_next", F.lead("_block").over(Window.partitionBy(file).orderBy("_block"))).filter("a IS NOT NULL")
-    own_type = F.when((F.col("_next") == F.col("_block") + 1), blank_as_null(F.col("_type")))
-    return rows.select(
-        file, F.row_number().over(Window.partitionBy(file).orderBy("_block")).alias("row"), "day", F.array_join(texts, " ").alias("description_raw"), "a._amount.minor", "a._amount.currency", "a._amount.mark",
-        F.coalesce(own_type, F.lit("")).alias("type"), F.coalesce(F.col("parts")[0][order], F.col("a.o")).alias("first_line"), F.col("a.o").alias("last_line"),
+    return blocks.select(
+        file, F.col("a.row").cast("int").alias("row"), "a.day", F.array_join(texts, " ").alias("description_raw"), "a._amount.minor", "a._amount.currency", "a._amount.mark",
+        F.coalesce("type", F.lit("")).alias("type"), F.coalesce(F.col("parts")[0][order], F.col("a.o")).alias("first_line"), F.col("a.o").alias("last_line"),
     )
 
 

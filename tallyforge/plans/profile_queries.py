@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import catalogue, infer, ledger, learning, match, pages, status
+from tallyforge.operators import catalogue, infer, ledger, learning, match, names, pages, status
 from tallyforge.plans.registry import T, query, read
 from tallyforge.plans.views import txn
-from tallyforge.sources import files
+from tallyforge.sources import files, large
+from tallyforge.streaming.folders import shared_folder
 
 # --- sources ---------------------------------------------------------------
 
@@ -448,3 +449,39 @@ def join_05_str_31_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     n = txn(spark, sf_dir).select("row_id", (F.col("file") * 0 + 4).alias("n"))
     same = F.encode((i % 5).cast("string"), "UTF-8") != F.encode(F.lit("0"), "UTF-8")
     return n.select("row_id", ledger.exact_duplicate_file(F.col("n"), F.lit(4), same, F.when(i % 2 == 0, 4).otherwise(3)).alias("duplicate"))
+
+
+# --- many names ------------------------------------------------------------
+
+@query(r"""
+WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g') || ' ' AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+ [a-z]+') AS two, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{6,}') AS one FROM documents),
+names AS (SELECT DISTINCT lower(n) AS name FROM (SELECT two[1] AS n FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT one[1] FROM d WHERE doc_id % 5 = 0) WHERE n IS NOT NULL),
+w AS (SELECT doc_id, m.pos AS pos, m.w AS w FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'pos': i, 'w': ws[i]})) AS m FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS ws FROM documents))),
+o AS (SELECT doc_id, w AS name FROM w UNION ALL SELECT a.doc_id, a.w || ' ' || b.w FROM w a JOIN w s ON s.doc_id = a.doc_id AND s.pos = a.pos + 1 AND s.w = ' ' JOIN w b ON b.doc_id = a.doc_id AND b.pos = a.pos + 2)
+SELECT doc_id, count(*) AS n_places, count(DISTINCT name) AS n_names, min(name) AS least FROM o JOIN names USING (name) GROUP BY doc_id
+""")
+def cat_11_str_17_25_names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names (words and pairs of words out of some documents) found in all whole documents."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    two, one = F.regexp_extract("text", "[A-Za-z]+ [a-z]+", 0), F.regexp_extract("text", "[A-Za-z]{6,}", 0)
+    picked = d.select(F.explode(F.array(F.when(F.col("doc_id") % 3 == 0, two), F.when(F.col("doc_id") % 5 == 0, one))).alias("n")).filter("n != ''")
+    found = names.find_names(d, picked.select(F.lower("n").alias("name")).distinct(), "doc_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_places"), F.countDistinct("name").alias("n_names"), F.min("name").alias("least"))
+
+
+# --- large files -----------------------------------------------------------
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, len(a) AS n, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x FROM l),
+t AS (SELECT doc_id, n, i, CASE WHEN n = 1 THEN x WHEN i = 1 THEN rtrim(x, ' ' || chr(9)) WHEN i = n THEN ltrim(x, ' ' || chr(9)) ELSE trim(x, ' ' || chr(9)) END AS x FROM p)
+SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY i) FILTER (x <> '' OR i = 1 OR i = n)) AS digest, 3 AS n_cells FROM t GROUP BY doc_id
+""")
+def src_10_11_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as quoted cells with their line feeds, and read again as large files that Spark cuts anywhere."""
+    at = shared_folder(spark)
+    d = read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    d.select(F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",end')).alias("value")).write.text(at)
+    rows = large.parse_large(large.file_lines(spark, at), ",")
+    return rows.select(F.col("cells")[0].cast("bigint").alias("doc_id"), F.md5(F.col("cells")[1]).alias("digest"), F.size("cells").alias("n_cells"))

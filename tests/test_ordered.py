@@ -61,3 +61,29 @@ def test_balances_do_not_depend_on_pieces(spark):
     for size in (5, 4096):
         assert {(r.account, r.i): r.balance_mismatch for r in ledger.tag_running_mismatches(df, "account", ["i"], size).collect()} == want
     assert sum(want.values()) > 20
+
+
+def test_statements_do_not_depend_on_where_they_are_cut(spark):
+    from tallyforge.operators import pages
+    from tallyforge.operators import statement_pages as sp
+
+    rng, lines = random.Random(5), []
+    said = ["12 Jan 2026", "Monday, 13 Jan 2026", "Coffee 4.50", "SGD 12.00", "Rent of a room", "Page 1 of 2", "Card service", "", "Paid -3.00", "Available balance 9.00", "2026", "Odd 1,000.00 CR", "Name: 7.25"]
+    for file in ("long", "b", "c"):
+        lines += [(file, i, rng.choice(said)) for i in range(400 if file == "long" else 25)]
+    df = spark.createDataFrame(lines, "file_id string, line int, text string")
+    want = sorted(map(tuple, sp.grouped_statement(df).collect()))
+    assert len(want) > 100 and sp.grouped_statement(df.limit(0)).count() == 0
+    for size in (1, 3, 16):
+        assert sorted(map(tuple, sp.grouped_statement(df, size=size).collect())) == want
+    start = df["text"].startswith("Page")
+    want = sorted(map(tuple, pages.wrapped_rows(df, ["file_id"], ["line"], start).collect()))
+    assert sorted(map(tuple, pages.wrapped_rows(df, ["file_id"], ["line"], start, size=2).collect())) == want
+    by = {}
+    for file, _, text in lines:
+        rows = by.setdefault(file, [])
+        if text.startswith("Page"):
+            rows.append([text])
+        elif rows:
+            rows[-1].append(text)
+    assert want == sorted((f, i + 1, " ".join(r), len(r)) for f, rows in by.items() for i, r in enumerate(rows))
