@@ -108,7 +108,7 @@ def _anchors(texts: DataFrame, cover: Cover) -> DataFrame:
             if hashes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(rows, counts)), pa.array(np.concatenate(places).astype(np.int32))], names=["anchor", "id", "row", "at"])
 
-    return texts.mapInArrow(run, "anchor long, id long, row int, at int")
+    return texts.mapInArrow(run, "anchor long, id long, row long, at int")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -119,14 +119,14 @@ def _packed(texts: DataFrame) -> DataFrame:
         for part in slices(batches, 2):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([packer.compress((t or "").encode()) for t in part.column(2).to_pylist()], pa.binary())], names=["id", "row", "packed"])
 
-    return texts.mapInArrow(run, "id long, row int, packed binary")
+    return texts.mapInArrow(run, "id long, row long, packed binary")
 
 
 def _words(packed: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(packed).split()
 
 
-_SETTLED = "id long, row int, n_words long, packed binary, settled array<int>, open array<int>, n_removed long, kept_sha256 string"
+_SETTLED = "id long, row long, n_words long, packed binary, settled array<int>, open array<int>, n_removed long, kept_sha256 string"
 
 
 def _settle(joined: DataFrame, cover: Cover) -> DataFrame:
@@ -187,13 +187,13 @@ def _windows(open_docs: DataFrame, window: int) -> DataFrame:
                 h = word_hashes(_words(packed))
                 at = np.concatenate([np.arange(b, e) for b, e in zip(runs[::2], runs[1::2], strict=True)])
                 ids.append(np.full(len(at), i, np.int64))
-                rows.append(np.full(len(at), row, np.int32))
+                rows.append(np.full(len(at), row, np.int64))
                 starts.append(at.astype(np.int32))
                 w1.append(rolled(h, window, _P1)[at].view(np.int64))
                 w2.append((rolled(h ^ (h >> np.uint64(7)), window, _P2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, rows, starts, w1, w2)], names=["id", "row", "start", "w1", "w2"])
 
-    return open_docs.select("id", "row", "packed", "open").mapInArrow(run, "id long, row int, start int, w1 long, w2 int")
+    return open_docs.select("id", "row", "packed", "open").mapInArrow(run, "id long, row long, start int, w1 long, w2 int")
 
 
 def _marked(n: int, settled: list, starts: list, window: int) -> np.ndarray:
@@ -221,7 +221,7 @@ def _close(open_docs: DataFrame, window: int) -> DataFrame:
             n, removed, sha = map(list, zip(*done, strict=True))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["id", "row", "n_words", "n_removed", "kept_sha256"])
 
-    return open_docs.mapInArrow(run, "id long, row int, n_words long, n_removed long, kept_sha256 string")
+    return open_docs.mapInArrow(run, "id long, row long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, period: int = 31, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,13 +240,16 @@ def dedup_substrings(docs: DataFrame, window: int = 50, period: int = 31, id_col
     shared anchors and open windows.
     """
     cover = Cover(window, period)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.hash(text_col).alias("row"), F.col(text_col).alias("text"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     by_anchor = Window.partitionBy("anchor")
     owned = _anchors(texts, cover).select("*", F.min(F.struct("id", "row", "at")).over(by_anchor).alias("owner"), F.max("id").over(by_anchor).alias("most"))
     shared = owned.filter("most > owner.id").groupBy("id", "row").agg(F.collect_set(F.struct("at", "owner")).alias("places"))
     settled = stored(_settle(_packed(texts).join(shared, ["id", "row"], "left").select("id", "row", "packed", "places"), cover), "settled")
     open_docs = settled.filter("packed IS NOT NULL")
-    seen = _windows(open_docs, window).select("*", F.min("id").over(Window.partitionBy("w1", "w2")).alias("least")).filter("least < id")
+    # The least id of each window, combined before it is sent; the join, unlike a window over the hash, can be split where a passage is very common.
+    windows = _windows(open_docs, window)
+    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("w1", "w2", "least")
+    seen = windows.join(stored(least, "repeated"), ["w1", "w2"]).filter("least < id")
     copied = seen.groupBy("id", "row").agg(F.collect_set("start").alias("copies"))
     closed = _close(open_docs.join(copied, ["id", "row"], "left").select("id", "row", "packed", "settled", "copies"), window)
     done = settled.filter("packed IS NULL").select("id", "row", "n_words", "n_removed", "kept_sha256")
