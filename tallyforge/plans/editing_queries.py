@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import export, ledger, review, status
+from tallyforge.operators import export, layouts, ledger, review, status
 from tallyforge.plans.queries import _FP, _NK, S
 from tallyforge.plans.registry import T, query, read
 from tallyforge.plans.views import seen, txn
@@ -86,34 +86,68 @@ def lay_01_to_08_10_arr_11_12_layout(spark: SparkSession, sf_dir: str) -> DataFr
     return export.delimited(txn(spark, sf_dir), lay, ("row_id",), ";")
 
 
-@query("""
-SELECT * FROM (VALUES ('simple', 'date,description_raw,amount', 'simple', true, 'Mine', 0), ('withAccount', 'date,account_label,description_raw,amount,currency', 'withAccount', false, 'Last used', 0), ('withBalance', 'date,account_label,description_raw,amount,currency,balance', 'withBalance', false, 'Last used', 0),
-  ('budgetApp', 'date,description_raw,amount,category', 'budgetApp', false, 'Last used', 0), ('accounting', 'date,description_raw,money_out,money_in,balance', 'accounting', false, 'Last used', 0), ('none', '', NULL, false, 'Last used', 2)) v(key, fields, matched, same, label, problems)
+#: Up to three saved layouts of each customer: fixed ones, and one with repeated fields; some without a name, some without an enabled column.
+_PRESETS = ["date,description_raw,amount", "date,account_label,description_raw,amount,currency", "date,account_label,description_raw,amount,currency,balance", "date,description_raw,amount,category", "date,description_raw,money_out,money_in,balance", "date,date,blank,amount,blank,date"]
+_SAVED = f"""
+SELECT owner * 10 + k AS layout_id, owner, k AS place, CASE WHEN k = 2 AND owner % 7 = 0 THEN ' ' ELSE 'L' || k END AS name, owner % 3 = 0 AS swapped, (owner + k // 2) % 6 AS kind, k = 1 AND owner % 13 = 0 AS off,
+  string_split({_PRESETS}[(owner + k // 2) % 6 + 1], ',') AS fields
+FROM (SELECT c_custkey AS owner FROM customer), (SELECT unnest([0, 1, 2]) AS k) WHERE owner % 10 <> 9 OR k = 0
+"""
+
+
+def _saved_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.explode(F.array(*map(F.lit, range(3)))).alias("place")).filter("owner % 10 != 9 OR place = 0")
+    kind = (F.col("owner") + F.floor(F.col("place") / 2)) % 6
+    key = F.element_at(F.array(*map(F.lit, (*export.LAYOUTS, "own"))), (kind + 1).cast("int"))
+    columns = F.coalesce(layouts.preset(key), layouts.columns_of(tuple((f, f.title()) for f in _PRESETS[5].split(","))))
+    off = (F.col("place") == 1) & (F.col("owner") % 13 == 0)
+    shown = F.transform(columns, lambda x: F.struct(x["field"], x["name"], (~off).alias("enabled"), x["value"])).cast(layouts.COLUMNS)
+    return c.select(
+        (F.col("owner") * 10 + F.col("place")).alias("layout_id"), "owner", "place", F.when((F.col("place") == 2) & (F.col("owner") % 7 == 0), " ").otherwise(F.concat(F.lit("L"), F.col("place").cast("string"))).alias("name"),
+        F.when(F.col("owner") % 3 == 0, "DD/MM/YYYY").otherwise("YYYY-MM-DD").alias("date_format"), F.lit(None).cast("string").alias("sign_convention"), F.lit(True).alias("header_row"), shown.alias("columns"),
+    )
+
+
+@query(f"""
+WITH s AS ({_SAVED})
+SELECT layout_id, array_to_string([f FOR f, i IN fields IF f = 'blank' OR list_position(fields, f) = i], ',') AS fields, CASE kind WHEN 0 THEN 'simple' WHEN 1 THEN 'withAccount' WHEN 2 THEN 'withBalance' WHEN 3 THEN 'budgetApp' WHEN 4 THEN 'accounting' END AS matched,
+  (name = ' ')::INT + off::INT AS problems, kind = 0 AS is_default, array_to_string(CASE WHEN off THEN [] ELSE [f FOR f IN fields IF f <> 'balance' OR owner % 2 = 0] END, ',') AS visible
+FROM s
+""".replace("[f FOR f, i IN fields IF f = 'blank' OR list_position(fields, f) = i]", "list_filter(fields, lambda f, i: f = 'blank' OR list_position(fields, f) = i)"))
+def lay_11_12_14_18_set_03_grid_05_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' saved layouts: repeated fields taken out, fixed layouts recognised, problems told, and what is shown of them."""
+    s = _saved_layouts(spark, sf_dir)
+    shown = layouts.visible_columns("columns", F.col("owner") % 2 == 0)
+    simple = F.array(*[F.lit(f) for f, _ in export.LAYOUTS["simple"]])
+    return s.select("layout_id", F.array_join(layouts.fields(layouts.first_of_each("columns")), ",").alias("fields"), layouts.matching("columns").alias("matched"), F.size(layouts.problems(F.col("name"), F.col("columns"))).alias("problems"), (layouts.fields("columns") == simple).alias("is_default"), F.array_join(layouts.fields(shown), ",").alias("visible"))
+
+
+@query(f"""
+WITH s AS ({_SAVED}), o AS (SELECT *, owner % 4 = 0 AS stored FROM (SELECT DISTINCT owner FROM s)),
+w AS (SELECT o.owner, CASE WHEN stored THEN 1 WHEN owner % 5 < (SELECT count(*) FROM s WHERE s.owner = o.owner) THEN owner % 5 ELSE 0 END AS place, stored AND owner % 8 = 0 AS changed FROM o),
+x AS (SELECT w.owner, w.changed, s.kind, s.off FROM w JOIN s ON s.owner = w.owner AND s.place = CASE WHEN w.owner % 10 = 9 THEN 0 ELSE w.place END)
+SELECT x.owner, coalesce((SELECT arg_min(s.name, s.place) FROM s WHERE s.owner = x.owner AND s.kind = x.kind AND s.off = x.off AND NOT x.changed), 'Last used') AS label FROM x
 """)
-def lay_11_12_14_to_17_set_03_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed layouts applied, recognised, compared with a saved one and named; a layout without name and columns has two problems."""
-    saved = export.Layout("Mine", export.Layout.of("simple").columns)
-    rows = []
-    for key in export.LAYOUTS:
-        lay = export.Layout("x").add("blank", "").apply(key)
-        lay = export.replace(lay, columns=export.deduped((*lay.columns, *lay.columns[:1])))
-        working = export.working_layout(lay if key != "simple" else None, [saved, lay], 7)
-        rows.append((key, ",".join(lay.fields()), lay.matching(), lay.same_settings(saved), export.picker_label(working, [saved]), len(lay.problems())))
-    empty = export.Layout(" ")
-    rows.append(("none", "", empty.matching(), empty.same_settings(None), export.picker_label(empty, [saved]), len(empty.problems())))
-    return spark.createDataFrame(rows, "key string, fields string, matched string, same boolean, label string, problems int")
+def lay_15_16_17_working_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's layout to work with (stored, at a place, or the first), and the name of the saved one that it equals."""
+    s = _saved_layouts(spark, sf_dir)
+    kept = F.struct("name", "date_format", "sign_convention", (F.col("owner") % 8 != 0).alias("header_row"), "columns")
+    stored = s.filter("owner % 4 = 0 AND (place = 1 OR owner % 10 = 9)").select("owner", kept.alias("stored"))
+    owners = s.select("owner").distinct().join(stored, "owner", "left").withColumn("start", (F.col("owner") % 5).cast("int"))
+    return layouts.picker_labels(layouts.working_layouts(owners, s), s)
 
 
 @query("""
-SELECT n_nationkey, 'date,account_label,description_raw,amount,currency' || CASE WHEN bool_or(o_orderkey % 50 = 0) THEN ',reference' ELSE '' END || CASE WHEN bool_or(o_orderkey % 70 = 0) THEN ',orig_amount,orig_currency' ELSE '' END AS fields
-FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey = 3 AND o_orderkey % 4 <> 0 GROUP BY n_nationkey
+SELECT o_custkey AS account, 'date,account_label,description_raw,amount,currency' || CASE WHEN bool_or(o_orderkey % 50 = 0) THEN ',reference' ELSE '' END || CASE WHEN bool_or(o_orderstatus = 'P') THEN ',type' ELSE '' END || CASE WHEN bool_or(o_orderkey % 70 = 0) THEN ',orig_amount,orig_currency' ELSE '' END AS fields,
+  NOT bool_or(o_orderkey % 50 = 0 OR o_orderkey % 70 = 0 OR o_orderstatus = 'P') AS is_plain
+FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY o_custkey
 """)
-def set_01_grid_05_lay_18_19_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union layout of one nation's files: optional columns where some row holds something."""
+def set_01_lay_19_union_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union layout of every account: optional columns where some of its active rows hold something."""
     i = F.col("o_orderkey")
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").filter("c_nationkey = 3"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = o.select(F.when(i % 50 == 0, "r").otherwise("").alias("reference"), F.lit("").alias("type"), F.when(i % 70 == 0, "EUR").otherwise("SGD").alias("orig_currency"), F.lit("SGD").alias("currency"), (i % 4 == 0).alias("skipped"))
-    return spark.createDataFrame([(3, ",".join(export.union_layout(rows).fields()))], "n_nationkey int, fields string")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account"), F.when(i % 50 == 0, "r").otherwise("").alias("reference"), F.when(F.col("o_orderstatus") == "P", "p").alias("type"), F.when(i % 70 == 0, "EUR").otherwise("SGD").alias("orig_currency"), F.lit("SGD").alias("currency"), (i % 4 == 0).alias("skipped"))
+    plain = F.array(*[F.lit(f) for f, _ in export.UNION])
+    return layouts.union_layouts(rows, "account").select("account", F.array_join(layouts.fields("columns"), ",").alias("fields"), (layouts.fields("columns") == plain).alias("is_plain"))
 
 
 @query("""
