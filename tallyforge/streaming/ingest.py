@@ -31,27 +31,60 @@ def merge_arrivals(rows: DataFrame, table: str, checkpoint: str, buckets: int =
 
     Each arrival is merged with the rows of its own fingerprints: only the
     buckets that it touches are read, merged again and replaced, so a late file
-    can displace earlier rows. An arrival that is run again changes nothing.
+    can displace earlier rows. A row that is sent again replaces what it was,
+    also where its fingerprint is another now: beside the table stands where
+    each row is, bucketed by row, and the bucket that the row leaves is merged
+    again too. An arrival that is run again changes nothing.
     """
     spark = rows.sparkSession
+    places = f"{table}-places"
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(fingerprint(), F.col("row_id").cast("string"))), F.lit(buckets)).cast("int"))
+        # Of a row that comes twice in an arrival one stays, whichever way the arrival is read.
+        kept = [F.col(c) for c in batch.columns if c != "row_id"]
+        new = batch.groupBy("row_id").agg(F.max(F.struct(*kept)).alias("r")).select("row_id", "r.*").select(*batch.columns)
+        new = new.withColumn("bucket", bucket(F.coalesce(fingerprint(), F.col("row_id").cast("string"))))
+        came = new.select("row_id", "bucket", bucket("row_id").alias("at"))
+        touched = [came.select("bucket")]
+        if exists(spark, places):
+            known = spark.read.parquet(places).join(F.broadcast(came.select("at").distinct()), "at", "left_semi")  # `buckets` rows at most
+            touched.append(known.join(came.select("row_id"), "row_id", "left_semi").select("bucket"))
+            came = came.unionByName(known.join(came.select("row_id"), "row_id", "left_anti"))
+        hit = sorted({r.bucket for t in touched for r in t.distinct().collect()})  # `buckets` numbers at most
+        merged = new
         if exists(spark, table):
-            old = spark.read.parquet(table).drop("kept").join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # `buckets` rows at most
-            new = new.unionByName(old.join(new.select("row_id"), "row_id", "left_anti"))
+            old = spark.read.parquet(table).drop("kept").filter(F.col("bucket").isin(hit))
+            merged = new.unionByName(old.join(new.select("row_id"), "row_id", "left_anti"))
         staged = f"{table}-arrival-{epoch}"
-        merge_across_files(new).write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        merge_across_files(merged).write.mode("overwrite").parquet(f"{staged}/rows")
+        came.write.mode("overwrite").parquet(f"{staged}/places")
+        done = spark.read.parquet(f"{staged}/rows")
+        left = {r.bucket for r in done.select("bucket").distinct().collect()}
+        replace_buckets(done, table, "bucket")
+        for empty in set(hit) - left:
+            remove(spark, f"{table}/bucket={empty}")
+        replace_buckets(spark.read.parquet(f"{staged}/places"), places, "at")
+        remove(spark, staged)
 
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def replace_buckets(rows: DataFrame, table: str, bucket: str) -> None:
+    """Put rows in the place of those of their own buckets."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(table)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def latest_pages(pages: DataFrame, file: str = "file_id") -> DataFrame:
     """Early results of recognised files: of each file the rows read from the most pages so far, which later ones replace."""
     return pages.groupBy(file).agg(F.max_by(F.struct("pages_done", "n_rows"), "pages_done").alias("r")).select(file, "r.pages_done", "r.n_rows")
