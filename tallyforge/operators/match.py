@@ -70,18 +70,30 @@ def match_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
     required columns are missing reaches 0.69 at most. Ties go to the lesser
     profile id. Up to BROADCAST profiles are sent to all files; more are dealt
     out in shares of that size.
+
+    Tokens and small letters are told once a file and once a profile. A pair
+    is scored by header and file name first; the text is looked through only
+    where its keywords can still bring the pair to the threshold, or the bank's
+    name stands there.
     """
-    f = files.select("file_id", "type", F.struct("name", "header", "text").alias("f"))
-    p = profiles.select("profile_id", "type", F.struct("bank", "required", "header", "keywords", "anchors", "filename").alias("p"))
+    low = lambda c: F.transform(c, lambda x: F.lower(x))
+    names = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
+    f = files.select("file_id", "type", header_tokens("header").alias("tokens"), names("header").alias("names"), F.lower("text").alias("low"), F.lower(F.concat_ws(" ", "text", "name")).alias("all"), "name")
+    p = profiles.select("profile_id", "type", F.lower("bank").alias("bank"), names("required").alias("required"), (F.size("header") > 0).alias("has_header"), header_tokens("header").alias("wanted"), low("keywords").alias("keywords"), low("anchors").alias("anchors"), "filename")
     if fits(p, BROADCAST):
         both = f.join(F.broadcast(p), "type")
     else:  # a type's files and profiles meet in many tasks: each file goes to every share of the profiles
         parts = -(-p.count() // BROADCAST)
         shares = f.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         both = shares.join(p.withColumn("_part", F.pmod(F.xxhash64("profile_id"), F.lit(parts)).cast("int")), ["type", "_part"])
-    present = sources_present(F.col("p.required"), F.col("f.header"))
-    bank = bank_present(F.col("p.bank"), F.col("f.text"), F.col("f.name"))
-    scored = both.select("file_id", "profile_id", signature_score("p", "f").alias("score"), present.alias("present"), bank.alias("bank"), (F.size("p.header") > 0).alias("has_header"))
+    overlap = F.when(F.size("wanted") > 0, F.size(F.array_intersect("wanted", "tokens")) / F.size("wanted")).otherwise(0.0)
+    present = (F.size("names") == 0) | (F.size(F.array_except("required", "names")) == 0)
+    first = both.select("file_id", "profile_id", "low", "keywords", "anchors", "has_header", overlap.alias("header"), filename_score(F.col("filename"), F.col("name")).alias("named"), present.alias("present"), (F.contains("all", "bank") & (F.col("bank") != "")).alias("bank"))
+    h, n, has_body = F.col("header"), F.col("named"), (F.size("keywords") > 0) | (F.size("anchors") > 0)
+    raw = lambda body: F.round(F.when(F.col("has_header") & has_body, HEADER * h + BODY * body + NAME * n).when(F.col("has_header"), (HEADER + BODY) * h + NAME * n).otherwise(F.greatest(body, n)), 6)
+    open_ = first.filter(F.col("bank") | (raw(F.when(has_body, 1.0).otherwise(0.0)) >= THRESHOLD))
+    share = lambda words: F.when(F.size(words) > 0, F.size(F.filter(words, lambda x: F.contains(F.col("low"), x))) / F.size(words)).otherwise(0.0)
+    scored = open_.withColumn("body", F.greatest(share("keywords"), share("anchors"))).select("file_id", "profile_id", raw(F.col("body")).alias("score"), "present", "bank", "has_header")
     confidence = F.when(F.col("present"), F.col("score")).otherwise(F.least("score", F.lit(CAPPED)))
     changed = F.when(F.col("present"), F.col("has_header") & F.col("bank") & (F.col("score") < THRESHOLD)).otherwise((F.col("score") >= THRESHOLD) | F.col("bank"))
     kept = scored.select("file_id", "profile_id", confidence.alias("confidence"), changed.alias("layout_changed")).filter(f"confidence >= {THRESHOLD} OR layout_changed")

@@ -133,3 +133,24 @@ def items_in_range(items: Column | str, start: Column, length: Column) -> Column
     step = lambda a, t: F.struct((a["at"] + F.length(t["str"]) + 1).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("b"), (a["at"] + F.length(t["str"])).alias("e"), t["str"].alias("str"))).alias("out")).cast(kind)
     placed = F.aggregate(i, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b: int, e: int, str: string>>").alias("out")).cast(kind), step)["out"]
     return F.transform(F.filter(placed, lambda t: (t["e"] > start) & (t["b"] < start + length)), lambda t: t["str"])
+
+
+def page_anchor(page: Column, y: Column, height: Column, y2: Column) -> Column:
+    """struct(page, top, bottom): where a row stands on its page, half a line's height about its first and last line; null without a page or a place."""
+    last, half = F.coalesce(y2, y), F.coalesce(height, F.lit(0.0)) / 2
+    return F.when(page.isNotNull() & y.isNotNull(), F.struct(page.alias("page"), (F.least(y, last) - half).alias("top"), (F.greatest(y, last) + half).alias("bottom")))
+
+
+def lines_of_rows(rows: DataFrame, lines: DataFrame, keys: list[str], row: str = "row", bucket: float = 50.0) -> DataFrame:
+    """Every row with the lines of its band of the page: the keys, row, page and the lines' other columns.
+
+    `rows` has the keys, `row` and `anchor` (of `page_anchor`); `lines` has the
+    keys, `page` and `y`. Pages are cut into bands of `bucket` points: a line is
+    in one, a row in those that it reaches into, so the join is on equal keys,
+    page and band, and no pair comes twice. Rows without an anchor have no
+    lines.
+    """
+    band = lambda y: F.floor(y / bucket).cast("int")
+    reach = rows.filter("anchor IS NOT NULL").select(*keys, row, "anchor", F.col("anchor.page").alias("page"), F.explode(F.sequence(band(F.col("anchor.top")), band(F.col("anchor.bottom")))).alias("_band"))
+    placed = lines.withColumn("_band", band(F.col("y")))
+    return reach.join(placed, [*keys, "page", "_band"]).filter(F.col("y").between(F.col("anchor.top"), F.col("anchor.bottom"))).drop("anchor", "_band")

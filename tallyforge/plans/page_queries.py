@@ -289,3 +289,24 @@ def norm_03_04_05_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     records = o.select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("row"), F.create_map(*[x for k, v in cells.items() for x in (F.lit(k), v)]).alias("record"))
     return normalise.file_rows(records, _VERSION).withColumn("flags", F.array_join("flags", ";"))
+
+
+_PLACED = """
+SELECT o_custkey AS file_id, o_orderkey AS line, CAST((nth - 1) DIV 40 AS INT) AS page, CAST(800 - ((nth - 1) % 40) * 14.5 AS DOUBLE) AS y, o_orderpriority AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM {orders}) o
+"""
+
+
+@query(f"""
+WITH l AS ({_PLACED.replace("{orders}", "orders").replace(" DIV ", " // ")}),
+r AS (SELECT file_id, line AS row, page, y - CASE WHEN line % 5 = 0 THEN 29 ELSE 0 END - 6 AS top, y + 6 AS bottom FROM l WHERE line % 3 = 0 AND line % 7 <> 0)
+SELECT r.file_id, r.row, count(*) AS n, min(l.line) AS first_line, max(l.line) AS last_line FROM r JOIN l ON l.file_id = r.file_id AND l.page = r.page AND l.y BETWEEN top AND bottom GROUP BY ALL
+""")
+def uix_23_join_12_lines_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows back to the lines of their bands on the page; some reach over three lines, some have no place."""
+    l = spark.sql(_PLACED, orders=read(spark, sf_dir, "orders"))  # noqa: E741
+    i = F.col("line")
+    anchor = pages.page_anchor(F.when(i % 7 != 0, F.col("page")), F.col("y"), F.lit(12.0), F.when(i % 5 == 0, F.col("y") - 29))
+    rows = l.filter("line % 3 = 0").select("file_id", F.col("line").alias("row"), anchor.alias("anchor"))
+    found = pages.lines_of_rows(rows, l, ["file_id"])
+    return found.groupBy("file_id", "row").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
