@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.amounts import parse_amount, resolve_amount, signed_amount
+from tallyforge.functions.amounts import resolve_amount, signed_amount, with_amounts
 from tallyforge.functions.dates import parse_date
 from tallyforge.functions.expr import blank_as_null, trimmed
 from tallyforge.functions.patterns import checked
@@ -67,15 +67,19 @@ def file_rows(records: DataFrame, version: Version, file: str = "file_id", order
     possible_duplicate, balance_mismatch. Rows are never dropped.
     """
     of = lambda f: F.array_join(source_values("record", version.sources.get(f, [])), " ") if version.sources.get(f) else F.lit("")
-    amount = lambda f: parse_amount(of(f), version.currency, version.number_format)
+    names = [f for f in ("debit", "credit", "amount", "balance") if f in version.sources]
+    cells = records.select(file, order, *[of(f).alias(f"_{f}") for f in ("date", "description_raw", "currency", "amount", "balance", "debit", "credit")])
+    # Each cell is parsed once; a file's version lacks some of them.
+    read = with_amounts(cells, **{f"_of_{f}": (F.col(f"_{f}"), version.currency, version.number_format) for f in names})
+    part = lambda f, k, kind: F.col(f"_of_{f}.{k}") if f in names else F.lit(None).cast(kind)
     if "debit" in version.sources or "credit" in version.sources:
-        minor = resolve_amount(amount("credit")["minor"], amount("debit")["minor"])
+        minor = resolve_amount(part("credit", "minor", "long"), part("debit", "minor", "long"))
     else:
-        minor = signed_amount(amount("amount")["minor"], amount("amount")["crdr"], version.sign_convention)
-    money = detect_currency(blank_as_null(of("currency")), F.lit(None).cast("string"), of("amount"), F.lit(version.currency))
-    rows = records.select(
-        file, order, parse_date(of("date"), version.date_format).alias("date"), apply_field_transforms("description_raw", of("description_raw"), version.transforms).alias("description_raw"),
-        minor.alias("amount"), money.alias("_money"), amount("balance")["minor"].alias("balance"),
+        minor = signed_amount(part("amount", "minor", "long"), part("amount", "crdr", "string"), version.sign_convention)
+    money = detect_currency(blank_as_null(F.col("_currency")), F.lit(None).cast("string"), F.col("_amount"), F.lit(version.currency))
+    rows = read.select(
+        file, order, parse_date(F.col("_date"), version.date_format).alias("date"), apply_field_transforms("description_raw", F.col("_description_raw"), version.transforms).alias("description_raw"),
+        minor.alias("amount"), money.alias("_money"), part("balance", "minor", "long").alias("balance"),
     ).withColumns({"currency": F.col("_money.code"), "_unknown": F.col("_money.unknown").isNotNull()})
     rows = possible_duplicates(rows.withColumns({"account": F.col(file), "description": F.col("description_raw")}), file, order)
     rows = tag_balance_mismatches(rows, file, [order])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions.amounts import parse_amount, resolve_amount
+from tallyforge.functions.amounts import resolve_amount, with_amounts
 from tallyforge.functions.dates import INPUT_FORMATS, parse_date
 from tallyforge.functions.expr import blank_as_null, let, trimmed
 from tallyforge.functions.patterns import fault
@@ -133,13 +133,13 @@ def rows_by_version(records: DataFrame, *keys: str) -> DataFrame:
     none = F.lit(None).cast("string")
     read = read.withColumns({"_pair": pair, "_money": detect_currency(blank_as_null(F.col("_currency")), none, shown, c["currency"]), "_when": date_by(F.col("_date"), c["date_format"])})
     read = read.withColumns({"_code": F.col("_money.code"), "_unknown": F.col("_money.unknown").isNotNull()})
-    amount = lambda f: F.when(F.col(f) != "", parse_amount(F.col(f), F.col("_code"), c["number_format"]))
-    read = read.withColumns({"_one": F.when(~F.col("_pair"), amount("_amount")), "_in": F.when(F.col("_pair"), amount("_credit")["minor"]), "_out": F.when(F.col("_pair"), amount("_debit")["minor"]), "_left": amount("_balance")["minor"]})
+    cell = lambda when, f: (F.when(when & (F.col(f) != ""), F.col(f)), F.col("_code"), c["number_format"])
+    read = with_amounts(read, _one=cell(~F.col("_pair"), "_amount"), _in=cell(F.col("_pair"), "_credit"), _out=cell(F.col("_pair"), "_debit"), _left=cell(F.lit(True), "_balance"))
     one, mark = F.col("_one.minor"), F.col("_one.crdr")
     signed = F.when(mark == "CR", F.abs(one)).when(mark == "DR", -F.abs(one)).when(c["sign_convention"] == "positiveIsOut", -one).otherwise(one)
     rows = read.select(
         *keys, "row", F.col("_when").alias("date"), transformed("description_raw", F.col("_description_raw"), c["transforms"]).alias("description_raw"),
-        F.when(F.col("_pair"), resolve_amount(F.col("_in"), F.col("_out"))).otherwise(signed).alias("amount"), F.col("_code").alias("currency"), F.col("_left").alias("balance"), "_unknown", "_first",
+        F.when(F.col("_pair"), resolve_amount(F.col("_in.minor"), F.col("_out.minor"))).otherwise(signed).alias("amount"), F.col("_code").alias("currency"), F.col("_left.minor").alias("balance"), "_unknown", "_first",
     )
     footer = F.col("date").isNull() & F.coalesce(F.col("_first").rlike(FOOTER_WORDS), F.lit(False))
     rows = rows.withColumn("skipped", (F.col("date").isNull() & F.col("amount").isNull()) | footer)

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text
 from tallyforge.operators import catalogue, infer, ledger, learning, match, names, pages, status
 from tallyforge.plans.registry import T, query, read
-from tallyforge.plans.views import txn
+from tallyforge.plans.queries import _FP, S
+from tallyforge.plans.views import seen, txn
 from tallyforge.sources import files, large
 from tallyforge.streaming.folders import shared_folder
 
 # --- sources ---------------------------------------------------------------
 
 
-@query("SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'utf-8-bom' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' ELSE 'utf-8' END AS encoding, doc_id % 4 IN (0, 3) AS valid FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'utf-8-bom' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' ELSE 'utf-8' END AS encoding, doc_id % 4 IN (0, 3) AS valid FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def src_03_04_decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts in four encodings, told by their bytes and decoded again."""
+    """Whole texts (null: empty) in four encodings, told by their bytes and decoded again."""
     k = F.col("doc_id") % 4
     mark = lambda h: F.to_binary(F.lit(h), F.lit("hex"))
     content = F.when(k == 0, F.concat(mark("EFBBBF"), F.encode("text", "UTF-8"))).when(k == 1, F.concat(mark("FFFE"), F.encode("text", "UTF-16LE"))).when(k == 2, F.concat(mark("FEFF"), F.encode("text", "UTF-16BE"))).otherwise(F.encode("text", "UTF-8"))
-    d = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", content.alias("content")).withColumn("encoding", files.encoding("content"))
+    d = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", content.alias("content")).withColumn("encoding", files.encoding("content"))
     return d.select("doc_id", files.decode_text("content", "encoding").alias("text"), "encoding", F.when(k.isin(1, 2), False).otherwise(F.is_valid_utf8(F.col("content").cast("string"))).alias("valid"))
 
 
@@ -80,11 +81,11 @@ def src_20_21_snk_06_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, md5(regexp_replace(trim(lower(strip_accents(t))), '\\s+', ' ', 'g')) AS header, md5(strip_accents(t)) AS plain FROM (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 400), '[^a-zA-ZàâäéèêëïîôöùûüçÀÉÈÇÖÜÄñÑáíóúÁ0-9 ]', ' ', 'g') AS t FROM documents)
+SELECT doc_id, md5(regexp_replace(trim(lower(strip_accents(t))), '\\s+', ' ', 'g')) AS header, md5(strip_accents(t)) AS plain FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-zA-ZàâäéèêëïîôöùûüçÀÉÈÇÖÜÄñÑáíóúÁ0-9 ]', ' ', 'g') AS t FROM documents)
 """)
 def str_01_02_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of texts as headers: accents and white space (a header is a line, not a text)."""
-    t = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 400), "[^a-zA-ZàâäéèêëïîôöùûüçÀÉÈÇÖÜÄñÑáíóúÁ0-9 ]", " ")
+    """Whole texts as headers: accents and white space."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-ZàâäéèêëïîôöùûüçÀÉÈÇÖÜÄñÑáíóúÁ0-9 ]", " ")
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.norm_header(t)).alias("header"), F.md5(text.strip_accents(t)).alias("plain"))
 
 
@@ -442,13 +443,22 @@ def uix_01_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.compatible(f, p).withColumn("profile_ids", F.array_join("profile_ids", ","))
 
 
-@query(f"SELECT row_id, file = row_id % 3 AND row_id % 5 <> 0 OR row_id % 2 = 0 AND file = row_id % 3 AS duplicate FROM {T}")
+@query(f"""
+WITH s AS (SELECT *, {_FP} AS fp FROM {S}), n AS (SELECT account, file, fp, count(*) AS n FROM s GROUP BY ALL),
+w AS (SELECT account, fp, arg_max(file, n * 10 - file) AS winner FROM n GROUP BY ALL),
+f AS (SELECT account, file, sum(n) AS total, md5(string_agg(fp || n, ';' ORDER BY fp)) AS bytes, sum(CASE WHEN winner <> file THEN n ELSE 0 END) AS gone FROM n JOIN w USING (account, fp) GROUP BY ALL)
+SELECT a.account, a.file, b.file AS other, a.gone = a.total AND (a.bytes = b.bytes OR a.total = b.total) AS duplicate FROM f a JOIN f b ON a.account = b.account AND a.file <> b.file
+""")
 def join_05_str_31_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose rows are all elsewhere: by their bytes, or by as many rows."""
-    i = F.col("row_id")
-    n = txn(spark, sf_dir).select("row_id", (F.col("file") * 0 + 4).alias("n"))
-    same = F.encode((i % 5).cast("string"), "UTF-8") != F.encode(F.lit("0"), "UTF-8")
-    return n.select("row_id", ledger.exact_duplicate_file(F.col("n"), F.lit(4), same, F.when(i % 2 == 0, 4).otherwise(3)).alias("duplicate"))
+    """Each account's files against its others: a file whose rows all stand elsewhere, with the same bytes or as many rows."""
+    merged = ledger.merge_across_files(seen(spark, sf_dir)).withColumn("fp", ledger.fingerprint())
+    each = merged.groupBy("account", "file", "fp").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("kept")).alias("gone"))
+    line = F.concat(F.col("fp"), F.col("n").cast("string"))
+    content = F.encode(F.array_join(F.array_sort(F.collect_list(line)), ";"), "UTF-8")
+    f = each.groupBy("account", "file").agg(F.sum("n").alias("total"), F.sum("gone").alias("gone"), F.md5(content).alias("digest"))
+    other = f.select("account", F.col("file").alias("other"), F.col("total").alias("other_total"), F.col("digest").alias("other_digest"))
+    pairs = f.join(other, "account").filter("file != other")  # three files an account
+    return pairs.select("account", "file", "other", ledger.exact_duplicate_file(F.col("gone"), F.col("total"), F.col("digest") == F.col("other_digest"), F.col("other_total")).alias("duplicate"))
 
 
 # --- many names ------------------------------------------------------------

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import amounts, dates, text
-from tallyforge.operators import catalogue, export, grid, infer, ledger, match, pages, review, status
+from tallyforge.operators import catalogue, export, grid, infer, ledger, match, ordered, pages, review, status
 from tallyforge.plans.registry import T, query
 from tallyforge.plans.registry import read as _read
 from tallyforge.plans.views import DUCK_RUNNING, SEEN, duck, running, seen, txn
@@ -31,8 +31,8 @@ def num_01_parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(style == 0, F.replace(us, F.lit(","), F.lit(""))).when(style == 1, us).when(style == 2, F.concat(F.lit(" S$"), us)).when(style == 3, F.concat(F.lit("("), us, F.lit(")")))
         .when(style == 4, F.concat(us, F.lit(" dr "))).when(style == 5, F.concat(F.lit("usd "), us, F.lit("-"))).otherwise(F.concat(F.lit("€ "), eu))
     )
-    got = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", amounts.parse_amount(raw).alias("a"))
-    return got.select("l_orderkey", "l_linenumber", "a.minor", "a.currency_hint", "a.crdr")
+    shown = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    return amounts.with_amounts(shown, a=(F.col("raw"), None, None)).select("l_orderkey", "l_linenumber", "a.minor", "a.currency_hint", "a.crdr")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS minor FROM lineitem")
@@ -111,9 +111,13 @@ def date_03_08_09_infer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("o_custkey", dates.day_month_order("v").alias("day_order"), dates.is_day_month_ambiguous("v").alias("ambiguous"), dates.suggest_date_format("v").alias("suggested"))
 
 
-@query("SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'YYYY-MM-DD' ELSE 'DD MMM YYYY' END AS format, CAST(count(*) AS INT) AS hits, CAST(count(*) AS INT) AS total FROM orders GROUP BY o_custkey")
+@query("""
+WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0) AS a, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0) AS b FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN b > a THEN 'DD/MM/YYYY' WHEN o_custkey % 2 = 0 OR a = 0 THEN 'YYYY-MM-DD' ELSE 'DD MMM YYYY' END AS format, CAST(greatest(a, b) AS INT) AS hits, CAST(a + b AS INT) AS total FROM c
+""")
 def date_10_best_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.when(F.col("o_custkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd MMM yyyy"))
+    """Samples in two formats, and blank ones: the format that reads more."""
+    shown = F.when(F.col("o_orderkey") % 7 == 0, " ").when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(F.col("o_custkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd MMM yyyy"))
     v = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(shown).alias("v"))
     return v.select("o_custkey", dates.best_date_format("v").alias("b")).select("o_custkey", "b.format", "b.hits", "b.total")
 
@@ -194,12 +198,19 @@ def str_09_priv_02_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select("c_custkey", text.mask_account("c_name").alias("masked"), text.mask_digit_runs("c_name").alias("hidden"))
 
 
-@query(r"SELECT o_orderkey, true AS date_like, true AS amount_like, false AS name_amount, o_orderkey % 2 = 0 AS known, true AS transaction FROM orders")
+@query(r"""
+SELECT o_orderkey, k IN (0, 1, 3) AS date_like, k IN (0, 1, 4) AS amount_like, k IN (0, 3) AS known, k IN (1, 3) AS code_like, k IN (0, 3) AS transaction FROM (SELECT o_orderkey, o_orderkey % 5 AS k FROM orders)
+""")
 def str_12_13_14_16_28_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.date_format("o_orderdate", "dd/MM/yyyy")
-    line = F.concat_ws(" ", day, F.lit("payment"), F.format_number("o_totalprice", 2))
-    code = F.when(F.col("o_orderkey") % 2 == 0, "sgd").otherwise("XQX")
-    return _read(spark, sf_dir, "orders").select("o_orderkey", text.is_date_like(day).alias("date_like"), text.is_amount_like(F.format_number("o_totalprice", 2)).alias("amount_like"), text.is_amount_like(F.lit("no digits")).alias("name_amount"), text.is_known_currency(code).alias("known"), text.looks_like_transaction(line).alias("transaction"))
+    """Dates, amounts, codes and lines, and what is only like them."""
+    k = (F.col("o_orderkey") % 5).cast("int")
+    of = lambda *xs: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), k)
+    day, price = F.date_format("o_orderdate", "dd/MM/yyyy"), F.format_number("o_totalprice", 2)
+    when = of(day, F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "MMM yyyy"), F.date_format("o_orderdate", "dd MMM yyyy"), "total")
+    amount = of(price, F.concat(F.lit("("), price, F.lit(")")), "abc", " ", F.concat(price, F.lit(" CR")))
+    code = of("sgd", "XQX", "US", "JPY", "")
+    line = of(F.concat_ws(" ", day, F.lit("payment"), price), F.concat(F.lit("payment of "), price), day, F.concat(F.date_format("o_orderdate", "dd MMM"), F.lit(" coffee 4.50")), "no digits")
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.is_date_like(when).alias("date_like"), text.is_amount_like(amount).alias("amount_like"), text.is_known_currency(code).alias("known"), text.is_currency_code_like(code).alias("code_like"), text.looks_like_transaction(line).alias("transaction"))
 
 
 @query(r"SELECT o_orderkey, printf('paid %s to %s', regexp_replace(CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '\d', '#', 'g') || '.##', o_orderpriority) AS masked FROM orders")
@@ -220,20 +231,29 @@ SELECT 'statement ' || dense_rank() OVER (ORDER BY t0, user_id) AS label, n, las
 """)
 def priv_07_08_session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log events grouped by file under anonymous labels in the order first seen."""
-    from pyspark.sql import Window
-
     f = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count(F.lit(1)).alias("n"), F.max_by("event_type", "event_id").alias("last_type"))
-    rank = F.dense_rank().over(Window.orderBy("t0", "user_id"))
+    # Numbers in the order of all files: counted piece by piece, so no task gets them all.
+    placed = ordered.in_pieces(f.withColumn("all", F.lit(0)), ["all"], ["t0", "user_id"])
+    f, rank = ordered.running(placed, ["all"], nth=("sum", F.lit(1), True)), F.col("nth")
     return f.select(F.concat(F.lit("statement "), rank.cast("string")).alias("label"), "n", "last_type", F.expr("timestampdiff(SECOND, t0, t1)").alias("seconds"))
 
 
 # --- sources and grids -----------------------------------------------------
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' ELSE 'text' END AS type, CASE doc_id % 3 WHEN 1 THEN 'windows-1252' ELSE 'utf-8' END AS encoding FROM documents")
+#: How files begin, whether that makes them a workbook or a page file, and their encoding; the last is the whole file.
+_HEADS = (
+    ("255044462D", "pdf", "utf-8"), ("504B0304FF", "xlsx", "windows-1252"), ("", "text", "utf-8"), ("20255044462D", "text", "utf-8"), ("2550444678", "text", "utf-8"), ("FFFE", "text", "utf-16le"),
+    ("504B01FF", "text", "windows-1252"), ("EFBBBF255044462D", "text", "utf-8-bom"), ("504B03", "text", "utf-8"),
+)
+
+
+@query("SELECT doc_id, CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t, _) in enumerate(_HEADS)) + " END AS type, CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{e}'" for i, (_, _, e) in enumerate(_HEADS)) + " END AS encoding FROM documents")
 def src_01_02_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.when(F.col("doc_id") % 3 == 0, F.to_binary(F.lit("255044462D"), F.lit("hex"))).when(F.col("doc_id") % 3 == 1, F.to_binary(F.lit("504B0304FF"), F.lit("hex"))).otherwise(F.to_binary(F.lit(""), F.lit("hex")))
-    content = F.concat(head, F.to_binary("text", F.lit("utf-8")))
+    """Documents behind the first bytes of several kinds of files, some of them all but right."""
+    heads = F.array(*[F.to_binary(F.lit(h), F.lit("hex")) for h, _, _ in _HEADS])
+    k = (F.col("doc_id") % 9).cast("int")
+    content = F.concat(F.get(heads, k), F.when(k == 8, F.to_binary(F.lit(""), F.lit("hex"))).otherwise(F.to_binary(F.coalesce("text", F.lit("")), F.lit("utf-8"))))
     return _read(spark, sf_dir, "documents").select("doc_id", files.file_type(content).alias("type"), files.encoding(content).alias("encoding"))
 
 
@@ -249,7 +269,11 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT l_orderkey AS file_id, CASE l_orderkey % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS delimiter FROM lineitem")
 def src_05_06_07_detect_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.detect_delimiter(_statements(spark, sf_dir))
+    """Files of four delimiters; some lines hold another candidate, more often than the delimiter."""
+    s = _statements(spark, sf_dir)
+    other = F.element_at(F.array(*map(F.lit, files.CANDIDATES)), ((F.col("file_id") + 1) % 4 + 1).cast("int"))
+    noisy = F.transform(F.split("text", "\r\n"), lambda x, i: F.when(i % 4 == 3, F.concat(x, F.repeat(F.concat(other, F.lit("z")), F.lit(5)))).otherwise(x))
+    return files.detect_delimiter(s.withColumn("text", F.array_join(noisy, "\r\n")))
 
 
 @query("SELECT l_orderkey AS file_id, CAST(l_linenumber AS STRING) AS line, 'part ' || l_partkey AS part, CAST(l_suppkey AS STRING) AS supplier FROM lineitem WHERE l_linenumber <> 3")
@@ -262,10 +286,18 @@ def src_10_grid_01_02_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file_id", F.col("record")["Line"].alias("line"), F.col("record")["Part"].alias("part"), F.col("record")["Supplier"].alias("supplier"))
 
 
-@query("SELECT DISTINCT l_orderkey AS file_id, 1 AS header_row, 1 AS footer_rows FROM lineitem")
+@query("SELECT DISTINCT l_orderkey AS file_id, CAST(l_orderkey % 3 AS INT) AS header_row, CAST(l_orderkey // 3 % 4 AS INT) AS footer_rows FROM lineitem")
 def win_12_13_header_and_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _statements(spark, sf_dir)
-    g = files.parse_grids(s).withColumn("header_row", grid.suggest_header_row("grid"))
+    """Tables behind none to two rows of preamble (a wide one among them) with none to three footers, some with a thin row in their midst."""
+    i = F.col("file_id")
+    row = lambda *c: F.array(*[F.lit(x) for x in c])
+    body = F.array_sort(F.collect_list(F.struct("l_linenumber", F.array(F.date_format("l_shipdate", "dd/MM/yyyy"), F.format_number("l_extendedprice", 2), F.col("l_suppkey").cast("string")).alias("cells"))))
+    g = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file_id")).agg(F.transform(body, lambda x: x["cells"]).alias("body"))
+    thin = F.when(i % 5 == 0, F.array(row("", "", "see below"))).otherwise(F.array().cast("array<array<string>>"))
+    top, end = F.array(row("Wide", "but", "lonely"), row("Statement")), F.array(row("Closing balance", "9.00", "x"), row("", "", "note"), row("Total", "1.00", "y"))
+    grid_ = F.concat(F.slice(top, 3 - (i % 3).cast("int"), (i % 3).cast("int")), F.array(row("Date", "Amount", "Supplier")), thin, F.col("body"), F.slice(end, F.lit(1), (F.floor(i / 3) % 4).cast("int")))
+    # A thin row right below the header is as wide as it, so the header stays.
+    g = g.select("file_id", grid_.alias("grid")).withColumn("header_row", grid.suggest_header_row("grid"))
     return g.select("file_id", "header_row", grid.footer_rows("grid", F.col("header_row")).alias("footer_rows"))
 
 
@@ -716,23 +748,26 @@ def agg_19_20_21_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("page", pages.confidence("items")["least"].alias("least"), pages.confidence("items", 0.0, 0.2)["least"].alias("least_in_band"))
 
 
-@query("SELECT p_partkey, p_brand AS touched FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_type || '|' || p_brand WHEN 2 THEN '' ELSE p_type || '|' || p_brand || '|' || p_name END AS touched FROM part")
 def join_10_items_for_text_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part's type, brand and name as items of a line; the range of the brand's text finds the brand."""
+    """A part's type, brand and name as items of a line: ranges over one, over the seam of two, over a space alone, over all."""
     items = F.array(*[F.struct(F.lit(float(k)).alias("x"), F.col(c).alias("str")) for k, c in enumerate(("p_type", "p_brand", "p_name"))])
-    got = pages.items_in_range(items, F.length("p_type") + 1, F.length("p_brand"))
-    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(got, "|").alias("touched"))
+    k, n = F.col("p_partkey") % 4, F.length("p_type")
+    start = F.when(k == 0, n + 1).when(k == 1, n - 1).when(k == 2, n).otherwise(0)
+    size = F.when(k == 0, F.length("p_brand")).when(k == 1, 3).when(k == 2, 1).otherwise(1000)
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(pages.items_in_range(items, start, size), "|").alias("touched"))
 
 
 _FIELDS = [("date", "date"), ("amount", "amount"), ("description", "comment"), ("balance", "balance")]
 
 
-@query("SELECT l_orderkey AS file_id, field, col AS column, conf AS confidence FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES ('date', 0, 0.82::DOUBLE), ('amount', 1, 1.0), ('description', 2, 0.92)) v(field, col, conf)")
+@query("SELECT l_orderkey AS file_id, field, col AS column, CASE WHEN field <> 'amount' THEN conf ELSE CASE l_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.36 ELSE 0.82 END END::DOUBLE AS confidence FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES ('date', 0, 0.82::DOUBLE), ('amount', 1, 1.0), ('description', 2, 0.92)) v(field, col, conf)")
 def join_15_16_suggest_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's lines as a table of three columns under their headers."""
+    """Each order's lines as a table of three columns; the amount's header names it, holds its name, or says nothing."""
     word = F.concat_ws(" ", F.lit("part"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     g = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.date_format("l_shipdate", "dd/MM/yyyy")).alias("d"), F.collect_list(F.format_number("l_extendedprice", 2)).alias("a"), F.collect_list(word).alias("w"))
-    columns = g.select(F.col("l_orderkey").alias("file_id"), F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header"), F.col(c).alias("values")) for i, (h, c) in enumerate((("Ship Date", "d"), ("Amount", "a"), ("Comment", "w")))])))
+    money = F.when(F.col("l_orderkey") % 3 == 0, "Amount").when(F.col("l_orderkey") % 3 == 1, "Figure").otherwise("Gross Amount")
+    columns = g.select(F.col("l_orderkey").alias("file_id"), F.inline(F.array(*[F.struct(F.lit(i).alias("column"), h.alias("header"), F.col(c).alias("values")) for i, (h, c) in enumerate(((F.lit("Ship Date"), "d"), (money, "a"), (F.lit("Comment"), "w")))])))
     return infer.suggest_mapping(columns, spark.createDataFrame(_FIELDS, "field string, term string"))
 
 
@@ -752,12 +787,13 @@ def str_17_18_19_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", text.first_name("t", file, names).alias("bank"), text.statement_type("t").alias("type"), text.currency_in_text("t", ("CHF", "NOK")).alias("currency"))
 
 
-@query("SELECT l_orderkey AS file_id, field, col AS column FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES ('date', 0), ('description', 2), ('amount', 1)) v(field, col)")
+@query("SELECT l_orderkey AS file_id, field, CASE WHEN field = 'date' AND l_orderkey % 2 = 1 THEN 3 ELSE col END AS column FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES ('date', 0), ('description', 2), ('amount', 1)) v(field, col)")
 def join_18_seed_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mapping saved for two of three headers; the third comes from a suggestion."""
-    of = lambda *cs: F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header")) for i, h in cs]))
+    """A saved mapping on tables that have all, or only some, of its headers; suggestions fill what is missing, but for columns that are taken."""
+    dated = F.when(F.col("file_id") % 2 == 0, "Ship Date").otherwise("Sent")
+    of = lambda *cs: F.inline(F.array(*[F.struct(F.lit(i).alias("column"), (h if isinstance(h, Column) else F.lit(h)).alias("header")) for i, h in cs]))
     orders_ = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id")).distinct()
-    columns = orders_.select("file_id", of((0, "Ship Date"), (1, "Value"), (2, " comment ")))
+    columns = orders_.select("file_id", of((0, dated), (1, "Value"), (2, " comment "), (3, "Posted")))
     saved = spark.createDataFrame([("date", "ship date"), ("description", "Comment"), ("amount", "Amount")], "field string, header string")
-    suggested = orders_.select("file_id", F.inline(F.array(F.struct(F.lit("amount").alias("field"), F.lit(1).alias("column")), F.struct(F.lit("balance").alias("field"), F.lit(2).alias("column")))))
+    suggested = orders_.select("file_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(c).alias("column")) for f, c in (("amount", 1), ("balance", 2), ("date", 3))])))
     return infer.seed_mapping(saved, columns, suggested)

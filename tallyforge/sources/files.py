@@ -31,7 +31,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def file_type(content: Column | str) -> Column:
     """pdf, xlsx or text, by the first bytes alone."""
     head = F.hex(F.substring(col(content), 1, 5))
-    return F.when(head == "255044462D", "pdf").when(head.rlike("^504B0[357]"), "xlsx").otherwise("text")
+    return F.when(head == "255044462D", "pdf").when(head.rlike("^504B0[357].."), "xlsx").otherwise("text")
 
 
 def encoding(content: Column | str) -> Column:
@@ -106,24 +106,41 @@ def parse_grid(text: pd.Series, delimiter: pd.Series) -> pd.Series:
 
 
 
+#: Bytes of text that are parsed before their grids are handed on, and what a workbook may grow to.
+SLICE_BYTES = 4 << 20
+MAX_INFLATED = 8 * MAX_FILE_BYTES
+
+
 def parse_grids(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
-    """The id column and `grid` of each file, its delimiter told on the way: one pass, nothing exchanged."""
+    """The id column and `grid` of each file, its delimiter told on the way: one pass, nothing exchanged.
+
+    Texts are parsed a few at a time, by their bytes. Files that `admit`
+    refuses, and null texts, have a null grid; `large.parse_large` reads files
+    of any size.
+    """
     kind = files.schema[id_col].dataType.simpleString()
 
+    def grids(texts: pa.Array, delimiters: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else list(csv.reader(io.StringIO(trim_lines(t, d)), delimiter=d)) for t, d in zip(texts.to_pylist(), delimiters.to_pylist(), strict=True)], pa.list_(pa.list_(pa.string())))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grids = [None if t is None else list(csv.reader(io.StringIO(trim_lines(t, d)), delimiter=d)) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grids, pa.list_(pa.list_(pa.string())))], names=[id_col, "grid"])
-
-    return files.select(id_col, text_col, delimiter_of(text_col).alias("delimiter")).mapInArrow(run, f"`{id_col}` {kind}, grid array<array<string>>")
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.column(1).nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([part.column(0), grids(part.column(1), part.column(2))], names=[id_col, "grid"])
 
+    small = F.when(F.octet_length(text_col) <= MAX_FILE_BYTES, F.col(text_col))
+    return files.select(id_col, small.alias("text")).select(id_col, "text", delimiter_of("text").alias("delimiter")).mapInArrow(run, f"`{id_col}` {kind}, grid array<array<string>>")
 
 
 def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[str]]:
-    """The cells of a workbook's first sheet, or of the one named, as text."""
+    """The cells of a workbook's first sheet, or of the one named, as text; none where it is too large, packed or unpacked."""
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if len(content) > MAX_FILE_BYTES or sum(x.file_size for x in z.infolist()) > MAX_INFLATED:
+            return []
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         sheets = [(s.get("name"), targets[s.get(link)]) for s in book.iter(f"{main}sheet")]

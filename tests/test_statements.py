@@ -163,6 +163,14 @@ def test_no_transactions(spark):
     assert values(spark, text.is_date_like("v"), ["1/2", "5 Sep", "1/2/2026", "5 Sep 2026"]) == [False, False, True, True]
 
 
+def test_amounts_in_stages_and_in_one_expression(spark):
+    said = ["1,234.56", "(12.5)", "-(3)", "S$ 7", "usd 1.234,56-", "€ 5", "CR 12", "12 DR", "JPY 500", "¥1,000", "", None, "none", "1 234,5", "+4", "5%", "((7))", "US$-9.99", "1.234", "1,23", "12.345,6 cr", "٣"]
+    df = spark.createDataFrame([(v, c, f) for v in said for c in ("SGD", "JPY", None) for f in (None, amounts.US, amounts.EU)], "v string, c string, f string")
+    got = amounts.with_amounts(df.select("*", amounts.parse_amount("v", F.col("c"), F.col("f")).alias("one")), staged=(F.col("v"), F.col("c"), F.col("f")), plain=(F.col("v"), None, None)).select("*", amounts.parse_amount("v").alias("bare")).collect()
+    assert len(got) == len(said) * 9 and all(r.staged == r.one and r.plain == r.bare for r in got)
+    assert sum(r.staged is not None for r in got) > 100
+
+
 def test_review_log(spark):
     rows = spark.createDataFrame([(1, -500, 50, "2026-01-01", ["low_confidence", "ocr"]), (2, None, None, None, ["missing_amount", "ocr"]), (3, 7, None, "2026-01-02", [])], "row_id int, amount long, amount_alt long, date string, flags array<string>")
     log = [(1, 1, "use_alt", None, None), (2, 1, "edit", "amount", "900"), (2, 2, "edit", "amount", "901"), (2, 3, "undo", None, None), (2, 4, "confirm", None, None), (3, 1, "exclude", None, None), (3, 2, "undo", None, None), (3, 3, "undo", None, None)]
@@ -214,6 +222,14 @@ def test_sniffing_and_decoding(spark):
     assert [r.s for r in got[2:]] == ["é", "é", "é", "x", ""]
 
 
+def test_grids_of_large_and_missing_texts(spark, monkeypatch):
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 2000)
+    monkeypatch.setattr(files, "SLICE_BYTES", 64)
+    texts = ["a,b\n1,2", None, "x" * 2001, "", 'q;"r;s"\nt;u'] + [f"k,{i}" for i in range(60)]
+    got = {r.file_id: r.grid for r in files.parse_grids(spark.createDataFrame(list(enumerate(texts)), "file_id int, text string")).collect()}
+    assert got[0] == [["a", "b"], ["1", "2"]] and got[1] is None and got[2] is None and got[3] == [] and got[4] == [["q", "r;s"], ["t", "u"]] and got[64] == [["k", "59"]] and len(got) == 65
+
+
 def _workbook() -> bytes:
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     out = io.BytesIO()
