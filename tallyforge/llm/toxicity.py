@@ -17,23 +17,22 @@ leave-one-out votes of the examples themselves, are the score.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, stored
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: What stands between words: words are letters, and numerals other than digits.
+_BETWEEN = r"[^\p{L}\p{Nl}\p{No}]+"
 #: Letters of a word's beginning that is a term of its own.
 PREFIX = 5
-_CACHE = 150_000
 #: A term held by more than one in so many examples is common: it has bounds by block instead of postings.
 _COMMON = 16
 #: Postings that are added up at a time.
@@ -45,8 +44,9 @@ def terms_of(word: str) -> list[str]:
     return [word, f"{word[:PREFIX]}-"] if len(word) > PREFIX else [word]
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The words of texts in small letters, null as none; empty ones stand at the ends."""
+    return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _BETWEEN)
 
 
 @dataclass(frozen=True)
@@ -68,23 +68,37 @@ class Settings:
     seed: int = 3
 
 
-class Reader(dict):
-    """Texts as the numbers of their terms; a word without a term is the background's number. As a dict: words seen, and their terms."""
+class Reader:
+    """Texts as the numbers of their terms; a word without a term is the background's number.
 
-    def __init__(self, terms: list[str]):
-        self.known = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= _CACHE:
-            self.clear()
-        found = self[word] = [self.known[t] for t in terms_of(word) if t in self.known] or [len(self.known)]
-        return found
+    Texts are read together, as arrays: each different word of a batch is
+    looked up once, and its numbers are put in its places and counted by text.
+    """
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """A text's terms in order, and how often each stands there."""
-        found = chain.from_iterable(map(self.__getitem__, words_of(text or "")))
-        terms, counts = np.unique(np.fromiter(found, np.int32), return_counts=True)
-        return terms, counts.astype(np.int32)
+    def __init__(self, terms: list[str]):
+        self.terms = pa.array(terms, pa.string())
+
+    def numbers(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """How many numbers each word has, and all of them: its own term's and its beginning's, else the background's; the empty word has none."""
+        beginning = pc.if_else(pc.greater(pc.utf8_length(words), PREFIX), pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, PREFIX), "-", ""), None)
+        found = np.stack([pc.fill_null(pc.index_in(x, value_set=self.terms), -1).to_numpy() for x in (words, beginning)], axis=1)
+        plain = (found < 0).all(axis=1) & (pc.utf8_length(words).to_numpy() > 0)
+        found[plain, 0] = len(self.terms)
+        return (found >= 0).sum(axis=1), found[found >= 0]
+
+    def read(self, texts: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+        """Each text's terms in order, and how often each stands there."""
+        words = split_words(texts)
+        owner = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+        coded = words.flatten().dictionary_encode()
+        size, terms = self.numbers(coded.dictionary)
+        first, code = np.cumsum(size) - size, coded.indices.to_numpy()
+        n = size[code]
+        at = np.repeat(first[code] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        width = len(self.terms) + 1
+        both, counts = np.unique(np.repeat(owner, n) * width + terms[at], return_counts=True)
+        starts = pa.array(np.searchsorted(both, np.arange(len(words) + 1) * width), pa.int32())
+        return pa.ListArray.from_arrays(starts, pa.array(both % width, pa.int32())), pa.ListArray.from_arrays(starts, pa.array(counts, pa.int32()))
 
 
 def count_terms(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -92,7 +106,7 @@ def count_terms(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            held = [sorted({t for w in words_of(text or "") for t in terms_of(w)}) for text in part.column(0).to_pylist()]
+            held = [sorted({t for w in set(words) if w for t in terms_of(w)}) for words in split_words(part.column(0)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), part.column(1)], names=["terms", "label"])
 
     each = examples.select("text", "label").mapInArrow(run, "terms array<string>, label int").select(F.explode("terms").alias("term"), "label")
@@ -114,9 +128,7 @@ def read_terms(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for part in slices(batches, 2):
-            read = [reader.read(t) for t in part.column(2).to_pylist()]
-            lists = [pa.ListArray.from_arrays(pa.array(_starts(map(len, x)), pa.int32()), pa.array(np.concatenate(x))) for x in zip(*read, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "row_key", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *reader.read(part.column(2))], names=["id", "row_key", "terms", "counts"])
 
     return docs.mapInArrow(run, f"id {kind}, row_key long, terms array<int>, counts array<int>")
 
