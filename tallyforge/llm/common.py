@@ -13,11 +13,13 @@ Conventions that hold for every operator in this package:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,8 +68,23 @@ def row_key(id_col: str | Column, text: Column) -> Column:
     return F.xxhash64(F.col(id_col) if isinstance(id_col, str) else id_col, text)
 
 
+@lru_cache(1)
+def _trim():
+    """The C library's call that gives freed memory back to the system; nothing where it has none."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Give back what a finished task has freed: workers live on, and what they keep is the next stage's memory."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that one piece holds about `limit` bytes in the given string or binary column, or a single row."""
+    """The batches cut so that one piece holds about `limit` bytes in the given string or binary column, or a single row; memory is tidied up behind the last."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -75,6 +92,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = SLIC
         step = max(1, int(n * limit / max(1, batch.column(column).nbytes)))
         for at in range(0, n, step):
             yield batch.slice(at, min(step, n - at))
+    tidy()
 
 
 def tokenizer_path(name: str) -> str:
