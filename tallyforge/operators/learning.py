@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expr import trimmed
+from tallyforge.functions.expr import let, trimmed
 from tallyforge.functions.text import fuzzy_in_text, norm_header, tokens
 from tallyforge.operators.infer import column_fill, filled, share
 from tallyforge.operators.bounds import bounded
@@ -28,12 +28,21 @@ def _holds(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike(r"(?i)\b(" + "|".join(map(re.escape, words)) + r")\b") if words else F.lit(False)
 
 
-def plausible_anchor(phrase: Column, corpus: Column, banks: tuple[str, ...] = ()) -> Column:
-    """Whether a phrase may identify a statement: it holds a known phrase or bank, or each of its words stands twice or more in the corpus."""
+def repeated_words(corpus: Column) -> Column:
+    """The words, in small letters, that stand twice or more in a text: told once a text, by sorting."""
+    return let(F.array_sort(F.transform(tokens(corpus), F.lower)), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
+
+
+def plausible_in(phrase: Column, twice: Column, banks: tuple[str, ...] = ()) -> Column:
+    """Whether a phrase may identify a statement: it holds a known phrase or bank, or each of its words is among those that stand twice or more in the corpus."""
     words = F.transform(tokens(phrase), F.lower)
-    seen = F.transform(tokens(corpus), F.lower)
-    twice = F.forall(words, lambda w: F.size(F.filter(seen, lambda x: x == w)) >= 2)
-    return F.coalesce((trimmed(phrase) != "") & (_holds(phrase, ALWAYS) | _holds(phrase, banks) | ((F.size(words) > 0) & twice)), F.lit(False))
+    known = F.forall(words, lambda w: F.array_contains(twice, w))
+    return F.coalesce((trimmed(phrase) != "") & (_holds(phrase, ALWAYS) | _holds(phrase, banks) | ((F.size(words) > 0) & known)), F.lit(False))
+
+
+def plausible_anchor(phrase: Column, corpus: Column, banks: tuple[str, ...] = ()) -> Column:
+    """The same with the corpus itself."""
+    return plausible_in(phrase, repeated_words(corpus), banks)
 
 
 def distinctiveness(phrase: Column, banks: tuple[str, ...] = ()) -> Column:
@@ -52,7 +61,10 @@ def anchor_candidates(lines: DataFrame, first_data: Column, corpus: DataFrame, b
     name = t.rlike(CAPITALS) & ~_holds(t, VOCABULARY)
     some = lines.filter(F.coalesce(F.col(order) < first_data, F.lit(True))).select(file, order, t.alias("anchor"), name.alias("_name")).filter((F.col("anchor") != "") & (F.length("anchor") <= LONGEST_ANCHOR))
     some = some.filter(~F.col("anchor").rlike(r"\d{2,}|(?i)\bsingapore \d") & ~_holds(F.col("anchor"), PERSONAL) & ~F.col("_name"))
-    one = some.groupBy(file, "anchor").agg(F.min(order).alias(order)).join(corpus.select(file, F.col("text").alias("_corpus")), file).filter(plausible_anchor(F.col("anchor"), F.col("_corpus"), banks))
+    mine = some.groupBy(file, "anchor").agg(F.min(order).alias(order)).groupBy(file).agg(F.collect_list(F.struct("anchor", order)).alias("_some"))
+    # A file's words are counted where its text is; what meets its phrases is the list of repeated ones, once.
+    one = corpus.select(file, repeated_words(F.col("text")).alias("_twice")).join(mine, file)
+    one = one.select(file, "_twice", F.inline("_some")).filter(plausible_in(F.col("anchor"), F.coalesce("_twice", F.array().cast("array<string>")), banks))
     rank = F.row_number().over(Window.partitionBy(file).orderBy(F.desc(distinctiveness(F.col("anchor"), banks)), order))
     return one.select(file, rank.alias("rank"), "anchor").filter(f"rank <= {ANCHORS}")
 

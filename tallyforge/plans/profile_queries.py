@@ -211,8 +211,8 @@ def arr_06_07_08_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT doc_id, pos, trim(line) AS a FROM (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
-words AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
+WITH l AS (SELECT doc_id, pos, trim(line) AS a FROM (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+words AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents) GROUP BY ALL),
 o AS (SELECT doc_id, a, min(pos) AS pos FROM l WHERE pos < 12 AND a <> '' AND length(a) <= 60 AND NOT regexp_matches(a, '\\d\\d') AND NOT regexp_matches(lower(a), '\\b(address|blk|street|avenue|road|jalan|unit|postal|mr|mrs|ms|dear|attn)\\b|\\bsingapore \\d') AND NOT (regexp_matches(a, '^[A-Z][A-Z.''-]*(\\s+[A-Z][A-Z.''-]*){1,3}$')) GROUP BY ALL),
 t AS (SELECT o.doc_id, a, pos, unnest(regexp_extract_all(lower(a), '[a-z0-9]+')) AS w FROM o), rare AS (SELECT DISTINCT t.doc_id, a FROM t JOIN words ON words.doc_id = t.doc_id AND words.w = t.w WHERE n < 2),
 known AS (SELECT *, regexp_matches(lower(a), '\\b(transaction history|statement|account|savings|credit card)\\b') AS always, regexp_matches(lower(a), '\\b(bank|ltd|pte|account|statement|transaction|history|savings|current|credit|card|multiplier|deposit|ibanking|digibank|branch|swift|iban)\\b')::INT AS v FROM o),
@@ -221,7 +221,7 @@ SELECT doc_id AS file_id, rank::INT AS rank, a AS anchor FROM (SELECT *, row_num
 """)
 def win_16_17_cat_12_uix_09_40_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best anchors among the first twelve lines of every document."""
-    d = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("file_id"), "text")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text"))
     ls = d.select("file_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return learning.anchor_candidates(ls, F.lit(12), d)
 
