@@ -67,3 +67,35 @@ def test_late_files_displace_and_rows_sent_again_move(spark, tmp_path):
     assert not [p for p in tmp_path.iterdir() if "arrival" in p.name]
     ingest.merge_arrivals(spark.readStream.schema(schema).parquet(source), table, state, 8)
     assert {(r.row_id, r.amount, r.kept) for r in spark.read.parquet(table).collect()} == want
+
+
+def test_keyed_state_decides_as_one_batch_would(spark, tmp_path):
+    import time
+
+    from tallyforge.operators.ledger import merge_across_files
+    from tallyforge.streaming.stateful import decide_arrivals
+
+    schema = "row_id long, account string, date string, amount long, currency string, description string, file int"
+    row = lambda i, amount, file: (i, "A", "2026-01-02", amount, "SGD", "coffee", file)
+    arrivals = [[row(1, 100, 1), row(2, 200, 1), (3, "A", None, 5, "SGD", "no date", 1)], [row(11, 100, 0), row(12, 100, 0), row(13, 200, 2)], [row(12, 900, 0), row(11, 900, 0), row(1, 100, 1)]]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        source, folder, now = str(tmp_path / "in"), str(tmp_path / "out"), {}
+        for arrival in arrivals:
+            now |= {r[0]: r for r in arrival}
+            spark.createDataFrame(arrival, schema).coalesce(1).write.mode("append").parquet(source)
+            got = decide_arrivals(spark.readStream.schema(schema).parquet(source), folder)
+            want = {(r.row_id, r.kept) for r in merge_across_files(spark.createDataFrame(list(now.values()), schema)).collect()}
+            assert {(r.row_id, r.kept) for r in got.collect()} == want
+        n = spark.read.parquet(f"{folder}/decisions").count()
+        assert {(r.row_id, r.kept) for r in decide_arrivals(spark.readStream.schema(schema).parquet(source), folder).collect()} == want and spark.read.parquet(f"{folder}/decisions").count() == n
+        # What has expired displaces nothing any more.
+        source, folder = str(tmp_path / "in2"), str(tmp_path / "out2")
+        for arrival in ([row(1, 100, 0), row(2, 100, 0)], [row(3, 100, 1)]):
+            spark.createDataFrame(arrival, schema).coalesce(1).write.mode("append").parquet(source)
+            got = decide_arrivals(spark.readStream.schema(schema).parquet(source), folder, days=1 / 86400)
+            time.sleep(2)
+        assert {(r.row_id, r.kept) for r in got.collect()} == {(1, True), (2, True), (3, True)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
