@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import slices, tokenizer_path
+from tallyforge.llm.common import slices, stored, tokenizer_path
 
 SCHEMA = "tokenizer string, content string, n_tokens long"
 #: Words whose counts a worker remembers; the memory is emptied when it is full.
@@ -159,5 +159,6 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "word_bpe_49k.jso
     fresh = todo.mapInArrow(run, "content string, n_tokens long").groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
     fresh.select(F.lit(mark).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == mark).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
+    counts = stored(counts, "counts")  # so that the join's two sides are plain exchanges, which Spark splits at a content that very many documents share
     small = keyed.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return small.join(counts, "content").select(F.col("id").alias(id_col), "content", "n_bytes", "n_tokens")
