@@ -56,13 +56,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyforge-{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as a table in the shared folder and read again: lineage ends here, and lost executors cost no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_key(id_col: str | Column, text: Column) -> Column:
     """A long for joining a document's parts back to it: repeated ids with other texts get other keys."""
     return F.xxhash64(F.col(id_col) if isinstance(id_col, str) else id_col, text)
@@ -83,6 +76,14 @@ def tidy() -> None:
     _trim()(0)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a table in the shared folder and read again: lineage ends here, and lost executors cost no recomputation. Gives back what the driver has freed so far."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    tidy()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one piece holds about `limit` bytes in the given string or binary column, or a single row; memory is tidied up behind the last."""
     for batch in batches:
