@@ -45,8 +45,18 @@ TEMPLATES = (
     ("public-domain", "domain", "this work has been released into the public domain"),
 )
 
-#: A text block is a window of so many consecutive words; the next one starts so many later. Any notice of up to 25 words lies inside one.
-BLOCK, STEP = 48, 24
+#: The least step from a block to the next, in words.
+LEAST_STEP = 24
+
+
+def block_size(templates: tuple[tuple[str, str, str], ...]) -> tuple[int, int]:
+    """Words of a text block, and words from its start to the next one's: any notice as long as the longest template lies inside one."""
+    step = max(LEAST_STEP, *(len(t.split()) for _, _, t in templates))
+    return 2 * step, step
+
+
+#: Those of the fixed list.
+BLOCK, STEP = block_size(TEMPLATES)
 
 
 def wider(templates: tuple[tuple[str, str, str], ...]) -> dict[int, list[int]]:
@@ -78,11 +88,11 @@ def phrase_places(low: Column, words: Column, phrases: tuple[tuple[str, str], ..
     return out
 
 
-def blocks_of(words: Column) -> Column:
+def blocks_of(words: Column, block: int, step: int) -> Column:
     """The blocks of an array of words; none without words."""
-    more = F.greatest(F.lit(0), F.ceil((F.size(words) - BLOCK) / F.lit(STEP)).cast("int"))
+    more = F.greatest(F.lit(0), F.ceil((F.size(words) - block) / F.lit(step)).cast("int"))
     starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), more)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(words, i * STEP + 1, BLOCK))
+    return F.transform(starts, lambda i: F.slice(words, i * step + 1, block))
 
 
 def match_templates(blocks: DataFrame, order: list[str], templates: tuple[tuple[str, str, str], ...], threshold: float) -> DataFrame:
@@ -121,7 +131,8 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tupl
     (with those of templates that a block contains to the threshold; sorted and
     comma-joined, empty without any) and `score` (the largest containment that
     reaches the threshold, else 0), a row for each row given. Blocks are
-    windows of BLOCK words over the whole text, whatever its lines. A null text
+    windows of words over the whole text, whatever its lines, twice as long as
+    the longest template (`block_size`). A null text
     is the empty text. Repeated rows get equal answers. Texts are read once,
     in place; kept are the template words that each holds, and the words of
     the few texts that hold enough of some template's.
@@ -150,7 +161,7 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tupl
     told = stored(told, "scanned")
     counts = {r.word: r.n for r in told.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted({w for _, _, t in templates for w in t.split()}, key=lambda w: (counts.get(w, 0), w))
-    blocks = told.filter("words IS NOT NULL").select("k1", "k2", F.posexplode(blocks_of(F.col("words"))).alias("block", "words"))
+    blocks = told.filter("words IS NOT NULL").select("k1", "k2", F.posexplode(blocks_of(F.col("words"), *block_size(templates))).alias("block", "words"))
     labels = match_templates(blocks, order, templates, threshold).groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))
     both = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
     joined = told.drop("words", "held").join(labels, ["k1", "k2"], "left")

@@ -25,7 +25,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.minhash import near_duplicates
 
     found = near_duplicates(_docs(spark, sf_dir), percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +127,9 @@ FROM marked GROUP BY doc_id
 
 
 def _license_sql() -> str:
-    from tallyforge.llm.license import BLOCK, PHRASES, STEP, TEMPLATES, wider
+    from tallyforge.llm.license import PHRASES, TEMPLATES, block_size, wider
 
+    block, step = block_size(TEMPLATES)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     templates = ", ".join(f"({i}, '{label}', string_split('{keys}', ' '), list_distinct(string_split('{text}', ' ')), {wider(TEMPLATES)[i]}::INTEGER[])" for i, (label, keys, text) in enumerate(TEMPLATES))
@@ -147,8 +148,8 @@ starts AS (
   SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list_distinct(list(label)) AS base FROM places GROUP BY doc_id
 ), templates(t_id, label, keys, t, wider) AS (VALUES {templates}),
 blocks AS (
-  SELECT doc_id, i, list_distinct(ws[i + 1 : i + {BLOCK}]) AS b
-  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {BLOCK}, 0) + {STEP}, {STEP})) AS i FROM w WHERE len(ws) > 0)
+  SELECT doc_id, i, list_distinct(ws[i + 1 : i + {block}]) AS b
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {block}, 0) + {step}, {step})) AS i FROM w WHERE len(ws) > 0)
 ), matched AS (
   SELECT doc_id, i, t_id, label, wider, len(list_intersect(t, b)) / len(t) AS c FROM blocks JOIN templates
   ON len(list_intersect(t, b)) >= ceil(0.8 * len(t) - 1e-9) AND len(list_intersect(keys, b)) = len(keys)

@@ -400,3 +400,51 @@ def test_lines_near_the_threshold(spark):
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), 100, lg_k=8, near=0.4)
     left = Counter(r.text for r in got.collect() if r.text)
     assert left == {"line 0": 99, "line 1": 1, "line 2": 1, "line 3": 1, "line 4": 3}
+
+
+def test_templates_of_any_length_are_found_verbatim(spark):
+    """A notice as long as the longest template lies inside some block, wherever it begins."""
+    from tallyforge.llm.license import block_size
+
+    long = " ".join(f"clause{i}" for i in range(150))
+    templates = (("long", "clause0 clause149", long), ("short", "tiny", "under the tiny license"))
+    block, step = block_size(templates)
+    assert (block, step) == (300, 150) and block_size(TEMPLATES) == (BLOCK, STEP)
+    texts = [("pad " * at) + long + " end" * 7 for at in (0, 1, 149, 150, 151, 299, 1000)] + ["x " * 40 + "under the tiny license", " ".join(long.split()[:100])]
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates, phrases=PHRASES).collect()}
+    assert all(got[i] == ("long", 1.0) for i in range(7)) and got[7] == ("short", 1.0) and got[8] == ("", 0.0)
+
+
+def test_a_passage_in_very_many_documents(spark):
+    """Every window of a passage that all documents hold goes, but for the first document's; ids may be missing."""
+    passage = " ".join(f"w{i}" for i in range(70))
+    docs = [(i if i % 10 else None, f"a{i} " * (i % 7) + passage + f" z{i}" * 3) for i in range(1, 400)]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    want = sorted((i is None, i or 0, len(t.split()), 0 if i == 1 else 70) for i, t in docs)
+    assert got == want
+
+
+def test_flow_against_every_routing():
+    """On tiny instances: as many words as any routing fits into the quotas, and none with less repetition among those."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(40):
+        names = ["a", "b", "c"][: rng.randrange(1, 4)]
+        patterns = {}
+        for _ in range(rng.randrange(1, 4)):
+            patterns[tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1))))] = rng.randrange(1, 4)
+        got = plan(patterns, (1, 2, 3), 2)
+        quota = {s: round(q) for s, q in got.target.items()}
+        cost = lambda p, t: max(0, t - patterns[p])  # noqa: E731  a second use costs 1 a word
+        best = None
+        ways = [[(p, split) for split in itertools.product(range(2 * n + 1), repeat=len(p)) if sum(split) <= 2 * n] for p, n in patterns.items()]
+        for routing in itertools.product(*ways):
+            into = Counter()
+            for p, split in routing:
+                into.update(dict(zip(p, split, strict=True)))
+            if all(into[s] <= quota[s] for s in quota):
+                key = -sum(into.values()), sum(cost(p, sum(split)) for p, split in routing)
+                best = key if best is None or key < best else best
+        assert (-sum(got.taken.values()), sum(cost(p, t) for p, t in got.taken.items())) == best
+        assert all(got.routed[s] <= quota[s] for s in quota) and sum(got.routed.values()) == sum(got.taken.values())
