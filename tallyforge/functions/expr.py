@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def computed(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
+    """Columns of the rows (`keep`, else all) with further ones that are computed once a row.
+
+    They come out of a generator of one row, so conditions on them stay behind
+    it: moved before it, as Spark does with plain columns, they would compute
+    everything a second time.
+    """
+    return df.select(*(keep or ("*",)), F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space of any Unicode kind at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

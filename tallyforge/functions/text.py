@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.amounts import parse_amount
-from tallyforge.functions.expr import blank_as_null, col, found, let, trimmed
+from tallyforge.functions.amounts import minor_of_digits, parse_amount, plain_digits, plain_minor
+from tallyforge.functions.expr import blank_as_null, col, computed, found, let, trimmed
 
 # Active ISO 4217 codes.
 ISO_CURRENCIES = tuple(
@@ -97,7 +97,9 @@ def is_date_like(s: Column | str) -> Column:
 
 
 def is_amount_like(s: Column | str) -> Column:
-    return F.coalesce(trimmed(col(s)) != "", F.lit(False)) & parse_amount(s).isNotNull()
+    """Text that parse_amount can read. Four letters in a row, a slash or a colon are in none that it can, plain digits with groups or a point in every one; the rest is read."""
+    c = col(s)
+    return F.when(~c.rlike(r"\d") | c.rlike("[A-Za-z]{4}|[/:]"), False).when(c.rlike(r"^(?:\d{1,3}(?:,\d{3}){0,3}|\d{1,12})(?:\.\d{1,3})?$"), True).otherwise(F.coalesce(trimmed(c) != "", F.lit(False)) & parse_amount(c).isNotNull())
 
 
 def is_currency_code_like(s: Column | str) -> Column:
@@ -188,51 +190,100 @@ SUMMARY_STARTS = r"^(?:(?:sub)?total\b|ref(?:erence)?[:\s])"
 TWO_YEARS = r"\b(?:19|20)\d\d\b.*\b(?:19|20)\d\d\b"
 BANNER = r"^(?:[A-Za-z]{3,}\s+)?(?:19|20)\d\d$"
 DATE_GROUP = r"(?i)^(?:(?:[a-z]+day|yesterday|today),?\s*)?(\d{1,2}\s*[a-z]{3,}\s+\d{4})$"
-_MONTH = "^(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)$"
+_MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+_CUT = "\u0001"
 
 
 def no_transaction(line: Column | str) -> Column:
     """Whether a line's wording or shape rules out an amount line, whatever number ends it."""
     t = trimmed(col(line))
-    low = F.lower(t)
-    out = t.rlike(PAGE_FOOTER) | t.rlike(TWO_YEARS) | t.rlike(BANNER) | t.rlike(DATE_GROUP) | low.rlike(SUMMARY_STARTS)
+    return _ruled_out(t, F.lower(t))
+
+
+def _ruled_out(t: Column, low: Column) -> Column:
+    """The same of a trimmed line and its small letters."""
+    out = (F.contains(low, F.lit("page")) & t.rlike(PAGE_FOOTER)) | t.rlike(TWO_YEARS) | t.rlike(BANNER) | t.rlike(DATE_GROUP) | low.rlike(SUMMARY_STARTS)
     for phrase in SUMMARY_PHRASES:
         out = out | F.contains(low, F.lit(phrase))
     return out
 
 
+# What is read of an amount line, step by step; each step uses the one before several times.
+
+
+def _cut(s: Column) -> Column:
+    """What stands before, in and behind the last number of a line that can end in one."""
+    ends = s.rlike(r"\d[\s)+\-A-Za-z.]*$") & ~s.contains(_CUT)
+    return F.when(ends, F.split(F.regexp_replace(s, _ENDING, f"$1{_CUT}$2{_CUT}$3"), _CUT))
+
+
+def _own_code(before: Column) -> Column:
+    return F.upper(F.regexp_extract(before, r"^[A-Za-z]{3}", 0))
+
+
+def _code_behind(behind: Column) -> Column:
+    return F.upper(F.regexp_extract(behind, r"^\s*\)?\s*[+-]?\s*([A-Za-z]{3})", 1))
+
+
+def _crdr(behind: Column) -> Column:
+    return F.upper(F.regexp_extract(behind, r"(?i)\b(C|D)R?\.?\s*$", 1))
+
+
+def _has_cents(number: Column) -> Column:
+    return number.rlike(r"[.,]\d{2}$")
+
+
+def _may_be_amount(before: Column, number: Column, behind: Column, own: Column, after: Column, cents: Column) -> Column:
+    decorated = cents | before.rlike(r"(?U)\S") | behind.rlike(r"[^\s)]")
+    return (decorated | F.length(F.translate(number, "., \u00a0", "")).between(2, 8)) & ~own.isin(*_MONTHS) & ~after.isin(*_MONTHS)
+
+
+def _amount_told(s: Column, before: Column, number: Column, behind: Column, own: Column, after: Column, cents: Column, size: Column) -> Column:
+    negative = before.contains("-") | behind.contains("-") | (before.contains("(") & behind.contains(")"))
+    start = F.length(s) - F.length(before) - F.length(number) - F.length(behind)
+    code = F.coalesce(blank_as_null(own), blank_as_null(after))
+    return F.struct(F.when(negative, -size).otherwise(size).alias("minor"), code.alias("currency"), cents.alias("decimals"), blank_as_null(_crdr(behind)).alias("mark"), start.alias("start"))
+
+
 def amount_line(line: Column | str) -> Column:
     """struct(minor, currency, decimals, mark, start) of the amount that ends a line, null without one.
 
     Rejected: what `no_transaction` holds; a month's name as currency; more
     than eight digits, or a single one, without any decoration. A line is split
     once into what stands before, in and behind its last number, and only if it
-    can end in one.
+    can end in one. One expression, for use anywhere; over many rows
+    `with_amount_lines` does the same faster.
     """
-    cut = "\u0001"
 
     def read(s: Column) -> Column:
-        ends = s.rlike(r"\d[\s)+\-A-Za-z.]*$") & ~s.contains(cut)
-        return let(F.when(ends, F.struct(s.alias("s"), F.split(F.regexp_replace(s, _ENDING, f"$1{cut}$2{cut}$3"), cut).alias("p"))), lambda x: F.when(F.size(x["p"]) == 3, parts(x["s"], x["p"])))
+        return let(F.struct(s.alias("s"), _cut(s).alias("p")), lambda x: F.when(F.size(x["p"]) == 3, parts(x["s"], x["p"])))
 
     def parts(s: Column, p: Column) -> Column:
         before, number, behind = p[0], p[1], p[2]
-        own = F.upper(F.regexp_extract(before, r"^[A-Za-z]{3}", 0))
-        after = F.upper(F.regexp_extract(behind, r"^\s*\)?\s*[+-]?\s*([A-Za-z]{3})", 1))
-        mark = F.upper(F.regexp_extract(behind, r"(?i)\b(C|D)R?\.?\s*$", 1))
-        cents = number.rlike(r"[.,]\d{2}$")
-        decorated = (trimmed(before) != "") | behind.rlike(r"[^\s)]") | cents
-        digits = F.length(F.regexp_replace(number, r"\D", ""))
-        ok = (decorated | digits.between(2, 8)) & ~own.rlike(_MONTH) & ~after.rlike(_MONTH) & ~no_transaction(s)
-        negative = before.contains("-") | behind.contains("-") | (before.contains("(") & behind.contains(")"))
-        start = F.length(s) - F.length(before) - F.length(number) - F.length(behind)
-        told = F.struct(parse_amount(number)["minor"].alias("v"), negative.alias("n"))
-        made = lambda x: F.when(x["v"].isNotNull(), F.struct(F.when(x["n"], -x["v"]).otherwise(x["v"]).alias("minor"), F.coalesce(blank_as_null(own), blank_as_null(after)).alias("currency"), cents.alias("decimals"), blank_as_null(mark).alias("mark"), start.alias("start")))
-        return F.when(ok, let(told, made))
+        own, after, cents = _own_code(before), _code_behind(behind), _has_cents(number)
+        ok = _may_be_amount(before, number, behind, own, after, cents) & ~_ruled_out(s, F.lower(s))
+        return F.when(ok, let(plain_minor(number), lambda v: F.when(v.isNotNull(), _amount_told(s, before, number, behind, own, after, cents, v))))
 
     return let(trimmed(col(line)), read)
 
 
+def with_amount_lines(df: DataFrame, line: Column | str, name: str = "_amount") -> DataFrame:
+    """The rows with a further column `name` = amount_line(line), in stages of plain columns, which Spark compiles as a whole.
+
+    The column is `computed`, so conditions on it don't read every line again.
+    """
+    at = lambda k: F.col(f"_line_{k}")
+    put = lambda d, **made: d.withColumns({f"_line_{k}": c for k, c in made.items()})
+    some = at("number").isNotNull()
+    out = put(put(df, s=trimmed(col(line))), p=_cut(at("s")))
+    out = put(out, **{k: F.when(F.size(at("p")) == 3, at("p")[i]) for i, k in enumerate(("before", "number", "behind"))})
+    out = put(out, low=F.when(some, F.lower(at("s"))), own=_own_code(at("before")), after=_code_behind(at("behind")), cents=_has_cents(at("number")), digits=plain_digits(at("number")))
+    rest = [at(k) for k in ("before", "number", "behind", "own", "after", "cents")]
+    out = put(out, size=F.when(some & _may_be_amount(*rest) & ~_ruled_out(at("s"), at("low")), minor_of_digits(at("digits"))))
+    told = F.when(at("size").isNotNull(), _amount_told(at("s"), *rest, at("size")))
+    return computed(out, *df.columns, **{name: told})
+
+
 def grouped_sign(amount: Column, convention: str) -> Column:
     """The signed amount of an amount line: the mark decides, else the sign (turned under positiveIsOut)."""
     minor, mark = amount["minor"], amount["mark"]

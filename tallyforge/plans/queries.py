@@ -684,7 +684,7 @@ def pdf_02_03_06_amount_line(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("coffee "), n)).when(k == 1, F.concat(F.lit("shop SGD "), n)).when(k == 2, F.concat(F.lit("tram -"), n, F.lit(" EUR"))).when(k == 3, F.concat(F.lit("fees ("), n, F.lit(")")))
         .when(k == 4, F.concat(F.lit("rent "), n, F.lit(" DR"))).otherwise(F.concat(F.lit("Page 3 of "), n))
     )
-    got = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.amount_line(line).alias("a"))
+    got = text.with_amount_lines(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")), "line", "a")
     return got.select("l_orderkey", "l_linenumber", "a.minor", "a.currency", text.grouped_sign(F.col("a"), "signed").alias("signed"))
 
 
