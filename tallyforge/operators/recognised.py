@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expr import trimmed
-from tallyforge.functions.text import amount_line
+from tallyforge.functions.expr import computed, trimmed
+from tallyforge.functions.text import with_amount_lines
 
 # Fixed value: words that are an amount with cents, a numeric date, a currency code, or one or two digits.
 SHAPES = r"^([+-]?[\d,]+\.\d{2}|\d{1,2}[/.-]\d{1,2}([/.-]\d{2,4})?|[A-Z]{3}|\d{1,2})$"
@@ -62,23 +62,22 @@ def retry_candidates(lines: DataFrame, *keys: str) -> DataFrame:
     behind the currency, a share into the word where it is glued to the number.
     """
     text = F.array_join(F.transform("items", lambda i: i["str"]), " ")
-    marked = lines.withColumn("_text", text).withColumn("_a", amount_line("_text")).filter("_a IS NOT NULL")
-    kind = "struct<at: int, out: array<struct<b: int, e: int, i: int, x: double, y: double, width: double, height: double>>>"
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(i["str"]) + 1).alias("at"),
-        F.array_append(acc["out"], F.struct(acc["at"].alias("b"), (acc["at"] + F.length(i["str"])).alias("e"), F.size(acc["out"]).alias("i"), i["x"].alias("x"), i["y"].alias("y"), i["width"].alias("width"), i["height"].alias("height"))).alias("out"),
-    ).cast(kind)
-    placed = F.aggregate("items", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b: int, e: int, i: int, x: double, y: double, width: double, height: double>>").alias("out")).cast(kind), step)["out"]
+    marked = with_amount_lines(lines.withColumn("_text", text), "_text", "_a").filter("_a IS NOT NULL")
+    # The words that end behind the amount's start, with their places in the text: each begins where the words and spaces before it end.
+    ends = F.aggregate("items", F.array(F.lit(0)), lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + F.length(i["str"]) + 1))
+    placed = F.transform("items", lambda w, i: F.struct(F.get("_ends", i).alias("b"), (F.get("_ends", i + 1) - 1).alias("e"), i.alias("i"), w["x"].alias("x"), w["y"].alias("y"), w["width"].alias("width"), w["height"].alias("height")))
     start = F.col("_a.start")
-    own = marked.withColumn("_own", F.filter(placed, lambda w: w["e"] > start)).filter("size(_own) > 0")
     tail = F.expr("substring(_text, _a.start + 1)")
-    prefix = F.length(F.regexp_extract(tail, r"^(?:[A-Za-z]{3}(?![A-Za-z])|[A-Z]{0,2}[$€£¥])? *", 0))
-    ahead = start + prefix
-    hit = F.try_element_at(F.filter("_own", lambda w: w["e"] > ahead), F.lit(1))
+    marked = marked.select(*keys, "line", "items", "_a", tail.alias("_tail"), ends.alias("_ends"))
+    prefix = F.length(F.regexp_extract("_tail", r"^(?:[A-Za-z]{3}(?![A-Za-z])|[A-Z]{0,2}[$€£¥])? *", 0))
+    own = marked.select(*keys, "line", "_a", "_tail", prefix.alias("_prefix"), F.filter(placed, lambda w: w["e"] > start).alias("_own"))
+    ahead = start + F.col("_prefix")
+    own = computed(own.withColumn("_hit", F.get(F.filter("_own", lambda w: w["e"] > ahead), F.lit(0))), *keys, "line", "_a", "_tail", "_prefix", "_hit", _own=F.col("_own")).filter("size(_own) > 0")
+    hit = F.col("_hit")
     share = F.greatest(F.lit(0), ahead - hit["b"]) / F.greatest(F.lit(1), hit["e"] - hit["b"])
     of = lambda f, fold: fold(F.transform("_own", f))
     box = F.struct((hit["x"] + share * hit["width"]).alias("x0"), of(lambda w: w["x"] + w["width"], F.array_max).alias("x1"), of(lambda w: w["y"], F.array_min).alias("y0"), of(lambda w: w["y"] + w["height"], F.array_max).alias("y1"))
-    return own.select(*keys, "line", F.col("_own")[0]["i"].alias("first"), F.element_at("_own", -1)["i"].alias("last"), tail.alias("matched"), prefix.alias("prefix_end"), F.col("_a.decimals").alias("has_decimal"), box.alias("box"))
+    return own.select(*keys, "line", F.col("_own")[0]["i"].alias("first"), F.element_at("_own", -1)["i"].alias("last"), F.col("_tail").alias("matched"), F.col("_prefix").alias("prefix_end"), F.col("_a.decimals").alias("has_decimal"), box.alias("box"))
 
 
 def apply_retries(words: DataFrame, candidates: DataFrame, *keys: str) -> DataFrame:
