@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.expr import blank_as_null, trimmed
-from tallyforge.functions.text import BANNER, DATE_GROUP, amount_line, no_transaction, strip_field_label
+from tallyforge.functions.text import BANNER, DATE_GROUP, no_transaction, strip_field_label, with_amount_lines
 from tallyforge.operators.ordered import SIZE, in_pieces, running
 
 # How a header's word begins, and the field that it names.
@@ -127,7 +127,7 @@ def group_day(text: Column | str) -> Column:
 def classify_lines(lines: DataFrame, file: str = "file_id", order: str = "line", text: str = "text") -> DataFrame:
     """Lines with `kind`: date, amount (from the first date on), banner, noise or text; and `opened`, whether a date came before."""
     until = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumns({"_day": group_day(text), "_amount": amount_line(text)}).withColumn("opened", F.coalesce(F.max(F.col("_day").isNotNull()).over(until), F.lit(False)))
+    marked = with_amount_lines(lines.withColumn("_day", group_day(text)), text).withColumn("opened", F.coalesce(F.max(F.col("_day").isNotNull()).over(until), F.lit(False)))
     kind = F.when(F.col("_day").isNotNull(), "date").when(trimmed(F.col(text)).rlike(BANNER), "banner").when(F.col("opened") & F.col("_amount").isNotNull(), "amount").when(no_transaction(text), "noise").otherwise("text")
     return marked.withColumn("kind", kind)
 
@@ -148,7 +148,8 @@ def grouped_statement(lines: DataFrame, file: str = "file_id", order: str = "lin
     """
     t = F.coalesce(trimmed(F.col(text)), F.lit(""))
     plain = lines.select(file, order, t.alias("_text")).filter("_text != ''")
-    read = plain.select(file, order, "_text", group_day("_text").alias("_day"), amount_line("_text").alias("_amount"), F.col("_text").rlike(BANNER).alias("_banner")).filter("NOT _banner OR _day IS NOT NULL")
+    plain = plain.withColumn("_day", group_day("_text")).filter(~F.col("_text").rlike(BANNER) | F.col("_day").isNotNull())
+    read = with_amount_lines(plain, "_text")
     pieces = running(in_pieces(read, [file], [order], size), [file], day=("last", F.col("_day"), True))
     is_day = F.col("_day").isNotNull()
     is_amount = ~is_day & F.col("day").isNotNull() & F.col("_amount").isNotNull()

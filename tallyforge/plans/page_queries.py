@@ -86,7 +86,7 @@ SELECT file_id, CASE WHEN s / n > 0.5 THEN 'signed' WHEN m / n > 0.5 THEN 'crdr'
 """)
 def pdf_07_uix_35_sign_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amount lines of four kinds of statements: signed, marked, marked in part, and in two columns."""
-    minus, k = text.amount_line("text")["minor"] < 0, F.col("file_id") % 4
+    minus, k = F.col("_amount.minor") < 0, F.col("file_id") % 4
     mark = F.when(k == 1, F.when(minus, "D").otherwise("C")).when((k == 2) & (F.col("o_orderkey") % 5 == 0), "C")
     x = F.when(F.col("o_orderkey") % 2 == 0, 300.0).otherwise(420.0)
     a = sp.classify_lines(lines(spark, sf_dir)).filter("kind = 'amount'").select("file_id", ((k == 0) & minus).alias("signed"), mark.alias("mark"), x.alias("x"))
@@ -179,7 +179,7 @@ def str_35_udf_01_statement_period(spark: SparkSession, sf_dir: str) -> DataFram
 def pdf_01_04_amount_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as items, joined to text again; those that end with an amount and a currency."""
     split = lines(spark, sf_dir).select("file_id", "line", F.transform(F.split("text", " "), lambda s, i: F.struct((i * 60).cast("double").alias("x"), s.alias("str"))).alias("items"))
-    got = split.select("file_id", "line", text.amount_line(pages.line_text("items"))["currency"].isNotNull().alias("ends"))
+    got = text.with_amount_lines(split, pages.line_text("items")).select("file_id", "line", F.col("_amount.currency").isNotNull().alias("ends"))
     return got.groupBy("file_id").agg(F.count_if("ends").alias("amount_lines"), F.min(F.when(F.col("ends"), F.col("line"))).alias("first_line"))
 
 
