@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.expr import computed
 from tallyforge.functions.text import currency_code_of, is_amount_like, is_currency_code_like, is_date_like
 from tallyforge.operators.bounds import bounded
 
@@ -60,20 +61,21 @@ def suggest_mapping(columns: DataFrame, terms: DataFrame) -> DataFrame:
     last), in a fold over the file's own few candidates.
     """
     h = F.lower(F.trim("header"))
-    known = columns.select("file_id", "column", "values", h.alias("h"))
+    known = columns.select("file_id", "column", "values", h.alias("h"), filled("values").alias("_filled"))
     fields = terms.groupBy("field").agg(F.collect_set("term").alias("terms"))
     each = known.crossJoin(bounded(fields, 1000, "fields"))
     header = F.when(F.array_contains("terms", F.col("h")), 1.0).when(F.exists("terms", lambda t: F.contains(F.col("h"), t)), 0.7).otherwise(0.0)
-    v = F.col("values")
-    shape = (
-        F.when(F.col("field") == "date", share(v, is_date_like)).when(F.col("field").isin(*AMOUNTS), share(v, is_amount_like)).when(F.col("field") == "currency", share(v, is_currency_code_like))
-        .when(F.col("field") == "description", F.when(F.size(filled(v)) > 0, F.when(is_category_column(v), 0.2).otherwise(0.8))).otherwise(F.when(F.size(filled(v)) > 0, 0.8))
-    )
+    v, some, n = F.col("values"), F.col("_filled"), F.size("_filled")
+    passing = lambda test: F.size(F.filter(some, test)) / n
+    shape = F.when(n > 0, (
+        F.when(F.col("field") == "date", passing(is_date_like)).when(F.col("field").isin(*AMOUNTS), passing(is_amount_like)).when(F.col("field") == "currency", passing(is_currency_code_like))
+        .when(F.col("field") == "description", F.when((n >= 4) & (F.size(F.array_distinct(some)) <= 3), 0.2).otherwise(0.8)).otherwise(0.8)
+    ))
     alone = F.lit(None).cast("double")
     for f, w in SHAPE_ONLY.items():
         alone = F.when(F.col("field") == f, F.lit(w)).otherwise(alone)
     sparse = F.col("field").isin("debit", "credit") & is_sparse_coded(v)
-    scored = each.select("file_id", "column", "field", header.alias("header"), F.coalesce(shape, F.lit(0.5)).alias("shape"), alone.alias("alone"), sparse.alias("sparse"))
+    scored = computed(each, "file_id", "column", "field", header=header, shape=F.coalesce(shape, F.lit(0.5)), alone=alone, sparse=sparse)
     confidence = F.when(F.col("header") > 0, F.least(F.lit(1.0), 0.6 * F.col("header") + 0.4 * F.col("shape"))).when((F.col("shape") >= LEAST_SHAPE) & ~F.col("sparse"), F.col("shape") * F.col("alone"))
     some = scored.withColumn("confidence", F.round(confidence, 6)).filter("confidence IS NOT NULL")
     ranked = some.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "column", (F.col("field") == "amount").alias("general"), "field"))).alias("c"))
