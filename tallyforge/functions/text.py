@@ -327,11 +327,10 @@ def first_name(s: Column | str, filename: Column | str, names: list[str]) -> Col
     body = F.concat_ws(" ", F.lower(col(s)), F.regexp_replace(F.lower(col(filename)), "[^a-z0-9]+", " "))
     pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
     flat = pad(F.regexp_replace(body, "[^a-z0-9]+", " "))
-    out = found(col(s), r"\b((?:[A-Z][A-Za-z]+ ){1,3}Bank)\b", 1)
-    for name in reversed(names):
-        plain = re.sub("[^a-z0-9]+", " ", name.lower()).strip()
-        out = F.when(F.contains(flat, F.lit(f" {plain} ")), F.lit(name)).otherwise(out)
-    return out
+    plain = lambda name: re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+    # The flat text is made once and looked through for each name.
+    named = let(flat, lambda f: F.coalesce(F.lit(None).cast("string"), *[F.when(F.contains(f, F.lit(f" {plain(name)} ")), F.lit(name)) for name in names]))
+    return F.coalesce(named, found(col(s), r"\b((?:[A-Z][A-Za-z]+ ){1,3}Bank)\b", 1))
 
 
 def statement_type(s: Column | str) -> Column:

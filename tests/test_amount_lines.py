@@ -41,3 +41,10 @@ def test_suggestions_score_each_value_once(spark):
     got = infer.suggest_mapping(columns, spark.createDataFrame([("date", "date"), ("amount", "amount")], "field string, term string"))
     assert {tuple(r) for r in got.collect()} == {(1, "date", 0, 1.0), (1, "amount", 1, 0.36)}
     assert _times(got, "[A-Za-z]{4}|[/:]") == 1
+
+
+def test_a_name_is_looked_for_in_one_flat_text(spark):
+    df = spark.createDataFrame([("We are Big Bank", "x_green-land.csv"), ("We are Big Bank", "x.csv"), ("Red Land", "green land"), (None, "red_land"), ("none", "x"), (None, None)], "t string, f string")
+    got = df.select(text.first_name("t", "f", ["Green Land", "Red Land"]).alias("n"))
+    assert [r.n for r in got.collect()] == ["Green Land", "Big Bank", "Green Land", "Red Land", None, None]
+    assert _times(got, "[^a-z0-9]+") == 2
