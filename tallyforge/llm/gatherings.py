@@ -7,10 +7,12 @@ differences: with c = (100 - percent) / (100 + percent), sets A and B are as
 similar as asked for if and only if |A xor B| <= c (|A| + |B|). Relative to
 the head H a set is its difference A xor H, and A xor B is the xor of two
 differences; so a linked pair shares at least
-(|A xor H| + |B xor H| - c (|A| + |B|)) / 2 elements of its differences. If A
-isn't linked with H that number is positive, and mostly about half of either
-difference: pairs are joined by the rarest elements of their differences
-alone (a prefix filter), which are the edits that a text has to itself.
+(|A xor H| + |B xor H| - c (|A| + |B|)) / 2 elements of its differences: half
+the sum of the weights |X xor H| - c |X|. So it shares at least the lighter
+one's weight, and one of the lighter one's c |A| + 1 rarest elements: mostly
+edits that a text has to itself. The heavier one asks by its rarest half: A
+that isn't linked with H weighs more than c |H|, which bounds what either
+shares (a prefix filter with two sides).
 Texts that all lie near the head, but not near one another, share none of
 these and cost nothing; no candidate is left out. The head may be any set: a
 gathering is handed over to the largest one that a node of it belongs to, so
@@ -48,28 +50,31 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _many(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidates in large gatherings (head, head_label, node, label): nodes linked with the head, and pairs by the rarest elements of their differences from it."""
-    c = F.lit(100 - percent) / F.lit(100 + percent)
     far = stored(_differences(rows.select("head", "node", "label"), sets), "differences")
-    d, total = F.size("difference"), F.col("n_node") + F.col("n_head")
-    linked = d * (100 + percent) <= total * (100 - percent)
-    shared = (d - c * (F.col("n_node") - F.col("n_head"))) / 2  # of a pair with a node that isn't linked with the head
-    shared_near = (d - c * total) / 2  # of such a node with one that is linked
-    least = lambda x: F.greatest(F.lit(1), F.ceil(x - F.lit(1e-6))).cast("int")
-    sized = far.select("head", "node", "label", linked.alias("linked"), "n_node", d.alias("d"), (d - least(shared) + 1).alias("short"), F.when(linked, d - least(shared) + 1).otherwise(d - least(shared_near) + 1).alias("long"))
+    d, whole = F.size("difference").cast("long"), 100 + percent
+    weight, edge = d * whole - F.col("n_node") * (100 - percent), F.col("n_head") * (100 - percent)
+    linked = weight <= edge
+    # How many of the first places a pair must share one in, if its other node weighs at least so much; it shares half of both weights.
+    first = lambda other: d - F.greatest(F.lit(1), F.ceil((weight + other) / (2 * whole) - F.lit(1e-6))) + 1
+    sized = far.select("head", "node", "label", linked.alias("linked"), weight.alias("weight"), d.alias("d"), first(F.when(linked, edge).otherwise(weight)).alias("held"), first(edge).alias("asked"), first(-edge).alias("asked_near"))
     # Elements that no other difference has come first in the order; they take up places, but need no row.
     each = far.select("head", "node", F.explode("difference").alias("element"))
     often = each.groupBy("head", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     ranked = each.join(often, ["head", "element"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ranked"))
     alone = F.col("d") - F.size("ranked")
-    prefix = sized.join(ranked, ["head", "node"]).select("head", "node", "label", "linked", "n_node", "d", "short", alone.alias("alone"), F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.col("long") - alone, F.lit(0)))).alias("at", "e"))
-    at = F.col("alone") + F.col("at")
-    prefix = stored(prefix.select("head", "node", "label", "linked", "n_node", "d", at.alias("at"), (at < F.col("short")).alias("short"), F.col("e.element").alias("element")), "prefixes")
-    a, b = (prefix.select("head", "element", *(F.col(x).alias(f"{x}_{s}") for x in ("node", "label", "linked", "n_node", "d", "at", "short"))) for s in "ab")
-    needed = (F.col("d_a") + F.col("d_b") - c * (F.col("n_node_a") + F.col("n_node_b"))) / 2 - 1e-6
+    longest = F.when(F.col("linked"), F.col("held")).otherwise(F.col("asked_near"))
+    prefix = sized.join(ranked, ["head", "node"]).select("*", alone.alias("alone"), F.posexplode(F.slice("ranked", F.lit(1), F.greatest(longest - alone, F.lit(0)).cast("int"))).alias("place", "e"))
+    prefix = prefix.withColumns({"element": F.col("e.element"), "at": F.col("alone") + F.col("place")})
+    prefix = stored(prefix.select("head", "node", "label", "linked", "weight", "d", "at", "element", *((F.col("at") < F.col(x)).alias(x) for x in ("held", "asked"))), "prefixes")
+    # The lighter node of a pair is held by its few first places, the heavier one asks by more; linked ones are lighter than all others.
+    side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("node", "label", "weight", "d", "at")]
+    a = prefix.filter("held").select("head", "element", F.col("linked").alias("near"), *side("a"))
+    b = prefix.filter("NOT linked").select("head", "element", F.explode(F.when(F.col("asked"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))).alias("near"), *side("b"))
+    needed = (F.col("weight_a") + F.col("weight_b")) / (2 * whole) - 1e-6
     room = F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
-    roles = F.when(F.col("linked_b"), ~F.col("linked_a")).otherwise(~F.col("linked_a") & F.col("short_a") & F.col("short_b") & (F.col("node_a") < F.col("node_b")))
+    lighter = F.struct("weight_a", "node_a") < F.struct("weight_b", "node_b")
     mine = far.filter(linked).join(rows.select("head", "head_label").distinct(), "head").filter("label != head_label").select(F.greatest("head", "node").alias("a"), F.least("head", "node").alias("b"))
-    found = a.join(b, ["head", "element"]).filter((F.col("label_a") != F.col("label_b")) & roles & (room >= needed))
+    found = a.join(b, ["head", "element", "near"]).filter((F.col("label_a") != F.col("label_b")) & lighter & (room >= needed))
     return found.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).unionByName(mine)
 
 
