@@ -115,14 +115,12 @@ def date_by(raw: Column, date_format: Column) -> Column:
     return out
 
 
-def rows_by_version(records: DataFrame, *keys: str) -> DataFrame:
-    """Records (of `records_by_version`) as rows: the keys, row, date, description_raw, amount, currency, balance, skipped, flags.
+def cells_by_version(records: DataFrame, *keys: str) -> DataFrame:
+    """Records (of `records_by_version`) as what each row says by itself: the keys, row, date, description_raw, amount, currency, balance, skipped, _unknown (a currency that isn't known).
 
     Each cell is parsed once, in a stage of its own, and only where it holds
     text. A line whose date and amount both can't be read, or that begins like a
-    footer and has no date, is `skipped` and not flagged for either. Where
-    `keys` name a `type`, balances are checked for its `pdf` files; other files
-    are what a bank itself exports.
+    footer and has no date, is `skipped`. No rows are exchanged.
     """
     c = F.col("config")
     sources = lambda f: F.coalesce(c["sources"][f], F.array().cast("array<string>"))
@@ -142,8 +140,17 @@ def rows_by_version(records: DataFrame, *keys: str) -> DataFrame:
         F.when(F.col("_pair"), resolve_amount(F.col("_in.minor"), F.col("_out.minor"))).otherwise(signed).alias("amount"), F.col("_code").alias("currency"), F.col("_left.minor").alias("balance"), "_unknown", "_first",
     )
     footer = F.col("date").isNull() & F.coalesce(F.col("_first").rlike(FOOTER_WORDS), F.lit(False))
-    rows = rows.withColumn("skipped", (F.col("date").isNull() & F.col("amount").isNull()) | footer)
-    file = F.struct(*keys)
+    return rows.withColumn("skipped", (F.col("date").isNull() & F.col("amount").isNull()) | footer).drop("_first")
+
+
+def rows_by_version(records: DataFrame, *keys: str) -> DataFrame:
+    """Records (of `records_by_version`) as rows: the keys, row, date, description_raw, amount, currency, balance, skipped, flags.
+
+    Rows are read by `cells_by_version`; skipped ones are not flagged. Where
+    `keys` name a `type`, balances are checked for its `pdf` files; other files
+    are what a bank itself exports.
+    """
+    rows, file = cells_by_version(records, *keys), F.struct(*keys)
     rows = possible_duplicates(rows.withColumns({"_file": file, "account": F.lit(None).cast("string"), "description": F.col("description_raw")}), "_file", "row")
     if "type" in keys:
         pages = F.col("type") == "pdf"
@@ -164,12 +171,11 @@ def file_rows(files: DataFrame, *keys: str) -> DataFrame:
 
 
 def extraction(rows: DataFrame, *keys: str) -> DataFrame:
-    """Per keys: n, kept (not skipped), valid, missing, unparseable, unusable (skipped, or without a date or an amount)."""
+    """Per keys: n, kept (not skipped), valid, missing, unparseable, unusable (skipped, or without a date or an amount). Asks for what each row says by itself, not for flags, so rows are counted where they are read."""
     date, amount, skipped = F.col("date").isNull(), F.col("amount").isNull(), F.col("skipped")
-    has = lambda f: F.count_if(~skipped & F.array_contains("flags", f))
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~skipped).alias("kept"), F.count_if(~skipped & ~date & ~amount).alias("valid"),
-        has("missing_amount").alias("missing"), has("unparseable_date").alias("unparseable"), F.count_if(skipped | date | amount).alias("unusable"),
+        F.count_if(~skipped & amount).alias("missing"), F.count_if(~skipped & date).alias("unparseable"), F.count_if(skipped | date | amount).alias("unusable"),
     )
 
 
@@ -184,7 +190,7 @@ def try_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
     seen = files.select("file_id", "type", "grid", F.coalesce(F.size(lines), F.lit(0)).alias("date_led"))
     keys = ("file_id", "type", "profile_id", "version_id")
     beside = seen.join(candidates.select("file_id", "profile_id", "version_id", "config"), "file_id")
-    told = extraction(file_rows(beside, *keys), "file_id", "profile_id", "version_id")
+    told = extraction(cells_by_version(records_by_version(beside, *keys), *keys), "file_id", "profile_id", "version_id")
     out = candidates.join(seen.drop("grid", "type"), "file_id").join(told, ["file_id", "profile_id", "version_id"], "left").fillna(0, ["n", "kept", "valid", "missing", "unparseable", "unusable"])
     rate = lambda x: F.when(F.col("kept") > 0, F.col(x) / F.col("kept")).otherwise(0.0)
     quality = F.round(extraction_quality(F.col("valid"), F.col("date_led"), rate("missing"), rate("unparseable")), 9)

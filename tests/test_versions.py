@@ -91,3 +91,19 @@ def test_candidates_are_tried(spark):
 def test_pick_among_near_ties(spark, rows, best):
     df = spark.createDataFrame([("f", *r) for r in rows], "file_id string, profile_id string, confidence double, quality double, created string, built_in boolean")
     assert infer.pick_candidate(df).first().profile_id == best
+
+
+def test_candidates_are_counted_where_they_are_read(spark):
+    """Trying asks for dates and amounts alone: no flag that needs a file's rows side by side is worked out for it."""
+    config = versions.config_of(Window(0), Version({"date": ["Date"], "amount": ["Amount"]}, "DD/MM/YYYY", currency="SGD"))
+    saved = versions.saved_versions(spark, [{"profile_id": "p", "config": config}])
+    rows = [["Date", "Amount"], ["13/02/2026", "5.00"], ["13/02/2026", "5.00"], ["x", "6.00"], ["14/02/2026", ""], ["x", "y"], ["Total", "9.00"]]
+    files = spark.createDataFrame([("f", "csv", rows), ("g", "pdf", rows[:3])], "file_id string, type string, grid array<array<string>>")
+    told = files.select("file_id").crossJoin(saved)
+    keys = ("file_id", "type", "profile_id", "version_id")
+    flagged = versions.file_rows(files.join(told, "file_id"), *keys)
+    has = lambda f: F.count_if(~F.col("skipped") & F.array_contains("flags", f))
+    want = {r.file_id: (r.n, r.m, r.u) for r in flagged.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), has("missing_amount").alias("m"), has("unparseable_date").alias("u")).collect()}
+    got = {r.file_id: (r.n, r.missing, r.unparseable) for r in versions.extraction(versions.cells_by_version(versions.records_by_version(files.join(told, "file_id"), *keys), *keys), "file_id").collect()}
+    assert got == want == {"f": (6, 1, 1), "g": (2, 0, 0)}
+    assert "Window" not in versions.try_candidates(files, told)._jdf.queryExecution().optimizedPlan().toString()
