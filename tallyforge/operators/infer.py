@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.expr import computed
 from tallyforge.functions.text import currency_code_of, is_amount_like, is_currency_code_like, is_date_like
-from tallyforge.operators.bounds import bounded
+from tallyforge.operators.bounds import bounded, dealt
 
 AMOUNTS = ("amount", "debit", "credit", "balance")
 # What shape alone is worth where the header says nothing.
@@ -118,6 +118,12 @@ def seed_mapping(saved: DataFrame, columns: DataFrame, suggested: DataFrame) ->
     whose header is gone takes the suggested column, unless a saved one has it.
     """
     norm = lambda c: F.lower(F.trim(c))
-    kept = columns.join(bounded(saved.select("field", norm(F.col("header")).alias("h")), 10_000, "saved fields"), norm(F.col("header")) == F.col("h")).groupBy("file_id", "field").agg(F.min("column").alias("column"))
-    gaps = suggested.select("file_id", "field", "column").join(kept.select("file_id", "field"), ["file_id", "field"], "left_anti").join(kept.select("file_id", "column"), ["file_id", "column"], "left_anti")
-    return kept.unionByName(gaps.select("file_id", "field", "column"))
+    known = bounded(saved.select("field", norm(F.col("header")).alias("h")), 10_000, "saved fields")
+    told = columns.join(known, norm(F.col("header")) == F.col("h")).select("file_id", "field", "column", F.lit(True).alias("told"))
+    both = told.unionByName(suggested.select("file_id", "field", "column", F.lit(False).alias("told")))
+    one = dealt(both, "file_id", suggested.count(), 100_000).groupBy("file_id").agg(F.collect_list(F.struct("told", "field", F.col("column").isNull().alias("none"), "column")).alias("rows"))
+    one = one.withColumn("mine", F.array_sort(F.filter("rows", lambda x: x["told"])))
+    one = one.select("file_id", "rows", F.filter("mine", lambda x, i: (i == 0) | ~x["field"].eqNullSafe(F.get("mine", i - 1)["field"])).alias("kept"))
+    has = lambda name, value: F.coalesce(F.array_contains(F.transform("kept", lambda x: x[name]), value), F.lit(False))
+    free = lambda x: ~x["told"] & (F.col("file_id").isNull() | ~has("field", x["field"]) & ~has("column", x["column"]))
+    return one.select("file_id", F.explode(F.concat("kept", F.filter("rows", free))).alias("p")).select("file_id", "p.field", "p.column")

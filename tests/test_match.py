@@ -26,3 +26,17 @@ def test_bounds_leave_out_no_profile(spark):
         if confidence >= match.THRESHOLD or changed:
             want[r.file_id, r.profile_id] = confidence, changed
     assert 30 < len(want) < len(every) and {k: (v[0] or 0.0, v[1]) for k, v in got.items()} == want
+
+
+def test_seed_mapping_sorts_no_joined_sides(spark):
+    """Repeated headers and suggestions, nulls, and files that one side alone has; rows of a file meet once, in parts of their own."""
+    from tallyforge.operators import infer
+
+    saved = spark.createDataFrame([("date", "Date"), ("amount", " SUM "), ("total", "sum")], "field string, header string")
+    columns = spark.createDataFrame([(1, 3, "date"), (1, None, "DATE"), (1, 2, " Date "), (1, 5, "sum"), (2, 0, None), (3, 0, "date"), (4, None, "date"), (None, 7, "Date")], "file_id int, column int, header string")
+    suggested = spark.createDataFrame([(1, "date", 9), (1, "note", 2), (1, "note", 3), (1, "note", 3), (1, None, 5), (1, None, None), (2, "date", 0), (4, "note", None), (5, "date", 1), (None, "date", 1), (None, "note", 7)], "file_id int, field string, column int")
+    out = infer.seed_mapping(saved, columns, suggested)
+    want = [(1, "date", 2), (1, "amount", 5), (1, "total", 5), (1, "note", 3), (1, "note", 3), (1, None, None), (2, "date", 0), (3, "date", 0), (4, "date", None), (4, "note", None), (5, "date", 1), (None, "date", 7), (None, "date", 1), (None, "note", 7)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
