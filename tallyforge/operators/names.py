@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.bounds import fits
+from tallyforge.operators.bounds import dealt, fits
 
 #: Names that are sent to all tasks at most; more are an error.
 MOST = 200_000
@@ -58,13 +59,8 @@ def _signs(spelt: str) -> str:
     return spelt[: _WORD.search(spelt).start()]
 
 
-def find_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text", name_col: str = "name") -> DataFrame:
-    """Every place of every known name in every whole text: the id, name, start, stop (characters from 0).
-
-    Null texts and names, and names without a word, are found nowhere. Names
-    that agree but for case are told apart and each is found. The tree of names
-    is built once a task; up to MOST names are sent to the tasks.
-    """
+def _looked_through(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, told_of: Callable[[str, dict], list[tuple]], columns: tuple[tuple[str, pa.DataType], ...]) -> DataFrame:
+    """The id and the columns of what `told_of` says of each text that isn't null or empty and the tree of names."""
     known = names.select(F.col(name_col).alias("name")).filter("name IS NOT NULL").distinct()
     if not fits(known, MOST):
         raise ValueError(f"more than {MOST} names")
@@ -77,11 +73,36 @@ def find_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str =
             step = max(1, batch.num_rows * _SLICE // max(1, batch.column(1).nbytes))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                rows = [(i, *p) for i, t in enumerate(part.column(1).to_pylist()) if t for p in places(t, root)]
-                which, *told = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which, pa.int64())), *[pa.array(c, k) for c, k in zip(told, (pa.string(), pa.int32(), pa.int32()), strict=True)]], names=["id", "name", "start", "stop"])
+                rows = [(i, *p) for i, t in enumerate(part.column(1).to_pylist()) if t for p in told_of(t, root)]
+                which, *told = zip(*rows, strict=True) if rows else ((), *[()] * len(columns))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which, pa.int64())), *[pa.array(c, k) for c, (_, k) in zip(told, columns, strict=True)]], names=["id", *(n for n, _ in columns)])
+
+    return texts.select(id_col, text_col).mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} {_SQL[k]}" for n, k in columns)])).withColumnRenamed("id", id_col)
+
+
+_SQL = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long"}
+
+
+def find_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text", name_col: str = "name") -> DataFrame:
+    """Every place of every known name in every whole text: the id, name, start, stop (characters from 0).
+
+    Null texts and names, and names without a word, are found nowhere. Names
+    that agree but for case are told apart and each is found. The tree of names
+    is built once a task; up to MOST names are sent to the tasks.
+    """
+    return _looked_through(texts, names, id_col, text_col, name_col, places, (("name", pa.string()), ("start", pa.int32()), ("stop", pa.int32())))
+
+
+def count_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text", name_col: str = "name") -> DataFrame:
+    """How many places each known name has in each whole text: the id, name, n; as `find_names`, but a text's places are counted where it is read."""
+    counted = lambda t, root: list(Counter(p[0] for p in places(t, root)).items())
+    return _looked_through(texts, names, id_col, text_col, name_col, counted, (("name", pa.string()), ("n", pa.int64())))
+
 
-    return texts.select(id_col, text_col).mapInArrow(run, f"id {kind}, name string, start int, stop int").withColumnRenamed("id", id_col)
+def sum_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text", name_col: str = "name") -> DataFrame:
+    """For each id with a known name in its texts: the id, n_places, n_names (different ones) and least (the first by the alphabet)."""
+    found = dealt(count_names(texts, names, id_col, text_col, name_col), id_col, texts.count(), 2_000)
+    return found.groupBy(id_col).agg(F.sum("n").alias("n_places"), F.countDistinct("name").alias("n_names"), F.min("name").alias("least"))
 
 
 def first_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text", order_col: str = "ord") -> DataFrame:

@@ -71,3 +71,14 @@ def test_fuzzy_phrases_against_all_windows(spark):
         words, n = r.nh.split(" "), len(r.np.split(" "))
         windows = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
         assert bool(r.f) == (r.np in r.nh or (r.o or 0) >= 0.85 or any(abs(len(w) - len(r.np)) <= 4 and distance(w, r.np) <= 2 for w in windows)), (r.p, r.h[-60:])
+
+
+def test_places_are_counted_where_texts_are_read(spark):
+    """Ids that repeat, null ids and texts; no sort or aggregate between the texts and the exchange by id."""
+    known = spark.createDataFrame([("bank",), ("bank of",), ("of",), (None,)], "name string")
+    df = spark.createDataFrame([(1, "Bank of of"), (1, "a bank"), (None, "of"), (None, "bank"), (2, None), (3, ""), (4, "none"), (5, "bank " * 5000)], "id int, text string")
+    out = names.sum_names(df, known, "id")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 5, 3, "bank"), (None, 2, 2, "bank"), (5, 5000, 1, "bank")], key=str)
+    steps = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("\n")
+    below = steps[max(i for i, x in enumerate(steps) if "Exchange hashpartitioning(id" in x) :]
+    assert "REPARTITION_BY_NUM" in below[0] and not any("Aggregate" in x or "Sort" in x for x in below[: next(i for i, x in enumerate(below) if "MapInArrow" in x)])
