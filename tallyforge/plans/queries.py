@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import amounts, dates, text
 from tallyforge.operators import catalogue, export, grid, infer, ledger, match, ordered, pages, review, status
+from tallyforge.operators.bounds import dealt
 from tallyforge.plans.registry import T, query
 from tallyforge.plans.registry import read as _read
 from tallyforge.plans.views import DUCK_RUNNING, SEEN, duck, running, seen, txn
@@ -792,7 +793,8 @@ def join_18_seed_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A saved mapping on tables that have all, or only some, of its headers; suggestions fill what is missing, but for columns that are taken."""
     dated = F.when(F.col("file_id") % 2 == 0, "Ship Date").otherwise("Sent")
     of = lambda *cs: F.inline(F.array(*[F.struct(F.lit(i).alias("column"), (h if isinstance(h, Column) else F.lit(h)).alias("header")) for i, h in cs]))
-    orders_ = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id")).distinct()
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"))
+    orders_ = dealt(lines, "file_id", lines.count(), 100_000).distinct()
     columns = orders_.select("file_id", of((0, dated), (1, "Value"), (2, " comment "), (3, "Posted")))
     saved = spark.createDataFrame([("date", "ship date"), ("description", "Comment"), ("amount", "Amount")], "field string, header string")
     suggested = orders_.select("file_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(c).alias("column")) for f, c in (("amount", 1), ("balance", 2), ("date", 3))])))
