@@ -12,7 +12,12 @@ the sum of the weights |X xor H| - c |X|. So it shares at least the lighter
 one's weight, and one of the lighter one's c |A| + 1 rarest elements: mostly
 edits that a text has to itself. The heavier one asks by its rarest half: A
 that isn't linked with H weighs more than c |H|, which bounds what either
-shares (a prefix filter with two sides).
+shares (a prefix filter with two sides). A node linked with X weighs at least
+|X xor H| - c |X| - 2 c |X| / t, with t the threshold, for X is no farther
+from the head than both are from that node; where the head is far from all,
+this keeps the prefixes as short as under a near one. How many differences
+have an element is put beside it by a join for rare elements alone; common
+ones stand in order beside their head, as one row.
 Texts that all lie near the head, but not near one another, share none of
 these and cost nothing; no candidate is left out. The head may be any set: a
 gathering is handed over to the largest one that a node of it belongs to, so
@@ -32,6 +37,8 @@ from tallyforge.llm.common import slices, stored
 
 #: Gatherings of so many nodes at most are compared pair by pair; that bounds the pairs by as many a node.
 FEW = 64
+#: Elements that more than one in so many differences from a head has are common: at most as many times the mean difference, since all add up.
+COMMON = 8
 
 
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -54,22 +61,31 @@ def _many(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     d, whole = F.size("difference").cast("long"), 100 + percent
     weight, edge = d * whole - F.col("n_node") * (100 - percent), F.col("n_head") * (100 - percent)
     linked = weight <= edge
+    # What a node it is linked with weighs at least: no more lies between it and the head than between both of them and that node.
+    least = weight - F.ceil(F.col("n_node") * (200 * (100 - percent) / percent) + F.lit(1e-6))
     # How many of the first places a pair must share one in, if its other node weighs at least so much; it shares half of both weights.
     first = lambda other: d - F.greatest(F.lit(1), F.ceil((weight + other) / (2 * whole) - F.lit(1e-6))) + 1
-    sized = far.select("head", "node", "label", linked.alias("linked"), weight.alias("weight"), d.alias("d"), first(F.when(linked, edge).otherwise(weight)).alias("held"), first(edge).alias("asked"), first(-edge).alias("asked_near"))
-    # Elements that no other difference has come first in the order; they take up places, but need no row.
+    places = {"held": first(F.when(linked, edge).otherwise(weight)), "asked": first(F.greatest(edge, least)), "asked_near": F.when(least <= edge, first(F.greatest(-edge, least))).otherwise(0)}
+    # Elements that no other difference has come first in the order; they take up places, but need no row. Those of more than one
+    # node in COMMON come last: they stand once beside their head, and a node picks its own out of them, in their order.
     each = far.select("head", "node", F.explode("difference").alias("element"))
-    often = each.groupBy("head", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ranked = each.join(often, ["head", "element"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ranked"))
-    alone = F.col("d") - F.size("ranked")
-    longest = F.when(F.col("linked"), F.col("held")).otherwise(F.col("asked_near"))
-    prefix = sized.join(ranked, ["head", "node"]).select("*", alone.alias("alone"), F.posexplode(F.slice("ranked", F.lit(1), F.greatest(longest - alone, F.lit(0)).cast("int"))).alias("place", "e"))
-    prefix = prefix.withColumns({"element": F.col("e.element"), "at": F.col("alone") + F.col("place")})
-    prefix = stored(prefix.select("head", "node", "label", "linked", "weight", "d", "at", "element", *((F.col("at") < F.col(x)).alias(x) for x in ("held", "asked"))), "prefixes")
+    members = rows.groupBy("head").agg(F.count(F.lit(1)).alias("members"))
+    often = each.groupBy("head", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(members, "head")
+    often = stored(often.select("head", "element", "n", (F.col("n") * COMMON > F.col("members")).alias("common")), "often")
+    in_order = lambda name: F.sort_array(F.collect_list(F.struct("n", "element")))["element"].alias(name)
+    common = often.filter("common").groupBy("head").agg(in_order("common"))
+    rare = each.join(often.filter("NOT common"), ["head", "element"]).groupBy("head", "node").agg(in_order("rare"))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    sized = far.join(common, "head", "left").select("head", "node", "label", linked.alias("linked"), weight.alias("weight"), d.alias("d"), *(x.alias(name) for name, x in places.items()), F.array_intersect(F.coalesce("common", none), "difference").alias("common"))
+    ranked = F.concat(F.coalesce("rare", none), "common")
+    longest = F.when(F.col("linked"), F.col("held")).otherwise(F.greatest("asked", "asked_near"))
+    prefix = sized.join(rare, ["head", "node"], "left").select("*", ranked.alias("ranked")).withColumn("alone", F.col("d") - F.size("ranked"))
+    prefix = prefix.select("*", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(longest - F.col("alone"), F.lit(0)).cast("int"))).alias("place", "element")).withColumn("at", F.col("alone") + F.col("place"))
+    prefix = stored(prefix.select("head", "node", "label", "linked", "weight", "d", "at", "element", *((F.col("at") < F.col(x)).alias(x) for x in places)), "prefixes")
     # The lighter node of a pair is held by its few first places, the heavier one asks by more; linked ones are lighter than all others.
     side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("node", "label", "weight", "d", "at")]
     a = prefix.filter("held").select("head", "element", F.col("linked").alias("near"), *side("a"))
-    b = prefix.filter("NOT linked").select("head", "element", F.explode(F.when(F.col("asked"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))).alias("near"), *side("b"))
+    b = prefix.filter("NOT linked").select("head", "element", F.explode(F.array_compact(F.array(F.when(F.col("asked"), False), F.when(F.col("asked_near"), True)))).alias("near"), *side("b"))
     needed = (F.col("weight_a") + F.col("weight_b")) / (2 * whole) - 1e-6
     room = F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
     lighter = F.struct("weight_a", "node_a") < F.struct("weight_b", "node_b")
