@@ -43,6 +43,26 @@ def parse_date(raw: Column | str, date_format: str, year: Column | int | None =
     return let(trimmed(col(raw)), read)
 
 
+def is_date(raw: Column | str, date_format: str) -> Column:
+    """Whether parse_date reads a day in the text, told from its parts; formats without a year never do."""
+    pattern, y, m, d = _READ[date_format]
+    if not y:
+        return F.lit(False)
+
+    def exists(x: Column) -> Column:
+        leap = (x["y"] % 4 == 0) & ((x["y"] % 100 != 0) | (x["y"] % 400 == 0))
+        longest = F.when(x["m"] == 2, F.when(leap, 29).otherwise(28)).when(x["m"].isin(4, 6, 9, 11), 30).otherwise(31)
+        return F.coalesce(x["m"].between(1, 12) & (x["d"] > 0) & (x["d"] <= longest), F.lit(False))
+
+    def read(s: Column) -> Column:
+        part = lambda g: F.regexp_extract(s, pattern, g)
+        year = F.when(F.length(part(y)) == 2, F.concat(F.lit("20"), part(y))).otherwise(part(y)).try_cast("int")
+        month = F.array_position(F.array(*[F.lit(MONTHS[i : i + 3].lower()) for i in range(0, 36, 3)]), F.lower(part(m))).cast("int") if "MMM" in date_format else part(m).try_cast("int")
+        return F.when(s.rlike(pattern), let(F.struct(year.alias("y"), month.alias("m"), part(d).try_cast("int").alias("d")), exists)).otherwise(False)
+
+    return F.coalesce(let(trimmed(col(raw)), read), F.lit(False))
+
+
 def day_month_order(values: Column | str) -> Column:
     """dayFirst, monthFirst or ambiguous, from numeric dates of which a part exceeds 12."""
     pattern = r"^(\d{1,2})[/.-](\d{1,2})[/.-]"

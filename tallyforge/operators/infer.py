@@ -101,14 +101,20 @@ def pick_candidate(candidates: DataFrame) -> DataFrame:
     first = w.orderBy("rank") if "rank" in candidates.columns else w.orderBy(F.desc("confidence"), "profile_id")
     own = ~F.coalesce("built_in", F.lit(False)) if "built_in" in candidates.columns else F.lit(True)
     near = candidates.withColumns({"_top": F.max("confidence").over(w), "_rank": F.row_number().over(first), "_own": own}).filter(f"_top - confidence <= {MARGIN} + 1e-9 AND _rank <= {MOST}")
-    folded = near.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "profile_id", "quality", "created", "_own"))).alias("c"))
+    folded = near.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "profile_id", "quality", "created", (~F.col("_own")).alias("built_in")))).alias("c"))
+    return folded.select("file_id", best_of(F.col("c")).alias("p")).select("file_id", "p.profile_id")
+
+
+def best_of(tried: Column) -> Column:
+    """The one to use of near-tied candidates in their order (an array of structs with quality, created, built_in), as `pick_candidate` says; null without any."""
 
     def better(acc: Column, x: Column) -> Column:
+        own = lambda y: ~F.coalesce(y["built_in"], F.lit(False))
         newer = F.coalesce(x["created"] > acc["created"], x["created"].isNotNull() & acc["created"].isNull())
-        tied = (F.round(acc["quality"] - x["quality"], 9) <= TIE) & x["_own"] & (~acc["_own"] | newer)
+        tied = (F.round(acc["quality"] - x["quality"], 9) <= TIE) & own(x) & (~own(acc) | newer)
         return F.when((x["quality"] > acc["quality"]) | tied, x).otherwise(acc)
 
-    return folded.select("file_id", F.aggregate(F.slice("c", 2, MOST), F.col("c")[0], better).alias("p")).select("file_id", "p.profile_id")
+    return F.aggregate(F.slice(tried, 2, MOST), F.get(tried, 0), better)
 
 
 def seed_mapping(saved: DataFrame, columns: DataFrame, suggested: DataFrame) -> DataFrame:

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions.amounts import resolve_amount, with_amounts
-from tallyforge.functions.dates import INPUT_FORMATS, parse_date
-from tallyforge.functions.expr import blank_as_null, let, trimmed
+from tallyforge.functions.amounts import is_amount, resolve_amount, with_amounts
+from tallyforge.functions.dates import INPUT_FORMATS, is_date, parse_date
+from tallyforge.functions.expr import blank_as_null, computed, let, trimmed
 from tallyforge.functions.patterns import fault
 from tallyforge.functions.text import detect_currency, looks_like_transaction
 from tallyforge.operators.grid import FOOTER_WORDS
 from tallyforge.operators.grid import Window as GridWindow
-from tallyforge.operators.infer import pick_candidate
+from tallyforge.operators.infer import best_of
 from tallyforge.operators.ledger import extraction_quality, possible_duplicates, tag_balance_mismatches
 from tallyforge.operators.normalise import Version
 
@@ -54,16 +54,40 @@ def saved_versions(spark: SparkSession, versions: list[dict]) -> DataFrame:
 # --- grids to records -------------------------------------------------------
 
 
+def _by_type(rules: Column) -> Column:
+    """Rules as struct(starts, holds, patterns), told apart once for all rows; other types match nothing."""
+    of = lambda kind, value: F.transform(F.filter(F.coalesce(rules, F.array().cast(_RULES)), lambda r: r["type"] == kind), lambda r: value(r["value"]))
+    return F.struct(of("startsWith", F.lower).alias("starts"), of("contains", F.lower).alias("holds"), of("regex", lambda v: F.concat(F.lit("(?i)"), v)).alias("patterns"))
+
+
 def row_matches(cells: Column, rules: Column) -> Column:
-    """Whether a row meets any of the rules in a column, as `grid.row_matches` tells for one."""
+    """Whether a row meets any of the rules (`_by_type`), as `grid.row_matches` tells for one. Each text is made once, if a rule asks for it."""
     joined = F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " ")
     first = F.lower(F.trim(F.coalesce(F.try_element_at(cells, F.lit(1)), F.lit(""))))
 
-    def hit(r: Column) -> Column:
-        value = F.lower(r["value"])
-        return F.when(r["type"] == "startsWith", first.startswith(value)).when(r["type"] == "contains", F.contains(F.lower(joined), value)).when(r["type"] == "regex", F.rlike(joined, F.concat(F.lit("(?i)"), r["value"]))).otherwise(False)
+    def some(values: Column, text: Column, hit) -> Column:
+        return F.coalesce(F.when(F.size(values) > 0, let(text, lambda t: F.exists(values, lambda v: hit(t, v)))), F.lit(False))
+
+    return some(rules["starts"], first, lambda t, v: t.startswith(v)) | some(rules["holds"], F.lower(joined), F.contains) | some(rules["patterns"], joined, F.rlike)
+
+
+def windowed(grid: Column, c: Column) -> Column:
+    """What a version (or a struct with its window) leaves of a grid: struct(columns: array of h and i, rows: array of row and cells), resolved inside the file's array."""
+    empty = F.array().cast("array<string>")
+    head = F.coalesce(c["header_row"], F.lit(0))
+    start = F.when(c["first_row"].isNotNull(), F.greatest(c["first_row"], head + 1)).otherwise(F.greatest(head + 1, F.coalesce(c["skip_before"], F.lit(0))))
+    last = F.least(F.coalesce(c["last_row"], F.size(grid) - 1), F.size(grid) - 1)
+    names = F.transform(F.coalesce(F.get(grid, head), empty), lambda h: F.trim(F.coalesce(h, F.lit(""))))
+    kept = F.filter(F.transform(names, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: ~F.array_contains(F.coalesce(c["excluded"], F.array().cast("array<int>")), x["i"]))
+    columns = let(kept, lambda k: F.filter(k, lambda x: ~F.exists(k, lambda y: (y["h"] == x["h"]) & (y["i"] > x["i"]))))
+    placed = F.transform(grid, lambda x, i: F.struct(i.alias("row"), x.alias("cells")))
+    body = let(F.struct(start.alias("start"), last.alias("last")), lambda at: F.filter(placed, lambda r: (r["row"] >= at["start"]) & (r["row"] <= at["last"]) & F.exists(r["cells"], lambda x: F.trim(x) != "")))
+
+    def alive(rows: Column) -> Column:
+        end = let(_by_type(c["footers"]), lambda rules: F.try_element_at(F.filter(rows, lambda r: row_matches(r["cells"], rules)), F.lit(1))["row"])
+        return let(F.struct(end.alias("end"), _by_type(c["ignored"]).alias("rules")), lambda at: F.filter(rows, lambda r: (at["end"].isNull() | (r["row"] < at["end"])) & ~row_matches(r["cells"], at["rules"])))
 
-    return F.coalesce(F.exists(rules, hit), F.lit(False))
+    return F.struct(columns.alias("columns"), let(body, alive).alias("rows"))
 
 
 def records_by_version(files: DataFrame, *keys: str) -> DataFrame:
@@ -74,21 +98,8 @@ def records_by_version(files: DataFrame, *keys: str) -> DataFrame:
     `grid.apply_window`; a file without a grid, or with a broken version, gives
     none. Everything is resolved inside a file's array: no rows are exchanged.
     """
-    c, empty = F.col("config"), F.array().cast("array<string>")
-    head = F.coalesce(c["header_row"], F.lit(0))
-    start = F.when(c["first_row"].isNotNull(), F.greatest(c["first_row"], head + 1)).otherwise(F.greatest(head + 1, F.coalesce(c["skip_before"], F.lit(0))))
-    last = F.least(F.coalesce(c["last_row"], F.size("grid") - 1), F.size("grid") - 1)
-    names = F.transform(F.coalesce(F.get("grid", head), empty), lambda h: F.trim(F.coalesce(h, F.lit(""))))
-    kept = F.filter(F.transform(names, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: ~F.array_contains(F.coalesce(c["excluded"], F.array().cast("array<int>")), x["i"]))
-    staged = files.filter(~F.coalesce(c["broken"], F.lit(False)) & F.col("grid").isNotNull()).select(*keys, "config", "grid", start.alias("_start"), last.alias("_last"), kept.alias("_kept"))
-    columns = F.filter("_kept", lambda x: ~F.exists("_kept", lambda y: (y["h"] == x["h"]) & (y["i"] > x["i"])))
-    placed = F.transform("grid", lambda x, i: F.struct(i.alias("row"), x.alias("cells")))
-    body = F.filter(placed, lambda r: (r["row"] >= F.col("_start")) & (r["row"] <= F.col("_last")) & F.exists(r["cells"], lambda x: F.trim(x) != ""))
-    staged = staged.select(*keys, "config", columns.alias("_columns"), body.alias("_body"))
-    ends = F.filter("_body", lambda r: row_matches(r["cells"], c["footers"]))
-    staged = staged.withColumn("_end", F.array_min(F.transform(ends, lambda r: r["row"])))
-    alive = F.filter("_body", lambda r: (F.col("_end").isNull() | (r["row"] < F.col("_end"))) & ~row_matches(r["cells"], c["ignored"]))
-    each = staged.select(*keys, "config", "_columns", F.explode(alive).alias("r"))
+    staged = computed(files.filter(~F.coalesce(F.col("config.broken"), F.lit(False)) & F.col("grid").isNotNull()), *keys, "config", _w=windowed(F.col("grid"), F.col("config")))
+    each = staged.select(*keys, "config", F.col("_w.columns").alias("_columns"), F.explode("_w.rows").alias("r"))
     record = F.map_from_entries(F.transform("_columns", lambda x: F.struct(x["h"], F.coalesce(F.get(F.col("r.cells"), x["i"]), F.lit("")))))
     return each.select(*keys, F.col("r.row").alias("row"), record.alias("record"), "config", F.col("r.cells").alias("cells"))
 
@@ -171,7 +182,7 @@ def file_rows(files: DataFrame, *keys: str) -> DataFrame:
 
 
 def extraction(rows: DataFrame, *keys: str) -> DataFrame:
-    """Per keys: n, kept (not skipped), valid, missing, unparseable, unusable (skipped, or without a date or an amount). Asks for what each row says by itself, not for flags, so rows are counted where they are read."""
+    """Per keys: n, kept (not skipped), valid, missing, unparseable, unusable (skipped, or without a date or an amount), of rows that are read anyway; `counted` tells the same of a file alone."""
     date, amount, skipped = F.col("date").isNull(), F.col("amount").isNull(), F.col("skipped")
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~skipped).alias("kept"), F.count_if(~skipped & ~date & ~amount).alias("valid"),
@@ -179,30 +190,93 @@ def extraction(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def try_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each candidate (file_id, profile_id, version_id, config and more) with what it reads of its file: `quality` and `failed` beside its columns.
+_WINDOW = ("broken", "header_row", "first_row", "last_row", "skip_before", "excluded", "footers", "ignored")
+
+
+def _window_of(c: Column) -> Column:
+    return F.struct(*[c[k].alias(k) for k in _WINDOW])
+
+
+def _way_of(c: Column) -> Column:
+    """All of a version that decides whether a line has a date and an amount: currency, sign, texts and balances don't."""
+    return F.struct(_window_of(c).alias("window"), c["date_format"].alias("date_format"), c["number_format"].alias("number_format"), *[F.coalesce(c["sources"][f], F.array().cast("array<string>")).alias(f) for f in ("date", "amount", "debit", "credit")])
 
-    `files` has file_id, type and grid. The lines of a file that look like
-    transactions are counted once, whatever the candidates. A version that
-    reads nothing, or no date or amount in more than half of its rows, fails.
+
+def _laid(w: Column) -> Column:
+    """A window on the file's grid; nothing of it where there is none, or the version is broken."""
+    nothing = F.struct(F.array().cast("array<struct<h: string, i: int>>").alias("columns"), F.array().cast("array<struct<row: int, cells: array<string>>>").alias("rows"))
+    return F.when(F.coalesce(w["broken"], F.lit(False)) | F.col("grid").isNull(), nothing).otherwise(windowed(F.col("grid"), w))
+
+
+def _places(way: Column, f: str, laid: Column) -> Column:
+    """Where the columns of a field's sources stand; sources that the file lacks are left out."""
+    return F.array_compact(F.transform(way[f], lambda name: F.array_max(F.transform(F.filter(laid["columns"], lambda x: x["h"] == name), lambda x: x["i"])))).alias(f)
+
+
+def _text(cells: Column, places: Column) -> Column:
+    return F.array_join(F.filter(F.transform(places, lambda i: F.coalesce(F.get(cells, i), F.lit(""))), lambda x: x != ""), " ")
+
+
+def _line(way: Column, x: Column) -> Column:
+    """What a line is to `extraction`: valid, missing (an amount), unparseable (a date), or skipped."""
+    dated, paid = F.coalesce(*[F.when(way["date_format"] == f, is_date(x["date"], f)) for f in INPUT_FORMATS], F.lit(False)), is_amount(x["one"], way["number_format"]) | is_amount(x["other"], way["number_format"])
+    first = F.try_element_at(F.filter(F.transform(x["cells"], lambda c: trimmed(c)), lambda c: c != ""), F.lit(1))
+    footer = F.coalesce(first.rlike(FOOTER_WORDS), F.lit(False))
+    return F.when(dated, F.when(paid, "valid").otherwise("missing")).when(paid & ~footer, "unparseable").otherwise("skipped")
+
+
+def _judged(lines: Column) -> Column:
+    """struct(quality, failed, n_rows, kept) of a file's lines as one way reads them."""
+    of = lambda k: F.size(F.filter(lines, lambda x: x == k)).cast("long").alias(k)
+
+    def told(t: Column) -> Column:
+        kept = t["valid"] + t["missing"] + t["unparseable"]
+        rate = lambda x: F.when(kept > 0, t[x] / kept).otherwise(0.0)
+        quality = F.round(extraction_quality(t["valid"], F.col("_date_led"), rate("missing"), rate("unparseable")), 9)
+        return F.struct(quality.alias("quality"), ((t["n"] == 0) | ((t["n"] - t["valid"]) * 2 > t["n"])).alias("failed"), t["n"].alias("n_rows"), kept.alias("kept"))
+
+    return let(F.struct(F.size(lines).cast("long").alias("n"), *[of(k) for k in ("valid", "missing", "unparseable")]), told)
+
+
+def _with_tried(beside: DataFrame, candidates: str, name: str) -> DataFrame:
+    """Files (of `_beside`) with a further column `name`: for each of the candidates in a column, in their order, what `_judged` says of it.
+
+    A window is laid on the grid once for all candidates that have it, and each
+    way of reading is followed once: versions that differ in other things read
+    the same lines. Every step is a stage of its own, so that none is nested deep.
     """
+    at = lambda some, one: F.get(some, F.array_position(F.transform(some, lambda x: x["of"]), one).cast("int") - 1)["is"]
+    put = lambda df, **made: computed(df, *df.columns, **made)
+    out = put(beside, _each=F.transform(candidates, lambda x: _way_of(x["config"])))
+    out = put(put(out, _ways=F.array_distinct("_each")), _windows=F.array_distinct(F.transform("_ways", lambda r: r["window"])))
+    out = put(out, _grids=F.transform("_windows", lambda w: F.struct(w.alias("of"), _laid(w).alias("is"))))
+    out = put(out, _own=F.transform("_ways", lambda r: at(F.col("_grids"), r["window"])))
+    pair = lambda r: (F.size(r["debit"]) > 0) | (F.size(r["credit"]) > 0)
+    out = put(out, _places=F.zip_with("_ways", "_own", lambda r, g: F.struct(pair(r).alias("pair"), *[_places(r, f, g) for f in ("date", "amount", "debit", "credit")])))
+    money = lambda r, p: (_text(r["cells"], F.when(p["pair"], p["credit"]).otherwise(p["amount"])).alias("one"), F.when(p["pair"], _text(r["cells"], p["debit"])).otherwise("").alias("other"))
+    out = put(out, _texts=F.zip_with("_own", "_places", lambda g, p: F.transform(g["rows"], lambda r: F.struct(_text(r["cells"], p["date"]).alias("date"), *money(r, p), r["cells"].alias("cells")))))
+    out = put(out, _lines=F.zip_with("_ways", "_texts", lambda r, t: F.transform(t, lambda x: _line(r, x))))
+    out = put(out, _told=F.zip_with("_ways", F.transform("_lines", _judged), lambda r, t: F.struct(r.alias("of"), t.alias("is"))))
+    return computed(out, *beside.columns, **{name: F.transform("_each", lambda r: at(F.col("_told"), r))})
+
+
+def _beside(files: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Files that have candidates, each a row: the file's columns, _date_led (its lines that look like transactions, whatever the candidates), _c (its candidates without file_id)."""
+    own = candidates.groupBy("file_id").agg(F.collect_list(F.struct(*[c for c in candidates.columns if c != "file_id"])).alias("_c"))
     lines = F.filter("grid", lambda r: looks_like_transaction(F.array_join(r, " ")))
-    seen = files.select("file_id", "type", "grid", F.coalesce(F.size(lines), F.lit(0)).alias("date_led"))
-    keys = ("file_id", "type", "profile_id", "version_id")
-    beside = seen.join(candidates.select("file_id", "profile_id", "version_id", "config"), "file_id")
-    told = extraction(cells_by_version(records_by_version(beside, *keys), *keys), "file_id", "profile_id", "version_id")
-    out = candidates.join(seen.drop("grid", "type"), "file_id").join(told, ["file_id", "profile_id", "version_id"], "left").fillna(0, ["n", "kept", "valid", "missing", "unparseable", "unusable"])
-    rate = lambda x: F.when(F.col("kept") > 0, F.col(x) / F.col("kept")).otherwise(0.0)
-    quality = F.round(extraction_quality(F.col("valid"), F.col("date_led"), rate("missing"), rate("unparseable")), 9)
-    return out.select(*candidates.columns, quality.alias("quality"), ((F.col("n") == 0) | (F.col("unusable") * 2 > F.col("n"))).alias("failed"), F.col("n").alias("n_rows"), "kept")
+    return computed(files.join(own, "file_id"), *files.columns, "_c", _date_led=F.coalesce(F.size(lines), F.lit(0)))
 
 
-def near_tied(candidates: DataFrame) -> Column:
-    """Whether a candidate is among the first MOST within MARGIN of its file's surest."""
-    from pyspark.sql import Window
+def try_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Each candidate (file_id, profile_id, version_id, config and more) with what it reads of its file: `quality` and `failed` beside its columns.
 
-    w = Window.partitionBy("file_id")
-    return (F.max("confidence").over(w) - F.col("confidence") <= MARGIN + 1e-9) & (F.row_number().over(w.orderBy("rank")) <= MOST)
+    `files` has file_id and grid. A file's candidates are tried beside its grid,
+    and only counts leave it. A version that reads nothing, or no date or amount
+    in more than half of its rows, fails.
+    """
+    tried = _with_tried(_beside(files.select("file_id", "grid"), candidates), "_c", "_t")
+    told = tried.select("file_id", F.inline(F.zip_with("_c", "_t", lambda c, t: F.struct(c.alias("c"), t.alias("t")))))
+    return told.select(*["file_id" if c == "file_id" else f"c.{c}" for c in candidates.columns], "t.quality", "t.failed", "t.n_rows", "t.kept")
 
 
 def apply_matches(files: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -210,29 +284,34 @@ def apply_matches(files: DataFrame, candidates: DataFrame) -> DataFrame:
 
     `candidates` has file_id, profile_id, version_id, confidence, rank,
     built_in, created and config; `files` has file_id, type, grid and may have
-    `ocr`. The near-tied ones are tried and the best is picked
-    (`infer.pick_candidate`). If it fails, the others follow in the order of
-    their ranks, but for those that failed already; the first that doesn't fail
-    is used. Only files that come so far have their further candidates read.
-    `state` is applied, matchFailed, or ocrFailed (a recognised file of which
-    the last one tried reads no row at all); the version of a failed file is
-    the last one tried.
+    `ocr`. The near-tied ones (among the first MOST within MARGIN of the file's
+    surest) are tried and the best is picked (`infer.best_of`). If it fails, the
+    others follow in the order of their ranks, but for those that failed
+    already; the first that doesn't fail is used. Only files that come so far
+    have their further candidates read. `state` is applied, matchFailed, or
+    ocrFailed (a recognised file of which the last one tried reads no row at
+    all); the version of a failed file is the last one tried. All of it happens
+    beside the file's grid, so a file is read once.
     """
-    ranked = candidates.withColumn("_near", near_tied(candidates))
-    first = try_candidates(files, ranked.filter("_near"))
-    picked = pick_candidate(first).withColumn("_picked", F.lit(True))
-    first = first.join(picked, ["file_id", "profile_id"], "left").withColumn("_picked", F.coalesce("_picked", F.lit(False)))
-    lost = first.filter("_picked AND failed").select("file_id")
-    rest = try_candidates(files, ranked.filter("NOT _near").join(lost, "file_id", "left_semi")).withColumn("_picked", F.lit(False))
+    fields = ("rank", "profile_id", "version_id", "confidence", "built_in", "created", "config")
+    recognised = F.coalesce("ocr", F.lit(False)) if "ocr" in files.columns else F.lit(False)
+    beside = _beside(files.select("file_id", "grid", recognised.alias("_ocr")), candidates.select("file_id", *fields))
+    keep = ("file_id", "_ocr", "grid", "_date_led")
+    by_rank = lambda some: F.array_sort(some, lambda x, y: F.when(x["rank"] < y["rank"], -1).when(x["rank"] > y["rank"], 1).otherwise(0))
+    ranked = computed(beside, *keep, _c=by_rank("_c"), _surest=F.array_max(F.transform("_c", lambda x: x["confidence"])))
+    near = lambda x, i: (F.col("_surest") - x["confidence"] <= MARGIN + 1e-9) & (i < MOST)
+    split = computed(ranked, *keep, _near=F.filter("_c", near), _rest=F.filter("_c", lambda x, i: ~near(x, i))).filter(F.size("_near") > 0)
+    told = lambda some, tried: F.zip_with(some, tried, lambda x, t: F.struct(*[x[f].alias(f) for f in fields], *[t[f].alias(f) for f in ("quality", "failed", "n_rows")]))
+    first = computed(_with_tried(split, "_near", "_t"), *keep, "_rest", _first=told("_near", "_t"))
+    picked = computed(first, *keep, "_rest", "_first", _picked=best_of(F.col("_first")))
+    lost = computed(picked, *keep, "_first", "_picked", _rest=F.when(F.col("_picked.failed"), F.col("_rest")).otherwise(F.filter("_rest", lambda x: F.lit(False))))
+    both = computed(_with_tried(lost, "_rest", "_t"), "file_id", "_ocr", "_first", "_picked", _more=told("_rest", "_t"))
     # Tried in order: the picked one, then by rank; a near-tied one that failed is passed over.
-    tried = first.unionByName(rest).filter("_picked OR NOT _near OR NOT failed")
-    step = F.struct((~F.col("_picked")).alias("later"), "rank")
-    one = F.struct("profile_id", "version_id", "config", "quality", "failed", "n_rows", "_picked")
-    best = tried.groupBy("file_id").agg(F.min_by(F.when(~F.col("failed"), one), F.when(~F.col("failed"), step)).alias("good"), F.max_by(one, step).alias("last"))
-    told = best.select("file_id", F.coalesce("good", "last").alias("v"), F.col("good").isNotNull().alias("ok"))
-    ocr = files.select("file_id", (F.coalesce("ocr", F.lit(False)) if "ocr" in files.columns else F.lit(False)).alias("_ocr"))
-    state = F.when(F.col("ok"), "applied").when(F.col("_ocr") & (F.col("v.n_rows") == 0), "ocrFailed").otherwise("matchFailed")
-    return told.join(ocr, "file_id").select("file_id", "v.profile_id", "v.version_id", "v.config", "v.quality", (~F.col("v._picked")).alias("fell_back"), state.alias("state"))
+    good = F.when(F.col("_picked.failed"), F.try_element_at(by_rank(F.filter(F.concat("_first", "_more"), lambda x: ~x["failed"])), F.lit(1)))
+    then = computed(both, "file_id", "_ocr", "_picked", _good=good, _last=F.try_element_at("_more", F.lit(-1)))
+    used = computed(then, "file_id", "_ocr", _v=F.coalesce("_good", "_last", "_picked"), _back=F.coalesce("_good", "_last").isNotNull())
+    state = F.when(~F.col("_v.failed"), "applied").when(F.col("_ocr") & (F.col("_v.n_rows") == 0), "ocrFailed").otherwise("matchFailed")
+    return used.select("file_id", "_v.profile_id", "_v.version_id", "_v.config", "_v.quality", F.col("_back").alias("fell_back"), state.alias("state"))
 
 
 def use_chosen(files: DataFrame, choices: DataFrame, versions: DataFrame) -> DataFrame:

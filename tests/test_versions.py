@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions.amounts import EU, US, is_amount, parse_amount
+from tallyforge.functions.dates import INPUT_FORMATS, is_date, parse_date
 from tallyforge.operators import grid, infer, normalise, versions
 from tallyforge.operators.grid import Rule, Window
 from tallyforge.operators.normalise import Transform, Version
@@ -107,3 +109,47 @@ def test_candidates_are_counted_where_they_are_read(spark):
     got = {r.file_id: (r.n, r.missing, r.unparseable) for r in versions.extraction(versions.cells_by_version(versions.records_by_version(files.join(told, "file_id"), *keys), *keys), "file_id").collect()}
     assert got == want == {"f": (6, 1, 1), "g": (2, 0, 0)}
     assert "Window" not in versions.try_candidates(files, told)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_read_once_for_all_their_candidates(spark):
+    """One plan holds the files once, whatever becomes of the picked candidate, and asks for no window."""
+    config = versions.config_of(Window(0), Version({"date": ["Date"], "amount": ["Amount"]}, "DD/MM/YYYY"))
+    saved = versions.saved_versions(spark, [{"profile_id": "p", "config": config}])
+    files = spark.createDataFrame([("f", "csv", [["Date", "Amount"]])], "file_id string, type string, grid array<array<string>>").withColumn("grid", F.reverse(F.reverse("grid")))
+    told = spark.createDataFrame([("f", "p", 0.9, 1)], "file_id string, profile_id string, confidence double, rank int").join(saved, "profile_id")
+    for made in (versions.try_candidates(files, told), versions.apply_matches(files, told)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("reverse(reverse(") == 1
+        assert "Window" not in plan
+
+
+def test_candidates_read_as_rows_do(spark):
+    """Lines told from their shapes, each way of reading once, count as the rows of each version do."""
+    sources = {"date": ["Date"], "description_raw": ["What"], "amount": ["Amount"]}
+    made = [
+        Version(sources, "DD/MM/YYYY", "1,234.56", "signed", "SGD"), Version(sources, "DD/MM/YYYY", "1,234.56", "positiveIsOut", "JPY"), Version(sources, "MM/DD/YYYY", None), Version({**sources, "date": ["Gone", "Date"]}, "DD/MM/YYYY"),
+        Version({"date": ["Date"], "debit": ["Amount"], "credit": ["What"]}, "DD/MM/YYYY", "1.234,56"), Version({"date": ["Date"], "credit": ["What", "Amount"], "amount": ["Amount"]}, "MM/DD/YYYY"), Version({}, "no such format"), Version(sources, "DD MMM"),
+    ]
+    rows = [*GRID[:-2], ["31/04/2026", "Odd", "1"], ["29/02/2024", "Odd", "x"], ["", "", "5"], [None, "Balance", "5"], ["1/13/26", None, "S$ 5.00-"], ["05/02/2026"], *GRID[-2:]]
+    configs = [versions.config_of(w, v) for w in (*WINDOWS, Window(1, footers=(Rule("regex", "(("),))) for v in made]
+    saved = versions.saved_versions(spark, [{"profile_id": str(i), "config": c} for i, c in enumerate(configs)])
+    files = spark.createDataFrame([("f", "csv", rows), ("empty", "csv", []), ("null", "csv", None)], "file_id string, type string, grid array<array<string>>")
+    told = files.select("file_id").crossJoin(saved)
+    keys = ("file_id", "profile_id")
+    want = {(r.file_id, r.profile_id): r for r in versions.extraction(versions.cells_by_version(versions.records_by_version(files.join(told, "file_id"), *keys), *keys), *keys).collect()}
+    led = 6  # lines that look like transactions
+    for r in versions.try_candidates(files, told).collect():
+        w = want.get((r.file_id, r.profile_id))
+        rate = lambda x: x / w.kept if w.kept else 0.0
+        assert (r.n_rows, r.kept, r.failed) == ((w.n, w.kept, w.unusable * 2 > w.n) if w else (0, 0, True))
+        assert r.quality == pytest.approx(w.valid / led - 0.5 * rate(w.missing) - 0.5 * rate(w.unparseable) if w else 0.0, abs=1e-8)
+    assert len(want) > 50 and len({(w.n, w.valid, w.missing, w.unparseable) for w in want.values()}) > 10
+
+
+def test_dates_and_amounts_are_told_as_they_are_read(spark):
+    dates = ["29/02/2024", "29/02/2023", "29-2-1900", "31.4.24", "00/01/2024", "12/13/2024", "1/2/0000", "2024-02-30", "2024/2/29", "1 Jan, 24", "31 june 2024", "3 anF 2024", "30 FEBRUARY 2024", "12 Jan", "1/2", "", " 01/02/2024\n", "x", None]
+    told = spark.createDataFrame([(x,) for x in dates], "s string").select("s", *[F.struct(parse_date("s", f).isNotNull().alias("read"), is_date("s", f).alias("told")).alias(f"f{i}") for i, f in enumerate(INPUT_FORMATS)])
+    assert all(x.read == x.told for r in told.collect() for x in r[1:])
+    amounts = ["1,234.56", "1.234,56", "-5", "5-", "(5)", "S$5", "usd 5 DR", "1 234", "1,2d", "1e5,2", "1.2.3", ",5", "5.", "-", "x", "", "5 x", "٣", " 7\n", None]
+    told = spark.createDataFrame([(x,) for x in amounts], "s string").select("s", *[F.struct(parse_amount("s", c, f).isNotNull().alias("read"), is_amount("s", f).alias("told")).alias(f"f{i}{c}") for i, f in enumerate((None, US, EU)) for c in (None, "JPY")])
+    assert all(x.read == x.told for r in told.collect() for x in r[1:])
