@@ -205,7 +205,7 @@ def _way_of(c: Column) -> Column:
 def _laid(w: Column) -> Column:
     """A window on the file's grid; nothing of it where there is none, or the version is broken."""
     nothing = F.struct(F.array().cast("array<struct<h: string, i: int>>").alias("columns"), F.array().cast("array<struct<row: int, cells: array<string>>>").alias("rows"))
-    return F.when(F.coalesce(w["broken"], F.lit(False)) | F.col("grid").isNull(), nothing).otherwise(windowed(F.col("grid"), w))
+    return let(w, lambda w: F.when(F.coalesce(w["broken"], F.lit(False)) | F.col("grid").isNull(), nothing).otherwise(windowed(F.col("grid"), w)))
 
 
 def _places(way: Column, f: str, laid: Column) -> Column:
@@ -218,24 +218,23 @@ def _text(cells: Column, places: Column) -> Column:
 
 
 def _line(way: Column, x: Column) -> Column:
-    """What a line is to `extraction`: valid, missing (an amount), unparseable (a date), or skipped."""
+    """What a line is to `extraction`, as a letter: v (valid), m (missing amount), u (unparseable date), or s (skipped)."""
     dated, paid = F.coalesce(*[F.when(way["date_format"] == f, is_date(x["date"], f)) for f in INPUT_FORMATS], F.lit(False)), is_amount(x["one"], way["number_format"]) | is_amount(x["other"], way["number_format"])
-    first = F.try_element_at(F.filter(F.transform(x["cells"], lambda c: trimmed(c)), lambda c: c != ""), F.lit(1))
+    first = trimmed(F.try_element_at(F.filter(x["cells"], lambda c: c.rlike(r"(?U)\S")), F.lit(1)))
     footer = F.coalesce(first.rlike(FOOTER_WORDS), F.lit(False))
-    return F.when(dated, F.when(paid, "valid").otherwise("missing")).when(paid & ~footer, "unparseable").otherwise("skipped")
+    return F.when(dated, F.when(paid, "v").otherwise("m")).when(paid & ~footer, "u").otherwise("s")
 
 
 def _judged(lines: Column) -> Column:
-    """struct(quality, failed, n_rows, kept) of a file's lines as one way reads them."""
-    of = lambda k: F.size(F.filter(lines, lambda x: x == k)).cast("long").alias(k)
+    """struct(quality, failed, n_rows, kept) of a file's lines as one way reads them: a letter each."""
+    of = lambda k: F.length(lines) - F.length(F.replace(lines, F.lit(k), F.lit("")))
 
     def told(t: Column) -> Column:
-        kept = t["valid"] + t["missing"] + t["unparseable"]
-        rate = lambda x: F.when(kept > 0, t[x] / kept).otherwise(0.0)
-        quality = F.round(extraction_quality(t["valid"], F.col("_date_led"), rate("missing"), rate("unparseable")), 9)
-        return F.struct(quality.alias("quality"), ((t["n"] == 0) | ((t["n"] - t["valid"]) * 2 > t["n"])).alias("failed"), t["n"].alias("n_rows"), kept.alias("kept"))
+        rate = lambda x: F.when(t["kept"] > 0, t[x] / t["kept"]).otherwise(0.0)
+        quality = F.round(extraction_quality(t["v"], F.col("_date_led"), rate("m"), rate("u")), 9)
+        return F.struct(quality.alias("quality"), ((t["n"] == 0) | ((t["n"] - t["v"]) * 2 > t["n"])).alias("failed"), t["n"].cast("long").alias("n_rows"), t["kept"].cast("long").alias("kept"))
 
-    return let(F.struct(F.size(lines).cast("long").alias("n"), *[of(k) for k in ("valid", "missing", "unparseable")]), told)
+    return let(F.struct(*[of(k).alias(k) for k in ("v", "m", "u")], F.length(lines).alias("n"), (F.length(lines) - of("s")).alias("kept")), told)
 
 
 def _with_tried(beside: DataFrame, candidates: str, name: str) -> DataFrame:
@@ -243,21 +242,26 @@ def _with_tried(beside: DataFrame, candidates: str, name: str) -> DataFrame:
 
     A window is laid on the grid once for all candidates that have it, and each
     way of reading is followed once: versions that differ in other things read
-    the same lines. Every step is a stage of its own, so that none is nested deep.
+    the same lines. Equal ones are told by their JSON, which compares faster
+    than structs. Every step is a stage of its own, so that none is nested deep.
     """
-    at = lambda some, one: F.get(some, F.array_position(F.transform(some, lambda x: x["of"]), one).cast("int") - 1)["is"]
+    at = lambda some, keys, key: F.get(some, F.array_position(keys, key).cast("int") - 1)
     put = lambda df, **made: computed(df, *df.columns, **made)
     out = put(beside, _each=F.transform(candidates, lambda x: _way_of(x["config"])))
-    out = put(put(out, _ways=F.array_distinct("_each")), _windows=F.array_distinct(F.transform("_ways", lambda r: r["window"])))
-    out = put(out, _grids=F.transform("_windows", lambda w: F.struct(w.alias("of"), _laid(w).alias("is"))))
-    out = put(out, _own=F.transform("_ways", lambda r: at(F.col("_grids"), r["window"])))
+    out = put(out, _of=F.transform("_each", lambda r: F.to_json(r)))
+    out = put(out, _keys=F.array_distinct("_of"))
+    out = put(out, _ways=F.transform("_keys", lambda k: at(F.col("_each"), F.col("_of"), k))).drop("_each")
+    out = put(out, _window_of=F.transform("_ways", lambda r: F.to_json(r["window"])))
+    out = put(out, _windows=F.array_distinct("_window_of"))
+    out = put(out, _laid=F.transform("_windows", lambda k: _laid(at(F.col("_ways"), F.col("_window_of"), k)["window"])))
+    out = put(out, _own=F.transform("_window_of", lambda k: at(F.col("_laid"), F.col("_windows"), k))).drop("_laid", "_windows", "_window_of")
     pair = lambda r: (F.size(r["debit"]) > 0) | (F.size(r["credit"]) > 0)
     out = put(out, _places=F.zip_with("_ways", "_own", lambda r, g: F.struct(pair(r).alias("pair"), *[_places(r, f, g) for f in ("date", "amount", "debit", "credit")])))
     money = lambda r, p: (_text(r["cells"], F.when(p["pair"], p["credit"]).otherwise(p["amount"])).alias("one"), F.when(p["pair"], _text(r["cells"], p["debit"])).otherwise("").alias("other"))
-    out = put(out, _texts=F.zip_with("_own", "_places", lambda g, p: F.transform(g["rows"], lambda r: F.struct(_text(r["cells"], p["date"]).alias("date"), *money(r, p), r["cells"].alias("cells")))))
-    out = put(out, _lines=F.zip_with("_ways", "_texts", lambda r, t: F.transform(t, lambda x: _line(r, x))))
-    out = put(out, _told=F.zip_with("_ways", F.transform("_lines", _judged), lambda r, t: F.struct(r.alias("of"), t.alias("is"))))
-    return computed(out, *beside.columns, **{name: F.transform("_each", lambda r: at(F.col("_told"), r))})
+    out = put(out, _texts=F.zip_with("_own", "_places", lambda g, p: F.transform(g["rows"], lambda r: F.struct(_text(r["cells"], p["date"]).alias("date"), *money(r, p), r["cells"].alias("cells"))))).drop("_own", "_places")
+    out = put(out, _lines=F.zip_with("_ways", "_texts", lambda r, t: F.array_join(F.transform(t, lambda x: _line(r, x)), ""))).drop("_ways", "_texts")
+    out = put(out, _told=F.transform("_lines", _judged))
+    return computed(out, *beside.columns, **{name: F.transform("_of", lambda k: at(F.col("_told"), F.col("_keys"), k))})
 
 
 def _beside(files: DataFrame, candidates: DataFrame) -> DataFrame:
